@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from shelfwise.llm.automaton import OP6_SQL, op6_substring_dedup
 from shelfwise.llm.jaccard import op4_ngram_jaccard
+from shelfwise.llm.suffix_array import op5_suffix_array_dedup
 
 QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": OP6_SQL,
+}
