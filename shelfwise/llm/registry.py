@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from shelfwise.llm.automaton import OP6_SQL, op6_substring_dedup
 from shelfwise.llm.jaccard import op4_ngram_jaccard
+from shelfwise.llm.licenses import op1_license_scan, op1_sql
 from shelfwise.llm.suffix_array import op5_suffix_array_dedup
+from shelfwise.llm.winnowing import OP10_SQL, op10_benchmark_decontamination
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": op1_sql(),
     "op6_substring_dedup": OP6_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
 }
