@@ -197,9 +197,14 @@ def open_pairs(here: DataFrame) -> DataFrame:
     return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs that are links. Only sets of documents in a pair are built and shuffled."""
+    wanted = membership(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "sid")
+    sets = materialize(texts.mapInArrow(whole_sets(k, wanted), "sid long, grams binary").dropDuplicates(["sid"]), "sets")
     x, y = sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))
-    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb").mapInArrow(similar, "a long, b long"), "links")
+    links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb").mapInArrow(similar, "a long, b long"), "links")
+    drop_scratch(sets)
+    return links
 
 
 def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -220,9 +225,6 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     only = membership(shared, "gram", 1 << 26)
     near = texts.mapInArrow(postings(k, counts, only), "gram long, sid long, n long, pos long, tail long").join(shared, "gram", "left_semi").dropDuplicates(["gram", "sid"])
     near = materialize(near, "postings")
-    wanted = membership(near, "sid")
-    sets = materialize(texts.mapInArrow(whole_sets(k, wanted), "sid long, grams binary").dropDuplicates(["sid"]), "sets")
-
     links, tested, comp = None, None, None
     turns = [*range(PIVOT_ROUNDS), None]  # None: all pairs that are left
     while turns:
@@ -236,14 +238,16 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        found = verify(pairs, sets)
+        if comp is not None and not pairs.limit(1).count():
+            turns = turns and [None]  # after the last, full turn nothing is left to do
+            continue
+        found = verify(pairs, texts, k)
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         if comp is None or found.limit(1).count():
             comp = components(links)
         elif turn is not None:
-            turns = [None]
-    drop_scratch(sets)
+            turns = [None]  # pivots link no more
     rows = surveyed.filter("block is null").select("doc_id", "n_shingles", "sid")
     marked = rows.join(comp.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     marked = materialize(marked, "marked")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import sys
@@ -32,11 +33,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of finished steps now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
     spark, path = df.sparkSession, df._scratch_path
