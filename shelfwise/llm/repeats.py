@@ -103,8 +103,9 @@ def repeated_windows(docs: DataFrame, unit: Unit, shard: Callable, route: Callab
     repeated, mixed = membership(seen, "key", 1 << 26), membership(seen.filter("mixed"), "key", 1 << 26)
     found = docs.select("doc_id", "text").mapInArrow(occurrences(unit, repeated, mixed), OCCURRENCE)
     found = materialize(found, "occurrences")
-    places = found.select("key", "ctx", "doc_id", "first", "span").join(seen, "key")
-    kinds = materialize(places.groupBy("key", "ctx", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("at"), F.first("span").alias("span")), "contexts")
+    # summed before the join: one key may hold a large part of all places
+    summed = found.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("at"), F.first("span").alias("span"))
+    kinds = materialize(summed.join(seen, "key"), "contexts")
     groups = kinds.filter("mixed").groupBy("key").agg(F.count("*").alias("n_ctx"))
     bodies = found.filter("tokens is not null").groupBy("key", "ctx").agg(F.first("tokens").alias("tokens"))
     bodies = bodies.join(kinds.filter("mixed").select("key", "ctx", "n", "at"), ["key", "ctx"]).join(groups, "key")
