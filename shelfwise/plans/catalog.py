@@ -1,4 +1,4 @@
-"""Registered queries over the catalog tables."""
+"""All registered queries over the catalog tables."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from shelfwise.plans import cleaning, extraction, quality  # noqa: F401
+from shelfwise.plans.registry import ORACLES, QUERIES  # noqa: F401
