@@ -11,9 +11,10 @@ from shelfwise.plans.cleaning import price_sql
 from shelfwise.plans.registry import lit, query
 from shelfwise.sources.tables import downloads, predictions, products, submission, table
 
-Y, P = F.col("y_true"), F.col("y_pred")
-n = F.count("*")
-hits = F.count_if
+
+
+def hits(c):
+    return F.count_if(c)
 
 
 def pct(column, *shares):
@@ -25,7 +26,7 @@ def schema_validate(spark, d):
     df = products(spark, d)
     missing, extra = sorted(set(rules.EXPECTED_TRAIN) - set(df.columns)), sorted(set(df.columns) - set(rules.EXPECTED_TRAIN))
     bad = F.col("price_text").isNotNull() & clean.price_from_text(F.col("price_text")).isNull()
-    return df.agg(F.lit("price_text").alias("column_name"), n.alias("rows"), hits(bad).alias("failed_casts"), F.lit(",".join(missing)).alias("missing_columns"), F.lit(",".join(extra)).alias("extra_columns"))
+    return df.agg(F.lit("price_text").alias("column_name"), F.count("*").alias("rows"), hits(bad).alias("failed_casts"), F.lit(",".join(missing)).alias("missing_columns"), F.lit(",".join(extra)).alias("extra_columns"))
 
 
 @query(
@@ -38,7 +39,7 @@ def integrity_check(spark, d):
     r = s.join(products(spark, d).select("sample_id", "catalog_content", "image_link"), "sample_id", "left").join(F.broadcast(e), F.lit(True))
     p = F.col("price")
     return r.agg(
-        n.alias("rows"), (F.count("sample_id") - F.count_distinct("sample_id")).alias("duplicates"), hits(F.col("sample_id").isNull()).alias("missing_ids"), hits(p < 0).alias("negative"), hits(F.col("catalog_content").isNull()).alias("no_text"), hits(F.col("image_link").isNull()).alias("no_image"),
+        F.count("*").alias("rows"), (F.count("sample_id") - F.count_distinct("sample_id")).alias("duplicates"), hits(F.col("sample_id").isNull()).alias("missing_ids"), hits(p < 0).alias("negative"), hits(F.col("catalog_content").isNull()).alias("no_text"), hits(F.col("image_link").isNull()).alias("no_image"),
         hits(p.isNull()).alias("no_price"), hits(p == 0).alias("zero"), hits(p > 10 * F.col("e")[1]).alias("high"), hits(p < F.col("e")[0] / 10).alias("low"),
     )
 
@@ -52,7 +53,7 @@ def data_summary(spark, d):
     p, t = F.col("price"), F.length("catalog_content")
     q = pct("price", 0.25, 0.5, 0.75)
     a = products(spark, d).agg(
-        n.alias("rows"), (n - F.count("sample_id")).alias("null_ids"), (n - F.count("image_link")).alias("null_links"), F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), F.min(p).alias("price_min"), *(q[i].alias(f"price_q{k}") for i, k in enumerate((25, 50, 75))), F.max(p).alias("price_max"),
+        F.count("*").alias("rows"), (F.count("*") - F.count("sample_id")).alias("null_ids"), (F.count("*") - F.count("image_link")).alias("null_links"), F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), F.min(p).alias("price_min"), *(q[i].alias(f"price_q{k}") for i, k in enumerate((25, 50, 75))), F.max(p).alias("price_max"),
         F.avg(t).alias("text_mean"), F.min(t).alias("text_min"), F.max(t).alias("text_max"),
     )
     return a.select(*(F.col(c).cast("double").alias(c) for c in a.columns)).unpivot([], a.columns, "measure", "value")
@@ -72,25 +73,25 @@ def dataset_classify(spark, d):
         return "training" if set(rules.EXPECTED_TRAIN) <= c else "test" if {"sample_id", "catalog_content", "image_link"} <= c else "prediction_output" if c == {"sample_id", "price"} else "unknown"
 
     def row(name, df):
-        return df.agg(F.lit(name).alias("dataset"), F.lit(kind(df.columns)).alias("kind"), (n - F.count_distinct("sample_id")).alias("duplicates"), hits(F.col("sample_id").isNull()).alias("null_ids"), (F.min("price") < 0).alias("has_negative"), (F.max("price") > 10000).alias("has_extreme"))
+        return df.agg(F.lit(name).alias("dataset"), F.lit(kind(df.columns)).alias("kind"), (F.count("*") - F.count_distinct("sample_id")).alias("duplicates"), hits(F.col("sample_id").isNull()).alias("null_ids"), (F.min("price") < 0).alias("has_negative"), (F.max("price") > 10000).alias("has_extreme"))
 
     return row("submission", submission(spark, d)).union(row("products", products(spark, d)))
 
 
 @query("smape", "SELECT model, coalesce(avg(CASE WHEN abs(y_true) + abs(y_pred) = 0 THEN 0 ELSE abs(y_pred - y_true) / ((abs(y_true) + abs(y_pred)) / 2) END) * 100, 0) AS smape FROM predictions GROUP BY model", "smape")
 def smape(spark, d):
-    return predictions(spark, d).filter(metrics.finite(Y, P)).groupBy("model").agg(metrics.smape(Y, P).alias("smape"))
+    return predictions(spark, d).filter(metrics.finite(F.col("y_true"), F.col("y_pred"))).groupBy("model").agg(metrics.smape(F.col("y_true"), F.col("y_pred")).alias("smape"))
 
 
 @query("smape_variants", "SELECT model, avg(abs(y_pred - y_true) / greatest((abs(y_true) + abs(y_pred)) / 2, 1e-8)) * 100 AS floor, avg(abs(y_true - greatest(y_pred, 0.01)) / ((abs(y_true) + abs(greatest(y_pred, 0.01))) / 2 + 1e-8)) * 100 AS clipped, avg(CASE WHEN abs(y_true) + abs(y_pred) = 0 THEN 0 ELSE 2 * abs(y_pred - y_true) / (abs(y_true) + abs(y_pred)) END) * 100 AS double FROM predictions GROUP BY model", "floor clipped double")
 def smape_variants(spark, d):
-    return predictions(spark, d).groupBy("model").agg(metrics.smape_floor(Y, P).alias("floor"), metrics.smape_clipped(Y, P).alias("clipped"), metrics.smape_double(Y, P).alias("double"))
+    return predictions(spark, d).groupBy("model").agg(metrics.smape_floor(F.col("y_true"), F.col("y_pred")).alias("floor"), metrics.smape_clipped(F.col("y_true"), F.col("y_pred")).alias("clipped"), metrics.smape_double(F.col("y_true"), F.col("y_pred")).alias("double"))
 
 
 @query("smape_details", "WITH e AS (SELECT model, abs(y_true) + abs(y_pred) = 0 AS z, CASE WHEN abs(y_true) + abs(y_pred) = 0 THEN 0 ELSE abs(y_pred - y_true) / ((abs(y_true) + abs(y_pred)) / 2) * 100 END AS e FROM predictions) SELECT model, count(*) AS n, avg(e) AS mean, stddev_pop(e) AS std, quantile_cont(e, 0.5) AS median, min(e) AS least, max(e) AS most, count(*) FILTER (z) AS zero_denominators FROM e GROUP BY model", "mean std median least most")
 def smape_details(spark, d):
-    e = predictions(spark, d).withColumn("e", metrics.row_error(Y, P) * 100).withColumn("z", F.abs(Y) + F.abs(P) == 0)
-    return e.groupBy("model").agg(n.alias("n"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("std"), F.percentile("e", 0.5).alias("median"), F.min("e").alias("least"), F.max("e").alias("most"), hits("z").alias("zero_denominators"))
+    e = predictions(spark, d).withColumn("e", metrics.row_error(F.col("y_true"), F.col("y_pred")) * 100).withColumn("z", F.abs(F.col("y_true")) + F.abs(F.col("y_pred")) == 0)
+    return e.groupBy("model").agg(F.count("*").alias("n"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("std"), F.percentile("e", 0.5).alias("median"), F.min("e").alias("least"), F.max("e").alias("most"), hits("z").alias("zero_denominators"))
 
 
 BUCKET = "1 + CAST(y_true >= e1 AS INT) + CAST(y_true >= e2 AS INT) + CAST(y_true >= e3 AS INT) + CAST(y_true >= e4 AS INT)"
@@ -101,7 +102,7 @@ ERR = "CASE WHEN abs(y_true) + abs(y_pred) = 0 THEN 0 ELSE abs(y_pred - y_true)
 @query("quantile_smape", f"WITH {EDGES} SELECT {BUCKET} AS bucket, count(*) AS n, avg({ERR}) * 100 AS smape, min(y_true) AS low, max(y_true) AS high FROM predictions, e WHERE model = 'm1' GROUP BY 1", "smape low high")
 def quantile_smape(spark, d):
     b = metrics.with_quantile_bucket(predictions(spark, d).filter("model = 'm1'"), "y_true", 5)
-    return b.groupBy("bucket").agg(n.alias("n"), metrics.smape(Y, P).alias("smape"), F.min("y_true").alias("low"), F.max("y_true").alias("high"))
+    return b.groupBy("bucket").agg(F.count("*").alias("n"), metrics.smape(F.col("y_true"), F.col("y_pred")).alias("smape"), F.min("y_true").alias("low"), F.max("y_true").alias("high"))
 
 
 REG = "avg(abs(y_pred - y_true)) AS mae, avg((y_pred - y_true) * (y_pred - y_true)) AS mse, sqrt(avg((y_pred - y_true) * (y_pred - y_true))) AS rmse, 1 - sum((y_pred - y_true) * (y_pred - y_true)) / (count(y_true) * var_pop(y_true)) AS r2, avg(abs((y_pred - y_true) / y_true)) FILTER (y_true <> 0) * 100 AS mape"
@@ -109,7 +110,7 @@ REG = "avg(abs(y_pred - y_true)) AS mae, avg((y_pred - y_true) * (y_pred - y_tru
 
 @query("regression_metrics", f"SELECT model, {REG} FROM predictions GROUP BY model", "mae mse rmse r2 mape")
 def regression_metrics(spark, d):
-    return predictions(spark, d).groupBy("model").agg(*(c.alias(k) for k, c in metrics.regression(Y, P).items()))
+    return predictions(spark, d).groupBy("model").agg(*(c.alias(k) for k, c in metrics.regression(F.col("y_true"), F.col("y_pred")).items()))
 
 
 @query("summary_stats", "SELECT avg(price) AS mean, stddev_pop(price) AS std, min(price) AS least, max(price) AS most, quantile_cont(price, 0.5) AS median, quantile_cont(price, 0.25) AS q25, quantile_cont(price, 0.75) AS q75, count(*) FILTER (price < 0) AS negative, count(*) FILTER (price = 0) AS zero, count(*) FILTER (price < 0.01) AS under FROM submission", "mean std least most median q25 q75")
@@ -124,8 +125,8 @@ def summary_stats(spark, d):
     "mean std skew kurtosis correlation range_ratio jarque_bera", 5,
 )
 def residual_diagnostics(spark, d):
-    r = predictions(spark, d).withColumn("r", P - Y)
-    m = r.groupBy("model").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.skewness("r").alias("skew"), F.kurtosis("r").alias("kurtosis"), F.corr("y_pred", F.abs("r")).alias("correlation"), ((F.max("y_pred") - F.min("y_pred")) / (F.max("y_true") - F.min("y_true"))).alias("range_ratio"), n.alias("rows"))
+    r = predictions(spark, d).withColumn("r", F.col("y_pred") - F.col("y_true"))
+    m = r.groupBy("model").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.skewness("r").alias("skew"), F.kurtosis("r").alias("kurtosis"), F.corr("y_pred", F.abs("r")).alias("correlation"), ((F.max("y_pred") - F.min("y_pred")) / (F.max("y_true") - F.min("y_true"))).alias("range_ratio"), F.count("*").alias("rows"))
     out = r.join(F.broadcast(m.select("model", "std")), "model").groupBy("model").agg(hits(F.abs("r") > 3 * F.col("std")).alias("outliers"))
     jb = F.col("rows") / 6 * (F.pow("skew", F.lit(2)) + F.pow("kurtosis", F.lit(2)) / 4)
     return m.join(out, "model").select("model", "mean", "std", "skew", "kurtosis", "outliers", "correlation", (F.col("correlation") > 0.1).alias("uneven"), "range_ratio", (F.col("mean") > 0.1 * F.col("std")).alias("over"), jb.alias("jarque_bera"))
@@ -141,13 +142,13 @@ FENCE = "e AS (SELECT quantile_cont(price, 0.01) AS p1, quantile_cont(price, 0.2
 )
 def price_anomalies(spark, d):
     s = submission(spark, d)
-    e = s.agg(pct("price", 0.01, 0.25, 0.75, 0.99).alias("e"), n.alias("total"))
+    e = s.agg(pct("price", 0.01, 0.25, 0.75, 0.99).alias("e"), F.count("*").alias("total"))
     p, q = F.col("price"), [F.col("e")[i] for i in range(4)]
     kinds = F.array_compact(F.array(F.when(p < 0, F.lit("negative")), F.when(p > 10 * q[3], F.lit("extreme_high")), F.when((p > 0) & (p < F.greatest(q[0] / 10, F.lit(0.001))), F.lit("extreme_low")), F.when((p < q[1] - 1.5 * (q[2] - q[1])) | (p > q[2] + 1.5 * (q[2] - q[1])), F.lit("iqr"))))
     rows = s.join(F.broadcast(e), F.lit(True)).select("sample_id", "total", F.explode(kinds).alias("kind"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("sample_id"))).filter("rank <= 10")
     first = ranked.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("sample_id")), ",").alias("first_ids"))
-    return rows.groupBy("kind").agg(n.alias("n"), (100.0 * n / F.first("total")).alias("percent")).join(first, "kind")
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), (100.0 * F.count("*") / F.first("total")).alias("percent")).join(first, "kind")
 
 
 @query(
@@ -157,7 +158,7 @@ def price_anomalies(spark, d):
 )
 def data_quality_score(spark, d):
     v = F.col("v")
-    a = products(spark, d).select(clean.price_from_text(F.col("price_text")).alias("v")).agg(n.alias("rows"), F.count(v).alias("priced"), hits(v >= 0).alias("valid"), (hits(v < 0) + hits(v == 0) + hits(v.isNull())).alias("anomalies"), hits(v.isNull()).alias("invalid"))
+    a = products(spark, d).select(clean.price_from_text(F.col("price_text")).alias("v")).agg(F.count("*").alias("rows"), F.count(v).alias("priced"), hits(v >= 0).alias("valid"), (hits(v < 0) + hits(v == 0) + hits(v.isNull())).alias("anomalies"), hits(v.isNull()).alias("invalid"))
     of = lambda x, c: F.lit(float(x)) * F.col(c) / F.col("rows")
     b = a.select("*", of(40, "priced").alias("completeness"), of(30, "valid").alias("validity"), F.greatest(F.lit(0.0), 20 - of(100, "anomalies")).alias("anomaly_points"), F.when(F.col("invalid") > F.col("rows") * 0.01, 5.0).otherwise(10.0).alias("consistency"))
     return b.withColumn("score", F.col("completeness") + F.col("validity") + F.col("anomaly_points") + F.col("consistency"))
@@ -169,7 +170,7 @@ def data_quality_score(spark, d):
     "id_points content_points image_points price_points score",
 )
 def preprocess_quality(spark, d):
-    a = products(spark, d).agg(n.alias("rows"), F.count_distinct("sample_id").alias("ids"), hits(F.length(F.btrim("catalog_content")) >= 20).alias("texts"), F.count("image_link").alias("links"), hits(F.col("price") > 0).alias("prices"))
+    a = products(spark, d).agg(F.count("*").alias("rows"), F.count_distinct("sample_id").alias("ids"), hits(F.length(F.btrim("catalog_content")) >= 20).alias("texts"), F.count("image_link").alias("links"), hits(F.col("price") > 0).alias("prices"))
     of = lambda c: F.lit(25.0) * c / F.col("rows")
     total = of(F.col("ids") + F.col("texts") + F.col("links") + F.col("prices"))
     return a.select("rows", of(F.col("ids")).alias("id_points"), of(F.col("texts")).alias("content_points"), of(F.col("links")).alias("image_points"), of(F.col("prices")).alias("price_points"), total.alias("score"), (total < 80).alias("warn"))
@@ -202,18 +203,19 @@ def distribution(spark, d):
     return submission(spark, d).agg(F.avg("price").alias("mean"), F.stddev_pop("price").alias("std"), F.skewness("price").alias("skew"), F.kurtosis("price").alias("kurtosis"), *(q[i].alias(f"p{k}") for i, k in enumerate(SHARES)))
 
 
+#: Severity, SQL and column of every check of a submission.
 CHECKS = {
-    "rows": ("critical", "count(*) > 0", n > 0), "no_null_ids": ("critical", "count(*) = count(sample_id)", n == F.count("sample_id")), "no_null_prices": ("critical", "count(*) = count(price)", n == F.count("price")), "unique_ids": ("critical", "count(sample_id) = count(DISTINCT sample_id)", F.count("sample_id") == F.count_distinct("sample_id")),
-    "no_negative": ("critical", "count(*) FILTER (price < 0) = 0", hits(F.col("price") < 0) == 0), "finite": ("critical", "count(*) FILTER (isinf(price) OR isnan(price)) = 0", hits(F.isnan("price") | (F.abs("price") == float("inf"))) == 0), "at_least_min": ("important", "count(*) FILTER (price < 0.01) = 0", hits(F.col("price") < 0.01) == 0),
-    "at_most_max": ("important", "count(*) FILTER (price > 10000) = 0", hits(F.col("price") > 10000) == 0), "id_format": ("important", "count(*) FILTER (NOT regexp_matches(sample_id, '^[a-zA-Z0-9_-]+$')) = 0", hits(~F.col("sample_id").rlike("^[a-zA-Z0-9_-]+$")) == 0), "spread": ("important", "stddev_pop(price) > 0", F.stddev_pop("price") > 0),
-    "mean_plausible": ("optional", "avg(price) BETWEEN 0.1 AND 1000", F.avg("price").between(0.1, 1000)), "no_zero": ("optional", "count(*) FILTER (price = 0) = 0", hits(F.col("price") == 0) == 0), "few_high": ("optional", "count(*) FILTER (price > 1000) <= count(*) / 100", hits(F.col("price") > 1000) <= n / 100),
+        "rows": ("critical", "count(*) > 0", lambda: F.count("*") > 0), "no_null_ids": ("critical", "count(*) = count(sample_id)", lambda: F.count("*") == F.count("sample_id")), "no_null_prices": ("critical", "count(*) = count(price)", lambda: F.count("*") == F.count("price")), "unique_ids": ("critical", "count(sample_id) = count(DISTINCT sample_id)", lambda: F.count("sample_id") == F.count_distinct("sample_id")),
+        "no_negative": ("critical", "count(*) FILTER (price < 0) = 0", lambda: hits(F.col("price") < 0) == 0), "finite": ("critical", "count(*) FILTER (isinf(price) OR isnan(price)) = 0", lambda: hits(F.isnan("price") | (F.abs("price") == float("inf"))) == 0), "at_least_min": ("important", "count(*) FILTER (price < 0.01) = 0", lambda: hits(F.col("price") < 0.01) == 0),
+        "at_most_max": ("important", "count(*) FILTER (price > 10000) = 0", lambda: hits(F.col("price") > 10000) == 0), "id_format": ("important", "count(*) FILTER (NOT regexp_matches(sample_id, '^[a-zA-Z0-9_-]+$')) = 0", lambda: hits(~F.col("sample_id").rlike("^[a-zA-Z0-9_-]+$")) == 0), "spread": ("important", "stddev_pop(price) > 0", lambda: F.stddev_pop("price") > 0),
+        "mean_plausible": ("optional", "avg(price) BETWEEN 0.1 AND 1000", lambda: F.avg("price").between(0.1, 1000)), "no_zero": ("optional", "count(*) FILTER (price = 0) = 0", lambda: hits(F.col("price") == 0) == 0), "few_high": ("optional", "count(*) FILTER (price > 1000) <= count(*) / 100", lambda: hits(F.col("price") > 1000) <= F.count("*") / 100),
 }
 _long = "WITH a AS (SELECT " + ", ".join(f"{s} AS {k}" for k, (_, s, _) in CHECKS.items()) + " FROM submission), l AS (UNPIVOT a ON COLUMNS(*) INTO NAME check_name VALUE passed), c AS (SELECT *, CASE " + " ".join(f"WHEN check_name = '{k}' THEN '{s}'" for k, (s, _, _) in CHECKS.items()) + " END AS severity FROM l)"
 
 
 def check_table(df):
     """One aggregate gives all checks; long form: check_name, severity, passed."""
-    a = df.agg(*(c.alias(k) for k, (_, _, c) in CHECKS.items()))
+    a = df.agg(*(c().alias(k) for k, (_, _, c) in CHECKS.items()))
     severity = F.create_map(*(x for k, (s, _, _) in CHECKS.items() for x in (F.lit(k), F.lit(s))))
     return a.unpivot([], list(CHECKS), "check_name", "passed").withColumn("severity", F.element_at(severity, F.col("check_name")))
 
@@ -223,7 +225,7 @@ def output_checks(spark, d):
     c = check_table(submission(spark, d))
     every = Window.partitionBy()  # over the checks, thirteen rows
     failed, passed = F.sum(F.when(F.col("passed"), 0).otherwise(1)).over(every), F.sum(F.when(F.col("passed"), 1).otherwise(0)).over(every)
-    return c.withColumn("overall", F.when(failed == 0, "PASS").when(passed >= 0.8 * n.over(every), "PASS_WITH_WARNINGS").otherwise("FAIL"))
+    return c.withColumn("overall", F.when(failed == 0, "PASS").when(passed >= 0.8 * F.count("*").over(every), "PASS_WITH_WARNINGS").otherwise("FAIL"))
 
 
 @query("final_qa", _long + ", s AS (SELECT count(*) FILTER (severity = 'critical' AND NOT passed) AS critical_failed, count(*) FILTER (severity = 'important' AND NOT passed) AS important_failed, count(*) FILTER (severity = 'optional' AND NOT passed) AS optional_failed FROM c) SELECT *, CASE WHEN critical_failed > 0 THEN 'FAIL' WHEN important_failed > 1 THEN 'NEEDS_REVIEW' WHEN important_failed + optional_failed > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status FROM s")
@@ -241,47 +243,47 @@ def final_qa(spark, d):
 )
 def consistency_checks(spark, d):
     s = submission(spark, d)
-    lengths = s.select(F.length("sample_id").alias("k")).distinct().join(products(spark, d).select(F.length("sample_id").alias("k")).distinct(), "k", "left_anti").agg((n == 0).alias("known_lengths"))
-    common = s.groupBy("price").agg(n.alias("k")).agg((F.max("k") / F.sum("k")).alias("common_share"))
+    lengths = s.select(F.length("sample_id").alias("k")).distinct().join(products(spark, d).select(F.length("sample_id").alias("k")).distinct(), "k", "left_anti").agg((F.count("*") == 0).alias("known_lengths"))
+    common = s.groupBy("price").agg(F.count("*").alias("k")).agg((F.max("k") / F.sum("k")).alias("common_share"))
     return lengths.join(common, F.lit(True)).withColumn("varied", F.col("common_share") < 0.1)  # two rows of one
 
 
 @query("raw_vs_formatted", "SELECT count(*) AS rows, count(*) FILTER (price < 0.01) AS clamped, count(*) FILTER (abs(greatest(price, 0.01) - round_even(greatest(price, 0.01), 2)) > 1e-12) AS rounded, min(price) AS raw_min, max(price) AS raw_max FROM submission", "raw_min raw_max")
 def raw_vs_formatted(spark, d):
     c = F.greatest("price", F.lit(0.01))
-    return submission(spark, d).agg(n.alias("rows"), hits(F.col("price") < 0.01).alias("clamped"), hits(F.abs(c - F.rint(c * 100) / 100) > 1e-12).alias("rounded"), F.min("price").alias("raw_min"), F.max("price").alias("raw_max"))
+    return submission(spark, d).agg(F.count("*").alias("rows"), hits(F.col("price") < 0.01).alias("clamped"), hits(F.abs(c - F.rint(c * 100) / 100) > 1e-12).alias("rounded"), F.min("price").alias("raw_min"), F.max("price").alias("raw_max"))
 
 
 @query("download_stats", "SELECT dataset_type, count(*) AS requested, count(*) FILTER (status = 'success') AS succeeded, 100.0 * count(*) FILTER (status = 'success') / count(*) AS success_rate, 100.0 * count(*) FILTER (status = 'success' AND attempts = 1) / count(*) AS first_try_rate, 100.0 * count(*) FILTER (status = 'failed') / count(*) AS failure_rate, avg(attempts) AS mean_attempts, avg(file_size) FILTER (status = 'success') AS mean_size FROM downloads GROUP BY dataset_type", "success_rate first_try_rate failure_rate mean_attempts mean_size")
 def download_stats(spark, d):
     ok = F.col("status") == "success"
-    rate = lambda c: 100.0 * hits(c) / n
-    return downloads(spark, d).groupBy("dataset_type").agg(n.alias("requested"), hits(ok).alias("succeeded"), rate(ok).alias("success_rate"), rate(ok & (F.col("attempts") == 1)).alias("first_try_rate"), rate(~ok).alias("failure_rate"), F.avg("attempts").alias("mean_attempts"), F.avg(F.when(ok, F.col("file_size"))).alias("mean_size"))
+    rate = lambda c: 100.0 * hits(c) / F.count("*")
+    return downloads(spark, d).groupBy("dataset_type").agg(F.count("*").alias("requested"), hits(ok).alias("succeeded"), rate(ok).alias("success_rate"), rate(ok & (F.col("attempts") == 1)).alias("first_try_rate"), rate(~ok).alias("failure_rate"), F.avg("attempts").alias("mean_attempts"), F.avg(F.when(ok, F.col("file_size"))).alias("mean_size"))
 
 
 @query("failure_analysis", "SELECT split_part(error, '_', 1) AS kind, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS share, count(*) FILTER (attempts > 2) AS retried FROM downloads WHERE status = 'failed' GROUP BY 1", "share")
 def failure_analysis(spark, d):
-    f = downloads(spark, d).filter("status = 'failed'").groupBy(F.split_part("error", F.lit("_"), F.lit(1)).alias("kind")).agg(n.alias("n"), hits(F.col("attempts") > 2).alias("retried"))
+    f = downloads(spark, d).filter("status = 'failed'").groupBy(F.split_part("error", F.lit("_"), F.lit(1)).alias("kind")).agg(F.count("*").alias("n"), hits(F.col("attempts") > 2).alias("retried"))
     return f.select("kind", "n", (100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"), "retried")  # a row per kind
 
 
 @query("download_summary", "SELECT coalesce(dataset_type, 'all') AS dataset_type, coalesce(status, 'all') AS status, count(*) AS n FROM downloads GROUP BY ROLLUP (dataset_type, status)")
 def download_summary(spark, d):
-    r = downloads(spark, d).rollup("dataset_type", "status").agg(n.alias("n"))
+    r = downloads(spark, d).rollup("dataset_type", "status").agg(F.count("*").alias("n"))
     return r.select(F.coalesce("dataset_type", F.lit("all")).alias("dataset_type"), F.coalesce("status", F.lit("all")).alias("status"), "n")
 
 
 @query("missing_image_analysis", "SELECT CASE WHEN GROUPING(reason) = 0 THEN 'reason' WHEN GROUPING(strategy) = 0 THEN 'strategy' ELSE 'hour' END AS facet, coalesce(reason, strategy, CAST(hour AS VARCHAR)) AS value, count(*) AS n FROM (SELECT event_type AS reason, CASE WHEN value > 50 THEN 'text_based' ELSE 'zero' END AS strategy, hour(ts) AS hour FROM events WHERE event_type = 'error') GROUP BY GROUPING SETS ((reason), (strategy), (hour))")
 def missing_image_analysis(spark, d):
     e = table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_type").alias("reason"), F.when(F.col("value") > 50, "text_based").otherwise("zero").alias("strategy"), F.hour("ts").cast("string").alias("hour"))
-    return e.unpivot([], ["reason", "strategy", "hour"], "facet", "value").groupBy("facet", "value").agg(n.alias("n"))
+    return e.unpivot([], ["reason", "strategy", "hour"], "facet", "value").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
 FOLDS = f"f AS (SELECT model, fold, avg({ERR}) * 100 AS smape FROM predictions GROUP BY model, fold)"
 
 
 def fold_scores(spark, d):
-    return predictions(spark, d).groupBy("model", "fold").agg(metrics.smape(Y, P).alias("smape"))
+    return predictions(spark, d).groupBy("model", "fold").agg(metrics.smape(F.col("y_true"), F.col("y_pred")).alias("smape"))
 
 
 @query("cv_aggregate", f"WITH {FOLDS} SELECT model, avg(smape) AS mean, stddev_pop(smape) AS std, min(smape) AS least, max(smape) AS most, quantile_cont(smape, 0.5) AS median, quantile_cont(smape, 0.025) AS low, quantile_cont(smape, 0.975) AS high FROM f GROUP BY model", "mean std least most median low high")
@@ -335,13 +337,13 @@ def histograms(spark, d):
     li = numeric(spark, d)
     e = li.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     place = F.least(F.floor((F.col("y") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 50), F.lit(49)).cast("long")
-    return li.join(F.broadcast(e), F.lit(True)).groupBy(place.alias("bin")).agg(n.alias("n"), F.min("y").alias("least"), F.max("y").alias("most"))
+    return li.join(F.broadcast(e), F.lit(True)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("y").alias("least"), F.max("y").alias("most"))
 
 
 @query("timing_summary", "SELECT event_type AS operation, count(*) AS n, sum(value) AS total, avg(value) AS mean, min(value) AS least, max(value) AS most, avg(value) > 100 AS over_limit FROM events GROUP BY event_type", "total mean least most", 4)
 def timing_summary(spark, d):
     v = F.col("value")
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("operation")).agg(n.alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), (F.avg(v) > 100).alias("over_limit"))
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("operation")).agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), (F.avg(v) > 100).alias("over_limit"))
 
 
 @query("perf_regression", "WITH h AS (SELECT quantile_cont(event_id, 0.5) AS m FROM events), a AS (SELECT event_type, avg(value) FILTER (event_id < m) AS base, avg(value) FILTER (event_id >= m) AS current FROM events, h GROUP BY event_type) SELECT event_type, base, current, 100.0 * (current - base) / base AS change, 100.0 * (current - base) / base > 10 AS regression FROM a", "base current change")
@@ -373,7 +375,7 @@ def rule_match(spark, d):
 
 @query("compliance_rollup", f"WITH n AS ({NAMES}), {_RULED}, m AS (SELECT id, coalesce(arg_min(status, ord), 'manual_review') AS status FROM n LEFT JOIN r ON contains(lower(name), word) GROUP BY id) SELECT status, count(*) AS n, CASE WHEN status = 'allowed' THEN 'COMPLIANT' ELSE 'REQUIRES_REVIEW' END AS verdict, status = 'restricted' AS blocking FROM m GROUP BY status")
 def compliance_rollup(spark, d):
-    c = ruled_names(spark, d).groupBy("status").agg(n.alias("n"))
+    c = ruled_names(spark, d).groupBy("status").agg(F.count("*").alias("n"))
     return c.select("status", "n", F.when(F.col("status") == "allowed", "COMPLIANT").otherwise("REQUIRES_REVIEW").alias("verdict"), (F.col("status") == "restricted").alias("blocking"))
 
 
