@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import clean, extract
 from shelfwise.operators import metrics
-from shelfwise.plans import cleaning, extraction, quality, ranking  # noqa: F401
+from shelfwise.plans import cleaning, extraction, modeling, quality, ranking  # noqa: F401
 from shelfwise.plans.cleaning import price_sql
 from shelfwise.plans.extraction import INPUTS_SQL
 from shelfwise.plans.registry import ORACLES, QUERIES, query  # noqa: F401

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 
 from pyspark.sql import functions as F
 
