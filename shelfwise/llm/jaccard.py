@@ -7,6 +7,9 @@ positional filter and a suffix filter, and each pair is verified once on the who
 The order comes from document counts over all documents in a table of ``SLOTS`` counters (fixed size, so it can be
 broadcast); any order gives the same links, a good one keeps frequent grams out of the prefixes.
 
+Grams that still stand in ``HOT`` prefixes or more are then moved behind all others (kept in a bitmap of fixed size) and
+prefixes are taken anew, so what is left in them is rare, or the document has nothing rarer.
+
 Documents with one set are one class and take part once. A large group of near copies would still share grams in
 hundreds of thousands of pairs, so a gram's documents are first matched with one pivot each; what that links needs no
 more pairs, and only documents of one gram that are still in different groups are then paired in full. No link between
@@ -20,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.session import Membership, drop_scratch, materialize, membership, ship, shuffle_width
+from shelfwise.llm.session import Membership, drop_scratch, materialize, membership, ship, shuffle_width, spread
 from shelfwise.llm.text import gram_starts, pieces, prefix_sums, small_batches, span_hash, words
 
 SLOTS = 1 << 18
 BLOCK = 1 << 12
 PIVOT_ROUNDS = 3
+HOT = 8
+PARITY = 4  # longs
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -98,15 +103,25 @@ def gram_counts(surveyed: DataFrame, spark: SparkSession):
     return spark.sparkContext.broadcast(table.ravel())
 
 
-def postings(k: int, counts, only=None):
-    """Prefix grams. Without ``only``: (gram, sid). With it (a bitmap of grams worth keeping): (gram, sid, n, pos, tail),
-    where tail packs, for eight ranges of hashes, how many grams stand after pos (255: that or more)."""
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY ranges of hashes whether it holds an odd number of grams. Two sets differ in at least as
+    many grams as their parities differ in bits."""
+    slot = (spread(grams) & np.uint64(64 * PARITY - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slot, minlength=64 * PARITY) & 1).view(np.int64)
+
+
+def postings(k: int, counts, hot=None, only=None):
+    """Prefix grams, in the order of (hot, count, hash). Without ``only``: (gram, sid). With it (a bitmap of grams worth
+    keeping): also n, pos, tail (for eight ranges of hashes how many grams stand after pos, 255: that or more) and the
+    parity of the whole set."""
 
     def run(batches):
         table = counts.value
         kept = Membership(only.value) if only is not None else None
+        last = Membership(hot.value) if hot is not None else None
+        width = 5 + PARITY
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            out: list[list[np.ndarray]] = [[] for _ in range(width)]
             for _, grams in shingle_sets(batch.column(0), k):
                 n = len(grams)
                 if not n:
@@ -114,7 +129,7 @@ def postings(k: int, counts, only=None):
                 sid = set_id(grams)
                 p = prefix_length(n)
                 slot = (grams & np.uint64(SLOTS - 1)).astype(np.int64)
-                order = np.lexsort((grams, table[slot]))
+                order = np.lexsort((grams, table[slot], last.has(grams))) if last is not None else np.lexsort((grams, table[slot]))
                 prefix = grams[order[:p]]
                 pos = np.arange(p)
                 if kept is not None:
@@ -128,12 +143,14 @@ def postings(k: int, counts, only=None):
                     tail = np.zeros(len(pos), np.uint64)
                     for j in range(8):
                         tail |= left[:, j] << np.uint64(8 * j)
-                    out[4].append(tail.view(np.int64))
                     out[2].append(np.full(len(pos), n))
                     out[3].append(pos)
+                    out[4].append(tail.view(np.int64))
+                    for j, bits in enumerate(parity(grams)):
+                        out[5 + j].append(np.full(len(pos), bits))
                 out[0].append(prefix[pos].view(np.int64))
                 out[1].append(np.full(len(pos), sid))
-            names = ["gram", "sid"] + (["n", "pos", "tail"] if kept is not None else [])
+            names = ["gram", "sid"] + (["n", "pos", "tail", *(f"odd{j}" for j in range(PARITY))] if kept is not None else [])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x, _ in zip(out, names, strict=False)], names=names)
 
     return run
@@ -155,6 +172,15 @@ def whole_sets(k: int, wanted):
     return run
 
 
+def wanted_sets(wanted):
+    def run(batches):
+        kept = Membership(wanted.value)
+        for batch in batches:
+            yield batch.filter(pa.array(kept.has(batch.column(0).to_numpy().view(np.uint64))))
+
+    return run
+
+
 def similar(batches):
     for batch in batches:
         keep = []
@@ -167,7 +193,7 @@ def similar(batches):
 
 
 def could_reach():
-    """Length, positional and suffix filters on a pair of postings x and y of one gram."""
+    """Length, positional, suffix and parity filters on a pair of postings x and y of one gram."""
     need = F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9)
     length = (F.col("x.n") * 5 >= F.col("y.n") * 4) & (F.col("y.n") * 5 >= F.col("x.n") * 4)
     before = F.least("x.pos", "y.pos") + 1
@@ -176,7 +202,8 @@ def could_reach():
     for j in range(8):
         a, b = (F.shiftrightunsigned(F.col(f"{s}.tail"), 8 * j).bitwiseAND(F.lit(255)) for s in "xy")
         tail = tail + F.when((a == 255) | (b == 255), F.lit(1 << 40)).otherwise(F.least(a, b))
-    return length & positional & (before + tail >= need)
+    odd = sum((F.bit_count(F.col(f"x.odd{j}").bitwiseXOR(F.col(f"y.odd{j}"))) for j in range(PARITY)), F.lit(0))
+    return length & positional & (odd <= F.col("x.n") + F.col("y.n") - 2 * need) & (before + tail >= need)
 
 
 def pivot_pairs(here: DataFrame, turn: int) -> DataFrame:
@@ -197,14 +224,12 @@ def open_pairs(here: DataFrame) -> DataFrame:
     return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs that are links. Only sets of documents in a pair are built and shuffled."""
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are links. Only sets of documents in a pair are shuffled."""
     wanted = membership(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "sid")
-    sets = materialize(texts.mapInArrow(whole_sets(k, wanted), "sid long, grams binary").dropDuplicates(["sid"]), "sets")
+    sets = sets.mapInArrow(wanted_sets(wanted), "sid long, grams binary")
     x, y = sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))
-    links = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb").mapInArrow(similar, "a long, b long"), "links")
-    drop_scratch(sets)
-    return links
+    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb").mapInArrow(similar, "a long, b long"), "links")
 
 
 def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -221,10 +246,16 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     surveyed = materialize(docs.mapInArrow(survey(k), "doc_id long, n_shingles long, sid long, block long, counts binary"), "survey")
     counts = gram_counts(surveyed, spark)
     posted = texts.mapInArrow(postings(k, counts), "gram long, sid long")
+    frequent = materialize(posted.groupBy("gram").count().filter(F.col("count") >= HOT).select("gram"), "frequent-grams")
+    hot = membership(frequent, "gram", 1 << 26)
+    posted = texts.mapInArrow(postings(k, counts, hot), "gram long, sid long")
     shared = materialize(posted.groupBy("gram").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("gram"), "shared-grams")
     only = membership(shared, "gram", 1 << 26)
-    near = texts.mapInArrow(postings(k, counts, only), "gram long, sid long, n long, pos long, tail long").join(shared, "gram", "left_semi").dropDuplicates(["gram", "sid"])
+    columns = "gram long, sid long, n long, pos long, tail long, " + ", ".join(f"odd{j} long" for j in range(PARITY))
+    near = texts.mapInArrow(postings(k, counts, hot, only), columns).join(shared, "gram", "left_semi").dropDuplicates(["gram", "sid"])
     near = materialize(near, "postings")
+    sets = materialize(texts.mapInArrow(whole_sets(k, membership(near.select("sid").distinct(), "sid")), "sid long, grams binary").dropDuplicates(["sid"]), "sets")
+
     links, tested, comp = None, None, None
     turns = [*range(PIVOT_ROUNDS), None]  # None: all pairs that are left
     while turns:
@@ -241,13 +272,14 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
         if comp is not None and not pairs.limit(1).count():
             turns = turns and [None]  # after the last, full turn nothing is left to do
             continue
-        found = verify(pairs, texts, k)
+        found = verify(pairs, sets)
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         if comp is None or found.limit(1).count():
             comp = components(links)
         elif turn is not None:
             turns = [None]  # pivots link no more
+    drop_scratch(sets)
     rows = surveyed.filter("block is null").select("doc_id", "n_shingles", "sid")
     marked = rows.join(comp.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     marked = materialize(marked, "marked")
