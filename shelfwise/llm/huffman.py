@@ -24,9 +24,11 @@ LONGEST = 16
 BLOCK = 1024
 FRAME_TOKENS = 1 << 15
 END_ID = 2
-CACHE_UNITS = 250_000
-_cache: dict[str, tuple[object, dict]] = {}
-_irregular = re.compile(r"\s\s|\x01")
+FRAMES_AT_ONCE = 64
+CACHE_UNITS = 300_000
+SPECIAL = "<|endoftext|>"
+_cache: dict[str, "UnitEncoder"] = {}
+_irregular = re.compile(r"\s\s|\x01|" + re.escape(SPECIAL))
 
 
 def tokenizer_path() -> str:
@@ -35,65 +37,89 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """The tokenizer and what it made of units so far, kept by worker."""
-    if path not in _cache:
+class UnitEncoder:
+    """A tokenizer and the ids of units it met, kept by worker in two generations of CACHE_UNITS at most."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _cache[path] = Tokenizer.from_file(path), {}
-    return _cache[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @classmethod
+    def load(cls, path: str) -> "UnitEncoder":
+        if path not in _cache:
+            _cache[path] = cls(path)
+        return _cache[path]
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def learn(self, missing: set[str]) -> None:
+        for u in missing & self.old.keys():
+            self.young[u] = self.old[u]
+        todo = list(missing - self.old.keys())
+        for lo in range(0, len(todo), 10_000):
+            some = todo[lo : lo + 10_000]
+            self.young.update(zip(some, self.plain([u[1:] if u[:1] == "\x01" else " " + u for u in some]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > CACHE_UNITS:
+            self.old, self.young = self.young, {}
+        cut = [units(t) for t in texts]
+        whole = [i for i, us in enumerate(cut) if us is None]
+        known = self.young
+        missing = set().union(*(us for us in cut if us is not None)) - known.keys()
+        if missing:
+            self.learn(missing)
+        out: list = [None if us is None else map(known.__getitem__, us) for us in cut]
+        for i, ids in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
+            out[i] = (ids,)
+        return [b"".join(ids) for ids in out]
 
 
 def units(text: str) -> list[str] | None:
     """Cut a text where the pre-tokenizer always cuts: before a space that a non-space follows, and after a newline that a
-    non-space follows. A unit that did not start with its space is marked by \\x01. None: white space stands side by side."""
+    non-space follows. A unit that did not start with its space is marked by \\x01. None: white space stands side by side, or a special token is spelled out."""
     if _irregular.search(text):
         return None
     return ("\x01" + text.replace("\n", "\n \x01")).split(" ")
 
 
 def encode_ids(path: str):
-    """(doc_id, text) -> part, seq, doc_id, n_tokens, ids (little-endian uint32), in the order of the rows."""
+    """(doc_id, text) -> part, seq, doc_id, n_tokens, ids (little-endian uint32), in the order of the rows; each task ends
+    with a row of part -1 that holds its id counts (int64 pairs)."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        tok, known = encoder(path)
-        ids_of = lambda found: [np.array(e.ids, np.uint32).tobytes() for e in found]
+        encoder = UnitEncoder.load(path)
         end = np.array([END_ID], np.uint32).tobytes()
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            cut = [units(t) for t in texts]
-            if len(known) > CACHE_UNITS:
-                known.clear()
-            new = list({u for us in cut if us for u in us} - known.keys())
-            for lo in range(0, len(new), 10_000):
-                some = new[lo : lo + 10_000]
-                found = tok.encode_batch([u[1:] if u[:1] == "\x01" else " " + u for u in some], add_special_tokens=False)
-                known.update(zip(some, ids_of(found), strict=True))
-            whole = [i for i, us in enumerate(cut) if us is None]
-            plain = dict(zip(whole, ids_of(tok.encode_batch([texts[i] for i in whole], add_special_tokens=False)), strict=True))
-            raw = [(plain[i] if us is None else b"".join(map(known.__getitem__, us))) + end for i, us in enumerate(cut)]
+            raw = [ids + end for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
             n = len(raw)
+            counts = np.bincount(np.frombuffer(b"".join(raw), np.uint32))
+            if len(counts) > len(total):
+                total, counts = counts, total
+            total[: len(counts)] += counts
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part)), pa.array(np.arange(seq, seq + n)), batch.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(raw, pa.binary())], names=["part", "seq", "doc_id", "n_tokens", "ids"]
             )
             seq += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.stack([at, total[at]], axis=1).tobytes()], pa.binary())], names=["part", "seq", "doc_id", "n_tokens", "ids"])
 
     return run
 
 
 def count_ids(batches):
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32))
-        if len(found) > len(total):
-            total, found = found, total
-        total[: len(found)] += found
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+        pairs = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "n"])
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -227,8 +253,8 @@ def read_frames(lengths):
     def run(batches):
         table = decode_table(lengths.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 16):
-                some = batch.slice(lo, 16)
+            for lo in range(0, batch.num_rows, FRAMES_AT_ONCE):
+                some = batch.slice(lo, FRAMES_AT_ONCE)
                 sizes = some.column("n_tokens").to_pylist()
                 found = unpack(some.column("payload").to_pylist(), [np.array(c, np.int64) for c in some.column("checkpoints").to_pylist()], [sum(s) for s in sizes], table)
                 out = []
@@ -251,11 +277,11 @@ def write_ids(docs: DataFrame, path: str) -> DataFrame:
     docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     ordered = docs.repartitionByRange(4 * shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id")
     ids = materialize(ordered.mapInArrow(encode_ids(path), "part long, seq long, doc_id long, n_tokens long, ids binary"), "ids")
-    counts = ids.select("ids").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = ids.filter("part < 0").select("ids").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     of = np.zeros(max(counts.column("id").to_pylist(), default=0) + 1, np.int64)
     of[counts.column("id").to_numpy()] = counts.column("n").to_numpy()
     lengths = spark.sparkContext.broadcast(code_lengths(of, LONGEST))  # one number per id of the vocabulary
-    return materialize(ids.mapInArrow(write_frames(lengths), FRAME), "token-file"), lengths
+    return materialize(ids.filter("part >= 0").mapInArrow(write_frames(lengths), FRAME), "token-file"), lengths
 
 
 def checksums(batches):

@@ -148,7 +148,7 @@ def fuse(pages: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
         "key",
         F.element_at(label, F.col("best")).alias("lang"),
         (F.lit(1.0) / add(F.col("weight"))).alias("confidence"),
-        F.element_at(label, F.col("vote") + 1).alias("text_lang"),
+        F.when(F.col("has_text"), F.element_at(label, F.coalesce("vote", F.lit(0)) + 1)).alias("text_lang"),
         F.when(F.col("has_text"), F.array_max("share")).alias("text_confidence"),
         "has_text",
         F.element_at("host_prior", F.col("best")).alias("host_prior"),

@@ -25,7 +25,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_UNITS = 250_000
 _models: dict[str, "PieceModel"] = {}
-_irregular = re.compile(f"  |{SPACE}|\x01")
+_irregular = re.compile(f"^ |  |{SPACE}|\x01")
 
 
 def model_path() -> str:

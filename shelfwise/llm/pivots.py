@@ -124,7 +124,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     n_pivots = max(1, min(PIVOTS, n // 32))
     probed = n_pivots if n_pivots <= 8 else min(PROBED, n_pivots)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("embedding").collect()
-    pivots = spark.sparkContext.broadcast(np.array([r.embedding for r in sample]).reshape(len(sample), -1))
+    pivots = spark.sparkContext.broadcast(np.array([r.embedding for r in sample], dtype=np.float64).reshape(len(sample), len(sample[0].embedding) if sample else 0))
     every = rows.withColumn("kind", F.lit(0).cast("long"))
     asked = rows.filter(is_query).withColumn("kind", F.lit(1).cast("long"))
     schema = "file long, kind long, vec_id long, embedding array<double>, ranks binary"
