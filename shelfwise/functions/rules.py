@@ -6,7 +6,7 @@ NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 
 # catalog text cleaning
 HTML_TAG = r"<[^>]+>"
-URL = r"https?://[a-zA-Z0-9$\-_@.&+!*\\(),%/:;<=>?\[\]^#]+"
+URL = r"https?://[a-zA-Z!$-_]+"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = r"(\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})"
 SPECIAL = [("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("–", "-"), ("—", "-"), ("…", "..."), ("®", "(R)"), ("™", "(TM)"), ("©", "(C)")]
@@ -33,7 +33,7 @@ IPQ = [
     (rf"(?i)(?:pack\s+of\s+|quantity\s*:?\s*|qty\s*:?\s*)(\d+(?:\.\d+)?)\s*({_COUNT_UNIT})?", 1, 2, 0.95, "explicit_pack"),
     (rf"(?i)(\d+(?:\.\d+)?)\s*({_COUNT_UNIT})\b", 1, 2, 0.90, "count_with_units"),
     (rf"(?i)(\d+)\s*x\s*(\d+(?:\.\d+)?)\s*({_SIZE_UNIT})?", 1, 0, 0.85, "multiplication"),
-    (rf"(?i)(?:pack\s+size\s*:?\s*|size\s*:?\s*)(\d+(?:\.\d+)?)\s*({_SIZE_UNIT})?", 1, 2, 0.80, "size_spec"),
+    (rf"(?i)(?:size\s*:?\s*|pack\s+size\s*:?\s*)(\d+(?:\.\d+)?)\s*({_SIZE_UNIT})?", 1, 2, 0.80, "size_spec"),
     (rf"\((\d+(?:\.\d+)?)\s*({_SIZE_UNIT})?\)", 1, 2, 0.75, "parenthetical"),
     (r"(?i)(\d+(?:\.\d+)?)\s*(g|grams?|kg|kilograms?|oz|ounces?|lbs?|pounds?|ml|milliliters?|l|liters?|fl\s*oz)\b", 1, 2, 0.88, "weight_volume"),
 ]
@@ -52,7 +52,7 @@ IPQ_CASES = [
 PARSER_IPQ = [r"(?:pack\s+of\s+|quantity\s*:?\s*|qty\s*:?\s*)(\d+(?:\.\d+)?)", r"(\d+(?:\.\d+)?)\s*(?:pcs?|pieces?|units?|count|items?)\b", r"(\d+)\s*x\s*\d+(?:\.\d+)?", r"(?:size\s*:?\s*|pack\s+size\s*:?\s*)(\d+(?:\.\d+)?)"]
 
 # catalog parser
-_LENGTH = r"(\d+(?:\.\d+)?)\s*(mm|cm|m|inches|inch|in|ft|feet)"
+_LENGTH = r"(\d+(?:\.\d+)?)\s*(mm|cm|m|in|inch|inches|ft|feet)"
 LENGTHS = [("mm", 0.001), ("cm", 0.01), ("m", 1.0), ("in", 0.0254), ("inch", 0.0254), ("inches", 0.0254), ("ft", 0.3048), ("feet", 0.3048)]
 LWH = rf"{_LENGTH}\s*[x×]\s*{_LENGTH}\s*[x×]\s*{_LENGTH}"
 LW = rf"{_LENGTH}\s*[x×]\s*{_LENGTH}"
@@ -96,11 +96,11 @@ CATEGORIES = [
     ("kitchen|cooking|cookware|appliance|utensil", "kitchen", 0.85),
 ]
 SPECS = [
-    ("weight", r"(?:weight|wt\.?)\s*:?\s*(\d+(?:\.\d+)?)\s*(grams?|g|kg|kilograms?|oz|ounces?|lbs?|pounds?)"),
-    ("volume", r"(?:capacity|volume|size)\s*:?\s*(\d+(?:\.\d+)?)\s*(ml|milliliters?|liters?|l|fl\s*oz|cups?|pints?|quarts?|gallons?)"),
-    ("power", r"(?:power|wattage|watts?)\s*:?\s*(\d+(?:\.\d+)?)\s*(watts?|w|kw|kilowatts?)"),
-    ("voltage", r"(?:voltage|volts?)\s*:?\s*(\d+(?:\.\d+)?)\s*(volts?|v|kv)"),
-    ("temperature", r"(?:temperature|temp\.?)\s*:?\s*(\d+(?:\.\d+)?)\s*(celsius|fahrenheit|degrees?|°?[cf])"),
+    ("weight", r"(?:weight|wt\.?)\s*:?\s*(\d+(?:\.\d+)?)\s*(g|grams?|kg|kilograms?|oz|ounces?|lbs?|pounds?)"),
+    ("volume", r"(?:capacity|volume|size)\s*:?\s*(\d+(?:\.\d+)?)\s*(ml|milliliters?|l|liters?|fl\s*oz|cups?|pints?|quarts?|gallons?)"),
+    ("power", r"(?:power|wattage|watts?)\s*:?\s*(\d+(?:\.\d+)?)\s*(w|watts?|kw|kilowatts?)"),
+    ("voltage", r"(?:voltage|volts?)\s*:?\s*(\d+(?:\.\d+)?)\s*(v|volts?|kv)"),
+    ("temperature", r"(?:temperature|temp\.?)\s*:?\s*(\d+(?:\.\d+)?)\s*(°?[cf]|celsius|fahrenheit|degrees?)"),
     ("speed", r"(?:speed|rpm)\s*:?\s*(\d+(?:\.\d+)?)\s*(rpm|mph|kmh|km/h)"),
     ("memory", r"(?:memory|ram|storage)\s*:?\s*(\d+(?:\.\d+)?)\s*(gb|mb|tb|gigabytes?|megabytes?|terabytes?)"),
 ]
