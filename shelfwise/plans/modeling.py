@@ -342,7 +342,7 @@ def fetch_urls(spark, d):
     return files.fetch_urls(downloads(spark, d).select(F.col("image_link").alias("url")), offline, parallel=8)
 
 
-@query("submission_write", "SELECT sample_id, CAST(round(CAST(price AS DECIMAL(30, 15)), 6) AS DOUBLE) AS price FROM submission")
+@query("submission_write", "SELECT sample_id, round_even(price, 6) AS price FROM submission")
 def submission_write(spark, d):
     path = files.scratch(spark, "submission")
     files.write_submission(submission(spark, d), path)

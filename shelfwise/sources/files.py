@@ -97,7 +97,7 @@ def fetch_urls(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]], tries
 
 def write_submission(df: DataFrame, path: str) -> None:
     """Two columns, six decimals, one file: a submission is one number per product."""
-    write_csv(df.select("sample_id", F.format_string("%.6f", F.round("price", 6)).alias("price")), path, one_file=True)
+    write_csv(df.select("sample_id", F.format_string("%.6f", F.rint(F.col("price") * 1e6) / 1e6).alias("price")), path, one_file=True)
 
 
 def read_back_submission(df: DataFrame, path: str, tolerance: float = 1e-6) -> DataFrame:
