@@ -11,8 +11,8 @@ Grams that still stand in ``HOT`` prefixes or more are then moved behind all oth
 prefixes are taken anew, so what is left in them is rare, or the document has nothing rarer.
 
 Documents with one set are one class and take part once. A large group of near copies would still share grams in
-hundreds of thousands of pairs, so a gram's documents are first matched with one pivot each; what that links needs no
-more pairs, and only documents of one gram that are still in different groups are then paired in full. No link between
+hundreds of thousands of pairs, so a gram's documents are first matched with three pivots; what that links needs no more
+pairs, and only documents of one gram that are still in different groups are then paired in full. No link between
 groups is lost, as every pair that passes the filters is either inside a group already or verified."""
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.session import Membership, drop_scratch, materialize, membership, ship, shuffle_width, spread
+from shelfwise.llm.session import Membership, materialize, membership, ship, shuffle_width, spread
 from shelfwise.llm.text import gram_starts, pieces, prefix_sums, small_batches, span_hash, words
 
 SLOTS = 1 << 18
 BLOCK = 1 << 12
-PIVOT_ROUNDS = 3
+PIVOT_TURNS = 3
 HOT = 8
 PARITY = 4  # longs
 
@@ -172,15 +172,6 @@ def whole_sets(k: int, wanted):
     return run
 
 
-def wanted_sets(wanted):
-    def run(batches):
-        kept = Membership(wanted.value)
-        for batch in batches:
-            yield batch.filter(pa.array(kept.has(batch.column(0).to_numpy().view(np.uint64))))
-
-    return run
-
-
 def similar(batches):
     for batch in batches:
         keep = []
@@ -224,10 +215,10 @@ def open_pairs(here: DataFrame) -> DataFrame:
     return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are links. Only sets of documents in a pair are shuffled."""
+def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs that are links. Only sets of documents in a pair are built, and both sides of the join read one shuffle."""
     wanted = membership(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "sid")
-    sets = sets.mapInArrow(wanted_sets(wanted), "sid long, grams binary")
+    sets = texts.mapInArrow(whole_sets(k, wanted), "sid long, grams binary").dropDuplicates(["sid"])
     x, y = sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))
     return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb").mapInArrow(similar, "a long, b long"), "links")
 
@@ -254,32 +245,20 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     columns = "gram long, sid long, n long, pos long, tail long, " + ", ".join(f"odd{j} long" for j in range(PARITY))
     near = texts.mapInArrow(postings(k, counts, hot, only), columns).join(shared, "gram", "left_semi").dropDuplicates(["gram", "sid"])
     near = materialize(near, "postings")
-    sets = materialize(texts.mapInArrow(whole_sets(k, membership(near.select("sid").distinct(), "sid")), "sid long, grams binary").dropDuplicates(["sid"]), "sets")
-
-    links, tested, comp = None, None, None
-    turns = [*range(PIVOT_ROUNDS), None]  # None: all pairs that are left
-    while turns:
-        turn = turns.pop(0)
-        here = near if comp is None else near.join(comp.withColumnRenamed("v", "sid"), "sid", "left")
-        here = here.withColumn("comp", F.coalesce("comp", "sid") if comp is not None else F.col("sid"))
-        if comp is not None:
-            open_grams = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-            here = materialize(here.join(open_grams, "gram", "left_semi"), "open-postings")
-        pairs = pivot_pairs(here, turn) if turn is not None else open_pairs(here)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if comp is not None and not pairs.limit(1).count():
-            turns = turns and [None]  # after the last, full turn nothing is left to do
-            continue
-        found = verify(pairs, sets)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        if comp is None or found.limit(1).count():
-            comp = components(links)
-        elif turn is not None:
-            turns = [None]  # pivots link no more
-    drop_scratch(sets)
+
+    alone = near.withColumn("comp", F.col("sid"))
+    pairs = pivot_pairs(alone, 0)
+    for turn in range(1, PIVOT_TURNS):
+        pairs = pairs.union(pivot_pairs(alone, turn))
+    tested = materialize(pairs.distinct(), "pairs")
+    links = verify(tested, texts, k)
+    comp = components(links)
+    here = near.join(comp.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    open_grams = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
+    here = materialize(here.join(open_grams, "gram", "left_semi"), "open-postings")
+    rest = materialize(open_pairs(here).join(tested, ["a", "b"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        comp = components(links.union(verify(rest, texts, k)))
     rows = surveyed.filter("block is null").select("doc_id", "n_shingles", "sid")
     marked = rows.join(comp.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     marked = materialize(marked, "marked")
