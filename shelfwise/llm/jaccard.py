@@ -247,9 +247,9 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     near = materialize(near, "postings")
 
     alone = near.withColumn("comp", F.col("sid"))
-    pairs = pivot_pairs(alone, 0)
+    pairs = materialize(pivot_pairs(alone, 0), "pivot-pairs")  # one turn's shuffles at a time
     for turn in range(1, PIVOT_TURNS):
-        pairs = pairs.union(pivot_pairs(alone, turn))
+        pairs = pairs.union(materialize(pivot_pairs(alone, turn), "pivot-pairs"))
     tested = materialize(pairs.distinct(), "pairs")
     links = verify(tested, texts, k)
     comp = components(links)
