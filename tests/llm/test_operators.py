@@ -146,6 +146,31 @@ def test_viterbi_is_best():
         assert total + unknown * model.unknown == pytest.approx(best_score(text, scores, model.unknown)) and run == 0
 
 
+def test_pieces_are_those_of_the_library(spark, corpus):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    rng = random.Random(8)
+    texts = [t or "" for _, t in corpus] + [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts += [f"a{' ' * n}b{' ' * n}" for n in range(40)] + ["the quick brown fox jumps over the lazy dog", "日本\n\n \tdéjà ▁ vu \U0001f600", "aaaaaaa" * 9]
+    texts += ["".join(rng.choice("abeinrst  ▁ﬀ\n") for _ in range(rng.randrange(60))) for _ in range(2000)]
+    model = pieces.PieceModel.load(pieces.model_path())
+    assert [t for t in texts if np.frombuffer(model.encode(t), np.uint32).tolist() != sp.encode(t)] == []
+
+
+def test_merges_against_step_by_step():
+    rng = random.Random(9)
+    for _ in range(60):
+        made = {c: -1000.0 - i for i, c in enumerate("abc")}
+        for _ in range(rng.randrange(1, 14)):
+            made.setdefault(rng.choice(list(made)) + rng.choice(list(made)), -float(rng.randrange(1, 30)))
+        table = [(p, s, "piece") for p, s in made.items()] + [(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)]
+        model = pieces.PieceModel(table, bpe=True)
+        for _ in range(60):
+            text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 20)))
+            assert [table[i][0] for i in model.segment(text)] == model.merges.run(text)[0]
+
+
 def test_pieces_round_trip(spark, corpus):
     texts = [*corpus, (900, "two  spaces\n\n and\ttabs"), (901, " lead"), (902, "trail "), (903, "日本 \U0001f600")]
     df = spark.createDataFrame([(i, t, b"x") for i, t in texts], "doc_id long, text string, ids binary")
