@@ -2,10 +2,11 @@
 
 A vector is represented by its ``LENGTH`` nearest pivots in order. It is posted in the inverted files of its ``POSTED``
 nearest pivots; a query opens the files of its ``PROBED`` nearest ones, ranks the postings by footrule distance between
-the ordered lists (a pivot that a list lacks counts as standing at its end), and the nearest ``KEEP`` of each file are
-reranked by inner product on the original vectors, in double precision.
+the ordered lists (a pivot that a list lacks counts as standing at its end), and the nearest ``KEEP`` of each file, with
+all others at the distance of the last of them, are reranked by inner product on the original vectors, in double
+precision. So vectors that are equal are kept or left together, and the smallest ids of them can be found.
 
-Pivots are a bounded sample of rows (``PIVOTS``, least hash first); every row is indexed. Files of more than
+Pivots are a bounded sample of different vectors (``PIVOTS``, least hash first); every row is indexed. Files of more than
 ``PART_ROWS`` postings are cut into parts by a hash of the id, and a query goes to all parts, so a pivot that holds a
 third of the vectors is spread like the others."""
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.session import materialize, ship, shuffle_width
 
 PIVOTS, LENGTH, POSTED, PROBED, KEEP, KEEP_LEAST, PART_ROWS, QUERY_BLOCK = 64, 24, 2, 28, 0.35, 256, 4096, 64
+SPARE = 8  # rows looked at for each pivot, as pivots are different vectors
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -75,6 +77,7 @@ def search(n_pivots: int, k: int):
 
     def best(ids, x, codes, queries):
         keep = min(len(ids), max(KEEP_LEAST, int(np.ceil(KEEP * len(ids)))))
+        reach = np.sqrt((x * x).sum(axis=1).max())
         for lo in range(0, len(queries[0]), QUERY_BLOCK):
             q_ids, q, q_codes = (a[lo : lo + QUERY_BLOCK] for a in queries)
             far = np.zeros((len(q_ids), len(ids)), np.int32)
@@ -82,9 +85,12 @@ def search(n_pivots: int, k: int):
                 far += np.bitwise_count(q_codes[:, w, None] ^ codes[None, :, w])
             out = []
             for i in range(len(q_ids)):
-                near = np.argpartition(far[i], keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
+                near = np.flatnonzero(far[i] <= np.partition(far[i], keep - 1)[keep - 1]) if keep < len(ids) else np.arange(len(ids))
                 near = near[ids[near] != q_ids[i]]
-                score = x[near] @ q[i]
+                score = x[near] @ q[i]  # its last digits depend on the place of a row
+                if len(near) > k:
+                    near = near[score >= np.partition(score, -k)[-k] - 1e-9 * reach * np.linalg.norm(q[i])]
+                score = (x[near] * q[i]).sum(axis=1)
                 top = np.lexsort((ids[near], -score))[:k]
                 out.append((np.full(len(top), q_ids[i]), ids[near][top], score[top]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], names=["query_id", "vec_id", "score"])
@@ -122,8 +128,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     rows = materialize(usable(vectors), "vectors")
     n = rows.count()
     n_pivots = max(1, min(PIVOTS, n // 32))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots * SPARE).select("embedding").collect()
+    sample = list({tuple(r.embedding): r for r in sample}.values())[:n_pivots]
+    n_pivots = max(1, len(sample))
     probed = n_pivots if n_pivots <= 8 else min(PROBED, n_pivots)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("embedding").collect()
     pivots = spark.sparkContext.broadcast(np.array([r.embedding for r in sample], dtype=np.float64).reshape(len(sample), len(sample[0].embedding) if sample else 0))
     every = rows.withColumn("kind", F.lit(0).cast("long"))
     asked = rows.filter(is_query).withColumn("kind", F.lit(1).cast("long"))

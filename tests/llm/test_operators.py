@@ -206,6 +206,31 @@ def test_neighbours_recall(spark):
     assert len(got) == 50 and hit / 1000 >= 0.9
 
 
+def test_neighbours_among_equal_vectors(spark):
+    rng = np.random.default_rng(6)
+    n = 9000
+    x = rng.normal(size=(6, 32))[rng.integers(0, 6, n)] + rng.normal(size=(n, 32))
+    hot = np.sort(rng.permutation(n)[: n // 3])
+    x[hot] = x[hot[0]]
+    order = rng.permutation(n)
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<double>")
+    asked = [*hot[[0, 1, 7, 30, 900, -1]].tolist(), *np.setdiff1d(np.arange(n), hot)[::150].tolist()]
+    got = {}
+    for r in pivots.nearest(df, F.col("vec_id").isin(asked)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    members, hit, others = set(hot.tolist()), 0, 0
+    for q in asked:
+        s = np.round(x @ x[q], 9)
+        s[q] = -1e9
+        true = np.argsort(-s, kind="stable")[:20].tolist()
+        found = [v for _, v in sorted(got[q])]
+        if q in members:
+            assert len(members & set(found)) == len(members & set(true)) and [v for v in found if v in members] == [v for v in true if v in members]
+        else:
+            hit, others = hit + len(set(true) & set(found)), others + 1
+    assert len(got) == len(asked) and hit / (20 * others) >= 0.9
+
+
 def test_neighbours_on_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (None, [1.0, 1.0]), (7, [1.0]), (1, [0.5, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
