@@ -20,6 +20,7 @@ from shelfwise.sources.tables import downloads, image_vectors, predictions, prod
 from shelfwise.streaming import streams
 
 COLUMNS = ["quantity", "discount", "tax"]
+IMAGE_VALUES = 64
 
 
 def spread_rows(products):
@@ -51,6 +52,14 @@ def fused_inputs(spark, d):
     return text.join(image_vectors(spark, d), "sample_id").withColumn("i", F.slice("image_vector", 1, 5))
 
 
+def whole_inputs(spark, d):
+    """Every product with its text values and its whole image vector; a missing one is zeros."""
+    x = extract.model_inputs(F.col("catalog_content"))
+    text = products(spark, d).select("sample_id", "price", F.array(x["total_words"], x["total_chars"], x["digit_ratio"]).alias("t"))
+    none = F.array_repeat(F.lit(0.0), IMAGE_VALUES)
+    return text.join(image_vectors(spark, d), "sample_id", "left").withColumn("i", F.coalesce("image_vector", none)).drop("image_vector")
+
+
 @query("fuse_weighted", f"SELECT sample_id, 0.6 * total_words + 0.4 * CAST(embedding[1] AS DOUBLE) AS a, 0.6 * total_chars + 0.4 * CAST(embedding[2] AS DOUBLE) AS b, 0.6 * digit_ratio + 0.4 * CAST(embedding[3] AS DOUBLE) AS c, 0.4 * CAST(embedding[4] AS DOUBLE) AS e, 0.4 * CAST(embedding[5] AS DOUBLE) AS f FROM ({INPUTS_SQL}) JOIN embeddings ON CAST(vec_id AS VARCHAR) = sample_id", "a b c e f", 5)
 def fuse_weighted(spark, d):
     v = fused_inputs(spark, d).select("sample_id", features.fuse_weighted(F.col("t"), F.col("i"), 0.6, 0.4).alias("v"))
@@ -59,16 +68,17 @@ def fuse_weighted(spark, d):
 
 @query("fuse_concat")
 def fuse_concat(spark, d):
-    rows = fused_inputs(spark, d).select("sample_id", features.as_vector("t").alias("tv"), features.as_vector("image_vector").alias("iv"))
+    rows = whole_inputs(spark, d).select("sample_id", features.as_vector("t").alias("tv"), features.as_vector("i").alias("iv"))
     return features.assemble(rows, ["tv", "iv"]).select("sample_id", vector_to_array("features").alias("features"))
 
 
 @query("fuse_gated")
 def fuse_gated(spark, d):
-    """Gate of each modality: logistic of its own linear model's log price; gated vectors are concatenated."""
-    rows = fused_inputs(spark, d).select("sample_id", F.log1p("price").alias("label"), "t", "i", features.as_vector("t").alias("tv"), features.as_vector("i").alias("iv"))
+    """Gate of each modality: logistic of its own linear model's log price, fitted on products with a price; gated vectors
+    are concatenated."""
+    rows = whole_inputs(spark, d).select("sample_id", F.log1p("price").alias("label"), "t", "i", features.as_vector("t").alias("tv"), features.as_vector("i").alias("iv"))
     for name in ("tv", "iv"):
-        fitted = models.ridge(1.0).setFeaturesCol(name).setPredictionCol(f"{name}_p").fit(rows)
+        fitted = models.ridge(1.0).setFeaturesCol(name).setPredictionCol(f"{name}_p").fit(rows.filter("label is not null"))
         rows = fitted.transform(rows)
     logistic = lambda c: 1 / (1 + F.exp(-F.col(c)))
     gate = logistic("tv_p") / (logistic("tv_p") + logistic("iv_p") + 1e-8)

@@ -217,3 +217,16 @@ def test_oracles_agree_on_a_sample(spark):
         cur = con.execute(catalog.ORACLES[name])
         at = [[c[0] for c in cur.description].index(c) for c in columns]
         assert mine == sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=key), name
+
+
+def test_fusion_is_whole(spark):
+    sf = "/root/testdata/sf0.01"
+    every = {r.sample_id for r in tables.products(spark, sf).select("sample_id").collect()}
+    vectors = {r.sample_id: r.image_vector for r in tables.image_vectors(spark, sf).collect()}
+    assert every - vectors.keys()
+    for name in ("fuse_concat", "fuse_gated"):
+        got = catalog.QUERIES[name](spark, sf).collect()
+        assert {r.sample_id for r in got} == every and len(got) == len(every)
+        for r in got:
+            part = 1 - r.gate if name == "fuse_gated" else 1.0
+            assert r.features[3:] == pytest.approx([part * v for v in vectors.get(r.sample_id, [0.0] * 64)])
