@@ -127,7 +127,7 @@ def drop_correlated(spark, d):
 
 @query("tfidf_svd")
 def tfidf_svd(spark, d):
-    return features.tfidf_svd(products(spark, d).select("sample_id", "catalog_content"), "catalog_content", 8, 200).select("sample_id", "text_vector")
+    return features.tfidf_svd(products(spark, d).select("sample_id", "catalog_content"), "catalog_content", 384, 1000).select("sample_id", "text_vector")
 
 
 @query("embedding_source", "SELECT p.sample_id, len(e.embedding) AS dims, e.embedding IS NOT NULL AS found FROM products p LEFT JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = p.sample_id")

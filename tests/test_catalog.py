@@ -230,3 +230,10 @@ def test_fusion_is_whole(spark):
         for r in got:
             part = 1 - r.gate if name == "fuse_gated" else 1.0
             assert r.features[3:] == pytest.approx([part * v for v in vectors.get(r.sample_id, [0.0] * 64)])
+
+
+def test_text_vectors_tell_rare_words_apart(spark):
+    texts = {r.sample_id: r.catalog_content for r in tables.products(spark, SF).collect()}
+    got = {r.sample_id: tuple(round(x, 6) for x in r.text_vector) for r in catalog.QUERIES["tfidf_svd"](spark, SF).collect()}
+    assert got.keys() == texts.keys() and {len(v) for v in got.values()} == {384}
+    assert len(set(got.values())) == len(set(texts.values()))
