@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.repeats import WINDOW, Unit, groups_of, pack_starts, plain, read_spans, repeated_windows, spans_of, window_rows, with_spans
-from shelfwise.llm.session import ship
-from shelfwise.llm.text import merge_spans
+from shelfwise.llm.session import drop_scratch, materialize, ship
+from shelfwise.llm.text import slices
 
 SHARD_BYTES = 4 << 20
 UNIT = Unit("words", 20, 5)
@@ -91,7 +91,7 @@ def automaton_shard(batches):
         for r in rows:
             if r[0] != key:
                 key, seen = r[0], SuffixAutomaton()
-            sequence = np.frombuffer(r[5], np.uint64).tolist()
+            sequence = np.frombuffer(r[6], np.uint64).tolist()
             known = np.array(seen.matches(sequence))
             found.append(np.flatnonzero(known[UNIT.window - 1 :] >= UNIT.window))
             seen.add(sequence)
@@ -103,17 +103,18 @@ def automaton_shard(batches):
 def by_window(bodies: DataFrame, unit: Unit) -> DataFrame:
     """Windows of very frequent fingerprints, each routed by its own hash: all but the earliest are repeats."""
     rows = bodies.mapInArrow(window_rows(unit), WINDOW)
-    earliest = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("places")).filter("places > 1")
-    later = rows.join(earliest, "whole").filter((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start")))
+    place = F.struct("ord", "row", "start")
+    earliest = rows.groupBy("key", "whole").agg(F.min(place).alias("at"), F.count("*").alias("places")).filter("places > 1").drop("places")
+    later = rows.join(earliest, ["key", "whole"]).filter(place != F.col("at"))
     return pack_starts(later.select("key", "ctx", "off"))
 
 
 def cut_words(batches):
-    for batch in batches:
+    for batch in slices(batches, 1):
         out = []
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             tokens = (text or "").encode().split()
-            start, end = merge_spans(*read_spans(spans))
+            start, end = read_spans(spans)
             kept, last = [], 0
             for a, b in zip(start.tolist(), end.tolist(), strict=True):
                 kept += tokens[last:a]
@@ -125,21 +126,24 @@ def cut_words(batches):
 
 
 def later_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id long, text string) -> doc_id, spans: covered words of each document that has any."""
-    places, found = repeated_windows(docs.filter("doc_id is not null"), UNIT, automaton_shard, by_window)
-    hits = found.filter("n > 1 or starts is not null").select("key", "ctx", "at", F.col("starts").alias("own"))
-    joined = places.join(hits, ["key", "ctx"])
-    earliest = (F.col("doc_id") == F.col("at.doc_id")) & (F.col("first") == F.col("at.first"))
-    none = F.lit(b"")
-    return spans_of(joined.withColumn("starts", F.when(earliest, F.coalesce("own", none))).filter(~earliest | F.col("own").isNotNull()), UNIT.window)
+    """docs (as ``plain`` gives them) -> ord, row, spans: covered words of each document that has any, written."""
+    places, found = repeated_windows(docs, UNIT, automaton_shard, by_window)
+    joined = places.drop("n", "tokens").join(found.select("key", "ctx", "at", "starts"), ["key", "ctx"])
+    earliest = F.struct("ord", "row", "first") == F.col("at")
+    judged = joined.select("ord", "row", "first", "span", (~earliest).alias("full"), "rest", F.when(earliest, F.col("starts")).alias("starts"))
+    spans = materialize(spans_of(judged.filter("full or rest is not null or starts is not null"), UNIT.window), "spans")
+    drop_scratch(places, found)
+    return spans
 
 
 def remove_later_windows(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, kept_sha256, one row per row of ``docs``.
 
     Words stand between ASCII spaces and are compared unchanged; windows do not cross documents and are judged on the
-    input. Null, empty and short texts keep all. Rows without an id are outside the comparison and keep all; rows that
-    repeat an id and a text count as one place. Extra columns are ignored; an empty table gives an empty result."""
+    input. Null, empty and short texts keep all. Earlier means a smaller id, or an earlier start in the same row; rows
+    without an id come after all others, rows that repeat an id with another text are in the order of a hash of the text,
+    and rows that repeat an id and a text are one place and are cut alike. Extra columns are ignored; an empty table gives
+    an empty result."""
     ship(docs.sparkSession)
     docs = plain(docs)
     return with_spans(docs, later_spans(docs), cut_words, "doc_id long, n_words long, n_removed long, kept_sha256 string")

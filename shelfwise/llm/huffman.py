@@ -1,34 +1,37 @@
 """Token ids in a Huffman-coded file format, written and read back.
 
-Format: a table of frames. A frame holds whole documents in ascending id order (their ids and lengths) and one payload:
-the canonical Huffman codes of their token ids, most significant bit first, with the bit offset of every ``BLOCK``-th
-token as checkpoints, so blocks can be decoded independently of each other. Code lengths come from counts over all
-documents and are at most ``LONGEST`` bits; they are the only header. Decoding looks the next ``LONGEST`` bits up in a
-table, one token of every block of a batch at a time."""
+A file is a folder with two tables. ``code`` is the header: the code length of every id that occurs, from counts over all
+documents and at most ``LONGEST`` bits; the canonical codes follow from it. ``frames``: a frame holds whole documents in
+ascending id order (their ids and lengths) and one payload: the codes of their token ids, most significant bit first, with
+the bit offset of every ``BLOCK``-th token as checkpoints, so blocks can be decoded independently of each other. Decoding
+looks the next ``LONGEST`` bits up in a table, one token of every block of a batch at a time."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.session import materialize, ship, shuffle_width
-from shelfwise.llm.text import small_batches
+from shelfwise.llm.session import drop_scratch, materialize, shared_dir, ship, shuffle_width
+from shelfwise.llm.text import slices
 
 LONGEST = 16
 BLOCK = 1024
 FRAME_TOKENS = 1 << 15
 END_ID = 2
 FRAMES_AT_ONCE = 64
-CACHE_UNITS = 300_000
-SPECIAL = "<|endoftext|>"
-_cache: dict[str, "UnitEncoder"] = {}
-_irregular = re.compile(r"\s\s|\x01|" + re.escape(SPECIAL))
+CACHE_BYTES = 32 << 20  # of each of two generations
+UNITS_AT_ONCE = 256
+SPACES = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_encoders: dict[str, "UnitEncoder"] = {}
 
 
 def tokenizer_path() -> str:
@@ -38,54 +41,95 @@ def tokenizer_path() -> str:
 
 
 class UnitEncoder:
-    """A tokenizer and the ids of units it met, kept by worker in two generations of CACHE_UNITS at most."""
+    """A tokenizer and the ids of units of text it met lately, kept by a worker in two generations of ``CACHE_BYTES``.
+
+    The byte-level pre-tokenizer always cuts before a space that a non-space follows and around a newline between
+    non-spaces, and tokens never cross its cuts; so texts without neighbouring white space are the ids of their units in
+    a row. All other texts, those that spell an added token, and all texts of other tokenizers are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec["pre_tokenizer"] or {}
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and spec["normalizer"] is None
+        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.irregular = "|".join([f"{SPACES}{SPACES}|\\x01", *added])
+        self.space = re.compile(r"\s")
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = {" ": np.zeros(max(vocabulary.values()) + 1, bool), "\n": np.zeros(max(vocabulary.values()) + 1, bool)}
+        for token, i in vocabulary.items():  # in the byte-level alphabet
+            self.starts[" "][i], self.starts["\n"][i] = token[:1] == "\u0120", token == "\u010a"
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def load(cls, path: str) -> "UnitEncoder":
-        if path not in _cache:
-            _cache[path] = cls(path)
-        return _cache[path]
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, missing: set[str]) -> None:
-        for u in missing & self.old.keys():
-            self.young[u] = self.old[u]
-        todo = list(missing - self.old.keys())
-        for lo in range(0, len(todo), 10_000):
-            some = todo[lo : lo + 10_000]
-            self.young.update(zip(some, self.plain([u[1:] if u[:1] == "\x01" else " " + u for u in some]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > CACHE_UNITS:
-            self.old, self.young = self.young, {}
-        cut = [units(t) for t in texts]
-        whole = [i for i, us in enumerate(cut) if us is None]
-        known = self.young
-        missing = set().union(*(us for us in cut if us is not None)) - known.keys()
+        """Units after a space are encoded in rows, one after the other, those on a line of their own in rows of lines;
+        ids are dealt out at the tokens that start with a space, or that are a newline."""
+        known = list(missing & self.old.keys())
+        self.keep(known, [self.old[u] for u in known])
+        missing.difference_update(known)
+        after_space = [u for u in missing if u[:1] != "\x01"]
+        own_line = [u for u in missing if u[:1] == "\x01"]
+        odd = [u for u in own_line if len(u) == 1 or self.space.search(u)]
+        self.keep(odd, self.whole([u[1:] for u in odd]))
+        own_line = [u for u in own_line if len(u) > 1 and not self.space.search(u)]
+        for units, lead, of, skip in ((after_space, " ", lambda u: u, 0), (own_line, "\n", lambda u: u[1:], 1)):
+            rows = [units[lo : lo + UNITS_AT_ONCE] for lo in range(0, len(units), UNITS_AT_ONCE)]
+            found = self.tokenizer.encode_batch_fast(["".join([lead + of(u) for u in row]) for row in rows], add_special_tokens=False)
+            for row, encoding in zip(rows, found, strict=True):
+                ids = np.array(encoding.ids, np.uint32)
+                start = np.flatnonzero(self.starts[lead][ids]) * 4
+                raw, end = ids.tobytes(), [*start[1:].tolist(), 4 * len(ids)]
+                self.keep(row, [raw[a:b] for a, b in zip((start + 4 * skip).tolist(), end, strict=True)])
+
+    def keep(self, units: list[str], ids: list[bytes]) -> None:
+        self.young.update(zip(units, ids, strict=True))
+        self.held += sum(map(len, units)) + sum(map(len, ids)) + 180 * len(units)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each with ``end`` behind it; number of ids of each text). Null is an empty text.
+
+        Different units of the texts are looked up once, and their ids are then copied to every place of the unit."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.irregular) if self.cuts else pa.array(np.ones(len(texts), bool))
+        alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if self.held > CACHE_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        marked = pc.replace_substring(pc.if_else(odd, "", texts), "\n", "\n \x01")
+        cut = pc.split_pattern(pc.binary_join_element_wise("\x01", marked, ""), " ")
+        words = cut.flatten().dictionary_encode()
+        units = words.dictionary.to_pylist()
+        missing = set(units).difference(self.young)
         if missing:
             self.learn(missing)
-        out: list = [None if us is None else map(known.__getitem__, us) for us in cut]
-        for i, ids in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
-            out[i] = (ids,)
-        return [b"".join(ids) for ids in out]
-
-
-def units(text: str) -> list[str] | None:
-    """Cut a text where the pre-tokenizer always cuts: before a space that a non-space follows, and after a newline that a
-    non-space follows. A unit that did not start with its space is marked by \\x01. None: white space stands side by side, or a special token is spelled out."""
-    if _irregular.search(text):
-        return None
-    return ("\x01" + text.replace("\n", "\n \x01")).split(" ")
+        found = [*map(self.young.__getitem__, units), *self.whole(texts.take(pa.array(alone)).to_pylist()), np.array([end], np.uint32).tobytes()]
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # a text is the units of its words, or one unit of its own, and the end id
+        n_words = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        last = np.cumsum(n_words) + np.arange(len(texts))
+        order = np.full(int(n_words.sum()) + len(texts), len(found) - 1)
+        inner = np.ones(len(order), bool)
+        inner[last] = False
+        order[inner] = words.indices.to_numpy()
+        order[last[alone] - 1] = len(units) + np.arange(len(alone))
+        length = size[order]
+        start = np.cumsum(length) - length
+        source = np.repeat((np.cumsum(size) - size)[order] - start, length) + np.arange(int(length.sum()))
+        return ids[source], np.add.reduceat(length, np.concatenate([[0], last[:-1] + 1]))
 
 
 def encode_ids(path: str):
@@ -97,19 +141,17 @@ def encode_ids(path: str):
 
         part, seq = TaskContext.get().partitionId(), 0
         encoder = UnitEncoder.load(path)
-        end = np.array([END_ID], np.uint32).tobytes()
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            raw = [ids + end for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            n = len(raw)
-            counts = np.bincount(np.frombuffer(b"".join(raw), np.uint32))
+        for batch in slices(batches, 1):
+            ids, n = encoder.encode(batch.column(1), END_ID)
+            counts = np.bincount(ids)
             if len(counts) > len(total):
                 total, counts = counts, total
             total[: len(counts)] += counts
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part)), pa.array(np.arange(seq, seq + n)), batch.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(raw, pa.binary())], names=["part", "seq", "doc_id", "n_tokens", "ids"]
-            )
-            seq += n
+            offsets = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)  # a slice holds a few MB, or one text
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(np.arange(seq, seq + len(n))), batch.column(0), pa.array(n), raw], names=["part", "seq", "doc_id", "n_tokens", "ids"])
+            seq += len(n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.stack([at, total[at]], axis=1).tobytes()], pa.binary())], names=["part", "seq", "doc_id", "n_tokens", "ids"])
 
@@ -230,14 +272,14 @@ def write_frames(lengths):
         codes = canonical_codes(sizes)
         for batch in batches:
             part, seq, doc = (batch.column(c).to_pylist() for c in ("part", "seq", "doc_id"))
-            n, raw = batch.column("n_tokens").to_pylist(), batch.column("ids").to_pylist()
+            n, raw = batch.column("n_tokens").to_pylist(), batch.column("ids")
             lo, out = 0, []
             while lo < len(raw):
                 hi, total = lo, 0
                 while hi < len(raw) and total < FRAME_TOKENS and part[hi] == part[lo]:
                     total += n[hi]
                     hi += 1
-                payload, marks = pack(np.frombuffer(b"".join(raw[lo:hi]), np.uint32), codes, sizes)
+                payload, marks = pack(np.frombuffer(b"".join(raw.slice(lo, hi - lo).to_pylist()), np.uint32), codes, sizes)
                 out.append((part[lo], seq[lo], doc[lo:hi], n[lo:hi], marks.tolist(), payload))
                 lo = hi
             cols = list(zip(*out, strict=True)) or [()] * 6
@@ -267,35 +309,61 @@ def read_frames(lengths):
     return run
 
 
-def write_ids(docs: DataFrame, path: str) -> DataFrame:
-    """Tokenize docs (doc_id, text, ...) and write them; returns (frames table, code lengths) as a frame reader needs them.
+def write_ids(docs: DataFrame, tokenizer: str, to: str) -> None:
+    """Tokenize docs (doc_id, text, ...) and write them to the folder ``to``.
 
     Null texts are empty and hold only the end id. Rows without an id come first; rows that repeat an id stay apart, in
-    any order. An empty table gives an empty file."""
+    any order. Extra columns are ignored. An empty table gives an empty file."""
     spark = docs.sparkSession
     ship(spark)
-    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = docs.repartitionByRange(4 * shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id")
-    ids = materialize(ordered.mapInArrow(encode_ids(path), "part long, seq long, doc_id long, n_tokens long, ids binary"), "ids")
+    ids = materialize(ordered.mapInArrow(encode_ids(tokenizer), "part long, seq long, doc_id long, n_tokens long, ids binary"), "ids")
     counts = ids.filter("part < 0").select("ids").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     of = np.zeros(max(counts.column("id").to_pylist(), default=0) + 1, np.int64)
     of[counts.column("id").to_numpy()] = counts.column("n").to_numpy()
-    lengths = spark.sparkContext.broadcast(code_lengths(of, LONGEST))  # one number per id of the vocabulary
-    return materialize(ids.filter("part >= 0").mapInArrow(write_frames(lengths), FRAME), "token-file"), lengths
+    sizes = code_lengths(of, LONGEST)  # one number per id of the vocabulary
+    lengths = spark.sparkContext.broadcast(sizes)
+    ids.filter("part >= 0").mapInArrow(write_frames(lengths), FRAME).write.parquet(f"{to}/frames")
+    header = [(int(i), int(sizes[i])) for i in np.flatnonzero(sizes)]
+    spark.createDataFrame(header, "id long, bits long").coalesce(1).write.parquet(f"{to}/code")
+    drop_scratch(ids)
 
 
-def checksums(batches):
-    for batch in batches:
-        raw = batch.column("ids").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("part", "seq", "doc_id")), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())], names=["part", "seq", "doc_id", "n_tokens", "ids_crc32"]
-        )
+def open_ids(spark: SparkSession, at: str):
+    """The frames of a file and the broadcast code lengths of its header."""
+    header = spark.read.parquet(f"{at}/code").toArrow()  # at most one row per id of the vocabulary
+    sizes = np.zeros(max(header.column("id").to_pylist(), default=0) + 1, np.int64)
+    sizes[header.column("id").to_numpy()] = header.column("bits").to_numpy()
+    return spark.read.parquet(f"{at}/frames"), spark.sparkContext.broadcast(sizes)
+
+
+def read_ids(spark: SparkSession, at: str) -> DataFrame:
+    """part, seq, doc_id, ids (little-endian uint32) of every document of a file; (part, seq) is the order of the file."""
+    ship(spark)
+    frames, lengths = open_ids(spark, at)
+    return frames.mapInArrow(read_frames(lengths), "part long, seq long, doc_id long, ids binary")
+
+
+def token_digests(spark: SparkSession, at: str) -> DataFrame:
+    """part, seq, doc_id, n_tokens and ids_crc32 of every document of a file; ids are digested in the task that decodes them."""
+    ship(spark)
+    frames, lengths = open_ids(spark, at)
+
+    def run(batches):
+        for batch in read_frames(lengths)(batches):
+            raw = batch.column("ids").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("part", "seq", "doc_id")), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64())], names=["part", "seq", "doc_id", "n_tokens", "ids_crc32"]
+            )
+
+    return frames.mapInArrow(run, "part long, seq long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    file, lengths = write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
-    found = file.mapInArrow(read_frames(lengths), "part long, seq long, doc_id long, ids binary").mapInArrow(checksums, "part long, seq long, doc_id long, n_tokens long, ids_crc32 long")
-    found = materialize(found, "token-checksums")
+    file = f"{shared_dir(spark)}/token-file-{uuid.uuid4().hex}"
+    write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), file)
+    found = materialize(token_digests(spark, file), "token-digests")
     parts = found.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range of ids
     parts = parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))

@@ -5,30 +5,40 @@ n - ceil(0.8 n) + 1 are posted, as two similar sets must share one of those. Can
 positional filter and a suffix filter, and each pair is verified once on the whole sets.
 
 The order comes from document counts over all documents in a table of ``SLOTS`` counters (fixed size, so it can be
-broadcast); any order gives the same links, a good one keeps frequent grams out of the prefixes.
-
-Grams that still stand in ``HOT`` prefixes or more are then moved behind all others (kept in a bitmap of fixed size) and
-prefixes are taken anew, so what is left in them is rare, or the document has nothing rarer.
+broadcast); any order gives the same links, a good one keeps frequent grams out of the prefixes. Grams that still stand in
+``HOT`` prefixes or more are then moved behind all others and prefixes are taken anew, so what is left in them is rare, or
+the document has nothing rarer.
 
 Documents with one set are one class and take part once. A large group of near copies would still share grams in
-hundreds of thousands of pairs, so a gram's documents are first matched with three pivots; what that links needs no more
-pairs, and only documents of one gram that are still in different groups are then paired in full. No link between
-groups is lost, as every pair that passes the filters is either inside a group already or verified."""
+hundreds of thousands of pairs, so it is joined step by step, and each step leaves out what the last has linked:
+
+1. every set with the pivots of its grams (``PIVOT_TURNS`` of them),
+2. the ``BRIDGES`` most alike pairs of every two groups that still share a gram,
+3. all other pairs of sets that share a gram and are still in different groups.
+
+No link between groups is lost, as every pair that passes the filters is either inside a group already or verified. A pair
+that shares many grams is made at the first of them in a row only: a posting knows the two posted before it, and where one
+of them is shared, the pair is made there.
+
+Shingles and sets are compared by 64-bit hashes: two different shingles of two documents are taken for equal with a
+probability of 2^-64 each, which moves a similarity by less than it takes to change any but a borderline link."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.session import Membership, materialize, membership, ship, shuffle_width, spread
-from shelfwise.llm.text import gram_starts, pieces, prefix_sums, small_batches, span_hash, words
+from shelfwise.llm.repeats import NO_ID, plain, with_key
+from shelfwise.llm.session import drop_scratch, materialize, member, membership, release_shuffles, ship, shuffle_width, spread
+from shelfwise.llm.text import gram_starts, pieces, prefix_sums, slices, span_hash, words
 
 SLOTS = 1 << 18
 BLOCK = 1 << 12
-PIVOT_TURNS = 3
+PIVOT_TURNS = 2
+BRIDGES = 3
 HOT = 8
 PARITY = 4  # longs
 
@@ -61,26 +71,27 @@ def prefix_length(n: int) -> int:
 
 
 def survey(k: int):
-    """One row per document (its id, set size and set id) and the counters of the task in blocks."""
+    """(ord, row, text) -> one row per document (its key, set size and set id) and the counters of the task in blocks."""
 
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            ids, sizes, sets = [], [], []
-            doc = batch.column(0).to_pylist()
-            for row, grams in shingle_sets(batch.column(1), k):
-                ids.append(doc[row])
+        for batch in slices(batches, 2):
+            at, sizes, sets, all_grams = [], [], [], []
+            for row, grams in shingle_sets(batch.column(2), k):
+                at.append(row)
                 sizes.append(len(grams))
                 sets.append(set_id(grams) if len(grams) else None)
-                np.add.at(counts, (grams & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+                all_grams.append(grams)
+            counts += np.bincount((np.concatenate(all_grams) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())],
-                names=["doc_id", "n_shingles", "sid", "block", "counts"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())],
+                names=["ord", "row", "n_shingles", "sid", "block", "counts"],
             )
         blocks = counts.reshape(-1, BLOCK)
         full = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(full, pa.int64()), pa.array([b.astype(np.int32).tobytes() for b in blocks[full]], pa.binary())], names=["doc_id", "n_shingles", "sid", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full, pa.int64()), pa.array([b.astype(np.int32).tobytes() for b in blocks[full]], pa.binary())], names=["ord", "row", "n_shingles", "sid", "block", "counts"])
 
     return run
 
@@ -110,61 +121,77 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(slot, minlength=64 * PARITY) & 1).view(np.int64)
 
 
-def postings(k: int, counts, hot=None, only=None):
-    """Prefix grams, in the order of (hot, count, hash). Without ``only``: (gram, sid). With it (a bitmap of grams worth
-    keeping): also n, pos, tail (for eight ranges of hashes how many grams stand after pos, 255: that or more) and the
-    parity of the whole set."""
+def in_order(grams: np.ndarray, p: int, table: np.ndarray, last) -> np.ndarray:
+    """The first p grams in the order of (frequent, order of magnitude of the count, hash)."""
+    rank = np.frexp(table[(grams & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.float32))[1].astype(np.uint64)
+    if last is not None:
+        rank |= last.has(grams).astype(np.uint64) << np.uint64(5)
+    key = rank << np.uint64(58) | grams >> np.uint64(6)
+    first = np.argpartition(key, p - 1)[:p] if p < len(key) else np.arange(p)
+    return grams[first[np.argsort(key[first], kind="stable")]]
+
+
+def postings(k: int, counts, hot=None):
+    """text -> (gram, sid) of the prefix of every set."""
+
+    def run(batches):
+        table, last = counts.value, member(hot)
+        for batch in slices(batches, 0):
+            found, sids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for _, grams in shingle_sets(batch.column(0), k):
+                if len(grams):
+                    p = prefix_length(len(grams))
+                    found.append(in_order(grams, p, table, last))
+                    sids.append(np.full(p, set_id(grams)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(sids))], names=["gram", "sid"])
+
+    return run
+
+
+NEAR = ["gram", "sid", "n", "pos", "tail", "before1", "before2", *(f"odd{j}" for j in range(PARITY))]
+
+
+def near_postings(k: int, counts, hot, only):
+    """text -> NEAR: the prefix grams that ``only`` (a bitmap of shared grams, if there is one) holds, with the size of
+    the set, the place in the order, ``tail`` (for eight ranges of hashes how many grams stand behind, 255: that or more),
+    the two grams posted before (0: none), and the parity of the set."""
 
     def run(batches):
-        table = counts.value
-        kept = Membership(only.value) if only is not None else None
-        last = Membership(hot.value) if hot is not None else None
-        width = 5 + PARITY
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(width)]
+        table, last, kept = counts.value, member(hot), member(only)
+        for batch in slices(batches, 0):
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in NEAR]
             for _, grams in shingle_sets(batch.column(0), k):
                 n = len(grams)
                 if not n:
                     continue
-                sid = set_id(grams)
-                p = prefix_length(n)
-                slot = (grams & np.uint64(SLOTS - 1)).astype(np.int64)
-                order = np.lexsort((grams, table[slot], last.has(grams))) if last is not None else np.lexsort((grams, table[slot]))
-                prefix = grams[order[:p]]
-                pos = np.arange(p)
-                if kept is not None:
-                    pos = pos[kept.has(prefix)]
-                    if not len(pos):
-                        continue
-                    part = (grams[order] >> np.uint64(61)).astype(np.int64)
-                    after = np.zeros((n + 1, 8), np.int64)
-                    np.cumsum(np.eye(8, dtype=np.int64)[part], axis=0, out=after[1:])
-                    left = np.minimum(after[n] - after[pos + 1], 255).astype(np.uint64)
-                    tail = np.zeros(len(pos), np.uint64)
-                    for j in range(8):
-                        tail |= left[:, j] << np.uint64(8 * j)
-                    out[2].append(np.full(len(pos), n))
-                    out[3].append(pos)
-                    out[4].append(tail.view(np.int64))
-                    for j, bits in enumerate(parity(grams)):
-                        out[5 + j].append(np.full(len(pos), bits))
-                out[0].append(prefix[pos].view(np.int64))
-                out[1].append(np.full(len(pos), sid))
-            names = ["gram", "sid"] + (["n", "pos", "tail", *(f"odd{j}" for j in range(PARITY))] if kept is not None else [])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x, _ in zip(out, names, strict=False)], names=names)
+                prefix = in_order(grams, prefix_length(n), table, last)
+                pos = np.flatnonzero(kept.has(prefix)) if kept else np.arange(len(prefix))
+                if not len(pos):
+                    continue
+                part = (prefix >> np.uint64(61)).astype(np.int64)
+                seen = np.zeros((len(prefix), 8), np.int64)
+                seen[np.arange(len(prefix)), part] = 1
+                left = np.bincount((grams >> np.uint64(61)).astype(np.int64), minlength=8) - np.cumsum(seen, axis=0)[pos]
+                tail = (np.minimum(left, 255).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
+                posted = prefix[pos].view(np.int64)
+                before = np.concatenate([np.zeros(2, np.int64), posted])
+                values = (posted, np.full(len(pos), set_id(grams)), np.full(len(pos), n), pos, tail.view(np.int64), before[1:-1], before[:-2], *(np.full(len(pos), bits) for bits in parity(grams)))
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=NEAR)
 
     return run
 
 
 def whole_sets(k: int, wanted):
     def run(batches):
-        kept = Membership(wanted.value)
-        for batch in batches:
+        kept = member(wanted)
+        for batch in slices(batches, 0):
             sids, grams_of = [], []
             for _, grams in shingle_sets(batch.column(0), k):
                 if len(grams):
                     sid = set_id(grams)
-                    if kept.has(np.array([sid], np.int64).view(np.uint64))[0]:
+                    if kept is None or kept.has(np.array([sid], np.int64).view(np.uint64))[0]:
                         sids.append(sid)
                         grams_of.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(grams_of, pa.binary())], names=["sid", "grams"])
@@ -183,7 +210,11 @@ def similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
 
-def could_reach():
+def parity_distance() -> Column:
+    return sum((F.bit_count(F.col(f"x.odd{j}").bitwiseXOR(F.col(f"y.odd{j}"))) for j in range(PARITY)), F.lit(0))
+
+
+def could_reach() -> Column:
     """Length, positional, suffix and parity filters on a pair of postings x and y of one gram."""
     need = F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9)
     length = (F.col("x.n") * 5 >= F.col("y.n") * 4) & (F.col("y.n") * 5 >= F.col("x.n") * 4)
@@ -193,8 +224,16 @@ def could_reach():
     for j in range(8):
         a, b = (F.shiftrightunsigned(F.col(f"{s}.tail"), 8 * j).bitwiseAND(F.lit(255)) for s in "xy")
         tail = tail + F.when((a == 255) | (b == 255), F.lit(1 << 40)).otherwise(F.least(a, b))
-    odd = sum((F.bit_count(F.col(f"x.odd{j}").bitwiseXOR(F.col(f"y.odd{j}"))) for j in range(PARITY)), F.lit(0))
-    return length & positional & (odd <= F.col("x.n") + F.col("y.n") - 2 * need) & (before + tail >= need)
+    return length & positional & (parity_distance() <= F.col("x.n") + F.col("y.n") - 2 * need) & (before + tail >= need)
+
+
+def made_before() -> Column:
+    """Whether x and y share one of the two grams that either posted before this one."""
+    same = F.lit(False)
+    for a in ("before1", "before2"):
+        for b in ("before1", "before2"):
+            same = same | ((F.col(f"x.{a}") == F.col(f"y.{b}")) & (F.col(f"x.{a}") != 0))
+    return same
 
 
 def pivot_pairs(here: DataFrame, turn: int) -> DataFrame:
@@ -202,75 +241,122 @@ def pivot_pairs(here: DataFrame, turn: int) -> DataFrame:
     mark = F.xxhash64("sid", F.lit(turn))
     pivot = here.groupBy("gram").agg(F.min(mark).alias("mark"))
     x, y = here.alias("x"), here.withColumn("mark", mark).join(pivot, ["gram", "mark"]).alias("y")
-    joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & could_reach())
+    joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") != F.col("y.sid")) & could_reach())
     shared_by = joined.groupBy(F.col("x.sid").alias("s"), F.col("y.sid").alias("p")).count()
     best = shared_by.groupBy("s").agg(F.max_by("p", F.struct("count", "p")).alias("p"))
     return best.select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct()
 
 
 def open_pairs(here: DataFrame) -> DataFrame:
-    """Every pair of sets that share a prefix gram, pass the filters and are in different groups."""
+    """Every pair (a, b) of sets that share a prefix gram, pass the filters and are in different groups; ``apart``: how far
+    their parities differ."""
     x, y = here.alias("x"), here.alias("y")
-    joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & could_reach())
-    return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & ~made_before() & could_reach())
+    return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb"), parity_distance().alias("apart")).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs that are links. Only sets of documents in a pair are built, and both sides of the join read one shuffle."""
-    wanted = membership(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "sid")
+    """The pairs that are links, written. Only sets of documents in a pair are built."""
+    paired = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "paired")
+    wanted = membership(paired, "sid")
     sets = texts.mapInArrow(whole_sets(k, wanted), "sid long, grams binary").dropDuplicates(["sid"])
     x, y = sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))
-    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb").mapInArrow(similar, "a long, b long"), "links")
+    links = materialize(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ga", "gb").mapInArrow(similar, "a long, b long"), "links")
+    drop_scratch(paired)
+    release_shuffles(texts.sparkSession)
+    return links
 
 
-def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, one row per row of ``docs``.
+def labelled(df: DataFrame, comp: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with the group of its set ``key``; a set without links is its own group."""
+    return df.join(comp.select(F.col("v").alias(key), F.col("comp").alias("_group")), key, "left").withColumn(name, F.coalesce("_group", key)).drop("_group")
 
-    Links are 100 * |A & B| >= 80 * |A | B| over sets of k-word shingles (A-Z lower-cased, words between ASCII spaces).
-    Null and empty texts have no shingles, link with nothing and keep their own id. Rows that repeat an id are judged by
-    their own texts; a row without an id takes part and gets its group's least id. Shingles are compared by 64-bit
-    hashes. Extra columns are ignored; an empty table gives an empty result."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    texts = docs.select("text")
-    surveyed = materialize(docs.mapInArrow(survey(k), "doc_id long, n_shingles long, sid long, block long, counts binary"), "survey")
-    counts = gram_counts(surveyed, spark)
+
+def set_groups(texts: DataFrame, counts, k: int) -> DataFrame:
+    """text -> (v, comp): every set that has a link and the least set of its group."""
+    spark = texts.sparkSession
     posted = texts.mapInArrow(postings(k, counts), "gram long, sid long")
     frequent = materialize(posted.groupBy("gram").count().filter(F.col("count") >= HOT).select("gram"), "frequent-grams")
-    hot = membership(frequent, "gram", 1 << 26)
+    hot = membership(frequent, "gram")
+    release_shuffles(spark)
     posted = texts.mapInArrow(postings(k, counts, hot), "gram long, sid long")
     shared = materialize(posted.groupBy("gram").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("gram"), "shared-grams")
-    only = membership(shared, "gram", 1 << 26)
-    columns = "gram long, sid long, n long, pos long, tail long, " + ", ".join(f"odd{j} long" for j in range(PARITY))
-    near = texts.mapInArrow(postings(k, counts, hot, only), columns).join(shared, "gram", "left_semi").dropDuplicates(["gram", "sid"])
-    near = materialize(near, "postings")
-
-    alone = near.withColumn("comp", F.col("sid"))
-    pairs = materialize(pivot_pairs(alone, 0), "pivot-pairs")  # one turn's shuffles at a time
+    only = membership(shared, "gram")
+    release_shuffles(spark)
+    near = texts.mapInArrow(near_postings(k, counts, hot, only), ", ".join(f"{c} long" for c in NEAR))
+    near = materialize(near.join(shared, "gram", "left_semi").dropDuplicates(["gram", "sid"]), "postings")
+    drop_scratch(frequent, shared)
+    release_shuffles(spark)
+
+    tested = materialize(pivot_pairs(near, 0), "pairs")
+    release_shuffles(spark)
     for turn in range(1, PIVOT_TURNS):
-        pairs = pairs.union(materialize(pivot_pairs(alone, turn), "pivot-pairs"))
-    tested = materialize(pairs.distinct(), "pairs")
+        more = materialize(pivot_pairs(near, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+        release_shuffles(spark)
+        tested = tested.union(more)
     links = verify(tested, texts, k)
     comp = components(links)
-    here = near.join(comp.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    here = labelled(near, comp, "sid", "comp")
     open_grams = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
     here = materialize(here.join(open_grams, "gram", "left_semi"), "open-postings")
-    rest = materialize(open_pairs(here).join(tested, ["a", "b"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        comp = components(links.union(verify(rest, texts, k)))
-    rows = surveyed.filter("block is null").select("doc_id", "n_shingles", "sid")
-    marked = rows.join(comp.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    marked = materialize(marked, "marked")
-    least = marked.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return marked.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    drop_scratch(near)
+    rest = materialize(open_pairs(here).join(tested, ["a", "b"], "left_anti"), "open-pairs")
+    drop_scratch(here)
+    release_shuffles(spark)
+    order = Window.partitionBy("ca", "cb").orderBy("apart", "a", "b")
+    bridges = materialize(rest.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= BRIDGES).select("a", "b"), "bridges")
+    if bridges.isEmpty():
+        return comp
+    links = links.union(verify(bridges, texts, k))
+    comp = components(links)
+    rest = labelled(labelled(rest.select("a", "b").join(bridges, ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb")
+    rest = materialize(rest.filter("ca <> cb").select("a", "b"), "rest")
+    if rest.isEmpty():
+        return comp
+    return components(links.union(verify(rest, texts, k)))
+
+
+def grouped(docs: DataFrame, k: int) -> DataFrame:
+    """docs (as ``plain`` gives them) -> ord, row, n_shingles, first (ord and row of the first document of the group; null
+    without words), written."""
+    texts = docs.select("text")
+    surveyed = materialize(docs.select("ord", "row", "text").mapInArrow(survey(k), "ord long, row long, n_shingles long, sid long, block long, counts binary"), "survey")
+    comp = set_groups(texts, gram_counts(surveyed, docs.sparkSession), k)
+    marked = materialize(labelled(surveyed.filter("block is null").select("ord", "row", "n_shingles", "sid"), comp, "sid", "comp"), "marked")
+    first = marked.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("ord", "row")).alias("first"))
+    out = materialize(marked.join(first, "comp", "left").select("ord", "row", "n_shingles", "first"), "groups")
+    drop_scratch(surveyed, marked)
+    return out
+
+
+def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, one row per row of ``docs``.
+
+    Links are 100 * |A & B| >= 80 * |A | B| over sets of k-word shingles (A-Z lower-cased, words between ASCII spaces).
+    Null and empty texts have no shingles, link with nothing and keep their own id. Every row is a document of its own:
+    rows that repeat an id are judged by their own texts; a row without an id takes part and gets its group's least id,
+    null if none has one. Extra columns are ignored; an empty table gives an empty result."""
+    ship(docs.sparkSession)
+    groups = grouped(plain(docs), k)
+    doc_id = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return groups.select(doc_id("ord").alias("doc_id"), "n_shingles", F.coalesce(doc_id("first.ord"), doc_id("ord")).alias("component_id"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the least id stays; all columns stay."""
-    groups = similar_groups(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each group of near duplicates the document with the least id stays; all columns stay.
+
+    Rows without an id come after all others; of rows that repeat an id and a text one stays; of near duplicates that
+    repeat an id the one with the lesser hash of its text. Null and empty texts stay, each of them. An empty table gives
+    an empty result; columns of any other name are left alone."""
+    ship(spark)
+    keyed, one, two = with_key(docs)
+    groups = grouped(plain(docs), 5)
+    gone = groups.filter("first is not null and struct(ord, row) <> first").select(F.col("ord").alias(one), F.col("row").alias(two)).distinct()
+    again = materialize(groups.filter("first is not null").groupBy("ord", "row").count().filter("count > 1").select(F.col("ord").alias(one), F.col("row").alias(two)), "repeated-rows")
+    kept = keyed.join(gone, [one, two], "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, [one, two], "left_anti").unionByName(kept.join(again, [one, two], "left_semi").dropDuplicates([one, two]))
+    return kept.select(docs.columns)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ independent). declared: the markup's lang attribute; suffix: last part of the ho
 prior, come from counts of what the text alone says over all pages; the prior is smoothed from host to domain to all,
 each level adding ``SMOOTH`` pseudo-counts of the level above. A page's own vote is taken out of its host's counts.
 
-The trigram model is fitted on at most ``TRAIN_ROWS`` labelled documents of each of the ``LANGUAGES`` commonest labels."""
+Every label that occurs is a class; the trigram model is fitted on at most ``TRAIN_ROWS`` labelled documents of each, least
+hash of the id first. All counts and priors are over all rows."""
 
 from __future__ import annotations
 
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfwise.llm.repeats import with_key
 from shelfwise.llm.session import materialize, ship
-from shelfwise.llm.text import lowered, pieces, small_batches
+from shelfwise.llm.text import lowered, pieces, slices
 
-TRAIN_ROWS, LANGUAGES = 400, 32
+TRAIN_ROWS = 400
 SLOTS = 1 << 16
 TEXT_WEIGHT, TEXT_BYTES = 0.5, 400
 SMOOTH = 10.0
@@ -43,13 +45,12 @@ def letters(data: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame):
     """(doc_id, text, lang, ...) -> (language names in order, table of log-likelihoods: slot x language)."""
-    known = labelled.filter("lang is not null and text is not null")
-    top = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    known = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
+    names = sorted(r.lang for r in known.select("lang").distinct().collect())  # one row per language
     order = Window.partitionBy("lang").orderBy("mark", "doc_id")
-    marked = known.filter(F.col("lang").isin(top) if top else F.lit(False)).select("doc_id", "lang", F.xxhash64("doc_id").alias("mark"))
-    picked = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TRAIN_ROWS).select("doc_id")
-    sample = known.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").select("text", "lang").toArrow()  # at most LANGUAGES * TRAIN_ROWS rows
-    names = sorted(top)
+    marked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("mark"))
+    picked = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TRAIN_ROWS).select("doc_id", "lang")
+    sample = known.join(F.broadcast(picked.distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang").toArrow()  # TRAIN_ROWS a language
     counts = np.full((SLOTS, max(len(names), 1)), 0.1)
     tags = np.array(sample.column("lang").to_pylist(), object)
     texts = sample.column("text").combine_chunks()
@@ -68,7 +69,7 @@ def score_texts(table, keys: int):
 
     def run(batches):
         model = table.value
-        for batch in batches:
+        for batch in slices(batches, keys):
             scores, has = np.zeros((batch.num_rows, model.shape[1])), np.zeros(batch.num_rows, bool)
             for piece in pieces(batch.column(keys)):
                 slots = trigrams(piece.data)
@@ -111,11 +112,13 @@ def fuse(pages: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
     ship(spark)
     model = spark.sparkContext.broadcast(table)
     cols = ["key", "declared", "suffix", "domain", "host"]
-    scored = small_batches(pages.select(*cols, "text")).mapInArrow(score_texts(model, len(cols)), f"key long, declared string, suffix string, domain string, host string, {SCORED}")
+    key = pages.schema["key"].dataType.simpleString()
+    scored = pages.select(*cols, "text").mapInArrow(score_texts(model, len(cols)), f"key {key}, declared string, suffix string, domain string, host string, {SCORED}")
     scored = scored.withColumn("share", text_share(n)).withColumn("vote", F.when(F.col("has_text"), (F.array_position("share", F.array_max("share")) - 1).cast("int")))
     scored = materialize(scored, "text-scores")
     votes = scored.filter("vote is not null")
-    total = np.array([tallies(votes, [], n).collect()[0][f"n{j}"] or 0.0 for j in range(n)]) + 1.0
+    counted = tallies(votes, [], n).collect()[0]
+    total = np.array([counted[f"n{j}"] or 0.0 for j in range(n)]) + 1.0
     world = total / total.sum()
 
     def likelihood(column: str) -> DataFrame:
@@ -179,9 +182,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without letters, or whose best language has a posterior under ``LEAST_CONFIDENCE``, go.
 
-    A document's source stands for its host; documents declare nothing and have no address."""
+    A document's source stands for its host; documents declare nothing and have no address. Null and empty texts have no
+    letters and go. Every row is judged by its own text, rows without an id and rows that repeat an id too; rows that
+    repeat an id and a text share their decision. An empty table, or one without labels, gives an empty result; columns of
+    any other name are left alone."""
     names, table = fit(docs)
     none = F.lit(None).cast("string")
-    found = fuse(docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"), none.alias("declared"), none.alias("suffix"), F.col("source").cast("string").alias("domain"), F.col("source").cast("string").alias("host")), names, table)
-    kept = found.filter(F.col("has_text") & (F.col("confidence") >= LEAST_CONFIDENCE)).select(F.col("key").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    keyed, one, two = with_key(docs)
+    source = F.col("source").cast("string")
+    evidence = keyed.select(F.struct(F.col(one).alias("ord"), F.col(two).alias("row")).alias("key"), F.col("text").cast("string").alias("text"), none.alias("declared"), none.alias("suffix"), source.alias("domain"), source.alias("host"))
+    found = fuse(evidence, names, table)
+    kept = found.filter(F.col("has_text") & (F.col("confidence") >= LEAST_CONFIDENCE)).select(F.col("key.ord").alias(one), F.col("key.row").alias(two))
+    return keyed.join(kept, [one, two], "left_semi").select(docs.columns)

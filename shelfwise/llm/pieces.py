@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.session import ship
-from shelfwise.llm.text import small_batches
+from shelfwise.llm.text import slices
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_UNITS = 250_000
-CACHE_PAIRS = 2_000_000
+CACHE_BYTES = 24 << 20
+CACHE_PAIRS = 200_000
 _models: dict[str, "PieceModel"] = {}
 _irregular = re.compile(f"^ |  |{SPACE}|\x01")
 
@@ -110,6 +110,7 @@ class PieceModel:
         self.unknown = min((s for _, _, s in usable), default=0.0) - UNKNOWN_PENALTY
         self.whole = any(SPACE in p.lstrip(SPACE) or "\n" in p for _, p, _ in usable)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         text = {"piece": lambda p: p.replace(SPACE, " ").encode(), "byte": lambda p: bytes([int(p[3:5], 16)]), "other": lambda p: b""}
         self.text = [text[kind](p) for p, _, kind in pieces]
 
@@ -208,9 +209,11 @@ class PieceModel:
             ids = known.get(unit)
             if ids is None:
                 ids = np.array(self.segment(unit[1:] if unit[:1] == "\x01" else SPACE + unit), np.uint32).tobytes()
-                if len(known) >= CACHE_UNITS:
+                if self.held > CACHE_BYTES:
                     known.clear()
+                    self.held = 0
                 known[unit] = ids
+                self.held += len(unit) + len(ids) + 180
             out.append(ids)
         return b"".join(out)
 
@@ -223,17 +226,21 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, text, ids (little-endian uint32), one row per row.
 
     Null and empty texts have no ids. Decoding gives the text back unless it holds U+2581, which reads as a space.
-    Extra columns are ignored."""
+    Extra columns are ignored; repeated rows and rows without an id are encoded like all others; an empty table gives an
+    empty result."""
 
     def run(batches):
         model = PieceModel.load(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids = [model.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
 
     ship(docs.sparkSession)
-    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return docs.mapInArrow(run, "doc_id long, text string, ids binary")
+    return by_id(docs).mapInArrow(run, "doc_id long, text string, ids binary")
+
+
+def by_id(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -241,34 +248,39 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         model = PieceModel.load(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [model.decode(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, text string, ids binary, decoded string")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: doc_id, n_pieces, ids_crc32, the digest of what the ids decode to, and whether that is the text.
+
+    Each document is encoded, decoded and digested in one task by one worker, which holds the model once. Null texts are
+    empty; rows without an id and repeated rows stay; an empty table gives an empty result."""
+    ship(spark)
+    path = model_path()
+
     def run(batches):
-        for batch in batches:
-            raw, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        model = PieceModel.load(path)
+        for batch in slices(batches, 1):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            raw = [model.encode(t) for t in texts]
+            back = [model.decode(r) for r in raw]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(r) // 4 for r in raw], pa.int64()),
                     pa.array([zlib.crc32(r) for r in raw], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                    pa.array([(a or "") == b for a, b in zip(batch.column(1).to_pylist(), texts, strict=True)], pa.bool_()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
+                    pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
                 ],
                 names=["doc_id", "n_pieces", "ids_crc32", "text_sha256", "round_trip"],
             )
 
-    return decoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string, round_trip boolean")
-
-
-def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: ids of every document, with the digest of what they decode to."""
-    return digest(decode(encode(docs, model_path()), model_path()))
+    return by_id(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string, round_trip boolean")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

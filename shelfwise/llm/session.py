@@ -18,9 +18,12 @@ ROOT = Path(__file__).resolve().parents[2]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine) a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a session on one machine (tests) gets a temporary
+    folder; on a cluster this raises, as executors would not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark.sparkContext, "_shelfwise_dir", None)
         if folder is None:
             folder = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
@@ -33,25 +36,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    release_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished steps now, not when the driver next happens to collect garbage."""
+    """Let Spark's cleaner delete the shuffle files of finished steps of a job of many steps: it acts when the driver's
+    JVM finds them unused, and a driver with little to do collects its garbage too rarely for that."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df._scratch_path
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors when their PYTHONPATH does not hold it."""
     places = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
@@ -72,10 +76,8 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 class Membership:
-    """A fixed-size bitmap over 64-bit keys (one hash function), used only to shrink what is shuffled.
-
-    ``bits`` bounds its size whatever the data; false positives cost traffic, never correctness, as an
-    exact join follows every use."""
+    """A bitmap over 64-bit keys (one hash function), used only to shrink what is shuffled: false positives cost traffic,
+    never correctness, as an exact join follows every use."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -96,8 +98,17 @@ def spread(keys: np.ndarray) -> np.ndarray:
     return z
 
 
-def membership(df: DataFrame, column: str, bits: int = 1 << 25):
-    """Broadcast bitmap of the values of a long column. At most ``bits`` bits (4 MiB by default) reach the driver."""
+#: A bitmap has eight bits a key, and MOST_BITS (32 MiB) at most.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 28
+
+
+def membership(df: DataFrame, column: str):
+    """Broadcast bitmap of the values of a long column of a written table, sized by its rows, or None where that takes
+    more than ``MOST_BITS``: the caller then leaves the exact join to do all of the work."""
+    rows = df.count()
+    bits = max(LEAST_BITS, 1 << (max(rows, 1) * BITS_A_KEY - 1).bit_length())
+    if bits > MOST_BITS:
+        return None
 
     def slots(batches):
         import pyarrow as pa
@@ -119,3 +130,15 @@ def membership(df: DataFrame, column: str, bits: int = 1 << 25):
     if rows.num_rows:
         words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
     return df.sparkSession.sparkContext.broadcast(words)
+
+
+def member(broadcast) -> Membership | None:
+    return None if broadcast is None else Membership(broadcast.value)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -1,10 +1,13 @@
 """Suffix-array dedup: bytes covered by a 200-byte string that starts twice anywhere in the corpus.
 
 The arrays are built per shard by induced sorting on numpy: suffixes are classified as S or L, leftmost-smaller (LMS)
-substrings are sorted by an induction of their own and named, the string of names is sorted recursively, and one
-linear induction over the buckets gives the array. Within a bucket everything that one sweep step would place is placed
-at once, in the order of that step. Common prefixes are computed in text order (permuted): only irreducible positions
-are compared, the others follow from their left neighbour."""
+substrings are sorted by an induction of their own and named, the string of names is sorted by a recursion that doubles
+the length it compares (its alphabet is too large for bucket sweeps in numpy), and one linear induction over the buckets
+gives the array. Within a bucket everything that one sweep step would place is placed at once, in the order of that step.
+Common prefixes are computed in text order (permuted): only irreducible positions are compared, the others follow from
+their left neighbour.
+
+Contexts that are equal as a whole are counted and never sorted; see ``repeats`` for what reaches a shard."""
 
 from __future__ import annotations
 
@@ -16,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.repeats import WINDOW, Unit, groups_of, pack_starts, plain, read_spans, repeated_windows, spans_of, window_rows, with_spans
-from shelfwise.llm.session import ship
-from shelfwise.llm.text import merge_spans
+from shelfwise.llm.session import drop_scratch, materialize, ship
+from shelfwise.llm.text import slices
 
 SHARD_BYTES = 2 << 20
 UNIT = Unit("bytes", 200, 100)
@@ -202,7 +205,7 @@ def repeated_starts(bodies: list[bytes], window: int) -> list[np.ndarray]:
 
 def array_shard(batches):
     for rows in groups_of(batches, SHARD_BYTES):
-        found = repeated_starts([r[5] for r in rows], UNIT.window)
+        found = repeated_starts([r[6] for r in rows], UNIT.window)
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([x.astype(np.int32).tobytes() if len(x) else None for x in found], pa.binary())], names=["key", "ctx", "starts"]
         )
@@ -211,16 +214,16 @@ def array_shard(batches):
 def by_window(bodies: DataFrame, unit: Unit) -> DataFrame:
     """Windows of very frequent fingerprints, each routed by its own hash: those of two places are repeated."""
     rows = bodies.mapInArrow(window_rows(unit), WINDOW)
-    twice = rows.groupBy("whole").agg(F.count("*").alias("places")).filter("places > 1").select("whole")
-    return pack_starts(rows.join(twice, "whole", "left_semi").select("key", "ctx", "off"))
+    twice = rows.groupBy("key", "whole").agg(F.count("*").alias("places")).filter("places > 1").select("key", "whole")
+    return pack_starts(rows.join(twice, ["key", "whole"], "left_semi").select("key", "ctx", "off"))
 
 
 def cut_bytes(batches):
-    for batch in batches:
+    for batch in slices(batches, 1):
         out = []
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data = (text or "").encode()
-            start, end = merge_spans(*read_spans(spans))
+            start, end = read_spans(spans)
             kept, last = [], 0
             for a, b in zip(start.tolist(), end.tolist(), strict=True):
                 kept.append(data[last:a])
@@ -232,20 +235,22 @@ def cut_bytes(batches):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id long, text string) -> doc_id, spans: covered bytes of each document that has any."""
+    """docs (as ``plain`` gives them) -> ord, row, spans: covered bytes of each document that has any, written."""
     places, found = repeated_windows(docs, UNIT, array_shard, by_window)
     # a context that occurs twice is repeated as a whole; one that occurs once has what the shard reports
-    hits = found.filter("n > 1 or starts is not null").select("key", "ctx", F.when(F.col("n") > 1, None).otherwise(F.col("starts")).alias("starts"))
-    return spans_of(places.join(hits, ["key", "ctx"]), UNIT.window)
+    hits = found.select("key", "ctx", (F.col("n") > 1).alias("full"), F.when(F.col("n") == 1, F.col("starts")).alias("starts"))
+    spans = materialize(spans_of(places.drop("n", "tokens").join(hits, ["key", "ctx"]), UNIT.window), "spans")
+    drop_scratch(places, found)
+    return spans
 
 
 def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per row of ``docs``.
 
     A byte goes when a 200-byte string over it also starts anywhere else, in the same document included; strings do not
-    cross documents. Null and empty texts, and texts under 200 bytes, keep all. Rows without an id are compared like any
-    other but keep all their bytes, as findings are joined by id; rows that repeat an id share their findings when their
-    texts are equal, which they then are by definition. Extra columns are ignored; an empty table gives an empty result."""
+    cross documents. Null and empty texts, and texts under 200 bytes, keep all. Every row is a document of its own: rows
+    that repeat an id, with equal or with other texts, and rows without an id are compared and cut like all others. Extra
+    columns are ignored; an empty table gives an empty result."""
     ship(docs.sparkSession)
     docs = plain(docs)
     return with_spans(docs, repeated_spans(docs), cut_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

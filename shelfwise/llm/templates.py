@@ -3,11 +3,11 @@
 Lines are parsed to a fixed depth: number of tokens, then the first ``DEPTH`` tokens. Tokens with a digit are variable
 fields from the start. In a leaf, a token stays in the template where at least ``LEAST_DOCS`` line-documents (pairs of a
 document and one of its different lines) share it at its position; the others are generalised. A line follows its
-template if at least ``LEAST_CONSTANT`` of its tokens stay. Templates with ``LEAST_DOCS`` line-documents or more recur;
-their lines are dropped, except the first line of the least document id, so that one copy of everything stays.
+template if at least ``LEAST_CONSTANT`` of its tokens stay. Templates that stand in ``LEAST_DOCS`` documents or more recur;
+their lines are dropped, except the first line of the first document, so that one copy of everything stays.
 
-Counts are summed before each shuffle, and lines of one text are one row, so a line that a third of all documents hold
-is one row per task."""
+Counts are summed before each shuffle, lines of one text are one row, and places are joined by line only, so a line or a
+template that a third of all documents hold is a row per task, or is split by Spark's skew join."""
 
 from __future__ import annotations
 
@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.repeats import plain
-from shelfwise.llm.session import Membership, materialize, membership, ship
+from shelfwise.llm.repeats import plain, with_key
+from shelfwise.llm.session import free_name, materialize, member, membership, ship
+from shelfwise.llm.text import slices
 
 LEAST_TOKENS, DEPTH, LEAST_DOCS, LEAST_CONSTANT = 4, 2, 10, 0.6
 _variable = re.compile("[^ ]*[0-9][^ ]*")
@@ -43,100 +44,108 @@ def parse(text: str):
 
 
 def line_counts(batches):
-    """A row per line text of a batch: its leaf, the documents that hold it and the least id among them."""
-    for batch in batches:
+    """text -> a row per line text of a batch: its leaf and the documents that hold it."""
+    for batch in slices(batches, 0):
         found: dict[int, list] = {}
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text in batch.column(0).to_pylist():
             for line, leaf in {h: leaf for _, h, leaf, _ in parse(text or "")}.items():
                 mine = found.get(line)
                 if mine is None:
-                    found[line] = [leaf, 1, doc_id]
+                    found[line] = [leaf, 1]
                 else:
                     mine[1] += 1
-                    mine[2] = min(mine[2], doc_id)
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), *(pa.array([v[j] for v in found.values()], pa.int64()) for j in range(3))], names=["line", "leaf", "n_docs", "least"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), *(pa.array([v[j] for v in found.values()], pa.int64()) for j in range(2))], names=["line", "leaf", "n_docs"])
+
+
+PLACE = "line long, leaf long, ord long, row long, number long, masked string"
 
 
 def lines_in(leaves):
-    """Places of the lines whose leaf may recur; a batch gives the text of a line once."""
+    """(ord, row, text) -> PLACE: the lines whose leaf may recur; a batch gives the text of a line once."""
 
     def run(batches):
-        kept = Membership(leaves.value)
-        for batch in batches:
+        kept = member(leaves)
+        for batch in slices(batches, 2):
             out, seen = [], set()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for order, row, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 for number, line, leaf, masked in parse(text or ""):
-                    out.append((line, leaf, doc_id, number, None if line in seen else masked))
+                    out.append((line, leaf, order, row, number, None if line in seen else masked))
                     seen.add(line)
-            if out:
+            if out and kept:
                 hit = kept.has(np.array([o[1] for o in out], np.int64).view(np.uint64))
                 out = [o for o, h in zip(out, hit.tolist(), strict=True) if h]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["line", "leaf", "doc_id", "number", "masked"])
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.string())], names=["line", "leaf", "ord", "row", "number", "masked"])
 
     return run
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id long, text string), ids not null -> doc_id, numbers (of its lines that go)."""
-    lines = materialize(docs.mapInArrow(line_counts, "line long, leaf long, n_docs long, least long").groupBy("line", "leaf").agg(F.sum("n_docs").alias("n_docs"), F.min("least").alias("least")), "lines")
+    """docs (as ``repeats.plain`` gives them) -> ord, row, numbers (of its lines that go), written."""
+    lines = materialize(docs.select("text").mapInArrow(line_counts, "line long, leaf long, n_docs long").groupBy("line", "leaf").agg(F.sum("n_docs").alias("n_docs")), "lines")
     leaves = materialize(lines.groupBy("leaf").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= LEAST_DOCS).select("leaf"), "leaves")
-    places = materialize(docs.mapInArrow(lines_in(membership(leaves, "leaf")), "line long, leaf long, doc_id long, number long, masked string"), "places")
+    places = docs.select("ord", "row", "text").mapInArrow(lines_in(membership(leaves, "leaf")), PLACE)
+    places = materialize(places, "places")
     texts = places.filter("masked is not null").groupBy("line").agg(F.min("masked").alias("masked"))
-    lines = lines.join(leaves, "leaf", "left_semi").join(texts, "line")
-    lines = materialize(lines, "leaf-lines")
-    tokens = lines.select("line", "leaf", "n_docs", F.posexplode(F.split("masked", " ", -1)).alias("pos", "token"))
+    leaf_lines = materialize(lines.join(leaves, "leaf", "left_semi").join(texts, "line"), "leaf-lines")
+    tokens = leaf_lines.select("line", "leaf", "n_docs", F.posexplode(F.split("masked", " ", -1)).alias("pos", "token"))
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("n")).filter((F.col("n") >= LEAST_DOCS) & (F.col("token") != "<*>")).select("leaf", "pos", "token", F.lit(True).alias("stays"))
     marked = tokens.join(constant, ["leaf", "pos", "token"], "left").withColumn("token", F.when(F.col("stays"), F.col("token")).otherwise("<*>"))
-    shaped = marked.groupBy("line").agg(F.count("stays").alias("n_constant"), F.count("*").alias("n_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("template"))
-    followed = lines.select("line", "leaf", "n_docs", "least").join(shaped, "line").filter(F.col("n_constant") >= F.col("n_tokens") * LEAST_CONSTANT).withColumn("template", F.xxhash64("leaf", "template"))
-    recurring = followed.groupBy("template").agg(F.sum("n_docs").alias("n"), F.min("least").alias("least")).filter(F.col("n") >= LEAST_DOCS).select("template", "least")
-    of_line = materialize(followed.select("line", "template").join(recurring, "template"), "recurring")
-    hits = places.select("line", "doc_id", "number").join(of_line, "line")
-    first = hits.filter("doc_id = least").groupBy("template").agg(F.min("number").alias("first"))
-    gone = hits.join(first, "template").filter((F.col("doc_id") != F.col("least")) | (F.col("number") != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
+    shaped = marked.groupBy("line", "leaf").agg(F.count("stays").alias("n_constant"), F.count("*").alias("n_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("template"))
+    followed = materialize(shaped.filter(F.col("n_constant") >= F.col("n_tokens") * LEAST_CONSTANT).select("line", F.xxhash64("leaf", "template").alias("template")), "followed")
+    places = places.select("line", "ord", "row", "number")
+    in_docs = places.join(followed, "line").groupBy("template", "ord", "row").agg(F.min("number").alias("number"))
+    recurring = in_docs.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("ord", "row", "number")).alias("at")).filter(F.col("n") >= LEAST_DOCS).select("template", "at")
+    of_line = materialize(followed.join(recurring, "template").select("line", "at"), "recurring")
+    gone = places.join(of_line, "line").filter(F.struct("ord", "row", "number") != F.col("at"))
+    return materialize(gone.groupBy("ord", "row").agg(F.collect_set("number").alias("numbers")), "dropped-lines")
 
 
-def without_lines(docs: DataFrame) -> DataFrame:
-    """docs -> the same columns, ``text`` without the dropped lines, and n_lines, n_dropped.
+def without_lines(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs -> (the same columns, ``text`` without the dropped lines, and two more columns; the names of those two: lines
+    before and lines dropped). They are lines_before and lines_dropped, with underscores in front if ``docs`` has those.
 
     Lines end at newlines; lines of fewer than ``LEAST_TOKENS`` space-separated tokens, and blank ones, always stay. A
-    null text has no lines and stays null. A document may end up empty. Rows without an id are not compared and stay as
-    they are; rows that repeat an id count as documents of their own and lose the same line numbers."""
+    null text has no lines and stays null. A document may end up empty. Every row is a document of its own: rows that
+    repeat an id with another text have lines of their own, rows without an id come after all others, and rows that repeat
+    an id and a text count as documents of their own and lose the same lines. An empty table gives an empty result."""
     ship(docs.sparkSession)
-    gone = dropped_lines(plain(docs).filter("doc_id is not null")).withColumnRenamed("doc_id", "gone_id")
-    joined = docs.join(gone, docs.doc_id == gone.gone_id, "left")
+    gone = dropped_lines(plain(docs))
+    keyed, one, two = with_key(docs)
+    numbers, before, dropped = (free_name(keyed, c) for c in ("_numbers", "lines_before", "lines_dropped"))
+    joined = keyed.join(gone.select(F.col("ord").alias(one), F.col("row").alias(two), F.col("numbers").alias(numbers)), [one, two], "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("numbers", i.cast("long")))
-    cut = F.when(F.col("numbers").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    others = [F.col(c) for c in docs.columns if c != "text"]
-    out = joined.select(*others, cut.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines_before"), F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("lines_dropped"))
-    return out.withColumn("lines_before", F.when(F.col("text").isNull(), 0).otherwise(F.col("lines_before")).cast("long")).withColumn("lines_dropped", F.greatest("lines_dropped", F.lit(0)).cast("long"))
+    # the set difference of numbers is linear, a look-up for each line would not be
+    kept = F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col(numbers)), lambda i: F.get(lines, i.cast("int")))
+    cut = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    known = F.col("text").isNotNull()
+    counts = F.when(known, F.size(lines)).otherwise(0).cast("long").alias(before), F.when(known & F.col(numbers).isNotNull(), F.size(numbers)).otherwise(0).cast("long").alias(dropped)
+    return joined.select(*(cut.alias(c) if c == "text" else F.col(c) for c in docs.columns), *counts), before, dropped
 
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, without its recurring template lines; n_chars follows the text."""
-    out = without_lines(docs)
+    """Pipeline stage: every document stays, without its recurring template lines; n_chars follows the text. Nulls,
+    repeated rows and empty tables are as ``without_lines`` has them; columns of any other name are left alone."""
+    out, _, dropped = without_lines(docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = without_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out, before, dropped = without_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", F.col(before).alias("n_lines"), F.col(dropped).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP9_SQL = f"""
 WITH l AS (SELECT doc_id, i - 1 AS number, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS t(i)),
 m AS (SELECT doc_id, number, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l WHERE len(string_split(line, ' ')) >= {LEAST_TOKENS} AND trim(line, ' ' || chr(9) || chr(13)) <> ''),
-k AS (SELECT masked, concat_ws(' ', len(string_split(masked, ' ')), {', '.join(f"string_split(masked, ' ')[{i + 1}]" for i in range(DEPTH))}) AS leaf, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS least FROM m GROUP BY masked),
+k AS (SELECT masked, concat_ws(' ', len(string_split(masked, ' ')), {', '.join(f"string_split(masked, ' ')[{i + 1}]" for i in range(DEPTH))}) AS leaf, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY masked),
 t AS (SELECT masked, leaf, n_docs, p, string_split(masked, ' ')[p] AS token FROM k, unnest(range(1, len(string_split(masked, ' ')) + 1)) AS u(p)),
 c AS (SELECT leaf, p, token FROM t GROUP BY leaf, p, token HAVING sum(n_docs) >= {LEAST_DOCS} AND token <> '<*>'),
 s AS (SELECT t.masked, count(c.token) AS n_constant, count(*) AS n_tokens, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.p) AS template FROM t LEFT JOIN c ON t.leaf = c.leaf AND t.p = c.p AND t.token = c.token GROUP BY t.masked),
-f AS (SELECT k.masked, leaf, template, n_docs, least FROM k JOIN s USING (masked) WHERE n_constant >= n_tokens * CAST({LEAST_CONSTANT} AS DOUBLE)),
-r AS (SELECT leaf, template, min(least) AS least FROM f GROUP BY leaf, template HAVING sum(n_docs) >= {LEAST_DOCS}),
+f AS (SELECT k.masked, leaf, template FROM k JOIN s USING (masked) WHERE n_constant >= n_tokens * CAST({LEAST_CONSTANT} AS DOUBLE)),
+r AS (SELECT leaf, template, min(doc_id) AS least FROM m JOIN f USING (masked) GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
 h AS (SELECT m.doc_id, m.number, f.leaf, f.template, r.least FROM m JOIN f USING (masked) JOIN r ON f.leaf = r.leaf AND f.template = r.template),
 first AS (SELECT leaf, template, min(number) AS number FROM h WHERE doc_id = least GROUP BY leaf, template),
 gone AS (SELECT DISTINCT h.doc_id, h.number FROM h JOIN first x ON h.leaf = x.leaf AND h.template = x.template WHERE h.doc_id <> h.least OR h.number <> x.number),

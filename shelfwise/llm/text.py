@@ -14,6 +14,7 @@ import pyarrow as pa
 from shelfwise.llm.session import spread
 
 PIECE = 1 << 20
+STRETCH = 1 << 27
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _BYTE_VALUE = np.random.default_rng(20240611).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,25 +159,30 @@ class Anchors:
 
 def winnow(sums: np.ndarray, bounds: np.ndarray, k: int, window: int) -> Anchors:
     """Keep the least k-gram hash of every window of ``window`` tokens; equal windows always make the same choice
-    (ties go to the leftmost), so every shared window shares a fingerprint."""
+    (ties go to the leftmost), so every shared window shares a fingerprint. Long pieces are done in overlapping stretches,
+    as the place of a gram within its stretch shares a 64-bit number with its hash."""
     n = len(sums) - 1
     empty = np.empty(0, np.int64)
     if n < window:
         return Anchors(empty.astype(np.uint64), empty, empty)
-    at = np.arange(n - k + 1)
-    gram = span_hash(sums, at, at + k)
-    low = np.uint64((1 << 28) - 1)
-    best = sliding_min((gram & ~low) | at.astype(np.uint64), window - k + 1) & low
-    chosen = best.astype(np.int64)
-    valid = gram_starts(bounds, window)[: len(chosen)]
-    starts = np.flatnonzero(valid)
-    if not len(starts):
+    valid = gram_starts(bounds, window)[: n - window + 1]
+    found = []
+    for base in range(0, n - window + 1, STRETCH):
+        at = np.arange(min(n - k + 1 - base, STRETCH + window - k))
+        gram = span_hash(sums, at + base, at + base + k)
+        low = np.uint64((1 << 28) - 1)
+        chosen = (sliding_min((gram & ~low) | at.astype(np.uint64), window - k + 1) & low).astype(np.int64)
+        starts = np.flatnonzero(valid[base : base + len(chosen)])
+        if not len(starts):
+            continue
+        picks = chosen[starts]
+        cut = np.flatnonzero((np.diff(picks) != 0) | (np.diff(starts) != 1)) + 1
+        head = np.concatenate([[0], cut])
+        tail = np.concatenate([cut, [len(starts)]]) - 1
+        found.append((gram[picks[head]], starts[head] + base, starts[tail] + base))
+    if not found:
         return Anchors(empty.astype(np.uint64), empty, empty)
-    picks = chosen[starts]
-    cut = np.flatnonzero((np.diff(picks) != 0) | (np.diff(starts) != 1)) + 1
-    head = np.concatenate([[0], cut])
-    tail = np.concatenate([cut, [len(starts)]]) - 1
-    return Anchors(gram[picks[head]], starts[head], starts[tail])
+    return Anchors(*(np.concatenate([f[j] for f in found]) for j in range(3)))
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +196,15 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[at], end[np.concatenate([at[1:], [len(end)]]) - 1]
 
 
-def small_batches(df):
-    """``df`` with Arrow batches of few rows, as texts can be long."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df
+def slices(batches, column: int, limit: int = 4 << 20):
+    """Arrow batches cut into parts of about ``limit`` bytes of text (a text is never cut), which share their memory."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.column(column)
+        off = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(off, int(off[at]) + limit, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.llm.repeats import NO_ID, plain, with_key
 from shelfwise.llm.session import materialize, ship
-from shelfwise.llm.text import gram_starts, merge_spans, pieces, prefix_sums, small_batches, span_hash, winnow, words
+from shelfwise.llm.text import gram_starts, merge_spans, pieces, prefix_sums, slices, span_hash, winnow, words
 
 WINDOW = 10
 GRAM = 5
@@ -79,13 +80,13 @@ class Index:
 
 
 def findings(index):
-    """(doc_id, text) -> doc_id, text_hash (of nothing: filled by Spark), n_words, spans of hit words, items."""
+    """(ord, row, text) -> FOUND: number of words, spans of hit words (int64 pairs), items."""
 
     def run(batches):
         known = index.value
-        for batch in batches:
+        for batch in slices(batches, 2):
             out = []
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(2)):
                 w = words(piece, "alnum", lower=True)
                 sums = prefix_sums(w.hash)
                 spans: dict[int, list] = {}
@@ -113,69 +114,85 @@ def findings(index):
                     raw = np.concatenate(spans[i]).astype(np.int64).tobytes() if i in spans else b""
                     out.append((row, int(n_words[i]), raw, sorted(str(known.names[x]) for x in items.get(i, ()))))
             take = pa.array([o[0] for o in out], pa.int64())
-            rest = [batch.column(j).take(take) for j in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *rest, pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.list_(pa.string()))], names=["doc_id", *batch.schema.names[2:], "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.list_(pa.string()))], names=["ord", "row", "n_words", "spans", "items"])
 
     return run
 
 
-def summarise(batches):
-    for batch in batches:
-        hits, n_items, digests = [], [], []
-        for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            pairs = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
-            start, end = merge_spans(pairs[:, 0], pairs[:, 1])
-            names = sorted({x for part in items for x in part})
-            hits.append(int((end - start).sum()))
-            n_items.append(len(names))
-            digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+SUMMARY = "ord long, row long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+FOUND = "ord long, row long, n_words long, spans binary, items array<string>"
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-FOUND = "n_words long, spans binary, items array<string>"
+def summary(batch, spans: list[list[bytes]], items: list[list[list[str]]]):
+    hits, n_items, digests = [], [], []
+    for some, found in zip(spans, items, strict=True):
+        pairs = np.frombuffer(b"".join(some), np.int64).reshape(-1, 2)
+        start, end = merge_spans(pairs[:, 0], pairs[:, 1])
+        names = sorted({x for part in found for x in part})
+        hits.append(int((end - start).sum()))
+        n_items.append(len(names))
+        digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns[:3], pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
+        names=["ord", "row", *RESULT],
+    )
 
 
 def contamination(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs (doc_id, text, ...), items (item_id, text, ...) -> RESULT, one row per row of ``docs``.
 
     Null texts have no words; items without words, and items without an id, are no items. Repeated items count once by
-    id. Windows that overlap hit each word once. Extra columns are ignored; an empty benchmark hits nothing."""
+    id. Windows that overlap hit each word once. Every row is judged by its own text, whether its id is repeated or null.
+    Extra columns are ignored; an empty benchmark hits nothing. Windows are compared by two 64-bit hashes."""
+    found = judged(plain(docs).select("ord", "row", "text"), items, block_windows)
+    return found.select(F.when(F.col("ord") < NO_ID, F.col("ord")).alias("doc_id"), *RESULT)
+
+
+def judged(docs: DataFrame, items: DataFrame, block_windows: int) -> DataFrame:
+    """(ord, row, text) -> ord, row and RESULT of every row."""
     spark = docs.sparkSession
     ship(spark)
-    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
     windows = materialize(items.mapInArrow(item_windows, "item_id string, whole long, key long, size long").distinct(), "item-windows")
     n_blocks = max(1, -(-windows.count() // block_windows))
+    if n_blocks == 1:
+        index = spark.sparkContext.broadcast(Index(windows.toArrow()))
+
+        def run(batches):
+            for batch in findings(index)(batches):
+                yield summary(batch, [[x] for x in batch.column(3).to_pylist()], [[x] for x in batch.column(4).to_pylist()])
+
+        return docs.mapInArrow(run, SUMMARY)
     parts = []
     for block in range(n_blocks):
         mine = windows.filter(F.pmod(F.xxhash64("whole", "item_id"), F.lit(n_blocks)) == block)
         index = spark.sparkContext.broadcast(Index(mine.toArrow()))
-        if n_blocks == 1:
-            found = docs.mapInArrow(findings(index), f"doc_id long, {FOUND}")
-            return found.select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items")).mapInArrow(summarise, RESULT)
-        marked = docs.withColumn("mark", F.xxhash64("text"))
-        parts.append(materialize(marked.mapInArrow(findings(index), f"doc_id long, mark long, {FOUND}").filter("length(spans) > 0").distinct(), "findings"))
+        parts.append(materialize(docs.mapInArrow(findings(index), FOUND).filter("length(spans) > 0").select("ord", "row", "spans", "items").distinct(), "findings"))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.union(part)
-    merged = merged.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    merged = merged.groupBy("ord", "row").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
     empty = spark.sparkContext.broadcast(Index(windows.limit(0).toArrow()))
-    counted = docs.withColumn("mark", F.xxhash64("text")).mapInArrow(findings(empty), f"doc_id long, mark long, {FOUND}").select("doc_id", "mark", "n_words")
-    m = merged.select(F.col("doc_id").alias("m_id"), F.col("mark").alias("m_mark"), "spans", "items")
-    joined = counted.join(m, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("mark") == F.col("m_mark")), "left")
+    joined = docs.mapInArrow(findings(empty), FOUND).select("ord", "row", "n_words").join(merged, ["ord", "row"], "left")
     none = F.array().cast("array<binary>"), F.array().cast("array<array<string>>")
-    return joined.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")).mapInArrow(summarise, RESULT)
+
+    def gather(batches):
+        for batch in batches:
+            yield summary(batch, batch.column(3).to_pylist(), batch.column(4).to_pylist())
+
+    return joined.select("ord", "row", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")).mapInArrow(gather, SUMMARY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a hit word go; all columns of the others stay."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: documents with a hit word go; all columns of the others stay.
+
+    Every row is judged by its own text: null and empty texts stay, rows without an id and rows that repeat an id like all
+    others. An empty table gives an empty result; columns of any other name are left alone."""
+    found = judged(plain(docs).select("ord", "row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), BLOCK_WINDOWS)
+    keyed, one, two = with_key(docs)
+    bad = found.filter("contaminated").select(F.col("ord").alias(one), F.col("row").alias(two))
+    return keyed.join(bad, [one, two], "left_anti").select(docs.columns)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

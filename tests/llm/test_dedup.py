@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.llm import automaton, jaccard, repeats, suffix_array
 from shelfwise.llm.automaton import SuffixAutomaton
@@ -113,12 +114,42 @@ def test_empty_tables(no_docs):
     assert automaton.remove_later_windows(no_docs).count() == 0
 
 
+def known(found):
+    return sorted((-1 if r[0] is None else r[0], *r[1:]) for r in found)
+
+
 def test_null_and_repeated_ids(spark, corpus):
+    text, other, third = corpus[45][1], corpus[25][1] + " " + corpus[26][1] + " " + corpus[27][1] * 5, corpus[30][1] * 6
+    made = [(1, text), (2, text), (1, "short text of its own"), (1, other), (None, text), (None, None), (2, third), (None, "a b"), (3, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert known(suffix_array.remove_repeated_bytes(df).collect()) == known(without_bytes(made))
+    got = known(automaton.remove_later_windows(df).collect())
+    numbered = [(i if i is not None else 99, t or "") for i, t in made]
+    assert got == known([(None if r[0] == 99 else r[0], *r[1:]) for r in without_words(numbered)])
+    assert all(r.n_removed <= r.n_bytes for r in suffix_array.remove_repeated_bytes(df).collect())
+    found = jaccard.similar_groups(df).collect()
+    assert sorted(r.component_id for r in found if r.n_shingles > 50 and r.component_id == 1) == [1] * 4 and len(found) == len(made)
+    assert [r.component_id for r in found if r.doc_id == 3] == [3] and {r.component_id for r in found if r.n_shingles == 0} == {None, 3}
+
+
+def test_repeated_rows(spark, corpus):
     text = corpus[45][1]
-    df = spark.createDataFrame([(None, text), (5, text), (5, text), (None, None), (2, "a b")], "doc_id long, text string")
-    assert {r.component_id for r in jaccard.similar_groups(df).filter("n_shingles > 1").collect()} == {5}
-    assert all(r.n_removed == (0 if r.doc_id is None else r.n_bytes if r.doc_id == 5 else 0) for r in suffix_array.remove_repeated_bytes(df).collect())
-    assert all(r.n_removed == 0 for r in automaton.remove_later_windows(df).collect())
+    df = spark.createDataFrame([(5, text), (5, text), (None, text), (None, text)], "doc_id long, text string")
+    assert all(r.n_removed == r.n_bytes for r in suffix_array.remove_repeated_bytes(df).collect())
+    assert sorted(r.n_removed > 0 for r in automaton.remove_later_windows(df).collect()) == [False, False, True, True]
+    assert {r.component_id for r in jaccard.similar_groups(df).collect()} == {5}
+    kept = jaccard.keep_one_of_each(spark, df, "")
+    assert [tuple(r) for r in kept.collect()] == [(5, text)]
+
+
+def test_one_of_each_group_stays(spark, corpus):
+    text, other = corpus[45][1], corpus[25][1] * 3
+    made = [(1, text, 1), (2, text, 2), (2, other, 3), (1, text, 4), (None, None, 5), (None, "", 6), (4, None, 7), (4, None, 8), (None, other, 9)]
+    df = spark.createDataFrame(made, "doc_id long, text string, _ord long").withColumnRenamed("_ord", "_row").withColumn("sid", F.col("_row")).withColumn("comp", F.lit("x"))
+    got = jaccard.keep_one_of_each(spark, df, "")
+    assert got.columns == df.columns
+    rows = sorted((r["_row"] for r in got.collect()))
+    assert rows in ([1, 3, 5, 6, 7, 8], [3, 4, 5, 6, 7, 8])
 
 
 def test_induced_sorting():

@@ -104,8 +104,9 @@ def test_token_file(spark, corpus, tmp_path):
     texts.append((907, "long " * 30000))
     df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, part long").repartition(3)
     path = huffman.tokenizer_path()
-    file, lengths = huffman.write_ids(df, path)
-    got = file.mapInArrow(huffman.read_frames(lengths), "part long, seq long, doc_id long, ids binary").orderBy("part", "seq").collect()
+    file = f"file://{tmp_path}/ids"
+    huffman.write_ids(df, path, file)
+    got = huffman.read_ids(spark.newSession(), file).orderBy("part", "seq").collect()
     tok = Tokenizer.from_file(path)
     want = [(i, np.array([*tok.encode(t or "", add_special_tokens=False).ids, huffman.END_ID], np.uint32).tobytes()) for i, t in sorted(texts)]
     assert [(r.doc_id, bytes(r.ids)) for r in got] == want
@@ -285,11 +286,33 @@ def test_line_templates(spark):
     menu = "Home products and contact page"
     texts = [f"{menu}\norder number {i} was sent on day {i * 7}\n" + " ".join(f"u{rng.randrange(9**9)}x" for _ in range(8)).replace("1", "q") for i in range(30)] + [None, "", "a b\na b", "only once in this corpus"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, menu, "x")], "doc_id long, text string, line string").repartition(3)
-    got = {r.doc_id: r for r in templates.without_lines(df).collect()}
+    out, before, dropped = templates.without_lines(df)
+    assert (before, dropped) == ("lines_before", "lines_dropped")
+    got = {r.doc_id: r for r in out.collect()}
     assert got[0].text.startswith(menu + "\norder number") and got[0].lines_dropped == 0
     assert all(got[i].lines_dropped == 2 and menu not in got[i].text and "order number" not in got[i].text for i in range(1, 30))
-    assert got[30].text is None and got[31].text == "" and got[32].text == "a b\na b" and got[33].lines_dropped == 0 and got[None].text == menu
-    assert "line" in templates.without_lines(df).columns and templates.without_lines(df.limit(0)).count() == 0
+    assert got[30].text is None and got[31].text == "" and got[32].text == "a b\na b" and got[33].lines_dropped == 0 and got[None].text == ""
+    assert "line" in out.columns and templates.without_lines(df.limit(0))[0].count() == 0
+
+
+def test_lines_of_one_id(spark):
+    menu = "Home products and contact page"
+    made = [(i % 5, f"{menu}\nown line number {'abcdefghijklmnopqrstuvwxyz'[i]} of {'zyxwvutsrqponmlkjihgfedcba'[i]}") for i in range(20)] + [(7, "a b c d e " * 3), (7, None), (None, menu), (7, "first line of its own here\nsecond one of its own here")]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    for name in ("numbers", "lines_before", "lines_dropped", "gone_id", "_ord", "_row", "_numbers", "line", "template"):
+        df = df.withColumn(name, F.lit(name))
+    got = templates.drop_template_lines(spark, df, "")
+    assert got.columns == df.columns
+    texts = Counter(r.text for r in got.collect())
+    assert sum(menu in (t or "") for t in texts.elements()) == 1  # one copy of the menu
+    assert texts[made[20][1]] == 1 and texts[None] == 1 and texts[made[-1][1]] == 1 and texts[""] == 20
+
+
+def test_lines_of_one_long_list(spark):
+    # a template that only one document holds does not recur
+    text = "\n".join(f"item with the same long start {x}" for x in "abcdefghijklmnopqrstuvwxyz")
+    df = spark.createDataFrame([(1, text), (2, "another text of one line")], "doc_id long, text string")
+    assert all(r.lines_dropped == 0 for r in templates.without_lines(df)[0].collect())
 
 
 # pipeline
@@ -307,4 +330,8 @@ def test_pipeline_stages(spark):
     clean = winnowing.drop_contaminated(spark, docs, SF)
     assert clean.columns == docs.columns and 0 < clean.count() < n
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "sentencepiece"]
+    odd = docs.limit(3).unionByName(docs.limit(3)).withColumn("doc_id", F.lit(None).cast("long")).withColumn("_row", F.lit("x"))
+    for stage in (langid.keep_identified, templates.drop_template_lines, winnowing.drop_contaminated):
+        assert stage(spark, odd, SF).columns == odd.columns and stage(spark, odd, SF).count() <= 6
+        assert stage(spark, docs.limit(0), SF).count() == 0
     assert Counter(corpus_pipeline.run(spark, SF).columns) == Counter(["doc_id", "n_pieces", "ids_crc32", "text_sha256", "round_trip"])
