@@ -81,13 +81,17 @@ def metres(value: Column, unit: Column) -> Column:
 
 
 def dimensions(text: Column) -> dict[str, Column]:
-    """Length, width, height, volume, area, diameter and radius in metres; a labelled diameter goes before L x W."""
+    """Length, width, height, volume, area, diameter and radius in metres; a labelled diameter goes before L x W.
+
+    ``labelled`` is the single labelled length (length, width, height, depth, or a diameter in feet) of a text that has
+    none of these, and ``labelled_as`` its label; one number alone does not make ``has_dimensions``."""
     text = F.lower(text)
     part = lambda p, i: metres(F.regexp_extract(text, p, 2 * i + 1), F.regexp_extract(text, p, 2 * i + 2))
     lwh, lw, dia = (text.rlike(p) for p in (rules.LWH, rules.LW, rules.DIAMETER))
     a, b, c = (part(rules.LWH, i) for i in range(3))
     p, q = (part(rules.LW, i) for i in range(2))
     d = part(rules.DIAMETER, 0)
+    alone = text.rlike(rules.LABELLED) & ~(lwh | dia | lw)
     return {
         "length": F.when(lwh, a).when(dia, None).when(lw, p),
         "width": F.when(lwh, b).when(dia, None).when(lw, q),
@@ -95,6 +99,9 @@ def dimensions(text: Column) -> dict[str, Column]:
         "volume": F.when(lwh, a * b * c),
         "area": F.when(lwh, None).when(dia, F.lit(3.14159) * (d / 2) * (d / 2)).when(lw, p * q),
         "diameter": F.when(lwh, None).when(dia, d),
+        "radius": F.when(lwh, None).when(dia, d / 2),
+        "labelled": F.when(alone, metres(F.regexp_extract(text, rules.LABELLED, 2), F.regexp_extract(text, rules.LABELLED, 3))),
+        "labelled_as": F.when(alone, F.regexp_extract(text, rules.LABELLED, 1)),
         "has_dimensions": lwh | dia | lw,
     }
 

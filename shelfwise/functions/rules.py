@@ -56,7 +56,8 @@ _LENGTH = r"(\d+(?:\.\d+)?)\s*(mm|cm|m|in|inch|inches|ft|feet)"
 LENGTHS = [("mm", 0.001), ("cm", 0.01), ("m", 1.0), ("in", 0.0254), ("inch", 0.0254), ("inches", 0.0254), ("ft", 0.3048), ("feet", 0.3048)]
 LWH = rf"{_LENGTH}\s*[x×]\s*{_LENGTH}\s*[x×]\s*{_LENGTH}"
 LW = rf"{_LENGTH}\s*[x×]\s*{_LENGTH}"
-DIAMETER = rf"(?:diameter|dia\.?)\s*:?\s*{_LENGTH}"
+DIAMETER = r"(?:diameter|dia\.?)\s*:?\s*(\d+(?:\.\d+)?)\s*(mm|cm|m|in|inch|inches)"
+LABELLED = rf"(length|width|height|depth|diameter)\s*:?\s*{_LENGTH}"
 MATERIALS = [
     "cotton|polyester|wool|silk|linen|nylon|spandex|elastane",
     "plastic|metal|steel|aluminum|wood|glass|ceramic|rubber",
@@ -106,7 +107,12 @@ SPECS = [
 ]
 
 # text features
-TEXT_BRANDS = "apple|samsung|sony|lg|microsoft|google|amazon|nike|adidas|coca-cola|pepsi|nestle|unilever|procter|johnson|kraft|toyota|ford|bmw|mercedes|honda|volkswagen|walmart|target|costco|ikea|home depot"
+TEXT_BRANDS = [
+    ("apple|samsung|sony|lg|microsoft|google|amazon|nike|adidas", "tech_fashion"),
+    ("coca-cola|pepsi|nestle|unilever|procter|johnson|kraft", "consumer_goods"),
+    ("toyota|ford|bmw|mercedes|honda|volkswagen", "automotive"),
+    ("walmart|target|costco|ikea|home depot", "retail"),
+]
 TEXT_CATEGORIES = [
     ("phone|smartphone|tablet|laptop|computer|electronics?", "electronics"),
     ("shirt|pants|dress|shoes|clothing|apparel|fashion", "clothing"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce as reduce_tables
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
@@ -9,19 +11,22 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.percentiles import beside, percentiles
+
 
 def scaling(df: DataFrame, columns: list[str], how: str) -> tuple[DataFrame, dict]:
     """Fit a scaling on ``df``: one row of centre and width per column, to be joined (broadcast) to whatever is scaled."""
-    fits = []
+    fits, robust = [], []
     for c in columns:
         if how == "standard":
             fits += [F.avg(c).alias(f"{c}_0"), F.stddev_pop(c).alias(f"{c}_1")]
         elif how == "minmax":
             fits += [F.min(c).alias(f"{c}_0"), (F.max(c) - F.min(c)).alias(f"{c}_1")]
         else:
-            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            fits += [q[1].alias(f"{c}_0"), (q[2] - q[0]).alias(f"{c}_1")]
-    return df.agg(*fits), {c: (f"{c}_0", f"{c}_1") for c in columns}
+            q = percentiles(df, c, (0.25, 0.5, 0.75), "q")
+            robust.append(q.select(F.col("q")[1].alias(f"{c}_0"), (F.col("q")[2] - F.col("q")[0]).alias(f"{c}_1")))
+    rows = ([df.agg(*fits)] if fits else []) + robust
+    return reduce_tables(beside, rows), {c: (f"{c}_0", f"{c}_1") for c in columns}
 
 
 def apply_scaling(df: DataFrame, fit: DataFrame, names: dict) -> DataFrame:
@@ -30,6 +35,17 @@ def apply_scaling(df: DataFrame, fit: DataFrame, names: dict) -> DataFrame:
     return joined.withColumns(scaled).drop(*(x for pair in names.values() for x in pair))
 
 
+def impute(df: DataFrame, column: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A vector column with null, NaN and infinite components filled with 0, filled with the mean of the component over all
+    rows, and with such rows dropped. Means are one row; a component without any value becomes 0."""
+    known = lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    clean = df.withColumn(column, F.transform(column, known))
+    means = df.agg(F.array(*(F.coalesce(F.avg(known(F.col(column)[i])), F.lit(0.0)) for i in range(size))).alias("_means"))
+    zero = clean.withColumn(column, F.transform(column, lambda x: F.coalesce(x, F.lit(0.0))))
+    mean = clean.join(F.broadcast(means), F.lit(True)).withColumn(column, F.transform(column, lambda x, i: F.coalesce(x, F.get("_means", i)))).drop("_means")
+    return zero, mean, clean.filter(~F.exists(column, lambda x: x.isNull()))
+
+
 def fuse_weighted(a: Column, b: Column, wa: float, wb: float) -> Column:
     """Weighted sum of two arrays; weights are normalised, the shorter array is filled with zeros."""
     x = F.zip_with(a, b, lambda p, q: F.coalesce(p, F.lit(0.0)) * (wa / (wa + wb)) + F.coalesce(q, F.lit(0.0)) * (wb / (wa + wb)))
@@ -44,8 +60,8 @@ def f_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def binned_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """feature, score: mutual information of percentile bins of each column and of the target."""
-    cuts = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    edges = df.agg(*(F.percentile(c, cuts).alias(f"e_{c}") for c in [*columns, target]))
+    cuts = [i / bins for i in range(1, bins)]
+    edges = reduce_tables(beside, [percentiles(df, c, cuts, f"e_{c}") for c in [*columns, target]])
     binned = df.join(F.broadcast(edges), F.lit(True))
     place = lambda c: F.size(F.filter(f"e_{c}", lambda e: F.col(c) >= e))
     pairs = binned.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), place(c).alias("x")) for c in columns))).alias("f"), place(target).alias("y"))
@@ -72,16 +88,15 @@ def reduce(df: DataFrame, column: str, k: int) -> tuple[DataFrame, list[float]]:
 def tfidf_svd(df: DataFrame, text: str, k: int, vocabulary: int = 1000) -> DataFrame:
     """Rank-k text vectors: TF-IDF of words and pairs (document frequency 2 or more), projected on the leading right
     singular vectors, which come from the vocabulary-sized Gram matrix."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
     words = RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}\p{N}_]+").transform(df.fillna({text: ""}))
     kept = StopWordsRemover(inputCol="words", outputCol="kept").transform(words)
     terms = NGram(n=2, inputCol="kept", outputCol="pairs").transform(kept).withColumn("terms", F.concat("kept", "pairs"))
     counted = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0).fit(terms).transform(terms)
     weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
-    rows = weighted.select("tfidf").rdd.map(lambda r: OldVectors.fromML(r.tfidf))
-    gram = RowMatrix(rows).computeGramianMatrix().toArray()  # vocabulary x vocabulary, whatever the rows
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(weighted.select("tfidf"), "tfidf")).computeGramianMatrix().toArray()  # vocabulary x vocabulary, whatever the rows
     right = np.linalg.eigh(gram)[1][:, ::-1][:, :k]
     project = df.sparkSession.sparkContext.broadcast(right)
 

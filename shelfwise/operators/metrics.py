@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.percentiles import percentiles
+
 
 def finite(y: Column, p: Column) -> Column:
     ok = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
@@ -43,6 +45,6 @@ def regression(y: Column, p: Column) -> dict[str, Column]:
 
 def with_quantile_bucket(df: DataFrame, column: str, n: int) -> DataFrame:
     """Bucket 1..n by linear percentile edges; half-open, the last closed. The edges are one row and are broadcast."""
-    edges = df.agg(F.percentile(column, F.array(*(F.lit(i / n) for i in range(1, n)))).alias("edges"))
+    edges = percentiles(df, column, [i / n for i in range(1, n)], "edges")
     rank = F.size(F.filter("edges", lambda e: F.col(column) >= e)) + 1
     return df.join(F.broadcast(edges), F.lit(True)).withColumn("bucket", F.when(F.col(column).isNotNull(), rank)).drop("edges")

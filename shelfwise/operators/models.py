@@ -105,11 +105,15 @@ def search(rows: DataFrame, make, settings: list[dict], folds: int) -> DataFrame
     return spark.createDataFrame(out, "setting string, smape double")
 
 
-def stack(scored: DataFrame, models: list[str]) -> DataFrame:
-    """Ridge on out-of-fold predictions: sample_id, price, y_pred."""
-    wide = scored.groupBy("sample_id", "price").pivot("model", models).agg(F.first("y_pred"))
+def stack(scored: DataFrame, models: list[str], folds: int) -> DataFrame:
+    """Ridge on out-of-fold predictions: sample_id, price, fold, y_pred. Rows of a fold are scored by the ridge of all others."""
+    wide = scored.groupBy("sample_id", "price", "fold").pivot("model", models).agg(F.first("y_pred"))
     rows = VectorAssembler(inputCols=models, outputCol="features").transform(wide.withColumn("label", F.col("price")))
-    return ridge(1.0).fit(rows).transform(rows).select("sample_id", "price", F.greatest("prediction", F.lit(LEAST_PRICE)).alias("y_pred"))
+    parts = [ridge(1.0).fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k)) for k in range(folds)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.select("sample_id", "price", "fold", F.greatest("prediction", F.lit(LEAST_PRICE)).alias("y_pred"))
 
 
 def train_mlp(rows: DataFrame, columns: list[str], hidden: tuple = (32, 16), steps: int = 40, rate: float = 0.01, seed: int = 42):

@@ -109,11 +109,13 @@ def _dims_sql() -> str:
     a, b, c = (_metres(rules.LWH, i) for i in range(3))
     p, q = (_metres(rules.LW, i) for i in range(2))
     dia = _metres(rules.DIAMETER, 0)
+    single = f"({num(L, rules.LABELLED, 2)} * CASE regexp_extract({L}, {lit(rules.LABELLED)}, 3) " + " ".join(f"WHEN '{u}' THEN {f}" for u, f in rules.LENGTHS) + " ELSE 1 END)"
+    alone = f"regexp_matches({L}, {lit(rules.LABELLED)}) AND NOT ({has['lwh']} OR {has['dia']} OR {has['lw']})"
     case = lambda lwh, di, lw: f"CASE WHEN {has['lwh']} THEN {lwh} WHEN {has['dia']} THEN {di} WHEN {has['lw']} THEN {lw} END"
-    return f"SELECT sample_id, {case(a, 'NULL', p)} AS length, {case(b, 'NULL', q)} AS width, {case(c, 'NULL', 'NULL')} AS height, {case(f'{a}*{b}*{c}', 'NULL', 'NULL')} AS volume, {case('NULL', f'3.14159 * ({dia} / 2) * ({dia} / 2)', f'{p}*{q}')} AS area, {case('NULL', dia, 'NULL')} AS diameter, {has['lwh']} OR {has['dia']} OR {has['lw']} AS has_dimensions FROM products"
+    return f"SELECT sample_id, {case(a, 'NULL', p)} AS length, {case(b, 'NULL', q)} AS width, {case(c, 'NULL', 'NULL')} AS height, {case(f'{a}*{b}*{c}', 'NULL', 'NULL')} AS volume, {case('NULL', f'3.14159 * ({dia} / 2) * ({dia} / 2)', f'{p}*{q}')} AS area, {case('NULL', dia, 'NULL')} AS diameter, {case('NULL', f'{dia} / 2', 'NULL')} AS radius, CASE WHEN {alone} THEN {single} END AS labelled, CASE WHEN {alone} THEN regexp_extract({L}, {lit(rules.LABELLED)}, 1) END AS labelled_as, {has['lwh']} OR {has['dia']} OR {has['lw']} AS has_dimensions FROM products"
 
 
-@query("dimensions", _dims_sql(), "length width height volume area diameter")
+@query("dimensions", _dims_sql(), "length width height volume area diameter radius labelled")
 def dimensions(spark, d):
     return products(spark, d).select("sample_id", *(c.alias(n) for n, c in extract.dimensions(F.col(C)).items()))
 
@@ -158,13 +160,13 @@ def specifications(spark, d):
     return s.select("sample_id", *(at(n)["value"].alias(f"{n}_value") for n, _ in rules.SPECS), at("weight")["raw"].alias("weight_raw"), F.size("s").cast("long").alias("n_specs"))
 
 
-_wide = "ipq_value ipq_confidence length width height volume area diameter brand_confidence category_confidence " + " ".join(f"{n}_value" for n, _ in rules.SPECS)
+_wide = "ipq_value ipq_confidence length width height volume area diameter radius brand_confidence category_confidence " + " ".join(f"{n}_value" for n, _ in rules.SPECS)
 
 
 @query(
     "numeric_features",
     f"""WITH p AS (SELECT sample_id, {_parser} AS i, {_brand} AS b, {_category} AS c, CAST(len({_lexicon_sql(rules.MATERIALS)}) AS BIGINT) AS material_count, CAST(len({_lexicon_sql(rules.COLORS)}) AS BIGINT) AS color_count, {', '.join(f'coalesce({_spec_sql(n, q)}, 0) AS {n}_value' for n, q in rules.SPECS)} FROM products), d AS ({_dims_sql()})
-    SELECT p.sample_id, i IS NOT NULL AS has_ipq, coalesce(i.value, 0) AS ipq_value, coalesce(i.confidence, 0) AS ipq_confidence, has_dimensions, {', '.join(f'coalesce({x}, 0) AS {x}' for x in ('length', 'width', 'height', 'volume', 'area', 'diameter'))}, material_count, color_count, b IS NOT NULL AS has_brand, CASE WHEN b IS NULL THEN 0 ELSE 0.9 END AS brand_confidence, c IS NOT NULL AS has_category, coalesce(c.confidence, 0) AS category_confidence, {', '.join(f'{n}_value' for n, _ in rules.SPECS)} FROM p JOIN d USING (sample_id)""",
+    SELECT p.sample_id, i IS NOT NULL AS has_ipq, coalesce(i.value, 0) AS ipq_value, coalesce(i.confidence, 0) AS ipq_confidence, has_dimensions, {', '.join(f'coalesce({x}, 0) AS {x}' for x in ('length', 'width', 'height', 'volume', 'area', 'diameter', 'radius'))}, material_count, color_count, b IS NOT NULL AS has_brand, CASE WHEN b IS NULL THEN 0 ELSE 0.9 END AS brand_confidence, c IS NOT NULL AS has_category, coalesce(c.confidence, 0) AS category_confidence, {', '.join(f'{n}_value' for n, _ in rules.SPECS)} FROM p JOIN d USING (sample_id)""",
     _wide,
 )
 def numeric_features(spark, d):
@@ -172,7 +174,7 @@ def numeric_features(spark, d):
     rows = products(spark, d).select("sample_id", extract.parser_quantity(t).alias("i"), extract.brand(t).alias("b"), extract.category(t).alias("c"), extract.lexicon(t, rules.MATERIALS).alias("m"), extract.lexicon(t, rules.COLORS).alias("k"), extract.specifications(t).alias("s"), *(c.alias(n) for n, c in extract.dimensions(t).items()))
     zero = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0))
     return rows.select(
-        "sample_id", F.col("i").isNotNull().alias("has_ipq"), zero("i.value").alias("ipq_value"), zero("i.confidence").alias("ipq_confidence"), "has_dimensions", *(zero(x).alias(x) for x in ("length", "width", "height", "volume", "area", "diameter")),
+        "sample_id", F.col("i").isNotNull().alias("has_ipq"), zero("i.value").alias("ipq_value"), zero("i.confidence").alias("ipq_confidence"), "has_dimensions", *(zero(x).alias(x) for x in ("length", "width", "height", "volume", "area", "diameter", "radius")),
         F.size("m").cast("long").alias("material_count"), F.size("k").cast("long").alias("color_count"), F.col("b").isNotNull().alias("has_brand"), F.when(F.col("b").isNull(), 0.0).otherwise(0.9).alias("brand_confidence"), F.col("c").isNotNull().alias("has_category"), zero("c.confidence").alias("category_confidence"),
         *(zero(F.element_at("s", F.lit(n))["value"]).alias(f"{n}_value") for n, _ in rules.SPECS),
     )
@@ -214,15 +216,17 @@ def readability(spark, d):
 
 
 _cats = "[" + ", ".join(f"CASE WHEN regexp_matches({L}, {lit(rf'\b({w})\b')}) THEN '{c}' END" for w, c in rules.TEXT_CATEGORIES) + "]"
-_brands = f"regexp_extract_all({L}, {lit(rf'\b({rules.TEXT_BRANDS})\b')})"
+_brands = "flatten([" + ", ".join(f"list_transform(regexp_extract_all({L}, {lit(rf'\b({w})\b')}), lambda b: {{'brand': b, 'kind': '{k}'}})" for w, k in rules.TEXT_BRANDS) + "])"
 
 
-@query("categorical_text", f"SELECT sample_id, array_to_string(b, ',') AS brands, array_to_string(c, ',') AS categories, CAST(len(b) AS BIGINT) AS brand_count, CAST(len(c) AS BIGINT) AS category_count, len(b) > 0 AS has_brand, len(c) > 0 AS has_category FROM (SELECT sample_id, {_brands} AS b, list_sort(list_distinct(list_filter({_cats}, lambda x: x IS NOT NULL))) AS c FROM products)")
+@query("categorical_text", f"SELECT sample_id, array_to_string(list_transform(b, lambda x: x.brand), ',') AS brands, array_to_string(list_transform(b, lambda x: x.kind), ',') AS brand_categories, array_to_string(c, ',') AS categories, CAST(len(b) AS BIGINT) AS brand_count, CAST(len(c) AS BIGINT) AS category_count, len(b) > 0 AS has_brand, len(c) > 0 AS has_category FROM (SELECT sample_id, {_brands} AS b, list_sort(list_distinct(list_filter({_cats}, lambda x: x IS NOT NULL))) AS c FROM products)")
 def categorical_text(spark, d):
     t = F.lower(F.col(C))
     found = F.array_compact(F.array(*(F.when(t.rlike(rf"\b({w})\b"), F.lit(c)) for w, c in rules.TEXT_CATEGORIES)))
-    rows = products(spark, d).select("sample_id", F.regexp_extract_all(t, F.lit(rf"\b({rules.TEXT_BRANDS})\b"), F.lit(0)).alias("b"), F.array_sort(F.array_distinct(found)).alias("c"))
-    return rows.select("sample_id", F.array_join("b", ",").alias("brands"), F.array_join("c", ",").alias("categories"), F.size("b").cast("long").alias("brand_count"), F.size("c").cast("long").alias("category_count"), (F.size("b") > 0).alias("has_brand"), (F.size("c") > 0).alias("has_category"))
+    named = lambda kind: lambda b: F.struct(b.alias("brand"), F.lit(kind).alias("kind"))
+    brands = F.concat(*(F.transform(F.regexp_extract_all(t, F.lit(rf"\b({w})\b"), F.lit(0)), named(k)) for w, k in rules.TEXT_BRANDS))
+    rows = products(spark, d).select("sample_id", brands.alias("b"), F.array_sort(F.array_distinct(found)).alias("c"))
+    return rows.select("sample_id", F.array_join("b.brand", ",").alias("brands"), F.array_join("b.kind", ",").alias("brand_categories"), F.array_join("c", ",").alias("categories"), F.size("b").cast("long").alias("brand_count"), F.size("c").cast("long").alias("category_count"), (F.size("b") > 0).alias("has_brand"), (F.size("c") > 0).alias("has_category"))
 
 
 _base = "regexp_replace(regexp_extract(url, '^[^?#]*/([^/?#]*)', 1), '[^A-Za-z0-9._-]', '', 'g')"

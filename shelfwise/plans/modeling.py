@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import extract
 from shelfwise.operators import features, joins, metrics, models
+from shelfwise.operators.percentiles import percentiles
 from shelfwise.plans.extraction import INPUTS_SQL
 from shelfwise.plans.quality import ERR, LI, numeric
 from shelfwise.plans.ranking import SMAPES, model_scores
@@ -28,12 +29,20 @@ def spread_rows(products):
     return models.model_table(products).repartition(8, "sample_id")
 
 
-@query("impute_vectors", "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS q FROM lineitem), m AS (SELECT avg(q) AS m FROM l) SELECT k, i, coalesce(q, 0) AS zero, coalesce(q, m) AS mean, q IS NOT NULL AS kept_by_drop FROM l, m", "zero mean")
+#: Stored vectors with gaps: by id, the first component not a number, the second infinite, the third absent.
+_HOLES = "CASE WHEN i = 1 AND vec_id % 7 = 0 THEN CAST('nan' AS DOUBLE) WHEN i = 2 AND vec_id % 11 = 0 THEN CAST('inf' AS DOUBLE) WHEN i = 3 AND vec_id % 13 = 0 THEN NULL ELSE CAST(embedding[i] AS DOUBLE) END"
+
+
+@query("impute_vectors", f"WITH c AS (SELECT vec_id, i, {_HOLES} AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)), k AS (SELECT *, CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN NULL ELSE x END AS y FROM c), m AS (SELECT i, avg(y) AS m FROM k GROUP BY i) SELECT vec_id, coalesce(max(y) FILTER (i = 1), 0) AS zero_1, coalesce(max(y) FILTER (i = 2), 0) AS zero_2, sum(coalesce(y, 0)) AS zero_sum, max(coalesce(y, m)) FILTER (i = 1) AS mean_1, max(coalesce(y, m)) FILTER (i = 2) AS mean_2, max(coalesce(y, m)) FILTER (i = 3) AS mean_3, sum(coalesce(y, m)) AS mean_sum, count(y) = count(*) AS kept_by_drop FROM k JOIN m USING (i) GROUP BY vec_id", "zero_1 zero_2 zero_sum mean_1 mean_2 mean_3 mean_sum")
 def impute_vectors(spark, d):
-    q = F.when(F.col("l_orderkey") % 13 != 0, F.col("l_quantity").cast("double"))
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), q.alias("q"))
-    m = rows.agg(F.avg("q").alias("m"))
-    return rows.join(F.broadcast(m), F.lit(True)).select("k", "i", F.coalesce("q", F.lit(0.0)).alias("zero"), F.coalesce("q", "m").alias("mean"), F.col("q").isNotNull().alias("kept_by_drop"))
+    """Components that are null, not a number or infinite become 0 or the mean of the component, or the row is dropped."""
+    e = table(spark, d, "embeddings")
+    spoilt = lambda x, i: F.when((i == 0) & (F.col("vec_id") % 7 == 0), float("nan")).when((i == 1) & (F.col("vec_id") % 11 == 0), float("inf")).when((i == 2) & (F.col("vec_id") % 13 == 0), F.lit(None)).otherwise(x)
+    rows = e.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), spoilt).alias("v"))
+    zero, mean, whole = features.impute(rows, "v", IMAGE_VALUES)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    both = zero.select("vec_id", F.col("v").alias("z")).join(mean.select("vec_id", F.col("v").alias("m")), "vec_id").join(whole.select("vec_id", F.lit(True).alias("kept")), "vec_id", "left")
+    return both.select("vec_id", F.col("z")[0].alias("zero_1"), F.col("z")[1].alias("zero_2"), total(F.col("z")).alias("zero_sum"), *(F.col("m")[i].alias(f"mean_{i + 1}") for i in range(3)), total(F.col("m")).alias("mean_sum"), F.col("kept").isNotNull().alias("kept_by_drop"))
 
 
 @query("scale_features", f"WITH f AS ({INPUTS_SQL}), s AS (SELECT avg(value) AS m, stddev_pop(value) AS s, min(total_chars) AS lo, max(total_chars) - min(total_chars) AS w, quantile_cont(digit_ratio, 0.5) AS q, quantile_cont(digit_ratio, 0.75) - quantile_cont(digit_ratio, 0.25) AS iqr FROM f) SELECT sample_id, (value - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS standard, (total_chars - lo) / CASE WHEN w = 0 THEN 1 ELSE w END AS minmax, (digit_ratio - q) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END AS robust FROM f, s", "standard minmax robust")
@@ -211,7 +220,7 @@ def ensemble_voting(spark, d):
 
 @query("ensemble_stacking")
 def ensemble_stacking(spark, d):
-    return models.stack(predictions(spark, d).withColumnRenamed("y_true", "price"), ["m1", "m2", "m3"])
+    return models.stack(predictions(spark, d).withColumnRenamed("y_true", "price"), ["m1", "m2", "m3"], 5)
 
 
 GRID = [(a / 10, b / 10, (10 - a - b) / 10) for a in range(11) for b in range(11 - a)]
@@ -244,7 +253,7 @@ def compare_ensembles(spark, d):
 @query("prediction_confidence", "WITH e AS (SELECT quantile_cont(y_pred, 0.95) AS hi FROM predictions) SELECT sample_id, 1 / (1 + stddev_pop(y_pred)) AS agreement, least(avg(y_pred) / any_value(hi), 1) AS level FROM predictions, e GROUP BY sample_id", "agreement level")
 def prediction_confidence(spark, d):
     p = predictions(spark, d)
-    e = p.agg(F.percentile("y_pred", 0.95).alias("hi"))
+    e = percentiles(p, "y_pred", (0.95,), "q").select(F.col("q")[0].alias("hi"))
     return p.join(F.broadcast(e), F.lit(True)).groupBy("sample_id").agg((1 / (1 + F.stddev_pop("y_pred"))).alias("agreement"), F.least(F.avg("y_pred") / F.first("hi"), F.lit(1.0)).alias("level"))
 
 
@@ -277,7 +286,7 @@ def top_importance(spark, d):
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    return models.permutation_importance(fitted(spark, d), spread_rows(products(spark, d)).filter("fold = 0"), ["value", "total_chars", "pack_qty"])
+    return models.permutation_importance(fitted(spark, d), spread_rows(products(spark, d)).filter("fold = 0"), models.inputs())
 
 
 @query("fit_pipeline")
@@ -342,14 +351,15 @@ def storage_summary(spark, d):
 
 @query("fetch_urls")
 def fetch_urls(spark, d):
-    """Fetch every different image link with an offline fetcher that derives the bytes from the link."""
-
-    def offline(url):
-        if url.endswith("7.jpg"):
-            raise TimeoutError(url)
-        return ("text/html", b"") if url.endswith("9.jpg") else ("image/jpeg", url.encode())
-
-    return files.fetch_urls(downloads(spark, d).select(F.col("image_link").alias("url")), offline, parallel=8)
+    """Every page is written to a file of its own folder in the shared store, and the files are fetched by their URLs; one
+    page in fifty points to a file that is not there."""
+    path = files.scratch(spark, "pages")
+    pages = table(spark, d, "pages").select("page_id", F.regexp_replace("html", r"[\r\n]+", " ").alias("value"))
+    pages.withColumn("part", F.col("page_id") % 64).select("part", "value").repartition(8, "part").write.partitionBy("part").text(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("url"))
+    lost = table(spark, d, "pages").filter("page_id % 50 = 0").select(F.concat(F.lit(path + "/gone/"), F.col("page_id").cast("string")).alias("url"))
+    out = files.fetch_urls(found.union(lost), files.open_url, kinds=("text/", "image/"), parallel=8)
+    return out.select(F.regexp_extract("url", "/(part=[0-9]+|gone/[0-9]+)", 1).alias("page"), "status", "md5", "size", "attempts", "error")
 
 
 @query("submission_write", "SELECT sample_id, round_even(price, 6) AS price FROM submission")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import clean, rules
 from shelfwise.operators import metrics
+from shelfwise.operators.percentiles import beside, percentiles
 from shelfwise.plans.cleaning import price_sql
 from shelfwise.plans.registry import lit, query
 from shelfwise.sources.tables import downloads, predictions, products, submission, table
@@ -18,6 +19,7 @@ def hits(c):
 
 
 def pct(column, *shares):
+    """For the few scores of one model; ``percentiles`` is for whole columns."""
     return F.percentile(column, F.array(*(F.lit(s) for s in shares)))
 
 
@@ -35,7 +37,7 @@ def schema_validate(spark, d):
 )
 def integrity_check(spark, d):
     s = submission(spark, d)
-    e = s.agg(pct("price", 0.01, 0.99).alias("e"))
+    e = percentiles(s, "price", (0.01, 0.99), "e")
     r = s.join(products(spark, d).select("sample_id", "catalog_content", "image_link"), "sample_id", "left").join(F.broadcast(e), F.lit(True))
     p = F.col("price")
     return r.agg(
@@ -51,11 +53,12 @@ def integrity_check(spark, d):
 )
 def data_summary(spark, d):
     p, t = F.col("price"), F.length("catalog_content")
-    q = pct("price", 0.25, 0.5, 0.75)
+    q = [F.col("q")[i] for i in range(3)]
     a = products(spark, d).agg(
-        F.count("*").alias("rows"), (F.count("*") - F.count("sample_id")).alias("null_ids"), (F.count("*") - F.count("image_link")).alias("null_links"), F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), F.min(p).alias("price_min"), *(q[i].alias(f"price_q{k}") for i, k in enumerate((25, 50, 75))), F.max(p).alias("price_max"),
+        F.count("*").alias("rows"), (F.count("*") - F.count("sample_id")).alias("null_ids"), (F.count("*") - F.count("image_link")).alias("null_links"), F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), F.min(p).alias("price_min"), F.max(p).alias("price_max"),
         F.avg(t).alias("text_mean"), F.min(t).alias("text_min"), F.max(t).alias("text_max"),
     )
+    a = beside(a, percentiles(products(spark, d), "price", (0.25, 0.5, 0.75), "q")).withColumns({f"price_q{k}": q[i] for i, k in enumerate((25, 50, 75))}).drop("q")
     return a.select(*(F.col(c).cast("double").alias(c) for c in a.columns)).unpivot([], a.columns, "measure", "value")
 
 
@@ -91,7 +94,8 @@ def smape_variants(spark, d):
 @query("smape_details", "WITH e AS (SELECT model, abs(y_true) + abs(y_pred) = 0 AS z, CASE WHEN abs(y_true) + abs(y_pred) = 0 THEN 0 ELSE abs(y_pred - y_true) / ((abs(y_true) + abs(y_pred)) / 2) * 100 END AS e FROM predictions) SELECT model, count(*) AS n, avg(e) AS mean, stddev_pop(e) AS std, quantile_cont(e, 0.5) AS median, min(e) AS least, max(e) AS most, count(*) FILTER (z) AS zero_denominators FROM e GROUP BY model", "mean std median least most")
 def smape_details(spark, d):
     e = predictions(spark, d).withColumn("e", metrics.row_error(F.col("y_true"), F.col("y_pred")) * 100).withColumn("z", F.abs(F.col("y_true")) + F.abs(F.col("y_pred")) == 0)
-    return e.groupBy("model").agg(F.count("*").alias("n"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("std"), F.percentile("e", 0.5).alias("median"), F.min("e").alias("least"), F.max("e").alias("most"), hits("z").alias("zero_denominators"))
+    half = percentiles(e, "e", (0.5,), "q", ("model",)).select("model", F.col("q")[0].alias("median"))
+    return e.groupBy("model").agg(F.count("*").alias("n"), F.avg("e").alias("mean"), F.stddev_pop("e").alias("std"), F.min("e").alias("least"), F.max("e").alias("most"), hits("z").alias("zero_denominators")).join(half, "model")
 
 
 BUCKET = "1 + CAST(y_true >= e1 AS INT) + CAST(y_true >= e2 AS INT) + CAST(y_true >= e3 AS INT) + CAST(y_true >= e4 AS INT)"
@@ -115,8 +119,9 @@ def regression_metrics(spark, d):
 
 @query("summary_stats", "SELECT avg(price) AS mean, stddev_pop(price) AS std, min(price) AS least, max(price) AS most, quantile_cont(price, 0.5) AS median, quantile_cont(price, 0.25) AS q25, quantile_cont(price, 0.75) AS q75, count(*) FILTER (price < 0) AS negative, count(*) FILTER (price = 0) AS zero, count(*) FILTER (price < 0.01) AS under FROM submission", "mean std least most median q25 q75")
 def summary_stats(spark, d):
-    q, p = pct("price", 0.5, 0.25, 0.75), F.col("price")
-    return submission(spark, d).agg(F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("least"), F.max(p).alias("most"), q[0].alias("median"), q[1].alias("q25"), q[2].alias("q75"), hits(p < 0).alias("negative"), hits(p == 0).alias("zero"), hits(p < 0.01).alias("under"))
+    q, p = percentiles(submission(spark, d), "price", (0.5, 0.25, 0.75), "q"), F.col("price")
+    a = submission(spark, d).agg(F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("least"), F.max(p).alias("most"), hits(p < 0).alias("negative"), hits(p == 0).alias("zero"), hits(p < 0.01).alias("under"))
+    return beside(a, q).withColumns({k: F.col("q")[i] for i, k in enumerate(("median", "q25", "q75"))}).drop("q")
 
 
 @query(
@@ -142,7 +147,7 @@ FENCE = "e AS (SELECT quantile_cont(price, 0.01) AS p1, quantile_cont(price, 0.2
 )
 def price_anomalies(spark, d):
     s = submission(spark, d)
-    e = s.agg(pct("price", 0.01, 0.25, 0.75, 0.99).alias("e"), F.count("*").alias("total"))
+    e = beside(s.agg(F.count("*").alias("total")), percentiles(s, "price", (0.01, 0.25, 0.75, 0.99), "e"))
     p, q = F.col("price"), [F.col("e")[i] for i in range(4)]
     kinds = F.array_compact(F.array(F.when(p < 0, F.lit("negative")), F.when(p > 10 * q[3], F.lit("extreme_high")), F.when((p > 0) & (p < F.greatest(q[0] / 10, F.lit(0.001))), F.lit("extreme_low")), F.when((p < q[1] - 1.5 * (q[2] - q[1])) | (p > q[2] + 1.5 * (q[2] - q[1])), F.lit("iqr"))))
     rows = s.join(F.broadcast(e), F.lit(True)).select("sample_id", "total", F.explode(kinds).alias("kind"))
@@ -188,7 +193,7 @@ def prediction_ranges(spark, d):
 @query("outliers", "WITH e AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3, avg(price) AS m, stddev_pop(price) AS s FROM submission) SELECT any_value(q1) - 3 * (any_value(q3) - any_value(q1)) AS low, any_value(q3) + 3 * (any_value(q3) - any_value(q1)) AS high, count(*) FILTER (price < q1 - 3 * (q3 - q1) OR price > q3 + 3 * (q3 - q1)) AS iqr_outliers, count(*) FILTER (abs(price - m) > 3 * s) AS z_outliers FROM submission, e", "low high")
 def outliers(spark, d):
     s = submission(spark, d)
-    e = s.agg(pct("price", 0.25, 0.75).alias("q"), F.avg("price").alias("m"), F.stddev_pop("price").alias("s"))
+    e = beside(s.agg(F.avg("price").alias("m"), F.stddev_pop("price").alias("s")), percentiles(s, "price", (0.25, 0.75), "q"))
     width = F.col("q")[1] - F.col("q")[0]
     low, high, p = F.col("q")[0] - 3 * width, F.col("q")[1] + 3 * width, F.col("price")
     return s.join(F.broadcast(e), F.lit(True)).agg(F.first(low).alias("low"), F.first(high).alias("high"), hits((p < low) | (p > high)).alias("iqr_outliers"), hits(F.abs(p - F.col("m")) > 3 * F.col("s")).alias("z_outliers"))
@@ -199,8 +204,9 @@ SHARES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 @query("distribution", "WITH m AS (SELECT avg(price) AS m, stddev_pop(price) AS s FROM submission) SELECT avg(price) AS mean, any_value(s) AS std, avg(((price - m) / s) ** 3) AS skew, avg(((price - m) / s) ** 4) - 3 AS kurtosis, " + ", ".join(f"quantile_cont(price, {k / 100}) AS p{k}" for k in SHARES) + " FROM submission, m", "mean std skew kurtosis " + " ".join(f"p{k}" for k in SHARES), 5)
 def distribution(spark, d):
-    q = pct("price", *(k / 100 for k in SHARES))
-    return submission(spark, d).agg(F.avg("price").alias("mean"), F.stddev_pop("price").alias("std"), F.skewness("price").alias("skew"), F.kurtosis("price").alias("kurtosis"), *(q[i].alias(f"p{k}") for i, k in enumerate(SHARES)))
+    q = percentiles(submission(spark, d), "price", [k / 100 for k in SHARES], "q")
+    a = submission(spark, d).agg(F.avg("price").alias("mean"), F.stddev_pop("price").alias("std"), F.skewness("price").alias("skew"), F.kurtosis("price").alias("kurtosis"))
+    return beside(a, q).withColumns({f"p{k}": F.col("q")[i] for i, k in enumerate(SHARES)}).drop("q")
 
 
 #: Severity, SQL and column of every check of a submission.
@@ -308,36 +314,90 @@ def numeric(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_extendedprice").cast("double").alias("y"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.col("l_tax").cast("double").alias("tax"))
 
 
+ONE = ("quantity", "discount", "tax")
+_Z = ("1", *ONE)
+#: Sums over rows from which every least-squares baseline follows: s_x_y of all pairs, and of each with y.
+SUMS = {f"s_{_Z[i]}_{_Z[j]}": f"{_Z[i]} * {_Z[j]}" for i in range(4) for j in range(i, 4)} | {f"t_{x}": f"{x} * y" for x in _Z} | {"t_yy": "y * y"}
+
+
+def _cov(a: str, b: str) -> str:
+    i, j = sorted((a, b), key=_Z.index)
+    return f"(s_{i}_{j} - s_1_{a} * s_1_{b} / s_1_1)"
+
+
+def _det(m: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _slopes() -> dict[str, str]:
+    """SQL expressions over SUMS: slope of each single regression, and of each input in the regression on all (Cramer)."""
+    out = {f"b_{x}": f"(t_{x} - s_1_{x} * t_1 / s_1_1) / {_cov(x, x)}" for x in ONE}
+    matrix = [[_cov(x, z) for z in ONE] for x in ONE]
+    right = [f"(t_{x} - s_1_{x} * t_1 / s_1_1)" for x in ONE]
+    for k, x in enumerate(ONE):
+        swapped = [[right[r] if c == k else matrix[r][c] for c in range(3)] for r in range(3)]
+        out[f"o_{x}"] = f"{_det(swapped)} / {_det(matrix)}"
+    return out
+
+
+_mean = "(t_1 / s_1_1)"
+GUESSES = {"mean": _mean, "median": "median", **{x: f"{_mean} + b_{x} * ({x} - s_1_{x} / s_1_1)" for x in ONE}, "ols": f"{_mean} + " + " + ".join(f"o_{x} * ({x} - s_1_{x} / s_1_1)" for x in ONE)}
+LIF = LI.replace("SELECT ", "SELECT l_orderkey % 5 AS fold, ", 1)
+_MEASURES = "avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, avg(abs(p - y) / ((abs(p) + abs(y)) / 2)) * 100 AS smape, 1 - sum((p - y) * (p - y)) / (count(y) * var_pop(y)) AS r2"
+
+
 @query(
     "baselines",
-    f"WITH l AS ({LI}), s AS (SELECT avg(y) AS mean, quantile_cont(y, 0.5) AS median, {', '.join(f'regr_slope(y, {x}) AS s_{x}, regr_intercept(y, {x}) AS i_{x}' for x in ('quantity', 'discount', 'tax'))} FROM l) SELECT k AS baseline, avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, avg(abs(p - y) / ((abs(p) + abs(y)) / 2)) * 100 AS smape FROM (SELECT y, unnest(['mean', 'median', 'quantity', 'discount', 'tax']) AS k, unnest([mean, median, i_quantity + s_quantity * quantity, i_discount + s_discount * discount, i_tax + s_tax * tax]) AS p FROM l, s) GROUP BY k",
-    "mae rmse smape", 4,
+    f"""WITH l AS ({LIF}), a AS (SELECT fold, {', '.join(f'sum({e}) AS {k}' for k, e in SUMS.items())} FROM l GROUP BY fold), g AS (SELECT -1 AS g UNION ALL SELECT fold FROM a),
+    s AS (SELECT g, {', '.join(f'sum({k}) AS {k}' for k in SUMS)} FROM g JOIN a ON a.fold <> g.g GROUP BY g), m AS (SELECT g, quantile_cont(y, 0.5) AS median FROM g JOIN l ON l.fold <> g.g GROUP BY g), c AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in _slopes().items())} FROM s JOIN m USING (g)),
+    e AS (SELECT g, y, unnest([{', '.join(f"'{k}'" for k in GUESSES)}]) AS k, unnest([{', '.join(GUESSES.values())}]) AS p FROM l JOIN c ON c.g = -1 OR c.g = l.fold), f AS (SELECT k, g, {_MEASURES} FROM e GROUP BY k, g)
+    SELECT k AS baseline, max(mae) FILTER (g = -1) AS mae, max(rmse) FILTER (g = -1) AS rmse, max(smape) FILTER (g = -1) AS smape, max(r2) FILTER (g = -1) AS r2, avg(smape) FILTER (g >= 0) AS cv_smape, avg(r2) FILTER (g >= 0) AS cv_r2 FROM f GROUP BY k""",
+    "mae rmse smape r2 cv_smape cv_r2", 3,
 )
 def baselines(spark, d):
-    li = numeric(spark, d)
-    one = ("quantity", "discount", "tax")
-    s = li.agg(F.avg("y").alias("mean"), F.percentile("y", 0.5).alias("median"), *(F.regr_slope("y", x).alias(f"s_{x}") for x in one), *(F.regr_intercept("y", x).alias(f"i_{x}") for x in one))
-    guesses = F.array(*(F.struct(F.lit(k).alias("k"), c.alias("p")) for k, c in [("mean", F.col("mean")), ("median", F.col("median")), *((x, F.col(f"i_{x}") + F.col(f"s_{x}") * F.col(x)) for x in one)]))
-    g = li.join(F.broadcast(s), F.lit(True)).select("y", F.explode(guesses).alias("g")).select("y", "g.*")
+    """Mean, median, one-input and all-input least squares, on all rows and over five folds. Rows are read for the sums of
+    each fold (a few numbers), for the medians and for the errors; the fits themselves are arithmetic on the sums."""
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 5).alias("fold"), F.col("l_extendedprice").cast("double").alias("y"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.col("l_tax").cast("double").alias("tax"))
+    fold_sums = li.groupBy("fold").agg(*(F.sum(F.expr(f"double({e})")).alias(k) for k, e in SUMS.items()))
+    g = fold_sums.select(F.col("fold").alias("g")).union(spark.sql("SELECT -1L"))
+    s = g.join(F.broadcast(fold_sums), F.col("fold") != F.col("g")).groupBy("g").agg(*(F.sum(k).alias(k) for k in SUMS))  # six rows of five
+    others = li.select("y", F.explode(F.array(F.lit(-1).cast("long"), *(F.when(F.col("fold") != k, F.lit(k).cast("long")) for k in range(5)))).alias("g")).filter("g is not null")
+    c = s.join(percentiles(others, "y", (0.5,), "q", ("g",)).select("g", F.col("q")[0].alias("median")), "g").withColumns({k: F.expr(e) for k, e in _slopes().items()})
+    guesses = F.array(*(F.struct(F.lit(k).alias("k"), F.expr(e).alias("p")) for k, e in GUESSES.items()))
+    e = li.join(F.broadcast(c), (F.col("g") == -1) | (F.col("g") == F.col("fold"))).select("g", "y", F.explode(guesses).alias("e")).select("g", "y", "e.*")
     y, p = F.col("y"), F.col("p")
     m = metrics.regression(y, p)
-    return g.groupBy(F.col("k").alias("baseline")).agg(m["mae"].alias("mae"), m["rmse"].alias("rmse"), metrics.smape(y, p).alias("smape"))
+    f = e.groupBy("k", "g").agg(m["mae"].alias("mae"), m["rmse"].alias("rmse"), metrics.smape(y, p).alias("smape"), m["r2"].alias("r2"))
+    whole = lambda x: F.max(F.when(F.col("g") == -1, F.col(x))).alias(x)
+    folds = lambda x: F.avg(F.when(F.col("g") >= 0, F.col(x))).alias(f"cv_{x}")
+    return f.groupBy(F.col("k").alias("baseline")).agg(*(whole(x) for x in ("mae", "rmse", "smape", "r2")), folds("smape"), folds("r2"))
 
 
-@query("correlation_pairs", f"WITH l AS ({LI}), p AS (SELECT unnest(['y', 'y', 'y', 'quantity', 'quantity', 'discount']) AS a, unnest(['quantity', 'discount', 'tax', 'discount', 'tax', 'tax']) AS b, unnest([corr(y, quantity), corr(y, discount), corr(y, tax), corr(quantity, discount), corr(quantity, tax), corr(discount, tax)]) AS r FROM l) SELECT a, b, r, abs(r) > 0.9 AS drop_second FROM p", "r")
+@query("correlation_pairs", f"WITH l AS ({LI}), p AS (SELECT unnest(['y', 'y', 'y', 'quantity', 'quantity', 'discount']) AS a, unnest(['quantity', 'discount', 'tax', 'discount', 'tax', 'tax']) AS b, unnest([corr(y, quantity), corr(y, discount), corr(y, tax), corr(quantity, discount), corr(quantity, tax), corr(discount, tax)]) AS r FROM l) SELECT a, b, r, abs(r) > 0.95 AS drop_second FROM p", "r")
 def correlation_pairs(spark, d):
     names = ["y", "quantity", "discount", "tax"]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     row = numeric(spark, d).agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs)).alias("p"))
-    return row.select(F.inline("p")).withColumn("drop_second", F.abs("r") > 0.9)
+    return row.select(F.inline("p")).withColumn("drop_second", F.abs("r") > 0.95)
 
 
-@query("histograms", f"WITH l AS ({LI}), e AS (SELECT min(y) AS lo, max(y) AS hi FROM l) SELECT CAST(least(floor((y - lo) / (hi - lo) * 50), 49) AS BIGINT) AS bin, count(*) AS n, min(y) AS least, max(y) AS most FROM l, e GROUP BY 1", "least most")
+@query(
+    "histograms",
+    "WITH v AS (SELECT model, unnest(['actual', 'predicted', 'residual']) AS series, unnest([y_true, y_pred, y_pred - y_true]) AS v FROM predictions), e AS (SELECT model, series, min(v) AS lo, max(v) AS hi FROM v GROUP BY ALL), t AS (SELECT model, regr_slope(y_pred, y_true) AS trend, regr_slope(abs(y_pred - y_true), y_pred) AS spread FROM predictions GROUP BY model) SELECT model, series, CAST(least(floor((v - lo) / (hi - lo) * 50), 49) AS BIGINT) AS bin, count(*) AS n, min(v) AS least, max(v) AS most, any_value(CASE WHEN series = 'residual' THEN spread ELSE trend END) AS slope FROM v JOIN e USING (model, series) JOIN t USING (model) GROUP BY 1, 2, 3",
+    "least most slope",
+)
 def histograms(spark, d):
-    li = numeric(spark, d)
-    e = li.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    place = F.least(F.floor((F.col("y") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 50), F.lit(49)).cast("long")
-    return li.join(F.broadcast(e), F.lit(True)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("y").alias("least"), F.max("y").alias("most"))
+    """Fifty equal bins of actual and predicted values and of residuals, by model; slope of the trend line (predicted over
+    actual; size of residuals over predicted)."""
+    p = predictions(spark, d)
+    y, q = F.col("y_true"), F.col("y_pred")
+    v = p.select("model", F.explode(F.array(*(F.struct(F.lit(k).alias("series"), c.alias("v")) for k, c in (("actual", y), ("predicted", q), ("residual", q - y))))).alias("x")).select("model", "x.*")
+    edges = v.groupBy("model", "series").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    trend = p.groupBy("model").agg(F.regr_slope("y_pred", "y_true").alias("trend"), F.regr_slope(F.abs(q - y), q).alias("spread"))
+    sides = edges.join(trend, "model").withColumn("slope", F.when(F.col("series") == "residual", F.col("spread")).otherwise(F.col("trend")))  # three rows a model
+    place = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 50), F.lit(49)).cast("long")
+    return v.join(F.broadcast(sides), ["model", "series"]).groupBy("model", "series", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.first("slope").alias("slope"))
 
 
 @query("timing_summary", "SELECT event_type AS operation, count(*) AS n, sum(value) AS total, avg(value) AS mean, min(value) AS least, max(value) AS most, avg(value) > 100 AS over_limit FROM events GROUP BY event_type", "total mean least most", 4)
@@ -349,7 +409,7 @@ def timing_summary(spark, d):
 @query("perf_regression", "WITH h AS (SELECT quantile_cont(event_id, 0.5) AS m FROM events), a AS (SELECT event_type, avg(value) FILTER (event_id < m) AS base, avg(value) FILTER (event_id >= m) AS current FROM events, h GROUP BY event_type) SELECT event_type, base, current, 100.0 * (current - base) / base AS change, 100.0 * (current - base) / base > 10 AS regression FROM a", "base current change")
 def perf_regression(spark, d):
     e = table(spark, d, "events")
-    h = e.agg(F.percentile("event_id", 0.5).alias("m"))
+    h = percentiles(e, "event_id", (0.5,), "q").select(F.col("q")[0].alias("m"))
     first = F.col("event_id") < F.col("m")
     a = e.join(F.broadcast(h), F.lit(True)).groupBy("event_type").agg(F.avg(F.when(first, F.col("value"))).alias("base"), F.avg(F.when(~first, F.col("value"))).alias("current"))
     change = 100.0 * (F.col("current") - F.col("base")) / F.col("base")
@@ -361,11 +421,10 @@ _RULED = "r AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {lit(w)}, {lit(s)})"
 
 
 def ruled_names(spark, d):
-    """Each name with the first rule whose word it holds; the rules are a short fixed list."""
+    """Each name with the first rule whose word it holds; the rules are a short fixed list, tried in order on the row."""
     names = spark.sql(NAMES.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
-    rule = spark.createDataFrame([(i, w, s) for i, (w, s) in enumerate(rules.LICENSE_RULES)], "ord long, word string, status string")
-    found = names.join(F.broadcast(rule), F.contains(F.lower("name"), F.col("word")), "left")
-    return found.groupBy("id").agg(F.coalesce(F.min_by("status", "ord"), F.lit("manual_review")).alias("status"), F.min_by("word", "ord").alias("rule"))
+    rule = F.coalesce(*(F.when(F.contains(F.lower("name"), F.lit(w)), F.struct(F.lit(s).alias("status"), F.lit(w).alias("rule"))) for w, s in rules.LICENSE_RULES))
+    return names.select("id", rule.alias("r")).select("id", F.coalesce("r.status", F.lit("manual_review")).alias("status"), "r.rule")
 
 
 @query("rule_match", f"WITH n AS ({NAMES}), {_RULED} SELECT id, coalesce(arg_min(status, ord), 'manual_review') AS status, arg_min(word, ord) AS rule FROM n LEFT JOIN r ON contains(lower(name), word) GROUP BY id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import extract
 from shelfwise.operators import joins, metrics
+from shelfwise.operators.percentiles import beside, hashed_rank, percentiles
 from shelfwise.plans.extraction import INPUTS_SQL
 from shelfwise.plans.quality import BUCKET, EDGES, ERR, FOLDS, fold_scores
 from shelfwise.plans.registry import query
@@ -73,7 +74,7 @@ def model_pairwise(spark, d):
 @query("baseline_compare", f"WITH {SMAPES}, b AS (SELECT 'mean' AS baseline, avg(abs(m - y_true) / ((abs(m) + abs(y_true)) / 2)) * 100 AS base FROM predictions, (SELECT avg(y_true) AS m FROM predictions) WHERE model = 'm1' UNION ALL SELECT 'median', avg(abs(m - y_true) / ((abs(m) + abs(y_true)) / 2)) * 100 FROM predictions, (SELECT quantile_cont(y_true, 0.5) AS m FROM predictions) WHERE model = 'm1') SELECT model, baseline, base - smape AS improvement, 100 * (base - smape) / base AS percent, bool_and(smape < base) OVER (PARTITION BY model) AS beats_all, CAST(rank() OVER (PARTITION BY baseline ORDER BY smape) AS INT) AS rank FROM s, b", "improvement percent")
 def baseline_compare(spark, d):
     p = predictions(spark, d)
-    c = p.agg(F.avg("y_true").alias("mean"), F.percentile("y_true", 0.5).alias("median"))
+    c = beside(p.agg(F.avg("y_true").alias("mean")), percentiles(p, "y_true", (0.5,), "q").select(F.col("q")[0].alias("median")))
     guess = F.col("g.p")
     base = p.filter("model = 'm1'").join(F.broadcast(c), F.lit(True)).select("y_true", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("p")) for k in ("mean", "median")))).alias("g"))
     base = base.groupBy(F.col("g.k").alias("baseline")).agg(metrics.smape(F.col("y_true"), guess).alias("base"))
@@ -124,10 +125,13 @@ def ensemble_weights(spark, d):
     return joins.inverse_weights(model_scores(spark, d), "smape").select("model", "weight")
 
 
-@query("keep_latest", "SELECT dataset_type, sample_id, CAST(r AS INT) AS age, r <= 3 AS kept FROM (SELECT dataset_type, sample_id, row_number() OVER (PARTITION BY dataset_type ORDER BY CAST(sample_id AS BIGINT) DESC) AS r FROM downloads) WHERE r <= 10")
+@query("keep_latest", "SELECT dataset_type, sample_id, CAST(CASE WHEN r <= 3 THEN r END AS INT) AS age, r <= 3 AS kept FROM (SELECT dataset_type, sample_id, row_number() OVER (PARTITION BY dataset_type ORDER BY CAST(sample_id AS BIGINT) DESC) AS r FROM downloads)")
 def keep_latest(spark, d):
+    """Every row, kept or to be deleted. The three newest of a type are found before the shuffle (a limit per group)."""
     newest = Window.partitionBy("dataset_type").orderBy(F.col("sample_id").cast("long").desc())
-    return downloads(spark, d).select("dataset_type", "sample_id", F.row_number().over(newest).alias("age")).filter("age <= 10").withColumn("kept", F.col("age") <= 3)
+    rows = downloads(spark, d).select("dataset_type", "sample_id")
+    kept = rows.withColumn("age", F.row_number().over(newest)).filter("age <= 3")
+    return rows.join(F.broadcast(kept), ["dataset_type", "sample_id"], "left").withColumn("kept", F.col("age").isNotNull())  # three rows a type
 
 
 @query("keep_best", f"WITH {FOLDS} SELECT model, fold, smape, CAST(row_number() OVER (PARTITION BY model ORDER BY smape, fold) AS INT) AS place FROM f QUALIFY place <= 2", "smape")
@@ -146,14 +150,15 @@ def hash32(column):
 @query("kfold_assign", f"WITH {EDGES} SELECT sample_id, {H32} % 5 AS fold, (row_number() OVER (PARTITION BY {BUCKET} ORDER BY md5(sample_id)) - 1) % 5 AS stratified_fold FROM predictions, e WHERE model = 'm1'")
 def kfold_assign(spark, d):
     b = metrics.with_quantile_bucket(predictions(spark, d).filter("model = 'm1'"), "y_true", 5)
-    inside = Window.partitionBy("bucket").orderBy(F.md5("sample_id"))
-    return b.select("sample_id", (hash32("sample_id") % 5).alias("fold"), ((F.row_number().over(inside) - 1) % 5).cast("long").alias("stratified_fold"))
+    ranked = hashed_rank(b.select("sample_id", "bucket"), "bucket", "sample_id")
+    return ranked.select("sample_id", (hash32("sample_id") % 5).alias("fold"), (F.col("place") % 5).alias("stratified_fold"))
 
 
 @query("holdout_split", f"WITH {EDGES} SELECT sample_id, percent_rank() OVER (PARTITION BY {BUCKET} ORDER BY md5(sample_id)) < 0.2 AS holdout FROM predictions, e WHERE model = 'm1'")
 def holdout_split(spark, d):
     b = metrics.with_quantile_bucket(predictions(spark, d).filter("model = 'm1'"), "y_true", 5)
-    return b.select("sample_id", (F.percent_rank().over(Window.partitionBy("bucket").orderBy(F.md5("sample_id"))) < 0.2).alias("holdout"))
+    ranked = hashed_rank(b.select("sample_id", "bucket"), "bucket", "sample_id")
+    return ranked.select("sample_id", (F.col("place") / F.greatest(F.col("members") - 1, F.lit(1)) < 0.2).alias("holdout"))
 
 
 @query("sample_rows", "SELECT sample_id, price FROM products ORDER BY md5(sample_id) LIMIT 100")

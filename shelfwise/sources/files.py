@@ -16,9 +16,11 @@ LOG_FIELDS = ("timestamp", "level", "message", "module")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark.sparkContext, "_shelfwise_files", None)
         if folder is None:
             folder = spark.sparkContext._shelfwise_files = "file://" + tempfile.mkdtemp(prefix="shelfwise-files-")
@@ -26,7 +28,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    (df.coalesce(1) if one_file else df).write.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", '""').csv(path)
+    (df.repartition(1) if one_file else df).write.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", '""').csv(path)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +62,15 @@ def scan_images(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     return ids.join(images, "file", "left").select("sample_id", status.alias("status"), "image")
 
 
-def fetch_urls(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]], tries: int = 3, done: DataFrame | None = None, parallel: int = 32) -> DataFrame:
+def open_url(url: str) -> tuple[str, bytes]:
+    """Content type and bytes behind a URL."""
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=30) as answer:
+        return answer.headers.get_content_type(), answer.read()
+
+
+def fetch_urls(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]] = open_url, kinds: tuple[str, ...] = ("image/",), tries: int = 3, done: DataFrame | None = None, parallel: int = 32) -> DataFrame:
     """Fetch each different url once: url_hash, url, status, md5, size, attempts, error.
 
     ``fetch(url)`` returns (content type, bytes) or raises; it runs on executors and is tried again with exponential
@@ -81,7 +91,7 @@ def fetch_urls(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]], tries
                     attempt += 1
                     try:
                         kind, data = fetch(url)
-                        if not kind.startswith("image/"):
+                        if not kind.startswith(kinds):
                             error = f"type_{kind}"
                             break
                         body, error = data, None

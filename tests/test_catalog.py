@@ -4,11 +4,13 @@ import json
 import struct
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import clean, extract, rules
-from shelfwise.operators import features, joins, metrics, models
+from shelfwise.operators import features, joins, metrics, models, percentiles
 from shelfwise.plans import catalog
 from shelfwise.sources import files, tables
 from shelfwise.streaming import streams
@@ -53,8 +55,10 @@ def test_pack_quantity_cases(spark):
 
 
 def test_parser(spark):
-    dims = one(spark, ["10cm x 5cm x 2cm", "Diameter: 10cm", "2m x 3m", "none"], lambda t: F.struct(*(c.alias(k) for k, c in extract.dimensions(t).items())))
+    dims = one(spark, ["10cm x 5cm x 2cm", "Diameter: 10cm", "2m x 3m", "none", "Height: 30 cm", "diameter: 2 ft", "Depth 5 mm, 1m x 2m"], lambda t: F.struct(*(c.alias(k) for k, c in extract.dimensions(t).items())))
     assert dims[0].volume == pytest.approx(0.1 * 0.05 * 0.02) and dims[1].diameter == pytest.approx(0.1) and dims[1].area == pytest.approx(3.14159 * 0.0025) and dims[2].area == pytest.approx(6.0) and not dims[3].has_dimensions
+    assert dims[1].radius == pytest.approx(0.05) and (dims[4].labelled_as, dims[4].has_dimensions, dims[4].height) == ("height", False, None) and dims[4].labelled == pytest.approx(0.3)
+    assert dims[5].diameter is None and dims[5].labelled == pytest.approx(0.6096) and dims[6].labelled is None and dims[6].has_dimensions
     assert one(spark, ["Stainless steel and cotton"], lambda t: extract.lexicon(t, rules.MATERIALS)) == [["cotton", "stainless steel"]]
     assert one(spark, ["dark blue or red"], lambda t: extract.lexicon(t, rules.COLORS)) == [["dark blue", "red"]]
     assert one(spark, ["A Nike shoe"], extract.brand)[0].kind == "sportswear"
@@ -163,7 +167,7 @@ def test_models_beat_the_mean(spark):
     assert max(scores.values()) < base / 2
     weights = [r.weight for r in joins.inverse_weights(spark.createDataFrame(list(scores.items()), "model string, smape double"), "smape").collect()]
     assert sum(weights) == pytest.approx(1.0)
-    stacked = models.stack(oof, ["forest", "ridge"])
+    stacked = models.stack(oof, ["forest", "ridge"], 5)
     assert stacked.count() == 400 and stacked.filter("y_pred < 0.01").count() == 0
 
 
@@ -237,3 +241,38 @@ def test_text_vectors_tell_rare_words_apart(spark):
     got = {r.sample_id: tuple(round(x, 6) for x in r.text_vector) for r in catalog.QUERIES["tfidf_svd"](spark, SF).collect()}
     assert got.keys() == texts.keys() and {len(v) for v in got.values()} == {384}
     assert len(set(got.values())) == len(set(texts.values()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_percentiles(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = [1, 7, 1000, 30000][seed]
+    values = np.round(rng.lognormal(size=n), 1 if seed == 3 else 9)
+    rows = [(int(i % 3), float(v)) for i, v in enumerate(values)] + [(0, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    shares = (0.0, 0.01, 0.2, 0.5, 0.77, 0.99, 1.0)
+    assert percentiles.percentiles(df, "v", shares, "q").first().q == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+    by = {r.g: r.q for r in percentiles.percentiles(df, "v", shares, "q", ("g",)).collect()}
+    assert all(q == pytest.approx(np.quantile(values[g::3], shares).tolist(), rel=1e-12) for g, q in by.items()) and len(by) == min(n, 3)
+    assert percentiles.percentiles(df.limit(0), "v", (0.5,), "q").first().q == [None]
+
+
+def test_percentiles_of_a_hot_value(spark):
+    values = [5.0] * 20000 + [float(i) for i in range(10)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert percentiles.percentiles(df, "v", (0.0001, 0.3, 0.9999), "q").first().q == pytest.approx(np.quantile(values, (0.0001, 0.3, 0.9999)).tolist())
+
+
+def test_hashed_rank(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 2).alias("g"))
+    got = percentiles.hashed_rank(df, "g", "id")
+    want = df.withColumn("place", F.rank().over(Window.partitionBy("g").orderBy(F.md5(F.col("id").cast("string")))) - 1)
+    assert got.select("id", "place").subtract(want.select("id", "place")).count() == 0 and got.filter("members <> 2500").count() == 0 and got.columns == ["id", "g", "members", "place"]
+
+
+def test_imputed_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, [1.0, nan, None]), (2, [3.0, 4.0, -inf]), (3, [5.0, 8.0, 9.0])], "id int, v array<double>")
+    zero, mean, whole = features.impute(df, "v", 3)
+    assert {r.id: r.v for r in zero.collect()} == {1: [1.0, 0.0, 0.0], 2: [3.0, 4.0, 0.0], 3: [5.0, 8.0, 9.0]}
+    assert {r.id: r.v for r in mean.collect()} == {1: [1.0, 6.0, 9.0], 2: [3.0, 4.0, 9.0], 3: [5.0, 8.0, 9.0]} and [r.id for r in whole.collect()] == [3]
