@@ -1,13 +1,14 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
-The index posts each template under the rarest word (highest IDF over all documents, ties to the lesser word) of its
-first key phrase, with the word's offset. A file looks up the postings of the words it holds; each hit gives one relative
-position of the template in the file, at which all key phrases must stand, word for word. A phrase that stands in a file
-brings its rarest word with it, so no place is missed.
+Licence words are ranked by IDF over all documents. The index posts each template under the ``POSTED`` rarest words of its
+mandatory key phrases, with their offsets. A file looks up the postings of the rare words it holds; a hit gives a relative
+position of the template in the file, and the postings of a template are intersected by that position. At the positions
+left all key phrases must stand, word for word. A template's key phrases bring its rare words with them at their offsets,
+so no place is missed.
 
-Base templates are the phrases of the contract. The longer ones add labels of their own: such a template is reported when
-its key phrases stand and at least ``COVERAGE`` of its words are in place; ``score`` is the best share of words in place
-over all places where a longer template's key phrases stand (0 without one)."""
+Base templates are the phrases of the contract. The longer ones are licence notices that add labels of their own: such a
+template is reported when its key phrases stand and at least ``COVERAGE`` of its words are in place; ``score`` is the best
+share of words in place over all places where a longer template's key phrases stand (0 without one)."""
 
 from __future__ import annotations
 
@@ -27,13 +28,23 @@ TEMPLATES = [
     ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", ["gnu lesser general public license"]),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
     ("mit-notice", "released under the mit license", ["mit license"]),
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted", "free of charge"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
-]
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ["permission is hereby granted free of charge to any person obtaining a copy", "without restriction including without limitation the rights to use"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify and or distribute this software", "this permission notice appear in all copies"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistribution and use in source and binary forms", "redistributions of source code must retain"]),
+    ("apache-2.0-header", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache license", "you may not use this file except in compliance with the license"]),
+    ("gpl-3.0-header", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license", "free software foundation", "version 3"]),
+    ("gpl-2.0-header", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license", "free software foundation", "version 2"]),
+    ("agpl-3.0-header", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu affero general public license", "version 3"]),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["mozilla public license", "if a copy of the mpl was not distributed"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ["unencumbered software released into the public domain"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose", ["in no event will the authors be held liable", "permission is granted to anyone to use this software"]),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["any person or organization obtaining a copy", "accompanying documentation covered by this license"]),
+]
+POSTED = 2
 
 
 def offset_of(phrase: list[str], text: list[str]) -> int:
@@ -58,10 +69,26 @@ def licence_word_counts(words: DataFrame, vocabulary: list[str]) -> dict[str, in
     return {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
 
 
+def postings(known: list[dict], df: dict[str, int]) -> list[dict[str, list[tuple[int, int]]]]:
+    """For each rank up to ``POSTED``: word -> (template, offset), every template under its word of that rank."""
+    index: list[dict] = [{} for _ in range(POSTED)]
+    for n, t in enumerate(known):
+        offsets = {}
+        for o, key in t["keys"]:
+            for i, w in enumerate(key):
+                offsets.setdefault(w, o + i)
+        for rank, w in enumerate(sorted(offsets, key=lambda w: (df.get(w, 0), w))[:POSTED]):
+            index[rank].setdefault(w, []).append((n, offsets[w]))
+    return index
+
+
 def in_place(key: list[str], at: Column) -> Column:
     return (at >= 0) & (F.slice("words", F.greatest(at, F.lit(0)) + 1, len(key)) == text_array(key))
 
 
+ZERO = 1 << 20  # a template may start before the file
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row per
     row of ``docs``.
@@ -72,46 +99,48 @@ def scan(docs: DataFrame) -> DataFrame:
     known = templates()
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
     words = docs.select("doc_id", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    vocabulary = sorted({w for t in known for w in t["keys"][0][1]})
-    df = licence_word_counts(words, vocabulary)
-    index: dict[str, list[tuple[int, int]]] = {}
-    for n, t in enumerate(known):
-        offset, key = t["keys"][0]
-        rare = min(key, key=lambda w: (df.get(w, 0), w))
-        for i, w in enumerate(key):
-            if w == rare:
-                index.setdefault(rare, []).append((n, offset + i))
-                break
-    postings = F.create_map(*chain.from_iterable((F.lit(w), F.array(*(F.struct(F.lit(n).alias("t"), F.lit(o).alias("o")) for n, o in places))) for w, places in index.items()))
-    rare_words = list(index)
-    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare_words), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
-    found = words.withColumn("hits", hits)
-    places = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(postings, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["o"]).alias("s")))))
-    found = found.withColumn("places", F.when(F.size("hits") > 0, places).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
+    vocabulary = sorted({w for t in known for _, key in t["keys"] for w in key})
+    index = postings(known, licence_word_counts(words, vocabulary))
+    rare = sorted({w for ranked in index for w in ranked})
+    none = F.array().cast("array<bigint>")
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
+    # most texts hold few of the rare words; the positions are taken of those that hold any
+    found = words.withColumn("hits", F.when(F.arrays_overlap("words", text_array(rare)), hits))
+
+    def places(ranked: dict) -> Column:
+        """Template and relative position, as one number, of every hit."""
+        table = F.create_map(*chain.from_iterable((F.lit(w), F.array(*(F.lit((n << 32) + ZERO - o) for n, o in at))) for w, at in ranked.items()))
+        return F.coalesce(F.flatten(F.transform("hits", lambda h: F.coalesce(F.transform(F.try_element_at(table, h["w"]), lambda p: p + h["i"]), none))), none)
+
+    common = places(index[0])
+    for ranked in index[1:]:
+        common = F.array_intersect(common, places(ranked))
+    found = found.withColumn("places", F.when(F.size("hits") > 0, common).otherwise(none))
 
     def stands(n: int) -> Column:
-        """Template starts of template n at which all of its key phrases stand."""
+        """Starts of template n at which all of its key phrases stand."""
+        mine = F.transform(F.filter("places", lambda p: F.shiftright(p, 32) == n), lambda p: (p.bitwiseAND(F.lit((1 << 32) - 1)) - ZERO).cast("int"))
 
-        def check(p):
+        def check(s):
             ok = F.lit(True)
             for o, key in known[n]["keys"]:
-                ok = ok & in_place(key, p["s"] + o)
-            return (p["t"] == n) & ok
+                ok = ok & in_place(key, s + o)
+            return ok
 
-        return F.transform(F.filter("places", check), lambda p: p["s"])
+        return F.filter(mine, check)
 
     base = [n for n, t in enumerate(known) if t["base"]]
     longer = [n for n, t in enumerate(known) if not t["base"]]
     found = found.select("doc_id", "words", *(stands(n).alias(f"at{n}") for n in range(len(known))))
 
     def coverage(n: int) -> Column:
+        """Greatest share of the words of template n that stand in place."""
         want = known[n]["words"]
 
         def share(s):
-            right = F.lit(0)
-            for j, w in enumerate(want):
-                right = right + F.when(F.get("words", s + j) == w, 1).otherwise(0)
-            return right / F.lit(float(len(want)))
+            skip = F.greatest(-s, F.lit(0))
+            same = F.zip_with(F.slice("words", F.greatest(s, F.lit(0)) + 1, F.lit(len(want)) - skip), F.slice(text_array(want), skip + 1, F.lit(len(want)) - skip), lambda a, b: F.coalesce(a == b, F.lit(False)))
+            return F.size(F.filter(same, lambda x: x)) / F.lit(float(len(want)))
 
         return F.coalesce(F.array_max(F.transform(f"at{n}", share)), F.lit(0.0))
 
@@ -144,8 +173,8 @@ def _starts(key: str) -> str:
 def _share(t: dict) -> str:
     n = len(t["words"])
     ok = " AND ".join(f"s + {o} >= 0 AND words[greatest(s + {o}, 0) + 1 : greatest(s + {o}, 0) + {len(k)}] = [{', '.join(repr(w) for w in k)}]" for o, k in t["keys"])
-    right = " + ".join(f"CASE WHEN s + {j} >= 0 AND words[greatest(s + {j}, 0) + 1] = {w!r} THEN 1 ELSE 0 END" for j, w in enumerate(t["words"]))
-    return f"coalesce(list_max(list_transform(list_filter(list_transform({_starts(' '.join(t['keys'][0][1]))}, lambda i: i - {t['keys'][0][0]}), lambda s: {ok}), lambda s: ({right}) / CAST({n} AS DOUBLE))), 0)"
+    right = f"list_sum(list_transform(range(0, {n}), lambda j: CASE WHEN s + j >= 0 AND words[greatest(s + j, 0) + 1] = [{', '.join(repr(w) for w in t['words'])}][j + 1] THEN 1 ELSE 0 END))"
+    return f"coalesce(list_max(list_transform(list_filter(list_transform({_starts(' '.join(t['keys'][0][1]))}, lambda i: i - {t['keys'][0][0]}), lambda s: {ok}), lambda s: {right} / CAST({n} AS DOUBLE))), 0)"
 
 
 def op1_sql() -> str:

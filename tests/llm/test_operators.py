@@ -43,6 +43,24 @@ def test_license_places(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_templates(spark):
+    """Every template is found at its place, in whole, cut at the start and with changed words, in small and long texts."""
+    known = [t for t in licenses.templates() if not t["base"]]
+    filler = "some words of another text " * 300
+    made = []
+    for n, t in enumerate(known):
+        w = list(t["words"])
+        made.append((n, "An intro. " + " ".join(w).upper() + ", and more."))
+        made.append((n + 100, filler + " ".join(w) + " " + filler))
+        first = min(o for o, _ in t["keys"])
+        made.append((n + 200, " ".join(w[min(first, 1) :])))
+        made.append((n + 300, " ".join(w).replace(t["keys"][0][1][0], "x")))  # a key phrase is broken
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for n, t in enumerate(known):
+        assert t["label"] in got[n].labels.split(",") and got[n].score == 1.0 and t["label"] in got[n + 100].labels.split(",")
+        assert got[n + 200].score >= licenses.COVERAGE and t["label"] not in got[n + 300].labels.split(",")
+
+
 # winnowing
 
 
