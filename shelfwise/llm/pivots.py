@@ -24,12 +24,10 @@ SPARE = 8  # rows looked at for each pivot, as pivots are different vectors
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows with an id and a vector that is not null or zero and whose components are finite; all of the commonest length."""
+    """Rows with an id and a vector that is not null or zero and whose components are finite."""
     v = F.col("embedding")
     fit = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & fit)
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.filter(F.size("embedding") == sizes[0].n) if sizes else rows.limit(0)
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & fit)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -121,12 +119,22 @@ def search(n_pivots: int, k: int):
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> query_id, rank, vec_id, score for every row that ``is_query`` accepts.
 
-    Candidates are all usable rows of another id. Ties go to the smaller id; repeated ids count once. Rows that are not
-    usable take no part; a query without candidates has no rows. Extra columns are ignored."""
-    spark = vectors.sparkSession
-    ship(spark)
+    Candidates are all usable rows of another id and of the query's length, as vectors of different lengths have no inner
+    product; each length that occurs has an index of its own. Ties go to the smaller id; repeated ids count once. Rows that
+    are not usable take no part; a query without candidates has no rows. Extra columns are ignored."""
+    ship(vectors.sparkSession)
     rows = materialize(usable(vectors), "vectors")
-    n = rows.count()
+    sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy("size").collect()  # a row per length
+    parts = [nearest_of_length(rows.filter(F.size("embedding") == r.size), r["count"], is_query, k) for r in sizes]
+    out = parts[0] if parts else nearest_of_length(rows, 0, is_query, k)
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def nearest_of_length(rows: DataFrame, n: int, is_query, k: int) -> DataFrame:
+    """As ``nearest``, for n usable rows of one length."""
+    spark = rows.sparkSession
     n_pivots = max(1, min(PIVOTS, n // 32))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots * SPARE).select("embedding").collect()
     sample = list({tuple(r.embedding): r for r in sample}.values())[:n_pivots]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from shelfwise.llm.automaton import OP6_SQL, op6_substring_dedup
 from shelfwise.llm.huffman import op3_token_ids
-from shelfwise.llm.jaccard import op4_ngram_jaccard
+from shelfwise.llm.jaccard import OP4_SQL, op4_ngram_jaccard
 from shelfwise.llm.langid import op2_language_id
 from shelfwise.llm.licenses import op1_license_scan, op1_sql
 from shelfwise.llm.pieces import op7_sentencepiece
 from shelfwise.llm.pivots import op8_nearest_neighbours
-from shelfwise.llm.suffix_array import op5_suffix_array_dedup
+from shelfwise.llm.suffix_array import op5_sql, op5_suffix_array_dedup
 from shelfwise.llm.templates import OP9_SQL, op9_line_dedup
 from shelfwise.llm.winnowing import OP10_SQL, op10_benchmark_decontamination
 
@@ -28,6 +28,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": op1_sql(),
+    "op4_ngram_jaccard": OP4_SQL,
+    "op5_suffix_array_dedup": op5_sql(),
     "op6_substring_dedup": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_benchmark_decontamination": OP10_SQL,

@@ -130,8 +130,9 @@ def repeated_windows(docs: DataFrame, unit: Unit, shard: Callable, route: Callab
     if repeated is None:
         found = found.join(seen.select("key"), "key", "left_semi")
     found = materialize(found, "occurrences")
-    # summed before the join: one key may hold a large part of all places
+    # summed and written before the join: one key may hold a large part of all places, or of all contexts
     summed = found.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("ord", "row", "first")).alias("at"))
+    summed = materialize(summed, "sums")
     kinds = materialize(summed.join(seen, "key"), "contexts")
     groups = kinds.filter("mixed").groupBy("key").agg(F.count("*").alias("n_ctx"))
     bodies = found.filter("tokens is not null").groupBy("key", "ctx").agg(F.first("tokens").alias("tokens"))
@@ -141,7 +142,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, shard: Callable, route: Callab
     large = route(bodies.filter(F.col("n_ctx") > GROUP).drop("n_ctx"), unit)
     results = kinds.select("key", "ctx", "n", "at").join(small.unionByName(large), ["key", "ctx"], "left").filter("n > 1 or starts is not null")
     results = materialize(results, "findings")
-    drop_scratch(seen, kinds, bodies)
+    drop_scratch(seen, summed, kinds, bodies)
     return found, results
 
 

@@ -258,3 +258,28 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op5_sql(window: int = UNIT.window) -> str:
+    """Equal 200-byte strings by names of 2, 4, ... 128 bytes (each names the pairs of the last), and 200 = 128 + 64 + 8."""
+    powers = [1 << k for k in range(window.bit_length()) if window >> k & 1][::-1]  # the string is cut into these
+    steps, kept = [], []
+    for k in range(powers[0].bit_length() - 1):
+        if 1 << k in powers:
+            kept.append(f"r AS r{1 << k}")
+        held = "".join(f"{x}, " for x in kept)
+        steps.append(f"s{k + 1} AS (SELECT doc_id, i, x, {held}dense_rank() OVER (ORDER BY r, s) AS r FROM (SELECT *, lead(r, {1 << k}) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM s{k})),")
+        kept = [x.split(" AS ")[-1] for x in kept]
+    parts = [f"lead({'r' if p == powers[0] else f'r{p}'}, {sum(powers[:j])}) OVER d AS p{j}" for j, p in enumerate(powers)]
+    names = ", ".join(f"p{j}" for j in range(len(powers)))
+    newline = "\n"
+    return f"""
+WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(coalesce(text, '')), '..')) AS x, unnest(range(0, len(regexp_extract_all(hex(coalesce(text, '')), '..')))) AS i FROM documents),
+s0 AS (SELECT doc_id, i, x, ascii(x[1]) * 256 + ascii(x[2]) AS r FROM b),
+{newline.join(steps)}
+w AS (SELECT doc_id, i, x, CASE WHEN lead(i, {window - 1}) OVER d IS NOT NULL THEN count(*) OVER (PARTITION BY {names}) END AS n FROM (SELECT doc_id, i, x, {', '.join(parts)} FROM s{len(steps)} WINDOW d AS (PARTITION BY doc_id ORDER BY i)) WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, x, coalesce(i - max(CASE WHEN n > 1 THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < {window}, false) AS gone FROM w),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM c),
+f AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, sha256(unhex(coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256 FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents LEFT JOIN f USING (doc_id)
+"""

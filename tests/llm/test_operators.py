@@ -251,10 +251,11 @@ def test_neighbours_among_equal_vectors(spark):
 
 
 def test_neighbours_on_odd_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (None, [1.0, 1.0]), (7, [1.0]), (1, [0.5, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (None, [1.0, 1.0]), (7, [1.0]), (1, [0.5, 0.0]), (8, [2.0]), (9, [3.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in pivots.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
+    assert [tuple(r) for r in pivots.nearest(df, F.col("vec_id").isin(7, 9)).select("query_id", "rank", "vec_id", "score").collect()] == [(7, 1, 8, 2.0)]
     assert pivots.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
@@ -289,6 +290,47 @@ def test_language_fusion_matches_counts(spark):
     assert langid.fuse(df.limit(0), names, table).count() == 0
 
 
+def test_language_fusion_over_a_table(spark):
+    """Bayes' rule written out row by row, over pages of many hosts, with gaps in every kind of evidence."""
+    rng = random.Random(11)
+    names, say = ["de", "en", "fr"], {"de": "und der die das ist", "en": "the and of this is", "fr": "le la les et est"}
+    table = np.zeros((langid.SLOTS, 3), np.float32)
+    for j, name in enumerate(names):
+        table[langid.trigrams(np.frombuffer(say[name].encode(), np.uint8)), j] = 1.5
+    rows = []
+    for i in range(120):
+        name = rng.choice(names)
+        text = rng.choice([None, "", "12 34", *[" ".join(rng.choice(say[name].split()) for _ in range(rng.randrange(1, 9)))] * 6])
+        domain = rng.choice([None, "a.x", "b.y", "c.z"])
+        host = rng.choice([None, f"h{rng.randrange(3)}.{domain}"]) if domain else None
+        rows.append((i, text, rng.choice([None, name, "xx"]), rng.choice([None, "x", "y"]), domain, host))
+    df = spark.createDataFrame(rows, "key long, text string, declared string, suffix string, domain string, host string").repartition(3)
+    got = {r.key: r for r in langid.fuse(df, names, table).collect()}
+    scores, votes = {}, {}
+    for i, text, *_ in rows:
+        d = np.frombuffer((text or "").encode(), np.uint8)
+        slots = langid.trigrams(d)
+        scores[i] = table[slots].sum(axis=0) / len(slots) * langid.TEXT_WEIGHT * min(len(slots), langid.TEXT_BYTES) if len(slots) else np.zeros(3)
+        if len(d) and langid.letters(d).any():
+            votes[i] = int(np.argmax(np.exp(scores[i] - scores[i].max()) / np.exp(scores[i] - scores[i].max()).sum()))
+    total = np.array([sum(v == j for v in votes.values()) for j in range(3)]) + 1.0
+    world = total / total.sum()
+    count = lambda at, value, but=None: np.array([sum(votes.get(r[0]) == j and r[at] == value and r[0] != but for r in rows) for j in range(3)], float)
+    for r in rows:
+        i, _, declared, suffix, domain, host = r
+        log = scores[i].copy() if i in votes else np.zeros(3)
+        for at, value in ((2, declared), (3, suffix)):
+            if value is not None and count(at, value).any():
+                log += np.log((count(at, value) + world) / total)
+        d = count(4, domain, i) if domain else np.zeros(3)
+        prior = (d + langid.SMOOTH * world) / (d.sum() + langid.SMOOTH)
+        h = count(5, host, i) if host else np.zeros(3)
+        prior = (h + langid.SMOOTH * prior) / (h.sum() + langid.SMOOTH)
+        p = np.exp(log + np.log(prior))
+        assert got[i].confidence == pytest.approx(p.max() / p.sum(), rel=1e-4), i
+        assert got[i].lang == names[int(np.argmax(p))]
+
+
 def test_page_evidence(spark):
     rows = [(1, "https://u@M.x.example.com:80/a?b", '<html lang="FR"><script>var t="</p>";</script><p>Un <b>mot</b><!-- no --></p>'), (2, None, None), (3, "no url", "<p>x")]
     got = {r.key: r for r in langid.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -336,6 +378,47 @@ def test_lines_of_one_long_list(spark):
 # pipeline
 
 
+def brute_lines(texts):
+    """Texts without their recurring lines, by the definition: leaves, constant tokens, templates, first place."""
+    parsed = []
+    for d, text in enumerate(texts):
+        for number, line in enumerate((text or "").split("\n")):
+            if line.count(" ") + 1 >= templates.LEAST_TOKENS and line.strip():
+                masked = re.sub("[^ ]*[0-9][^ ]*", "<*>", line)
+                token = masked.split(" ")
+                parsed.append((d, number, masked, (len(token), *token[: templates.DEPTH]), token))
+    held = {(leaf, masked, d) for d, _, masked, leaf, _ in parsed}
+    at = Counter((leaf, j, t) for leaf, masked, _ in held for j, t in enumerate(masked.split(" ")))
+    of, found = {}, {}
+    for d, number, masked, leaf, token in parsed:
+        shape = tuple(t if t != "<*>" and at[leaf, j, t] >= templates.LEAST_DOCS else "<*>" for j, t in enumerate(token))
+        if sum(t != "<*>" for t in shape) >= len(shape) * templates.LEAST_CONSTANT:
+            of[d, number] = (leaf, shape)
+            found.setdefault((leaf, shape), []).append((d, number))
+    gone = {p for places in found.values() if len({d for d, _ in places}) >= templates.LEAST_DOCS for p in places if p != min(places)}
+    return [t if t is None or not any((d, n) in gone for n in range(t.count("\n") + 1)) else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in enumerate(texts)]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages after language ID on its own result, each written out plainly."""
+    import sentencepiece
+
+    import corpus_pipeline
+    from test_dedup import groups
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = sorted((r.doc_id, r.text) for r in langid.keep_identified(spark, docs, SF).collect())
+    texts = brute_lines([t for _, t in kept])
+    one = {i: c for i, _, c in groups([(i, t) for (i, _), t in zip(kept, texts, strict=True)])}
+    rows = [(i, t) for (i, _), t in zip(kept, texts, strict=True) if one[i] == i]
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hit = {r[0] for r in contaminated(rows, items) if r[-1]}
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    want = sorted((i, len(ids), zlib.crc32(np.array(ids, np.uint32).tobytes())) for i, t in rows if i not in hit for ids in [sp.encode(t or "")])
+    got = sorted((r.doc_id, r.n_pieces, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == want and 0 < len(got) < len(kept)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
