@@ -139,28 +139,27 @@ def specifications(text: Column) -> Column:
 
 
 def text_statistics(text: Column) -> dict[str, Column]:
+    """Counts over the whole text; words are taken apart only to count the different ones."""
     text = F.btrim(F.coalesce(text, F.lit("")))
     chars = F.greatest(F.length(text), F.lit(1))
-    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
-    n = F.size(words)
+    times = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    n = times(r"\S+")
     least = F.greatest(n, F.lit(1))
-    pieces = F.split(text, r"[.!?]+", -1)
-    of = lambda pattern: F.regexp_count(text, F.lit(pattern)) / chars
-    share = lambda test: F.size(F.filter(words, test)) / least
+    of = lambda pattern: times(pattern) / chars
     return {
         "char_count": F.length(text).cast("long"),
         "word_count": n.cast("long"),
-        "sentence_count": F.size(F.filter(pieces, lambda s: F.regexp_replace(s, r"\s", "") != "")).cast("long"),
-        "avg_word_length": F.when(n > 0, F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / n).otherwise(0.0),
-        "avg_sentence_length": n / F.greatest(F.size(pieces), F.lit(1)),
+        "sentence_count": times(r"[^.!?\s][^.!?]*").cast("long"),  # stretches between end marks that hold more than spaces
+        "avg_word_length": F.when(n > 0, (F.length(text) - times(r"\s")) / n).otherwise(0.0),
+        "avg_sentence_length": n / (times("[.!?]+") + 1),
         "uppercase_ratio": of(r"\p{Lu}"),
         "lowercase_ratio": of(r"\p{Ll}"),
         "digit_ratio": of("[0-9]"),
         "punctuation_ratio": of(r"[!-/:-@\[-`{-~]"),
         "whitespace_ratio": of(r"\s"),
-        "unique_word_ratio": F.size(F.array_distinct(words)) / least,
-        "long_word_ratio": share(lambda w: F.length(w) > 6),
-        "short_word_ratio": share(lambda w: F.length(w) <= 3),
+        "unique_word_ratio": F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))) / least,
+        "long_word_ratio": times(r"\S{7,}") / least,
+        "short_word_ratio": (n - times(r"\S{4,}")) / least,
         "has_numbers": text.rlike("[0-9]"),
         "has_special_chars": text.rlike(r"[!@#$%^&*()]"),
         "has_urls": text.rlike(r"https?://|www\."),
@@ -169,17 +168,19 @@ def text_statistics(text: Column) -> dict[str, Column]:
 
 
 def readability(text: Column) -> dict[str, Column]:
-    """Flesch ease and grade, automated readability and Coleman-Liau; words without vowels count one syllable."""
+    """Flesch ease and grade, automated readability and Coleman-Liau; words without vowels count one syllable.
+
+    A word has a syllable for each vowel group, less one for a final e that is not its only group, and one at least. Over
+    a text that is: vowel groups, plus words without one, less words that end in e after an earlier group."""
     text = F.btrim(F.coalesce(text, F.lit("")))
-    sentences = F.size(F.split(text, r"[.!?]+", -1))
+    low = F.lower(text)
+    sentences = F.regexp_count(text, F.lit("[.!?]+")) + 1
     words = F.regexp_count(text, F.lit(r"\S+"))
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-
-    def syllables(w):
-        groups = F.regexp_count(w, F.lit("[aeiouy]+"))
-        return F.greatest(groups - F.when(F.endswith(w, F.lit("e")) & (groups > 1), 1).otherwise(0), F.lit(1))
-
-    beats = F.greatest(F.aggregate(tokens, F.lit(0), lambda a, w: a + syllables(w)), F.lit(1))
+    letter, other = r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_&&[^aeiouy]]"
+    groups = F.regexp_count(low, F.lit("[aeiouy]+"))
+    none = F.regexp_count(low, F.lit(f"(?<!{letter}){other}+(?!{letter})"))
+    silent = F.regexp_count(low, F.lit(f"[aeiouy]{other}+[aeiouy]*e(?!{letter})"))
+    beats = F.greatest(groups + none - silent, F.lit(1))
     letters = F.length(F.regexp_replace(text, r"\s", ""))
     some = words > 0
     score = lambda c: F.when(some, F.greatest(c, F.lit(0.0))).otherwise(0.0)

@@ -107,6 +107,27 @@ def tfidf_svd(df: DataFrame, text: str, k: int, vocabulary: int = 1000) -> DataF
     return weighted.withColumn("text_vector", onto(vector_to_array("tfidf"))).drop("words", "kept", "pairs", "terms", "tf", "tfidf")
 
 
+def encode_words(df: DataFrame, vocabulary: list[str], length: int) -> DataFrame:
+    """(doc_id, ws: words, at most ``length``) -> doc_id, ids: place in the vocabulary from 2, 0 for other words, filled up
+    with 1. The vocabulary has a fixed size and is broadcast; words are looked up a batch at a time."""
+    known = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = pa.array(known.value, pa.string())
+        for batch in batches:
+            words = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = np.ones((len(words), length), np.int32)
+            ids[np.arange(length)[None] < size[:, None]] = pc.fill_null(pc.add(pc.index_in(words.flatten(), table), 2), 0).to_numpy(zero_copy_only=False)
+            flat = pa.array(ids.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * length, pa.int32()), flat)], names=["doc_id", "ids"])
+
+    return df.mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol=name, handleInvalid="error").transform(df)
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions import extract, rules
+from shelfwise.operators import features
 from shelfwise.plans.registry import case_contains, contains_any, lit, query
 from shelfwise.sources.tables import downloads, predictions, products, table
 
@@ -239,7 +240,7 @@ def url_features(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5("url").alias("url_hash"), name.alias("file_name"), F.nullif(F.lower(F.regexp_extract(base, r"[.]([A-Za-z0-9]+)$", 1)), F.lit("")).alias("extension"))
 
 
-VOCAB, SEQUENCE = 1000, 16
+VOCAB, SEQUENCE = 50_000 - 2, 512
 _tok = r"[\p{L}\p{N}_]+"
 
 
@@ -253,12 +254,8 @@ def vocab_encode(spark, d):
     """Ids from 2 for the commonest words, 0 for others, 1 to fill up to a fixed length; the vocabulary has at most VOCAB rows."""
     words = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_tok), F.lit(0)).alias("ws"))
     top = words.select(F.explode("ws").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCAB)
-    vocab = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "w"))), lambda x: x["w"]).alias("vocab"))
-    # a map costs one look-up a word, where array_position would scan
-    table_of = vocab.select(F.map_from_arrays("vocab", F.transform("vocab", lambda w, i: i + 2)).alias("ids"))
-    ids = F.transform(F.slice("ws", 1, SEQUENCE), lambda w: F.coalesce(F.element_at("ids", w), F.lit(0)))
-    padded = F.slice(F.concat(ids, F.array_repeat(F.lit(1), SEQUENCE)), 1, SEQUENCE)
-    return words.join(F.broadcast(table_of), F.lit(True)).select("doc_id", F.array_join(padded.cast("array<string>"), " ").alias("ids"))
+    ids = features.encode_words(words.select("doc_id", F.slice("ws", 1, SEQUENCE).alias("ws")), [r.w for r in top.collect()], SEQUENCE)
+    return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("vocab_topn", f"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {lit(_tok)})) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 50")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.functions import rules
 from shelfwise.sources import tables
 
 QUERIES: dict = {}
@@ -45,6 +44,3 @@ def contains_any(text: str, words: list[str]) -> str:
 
 def case_contains(text: str, pairs, default) -> str:
     return "CASE " + " ".join(f"WHEN contains({text}, {lit(w)}) THEN {v if isinstance(v, (int, float)) else lit(v)}" for w, v in pairs) + f" ELSE {default} END"
-
-
-__all__ = ["ORACLES", "QUERIES", "case_contains", "contains_any", "lit", "query", "rules"]
