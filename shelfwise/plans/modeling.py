@@ -55,30 +55,31 @@ def scale_features(spark, d):
     return out
 
 
-def fused_inputs(spark, d):
-    x = extract.model_inputs(F.col("catalog_content"))
-    text = products(spark, d).select("sample_id", "price", F.array(x["total_words"], x["total_chars"], x["digit_ratio"]).alias("t"))
-    return text.join(image_vectors(spark, d), "sample_id").withColumn("i", F.slice("image_vector", 1, 5))
-
-
 def whole_inputs(spark, d):
     """Every product with its text values and its whole image vector; a missing one is zeros."""
     x = extract.model_inputs(F.col("catalog_content"))
-    text = products(spark, d).select("sample_id", "price", F.array(x["total_words"], x["total_chars"], x["digit_ratio"]).alias("t"))
+    text = products(spark, d).select("sample_id", "price", "fold", F.array(x["total_words"], x["total_chars"], x["digit_ratio"]).alias("t"))
     none = F.array_repeat(F.lit(0.0), IMAGE_VALUES)
     return text.join(image_vectors(spark, d), "sample_id", "left").withColumn("i", F.coalesce("image_vector", none)).drop("image_vector")
 
 
-@query("fuse_weighted", f"SELECT sample_id, 0.6 * total_words + 0.4 * CAST(embedding[1] AS DOUBLE) AS a, 0.6 * total_chars + 0.4 * CAST(embedding[2] AS DOUBLE) AS b, 0.6 * digit_ratio + 0.4 * CAST(embedding[3] AS DOUBLE) AS c, 0.4 * CAST(embedding[4] AS DOUBLE) AS e, 0.4 * CAST(embedding[5] AS DOUBLE) AS f FROM ({INPUTS_SQL}) JOIN embeddings ON CAST(vec_id AS VARCHAR) = sample_id", "a b c e f", 5)
+_whole = f"w AS (SELECT f.sample_id, p.fold, [CAST(total_words AS DOUBLE), CAST(total_chars AS DOUBLE), CAST(digit_ratio AS DOUBLE)] AS t, coalesce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(range(0, {IMAGE_VALUES}), lambda x: CAST(0 AS DOUBLE))) AS v FROM ({INPUTS_SQL}) f JOIN products p USING (sample_id) LEFT JOIN embeddings ON CAST(vec_id AS VARCHAR) = f.sample_id)"
+
+
+@query("fuse_weighted", f"WITH {_whole} SELECT sample_id, CAST(i - 1 AS INT) AS i, 0.6 * coalesce(t[i], 0) + 0.4 * v[i] AS value FROM w, unnest(range(1, {IMAGE_VALUES + 1})) AS u(i)", "value", 5)
 def fuse_weighted(spark, d):
-    v = fused_inputs(spark, d).select("sample_id", features.fuse_weighted(F.col("t"), F.col("i"), 0.6, 0.4).alias("v"))
-    return v.select("sample_id", *(F.col("v")[i].alias(k) for i, k in enumerate("abcef")))
+    """Every component of the weighted sum of text values and image vector; the shorter one is filled with zeros."""
+    v = whole_inputs(spark, d).select("sample_id", features.fuse_weighted(F.col("t"), F.col("i"), 0.6, 0.4).alias("v"))
+    return v.select("sample_id", F.posexplode("v").alias("i", "value"))
 
 
-@query("fuse_concat")
+@query("fuse_concat", f"WITH {_whole}, m AS (SELECT [avg(t[1]), avg(t[2]), avg(t[3])] AS m, [stddev_pop(t[1]), stddev_pop(t[2]), stddev_pop(t[3])] AS s FROM w WHERE fold <> 0) SELECT sample_id, CAST(i - 1 AS INT) AS i, CASE WHEN i <= 3 THEN (t[i] - m[i]) / CASE WHEN s[i] = 0 THEN 1 ELSE s[i] END ELSE v[i - 3] END AS value FROM w, m, unnest(range(1, {IMAGE_VALUES + 4})) AS u(i)", "value", 5)
 def fuse_concat(spark, d):
-    rows = whole_inputs(spark, d).select("sample_id", features.as_vector("t").alias("tv"), features.as_vector("i").alias("iv"))
-    return features.assemble(rows, ["tv", "iv"]).select("sample_id", vector_to_array("features").alias("features"))
+    """Text values, scaled by the mean and spread of the training rows, before the image vector."""
+    rows = whole_inputs(spark, d).select("sample_id", "fold", "i", *(F.col("t")[j].alias(f"t{j}") for j in range(3)))
+    scaled = features.apply_scaling(rows, *features.scaling(rows.filter("fold <> 0"), ["t0", "t1", "t2"], "standard"))
+    joined = scaled.withColumn("t", F.array("t0", "t1", "t2")).select("sample_id", features.as_vector("t").alias("tv"), features.as_vector("i").alias("iv"))
+    return features.assemble(joined, ["tv", "iv"]).select("sample_id", F.posexplode(vector_to_array("features")).alias("i", "value"))
 
 
 @query("fuse_gated")
@@ -309,12 +310,15 @@ def score_pipeline(spark, d):
 
 @query("model_save_load")
 def model_save_load(spark, d):
-    path = files.scratch(spark, "model")
+    """Two models are saved with their metadata; the most recent one is found, loaded and scores as before."""
+    folder = files.scratch(spark, "models")
+    files.save_model(fitted(spark, d, "ridge"), folder, "ridge", {"trees": "0"})
     model = fitted(spark, d, "forest")
-    model.write().overwrite().save(path)
+    files.save_model(model, folder, "forest", {"trees": "8"})
+    loaded, about = files.load_model(spark, folder)
     a = models.score_pipeline(model, products(spark, d)).withColumnRenamed("y_pred", "before")
-    b = models.score_pipeline(PipelineModel.load(path), products(spark, d)).withColumnRenamed("y_pred", "after")
-    return a.join(b, "sample_id").agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col("before") - F.col("after")) > 1e-9).alias("different"))
+    b = models.score_pipeline(loaded, products(spark, d)).withColumnRenamed("y_pred", "after")
+    return a.join(b, "sample_id").agg(F.lit(about["name"]).alias("name"), F.count("*").alias("rows"), F.count_if(F.abs(F.col("before") - F.col("after")) > 1e-9).alias("different"))
 
 
 @query("csv_scan", "SELECT sample_id, catalog_content, image_link, price_text AS price FROM products WHERE price_text <> ''")
@@ -376,13 +380,19 @@ def submission_readback(spark, d):
     return files.read_back_submission(submission(spark, d), path)
 
 
-@query("embedding_write_read", "SELECT vec_id, len(embedding) AS dims, 'v2' AS version FROM embeddings WHERE vec_id % 2 = 0")
+@query("embedding_write_read", "SELECT vec_id, len(embedding) AS dims, 'v2' AS version, CAST(embedding[1] AS DOUBLE) * 2 AS first_value, 'v1,v2' AS versions FROM embeddings", "first_value")
 def embedding_write_read(spark, d):
+    """Two versions of all vectors, the second doubled; the second is read, checked against its manifest. A third is written
+    and deleted."""
     path = files.scratch(spark, "embeddings")
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    files.write_embeddings(e, path, "v1")
-    files.write_embeddings(e.filter("vec_id % 2 = 0"), path, "v2")
-    return files.read_embeddings(spark, path, "v2", 64).select("vec_id", F.size("embedding").cast("long").alias("dims"), "version")
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    files.write_embeddings(e, path, "v1", {"scale": "1"})
+    files.write_embeddings(e.withColumn("embedding", F.transform("embedding", lambda x: x * 2)), path, "v2", {"scale": "2"})
+    files.write_embeddings(e, path, "v3")
+    files.delete_embeddings(spark, path, "v3")
+    versions = files.embedding_versions(spark, path).agg(F.array_join(F.array_sort(F.collect_list("version")), ",").alias("versions"))
+    read = files.read_embeddings(spark, path, "v2", 64)
+    return read.join(F.broadcast(versions), F.lit(True)).select("vec_id", F.size("embedding").cast("long").alias("dims"), "version", F.col("embedding")[0].alias("first_value"), "versions")
 
 
 @query("report_write", f"WITH {SMAPES} SELECT model, smape, r2 FROM s", "smape r2")

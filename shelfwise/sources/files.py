@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,11 +122,61 @@ def read_back_submission(df: DataFrame, path: str, tolerance: float = 1e-6) -> D
     )
 
 
-def write_embeddings(df: DataFrame, path: str, version: str) -> None:
-    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row: number of rows and a checksum of ids and vectors that does not depend on their order."""
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64("vec_id", "embedding")), F.lit(0)).alias("checksum"))
+
+
+def write_embeddings(df: DataFrame, path: str, version: str, metadata: dict[str, str] | None = None) -> None:
+    """Write a version of (vec_id, embedding) and its manifest: rows, checksum and metadata."""
+    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(f"{path}/vectors")
+    about = F.create_map(*(F.lit(x) for pair in (metadata or {}).items() for x in pair)).cast("map<string,string>")
+    fingerprint(df).select(F.lit(version).alias("version"), "rows", "checksum", F.current_timestamp().alias("written"), about.alias("metadata")).write.mode("append").json(f"{path}/manifest")
+
+
+MANIFEST = "version string, rows long, checksum long, written timestamp, metadata map<string,string>, deleted boolean"
+
+
+def embedding_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest rows of the versions that are there."""
+    rows = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    return rows.join(rows.filter("deleted").select("version"), "version", "left_anti").drop("deleted")
+
+
+def delete_embeddings(spark: SparkSession, path: str, version: str) -> None:
+    """Mark a version as deleted, then delete its files."""
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(True).alias("deleted")).write.mode("append").json(f"{path}/manifest")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/vectors/version={version}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read_embeddings(spark: SparkSession, path: str, version: str, dims: int) -> DataFrame:
-    """One version; other versions' files are not opened. A vector of another length is an error when it is read."""
-    v = spark.read.parquet(path).filter(F.col("version") == version)
+    """One version; other versions' files are not opened. Rows and checksum must be those of the manifest; a vector of
+    another length is an error when it is read."""
+    known = embedding_versions(spark, path).filter(F.col("version") == version).collect()
+    if not known:
+        raise ValueError(f"no version {version}")
+    v = spark.read.parquet(f"{path}/vectors").filter(F.col("version") == version)
+    found = fingerprint(v).first()
+    if (found.rows, found.checksum) != (known[0].rows, known[0].checksum):
+        raise ValueError(f"version {version} is not what was written")
     return v.withColumn("embedding", F.when(F.size("embedding") == dims, F.col("embedding")).otherwise(F.raise_error(F.lit("embedding has another length"))))
+
+
+def save_model(model: PipelineModel, folder: str, name: str, metadata: dict[str, str]) -> str:
+    """Save a fitted pipeline under a new path in ``folder``, and a line of metadata beside it."""
+    spark = SparkSession.active()
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    about = F.create_map(*(F.lit(x) for pair in metadata.items() for x in pair)).cast("map<string,string>")
+    spark.range(1).select(F.lit(name).alias("name"), F.lit(path).alias("path"), F.current_timestamp().alias("saved"), about.alias("metadata")).write.mode("append").json(f"{folder}/about")
+    return path
+
+
+def load_model(spark: SparkSession, folder: str, name: str | None = None) -> tuple[PipelineModel, dict]:
+    """The most recent model of ``folder`` (of that name) and its metadata."""
+    rows = spark.read.schema("name string, path string, saved timestamp, metadata map<string,string>").json(f"{folder}/about")
+    last = rows.filter(F.lit(True) if name is None else F.col("name") == name).orderBy(F.desc("saved")).limit(1).collect()
+    if not last:
+        raise ValueError(f"no model {name or ''} in {folder}")
+    return PipelineModel.load(last[0].path), last[0].asDict()

@@ -276,3 +276,24 @@ def test_imputed_vectors(spark):
     zero, mean, whole = features.impute(df, "v", 3)
     assert {r.id: r.v for r in zero.collect()} == {1: [1.0, 0.0, 0.0], 2: [3.0, 4.0, 0.0], 3: [5.0, 8.0, 9.0]}
     assert {r.id: r.v for r in mean.collect()} == {1: [1.0, 6.0, 9.0], 2: [3.0, 4.0, 9.0], 3: [5.0, 8.0, 9.0]} and [r.id for r in whole.collect()] == [3]
+
+
+def test_embedding_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    files.write_embeddings(df, path, "a", {"k": "x"})
+    files.write_embeddings(df.limit(1), path, "b")
+    assert {r.version: (r.rows, r.metadata) for r in files.embedding_versions(spark, path).collect()} == {"a": (2, {"k": "x"}), "b": (1, {})}
+    assert files.read_embeddings(spark, path, "a", 2).count() == 2
+    files.delete_embeddings(spark, path, "b")
+    assert [r.version for r in files.embedding_versions(spark, path).collect()] == ["a"]
+    with pytest.raises(ValueError, match="no version b"):
+        files.read_embeddings(spark, path, "b", 2)
+    df.limit(1).withColumn("version", F.lit("a")).write.mode("append").partitionBy("version").parquet(f"{path}/vectors")
+    with pytest.raises(ValueError, match="not what was written"):
+        files.read_embeddings(spark, path, "a", 2)
+
+
+def test_words_of_a_fixed_vocabulary(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "z"]), (2, []), (3, None), (4, ["a"] * 4)], "doc_id long, ws array<string>")
+    assert {r.doc_id: r.ids for r in features.encode_words(df, ["a", "b"], 4).collect()} == {1: [3, 2, 0, 1], 2: [1] * 4, 3: [1] * 4, 4: [2] * 4}
