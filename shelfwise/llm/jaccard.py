@@ -2,7 +2,9 @@
 
 Rare-first prefix filtering: the grams of a document are put in one global order, rare ones first, and only the first
 n - ceil(0.8 n) + 1 are posted, as two similar sets must share one of those. Candidates then pass the length filter, the
-positional filter and a suffix filter, and each pair is verified once on the whole sets.
+positional filter and two suffix filters (what can still be shared behind the posted gram, by ranges of hashes; and whole
+signatures: two sets differ in at least as many grams as the parities of their hash slots differ in bits), and each pair
+that is left is verified once on the whole sets.
 
 The order comes from document counts over all documents in a table of ``SLOTS`` counters (fixed size, so it can be
 broadcast); any order gives the same links, a good one keeps frequent grams out of the prefixes. Grams that still stand in
@@ -10,15 +12,11 @@ broadcast); any order gives the same links, a good one keeps frequent grams out
 the document has nothing rarer.
 
 Documents with one set are one class and take part once. A large group of near copies would still share grams in
-hundreds of thousands of pairs, so it is joined step by step, and each step leaves out what the last has linked:
-
-1. every set with the pivots of its grams (``PIVOT_TURNS`` of them),
-2. the ``BRIDGES`` most alike pairs of every two groups that still share a gram,
-3. all other pairs of sets that share a gram and are still in different groups.
-
-No link between groups is lost, as every pair that passes the filters is either inside a group already or verified. A pair
-that shares many grams is made at the first of them in a row only: a posting knows the two posted before it, and where one
-of them is shared, the pair is made there.
+hundreds of thousands of pairs, so every set is first matched with the pivots of its grams (``PIVOT_TURNS`` of them), and
+only sets that share a gram and are still in different groups are then paired in full. No link between groups is lost, as
+every pair that passes the filters is either inside a group already or verified. A pair that shares many grams is made at
+the first of them in a row only: a posting knows the two posted before it, and where one of them is shared, the pair is
+made there.
 
 Shingles and sets are compared by 64-bit hashes: two different shingles of two documents are taken for equal with a
 probability of 2^-64 each, which moves a similarity by less than it takes to change any but a borderline link."""
@@ -27,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
@@ -38,9 +36,9 @@ from shelfwise.llm.text import gram_starts, pieces, prefix_sums, slices, span_ha
 SLOTS = 1 << 18
 BLOCK = 1 << 12
 PIVOT_TURNS = 2
-BRIDGES = 3
 HOT = 8
-PARITY = 4  # longs
+PARITY = 2  # longs
+LONGEST_SIGNATURE = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -54,7 +52,10 @@ def shingle_sets(texts: pa.Array, k: int):
         for i, row in enumerate(piece.rows):
             lo, hi = w.bounds[i], w.bounds[i + 1]
             if hi - lo >= k:
-                yield row, np.unique(gram[cut[i] : cut[i + 1]])
+                mine = np.sort(gram[cut[i] : cut[i + 1]])
+                new = np.ones(len(mine), bool)
+                np.not_equal(mine[1:], mine[:-1], out=new[1:])
+                yield row, mine[new]
             elif hi > lo:
                 yield row, span_hash(sums, np.array([lo]), np.array([hi]))
             else:
@@ -62,8 +63,25 @@ def shingle_sets(texts: pa.Array, k: int):
 
 
 def set_id(grams: np.ndarray) -> int:
-    sums = prefix_sums(grams)
-    return int(span_hash(sums, np.array([0]), np.array([len(grams)])).view(np.int64)[0])
+    """A hash of the set: the sum of its mixed members."""
+    total = np.array([len(grams)], np.uint64) + spread(grams).sum(dtype=np.uint64)
+    return int(spread(total).view(np.int64)[0])
+
+
+def signature(grams: np.ndarray) -> bytes:
+    """For each hash slot whether it holds an odd number of grams; between two and four slots a gram."""
+    bits = min(max(64, 1 << (2 * len(grams) - 1).bit_length()), LONGEST_SIGNATURE)
+    return np.packbits(np.bincount((spread(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def signature_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two signatures differ; the longer one is folded onto the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def prefix_length(n: int) -> int:
@@ -71,27 +89,29 @@ def prefix_length(n: int) -> int:
 
 
 def survey(k: int):
-    """(ord, row, text) -> one row per document (its key, set size and set id) and the counters of the task in blocks."""
+    """(ord, row, text) -> one row per document (its key, set size, set id and signature) and the counters of the task in
+    blocks."""
 
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
         for batch in slices(batches, 2):
-            at, sizes, sets, all_grams = [], [], [], []
+            at, sizes, sets, marks, all_grams = [], [], [], [], []
             for row, grams in shingle_sets(batch.column(2), k):
                 at.append(row)
                 sizes.append(len(grams))
                 sets.append(set_id(grams) if len(grams) else None)
+                marks.append(signature(grams) if len(grams) else None)
                 all_grams.append(grams)
             counts += np.bincount((np.concatenate(all_grams) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())],
-                names=["ord", "row", "n_shingles", "sid", "block", "counts"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())],
+                names=["ord", "row", "n_shingles", "sid", "signature", "block", "counts"],
             )
         blocks = counts.reshape(-1, BLOCK)
         full = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full, pa.int64()), pa.array([b.astype(np.int32).tobytes() for b in blocks[full]], pa.binary())], names=["ord", "row", "n_shingles", "sid", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(full), pa.binary()), pa.array(full, pa.int64()), pa.array([b.astype(np.int32).tobytes() for b in blocks[full]], pa.binary())], names=["ord", "row", "n_shingles", "sid", "signature", "block", "counts"])
 
     return run
 
@@ -114,13 +134,6 @@ def gram_counts(surveyed: DataFrame, spark: SparkSession):
     return spark.sparkContext.broadcast(table.ravel())
 
 
-def parity(grams: np.ndarray) -> np.ndarray:
-    """For each of 64 * PARITY ranges of hashes whether it holds an odd number of grams. Two sets differ in at least as
-    many grams as their parities differ in bits."""
-    slot = (spread(grams) & np.uint64(64 * PARITY - 1)).astype(np.int64)
-    return np.packbits(np.bincount(slot, minlength=64 * PARITY) & 1).view(np.int64)
-
-
 def in_order(grams: np.ndarray, p: int, table: np.ndarray, last) -> np.ndarray:
     """The first p grams in the order of (frequent, order of magnitude of the count, hash)."""
     rank = np.frexp(table[(grams & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.float32))[1].astype(np.uint64)
@@ -131,19 +144,24 @@ def in_order(grams: np.ndarray, p: int, table: np.ndarray, last) -> np.ndarray:
     return grams[first[np.argsort(key[first], kind="stable")]]
 
 
-def postings(k: int, counts, hot=None):
-    """text -> (gram, sid) of the prefix of every set."""
+def postings(k: int, counts, hot=None, with_sets: bool = True):
+    """text -> (gram, sid) of the prefix of every set, or its grams only."""
 
     def run(batches):
         table, last = counts.value, member(hot)
         for batch in slices(batches, 0):
-            found, sids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            found, sids, size = [np.empty(0, np.uint64)], [], []
             for _, grams in shingle_sets(batch.column(0), k):
                 if len(grams):
-                    p = prefix_length(len(grams))
-                    found.append(in_order(grams, p, table, last))
-                    sids.append(np.full(p, set_id(grams)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(sids))], names=["gram", "sid"])
+                    size.append(prefix_length(len(grams)))
+                    found.append(in_order(grams, size[-1], table, last))
+                    if with_sets:
+                        sids.append(set_id(grams))
+            gram = pa.array(np.concatenate(found).view(np.int64))
+            if with_sets:
+                yield pa.RecordBatch.from_arrays([gram, pa.array(np.repeat(np.array(sids, np.int64), size))], names=["gram", "sid"])
+            else:
+                yield pa.RecordBatch.from_arrays([gram], names=["gram"])
 
     return run
 
@@ -154,31 +172,40 @@ NEAR = ["gram", "sid", "n", "pos", "tail", "before1", "before2", *(f"odd{j}" for
 def near_postings(k: int, counts, hot, only):
     """text -> NEAR: the prefix grams that ``only`` (a bitmap of shared grams, if there is one) holds, with the size of
     the set, the place in the order, ``tail`` (for eight ranges of hashes how many grams stand behind, 255: that or more),
-    the two grams posted before (0: none), and the parity of the set."""
+    the two grams posted before (0: none), and the parities of 64 * PARITY slots of the set."""
 
     def run(batches):
         table, last, kept = counts.value, member(hot), member(only)
         for batch in slices(batches, 0):
-            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in NEAR]
+            prefixes, sids, sizes, totals, odd = [], [], [], [], []
             for _, grams in shingle_sets(batch.column(0), k):
-                n = len(grams)
-                if not n:
-                    continue
-                prefix = in_order(grams, prefix_length(n), table, last)
-                pos = np.flatnonzero(kept.has(prefix)) if kept else np.arange(len(prefix))
-                if not len(pos):
-                    continue
-                part = (prefix >> np.uint64(61)).astype(np.int64)
-                seen = np.zeros((len(prefix), 8), np.int64)
-                seen[np.arange(len(prefix)), part] = 1
-                left = np.bincount((grams >> np.uint64(61)).astype(np.int64), minlength=8) - np.cumsum(seen, axis=0)[pos]
-                tail = (np.minimum(left, 255).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
-                posted = prefix[pos].view(np.int64)
-                before = np.concatenate([np.zeros(2, np.int64), posted])
-                values = (posted, np.full(len(pos), set_id(grams)), np.full(len(pos), n), pos, tail.view(np.int64), before[1:-1], before[:-2], *(np.full(len(pos), bits) for bits in parity(grams)))
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=NEAR)
+                if len(grams):
+                    prefixes.append(in_order(grams, prefix_length(len(grams)), table, last))
+                    sids.append(set_id(grams))
+                    sizes.append(len(grams))
+                    totals.append(np.bincount((grams >> np.uint64(61)).astype(np.int64), minlength=8))
+                    odd.append(np.bincount((spread(grams) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY))
+            if not sids:
+                continue
+            prefix, length = np.concatenate(prefixes), np.array([len(p) for p in prefixes])
+            doc, first = np.repeat(np.arange(len(length)), length), np.cumsum(length) - length
+            at = np.flatnonzero(kept.has(prefix)) if kept else np.arange(len(prefix))
+            if not len(at):
+                continue
+            seen = np.zeros((len(prefix) + 1, 8), np.int64)
+            seen[np.arange(len(prefix)) + 1, (prefix >> np.uint64(61)).astype(np.int64)] = 1
+            np.cumsum(seen, axis=0, out=seen)
+            mine = doc[at]
+            left = np.minimum(np.array(totals)[mine] - (seen[at + 1] - seen[first[mine]]), 255).astype(np.uint64)
+            tail = (left << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
+            posted = prefix[at].view(np.int64)
+            before = [np.zeros(len(at), np.int64) for _ in range(2)]
+            for j in (1, 2):
+                same = np.flatnonzero(mine[j:] == mine[:-j])
+                before[j - 1][same + j] = posted[same]
+            bits = np.packbits(np.array(odd) & 1, axis=1).view(np.int64)
+            columns = (posted, np.array(sids, np.int64)[mine], np.array(sizes)[mine], at - first[mine], tail.view(np.int64), *before, *(np.ascontiguousarray(bits[mine, j]) for j in range(PARITY)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=NEAR)
 
     return run
 
@@ -248,11 +275,24 @@ def pivot_pairs(here: DataFrame, turn: int) -> DataFrame:
 
 
 def open_pairs(here: DataFrame) -> DataFrame:
-    """Every pair (a, b) of sets that share a prefix gram, pass the filters and are in different groups; ``apart``: how far
-    their parities differ."""
+    """Every pair (a, b) of sets that share a prefix gram, pass the filters and are in different groups."""
     x, y = here.alias("x"), here.alias("y")
     joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & ~made_before() & could_reach())
-    return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb"), parity_distance().alias("apart")).distinct()
+    return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures do not rule a link out, written."""
+
+    def run(batches):
+        for batch in batches:
+            rest = zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)
+            keep = [i for i, (x, y, n, m) in enumerate(rest) if signature_distance(x, y) <= n + m - 2 * -(-4 * (n + m) // 9)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in range(2)], names=["a", "b"])
+
+    x = signatures.select(F.col("sid").alias("a"), F.col("signature").alias("x"), F.col("n").alias("n"))
+    y = signatures.select(F.col("sid").alias("b"), F.col("signature").alias("y"), F.col("n").alias("m"))
+    return materialize(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long"), "alike")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -272,10 +312,10 @@ def labelled(df: DataFrame, comp: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(comp.select(F.col("v").alias(key), F.col("comp").alias("_group")), key, "left").withColumn(name, F.coalesce("_group", key)).drop("_group")
 
 
-def set_groups(texts: DataFrame, counts, k: int) -> DataFrame:
+def set_groups(texts: DataFrame, counts, signatures: DataFrame, k: int) -> DataFrame:
     """text -> (v, comp): every set that has a link and the least set of its group."""
     spark = texts.sparkSession
-    posted = texts.mapInArrow(postings(k, counts), "gram long, sid long")
+    posted = texts.mapInArrow(postings(k, counts, None, False), "gram long")
     frequent = materialize(posted.groupBy("gram").count().filter(F.col("count") >= HOT).select("gram"), "frequent-grams")
     hot = membership(frequent, "gram")
     release_shuffles(spark)
@@ -294,38 +334,30 @@ def set_groups(texts: DataFrame, counts, k: int) -> DataFrame:
         more = materialize(pivot_pairs(near, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
         release_shuffles(spark)
         tested = tested.union(more)
-    links = verify(tested, texts, k)
-    comp = components(links)
-    here = labelled(near, comp, "sid", "comp")
+    links = verify(alike(tested, signatures), texts, k)
+    here = labelled(near, components(links), "sid", "comp")
     open_grams = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
     here = materialize(here.join(open_grams, "gram", "left_semi"), "open-postings")
     drop_scratch(near)
     rest = materialize(open_pairs(here).join(tested, ["a", "b"], "left_anti"), "open-pairs")
     drop_scratch(here)
     release_shuffles(spark)
-    order = Window.partitionBy("ca", "cb").orderBy("apart", "a", "b")
-    bridges = materialize(rest.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= BRIDGES).select("a", "b"), "bridges")
-    if bridges.isEmpty():
-        return comp
-    links = links.union(verify(bridges, texts, k))
-    comp = components(links)
-    rest = labelled(labelled(rest.select("a", "b").join(bridges, ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb")
-    rest = materialize(rest.filter("ca <> cb").select("a", "b"), "rest")
-    if rest.isEmpty():
-        return comp
-    return components(links.union(verify(rest, texts, k)))
+    rest = alike(rest, signatures)
+    return components(links if rest.isEmpty() else links.union(verify(rest, texts, k)))
 
 
 def grouped(docs: DataFrame, k: int) -> DataFrame:
     """docs (as ``plain`` gives them) -> ord, row, n_shingles, first (ord and row of the first document of the group; null
     without words), written."""
     texts = docs.select("text")
-    surveyed = materialize(docs.select("ord", "row", "text").mapInArrow(survey(k), "ord long, row long, n_shingles long, sid long, block long, counts binary"), "survey")
-    comp = set_groups(texts, gram_counts(surveyed, docs.sparkSession), k)
+    surveyed = materialize(docs.select("ord", "row", "text").mapInArrow(survey(k), "ord long, row long, n_shingles long, sid long, signature binary, block long, counts binary"), "survey")
+    signatures = surveyed.filter("sid is not null").groupBy("sid").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+    signatures = materialize(signatures, "signatures")
+    comp = set_groups(texts, gram_counts(surveyed, docs.sparkSession), signatures, k)
     marked = materialize(labelled(surveyed.filter("block is null").select("ord", "row", "n_shingles", "sid"), comp, "sid", "comp"), "marked")
     first = marked.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("ord", "row")).alias("first"))
     out = materialize(marked.join(first, "comp", "left").select("ord", "row", "n_shingles", "first"), "groups")
-    drop_scratch(surveyed, marked)
+    drop_scratch(surveyed, signatures, marked)
     return out
 
 

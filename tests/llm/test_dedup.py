@@ -96,6 +96,16 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert rows(jaccard.similar_groups(spark.createDataFrame(made, "doc_id long, text string"))) == groups(made)
 
 
+def test_signatures_bound_differences():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 900)), dtype=np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 300)), dtype=np.uint64)]))
+        if len(b):
+            far = jaccard.signature_distance(jaccard.signature(a), jaccard.signature(b))
+            assert far <= len(np.setxor1d(a, b)) and jaccard.signature_distance(jaccard.signature(a), jaccard.signature(a)) == 0
+
+
 @pytest.mark.parametrize("limit", [4000, 1])
 def test_suffix_array_dedup(docs, corpus, monkeypatch, limit):
     monkeypatch.setattr(repeats, "GROUP", limit)
