@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import extract
 from shelfwise.operators import metrics
+from shelfwise.sources.files import scratch
 
 LEAST_PRICE = 0.01
+AT_ONCE = 4
 
 
 class SmapeEvaluator(Evaluator):
@@ -69,7 +72,8 @@ def fit(rows: DataFrame, regressor) -> PipelineModel:
 
 
 def out_of_fold(rows: DataFrame, makers: dict, folds: int) -> DataFrame:
-    """Long table sample_id, fold, model, price, y_pred: each row is scored by models that did not see its fold."""
+    """Long table sample_id, fold, model, price, y_pred: each row is scored by models that did not see its fold. The table
+    is written, so the cached rows can go."""
     rows = rows.persist()
     parts = []
     for f in range(folds):
@@ -80,7 +84,10 @@ def out_of_fold(rows: DataFrame, makers: dict, folds: int) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out
+    path = scratch(rows.sparkSession, "out-of-fold")
+    out.write.parquet(path)
+    rows.unpersist()
+    return rows.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def draws(space: dict[str, list], n: int, seed: int = 42) -> list[dict]:
@@ -96,12 +103,20 @@ def draws(space: dict[str, list], n: int, seed: int = 42) -> list[dict]:
 
 
 def search(rows: DataFrame, make, settings: list[dict], folds: int) -> DataFrame:
-    """setting, smape: mean over folds of every setting."""
+    """setting, smape: mean over folds of every setting; ``AT_ONCE`` fits run side by side, as one small fit leaves a cluster
+    idle."""
     rows = rows.persist()
-    spark, out = rows.sparkSession, []
-    for s in settings:
-        scores = [SmapeEvaluator().evaluate(fit(rows.filter(F.col("fold") % folds != f), make(**s)).transform(rows.filter(F.col("fold") % folds == f))) for f in range(folds)]
-        out.append((", ".join(f"{k}={v}" for k, v in sorted(s.items())), float(np.mean(scores))))
+    spark = rows.sparkSession
+
+    def score(job):
+        s, f = job
+        return SmapeEvaluator().evaluate(fit(rows.filter(F.col("fold") % folds != f), make(**s)).transform(rows.filter(F.col("fold") % folds == f)))
+
+    jobs = [(s, f) for s in settings for f in range(folds)]
+    with ThreadPool(AT_ONCE) as pool:
+        scores = np.array(pool.map(score, jobs, chunksize=1)).reshape(len(settings), folds)
+    rows.unpersist()
+    out = [(", ".join(f"{k}={v}" for k, v in sorted(s.items())), float(m)) for s, m in zip(settings, scores.mean(axis=1), strict=True)]
     return spark.createDataFrame(out, "setting string, smape double")
 
 

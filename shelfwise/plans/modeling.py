@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -121,9 +122,21 @@ def select_variance(spark, d):
     return numeric(spark, d).agg(*(F.var_pop(c).alias(c) for c in COLUMNS)).unpivot([], COLUMNS, "feature", "variance").filter("variance > 0.01")
 
 
-@query("drop_correlated")
+def _correlated_sql() -> str:
+    names = models.inputs()
+    pairs = [(a, b) for j, b in enumerate(names) for a in names[:j]]
+    r = ", ".join(f"coalesce(CASE WHEN isnan(corr({a}, {b})) THEN 0 ELSE abs(corr({a}, {b})) END, 0) > 0.95 AS c_{a}_{b}" for a, b in pairs)
+    steps, last = [], "r"
+    for j, b in enumerate(names):
+        steps.append(f"k{j} AS (SELECT *, NOT ({' OR '.join([f'(k_{a} AND c_{a}_{b})' for a in names[:j]] or ['false'])}) AS k_{b} FROM {last})")
+        last = f"k{j}"
+    kept = " UNION ALL ".join(f"SELECT '{n}' AS feature, k_{n} AS kept FROM {last}" for n in names)
+    return f"WITH f AS (SELECT x.* FROM ({INPUTS_SQL}) x JOIN products p USING (sample_id) WHERE p.price IS NOT NULL), r AS (SELECT {r} FROM f), {', '.join(steps)}, k AS ({kept}), l AS (UNPIVOT (SELECT sample_id, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in names)} FROM f) ON {', '.join(names)} INTO NAME feature VALUE value) SELECT sample_id, feature, value FROM l JOIN k USING (feature) WHERE kept"
+
+
+@query("drop_correlated", _correlated_sql(), "value")
 def drop_correlated(spark, d):
-    """The inputs left after dropping the later one of every pair with |r| > 0.95."""
+    """The inputs left after dropping the later one of every pair with |r| > 0.95, a row for each value."""
     rows = features.assemble(spread_rows(products(spark, d)), models.inputs())
     from pyspark.ml.stat import Correlation
 
@@ -132,7 +145,7 @@ def drop_correlated(spark, d):
     for j, name in enumerate(models.inputs()):
         if not any(abs(r[models.inputs().index(k), j]) > 0.95 for k in kept):
             kept.append(name)
-    return rows.select("sample_id", *kept)
+    return rows.select("sample_id", *(F.col(k).cast("double").alias(k) for k in kept)).unpivot(["sample_id"], kept, "feature", "value")
 
 
 @query("tfidf_svd")
@@ -156,18 +169,18 @@ def image_features(spark, d):
     return features.image_features(v.select("sample_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), raw.alias("data")))
 
 
-def trained(name):
+def trained(names):
     def run(spark, d):
         rows = spread_rows(products(spark, d))
         train, test = rows.filter("fold <> 0"), rows.filter("fold = 0")
-        scored = models.fit(train, models.regressors()[name]).transform(test)
-        return scored.select("sample_id", "price", models.price_of("prediction").alias("y_pred"))
+        parts = [models.fit(train, models.regressors()[n]).transform(test).select(F.lit(n).alias("model"), "sample_id", "price", models.price_of("prediction").alias("y_pred")) for n in names]
+        return reduce(lambda a, b: a.union(b), parts)
 
     return run
 
 
-for _query, _model in (("train_forest", "forest"), ("train_gbt", "boost_wide"), ("train_ridge", "ridge")):
-    query(_query)(trained(_model))
+for _query, _models in (("train_forest", ("forest", "extra_forest")), ("train_gbt", ("boost_deep", "boost_wide", "boost_small")), ("train_ridge", ("ridge",))):
+    query(_query)(trained(_models))
 
 
 @query("train_mlp")
@@ -180,8 +193,7 @@ def train_mlp(spark, d):
 
 
 def quick():
-    every = models.regressors(trees=8, depth=4)
-    return {k: every[k] for k in ("forest", "boost_small", "ridge")}
+    return models.regressors(trees=8, depth=4)
 
 
 @query("cross_validate")
@@ -203,8 +215,8 @@ def grid_search(spark, d):
 
 @query("random_search")
 def random_search(spark, d):
-    space = {"numTrees": [4, 8, 12], "maxDepth": [2, 3, 4], "subsamplingRate": [0.6, 0.8, 1.0]}
-    return models.search(spread_rows(products(spark, d)), lambda **s: models.RandomForestRegressor(seed=42, **s), models.draws(space, 3), 2)
+    space = {"numTrees": [4, 8, 12], "maxDepth": [2, 3, 4], "subsamplingRate": [0.6, 0.8, 1.0], "minInstancesPerNode": [1, 4]}
+    return models.search(spread_rows(products(spark, d)), lambda **s: models.RandomForestRegressor(seed=42, **s), models.draws(space, 20), 3)
 
 
 @query("ensemble_weighted", f"WITH {SMAPES}, w AS (SELECT model, (1 / smape) / sum(1 / smape) OVER () AS w FROM s) SELECT sample_id, greatest(sum(w * y_pred), 0.01) AS price FROM predictions JOIN w USING (model) GROUP BY sample_id", "price", 5)
@@ -294,7 +306,7 @@ def permutation_importance(spark, d):
 def fit_pipeline(spark, d):
     """Fit, blend by out-of-fold SMAPE in price space, and measure."""
     rows = spread_rows(products(spark, d))
-    oof = models.out_of_fold(rows, quick(), 2).persist()
+    oof = models.out_of_fold(rows, quick(), 2)
     w = joins.inverse_weights(oof.groupBy("model").agg(metrics.smape(F.col("price"), F.col("y_pred")).alias("smape")), "smape").select("model", "weight")
     blend = oof.join(F.broadcast(w), "model").groupBy("sample_id").agg(F.first("price").alias("price"), F.greatest(F.sum(F.col("weight") * F.col("y_pred")), F.lit(0.01)).alias("y_pred"))
     return blend.agg(F.count("*").alias("rows"), metrics.smape(F.col("price"), F.col("y_pred")).alias("smape"))
@@ -424,11 +436,13 @@ def stream_quality(spark, d):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "low", "high")
 
 
-@query("stream_url_dedup", "SELECT count(DISTINCT user_id) AS urls FROM events")
+@query("stream_url_dedup", "SELECT url_hash, min(image_link) AS url FROM downloads GROUP BY url_hash")
 def stream_url_dedup(spark, d):
-    """Each user's page counts as one link; it is kept once within the watermark."""
-    e = streams.table_stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.md5(F.col("user_id").cast("string")).alias("url_hash"))
-    out = streams.run_to_end(streams.first_urls(e, "ts", "3650 days"), "append")
-    return out.agg(F.count("*").alias("urls"))
+    """Image links arrive a second apart; a link is passed on once within a day, and its state is dropped after that."""
+    path = files.scratch(spark, "links")
+    rows = downloads(spark, d).select(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("sample_id").cast("long")).alias("ts"), "image_link", "url_hash")
+    rows.repartition(4, "url_hash").write.parquet(path)
+    stream = spark.readStream.schema("ts timestamp, image_link string, url_hash string").parquet(path)
+    return streams.run_to_end(streams.first_urls(stream, "ts", "1 day"), "append").select("url_hash", F.col("image_link").alias("url"))
 
 

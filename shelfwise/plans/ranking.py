@@ -11,6 +11,7 @@ from shelfwise.operators.percentiles import beside, hashed_rank, percentiles
 from shelfwise.plans.extraction import INPUTS_SQL
 from shelfwise.plans.quality import BUCKET, EDGES, ERR, FOLDS, fold_scores
 from shelfwise.plans.registry import query
+from shelfwise.sources import files
 from shelfwise.sources.tables import downloads, image_vectors, predictions, products, submission, table
 
 SMAPES = f"s AS (SELECT model, avg({ERR}) * 100 AS smape, 1 - sum((y_pred - y_true) * (y_pred - y_true)) / (count(y_true) * var_pop(y_true)) AS r2 FROM predictions GROUP BY model)"
@@ -32,8 +33,11 @@ def id_reconcile(spark, d):
 
 @query("feature_append", f"SELECT p.sample_id, p.price, f.value AS value, f.pack_qty AS pack_qty, f.category AS category FROM products p JOIN ({INPUTS_SQL}) f USING (sample_id)", "price value pack_qty category")
 def feature_append(spark, d):
+    """A stored feature table is appended to the rows by key."""
     x = extract.model_inputs(F.col("catalog_content"))
-    return products(spark, d).select("sample_id", "price", *(x[k].alias(k) for k in ("value", "pack_qty", "category")))
+    path = files.scratch(spark, "features")
+    products(spark, d).select("sample_id", *(x[k].alias(k) for k in ("value", "pack_qty", "category"))).write.parquet(path)
+    return products(spark, d).select("sample_id", "price").join(spark.read.parquet(path), "sample_id")
 
 
 @query("modal_join", f"SELECT sample_id, f.total_words AS text_words, coalesce(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0) AS image_norm, embedding IS NOT NULL AS has_image_vector FROM ({INPUTS_SQL}) f LEFT JOIN embeddings ON CAST(vec_id AS VARCHAR) = sample_id", "text_words image_norm")
