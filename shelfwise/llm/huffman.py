@@ -28,7 +28,7 @@ BLOCK = 1024
 FRAME_TOKENS = 1 << 15
 END_ID = 2
 FRAMES_AT_ONCE = 64
-CACHE_BYTES = 32 << 20  # of each of two generations
+CACHE_BYTES = 64 << 20  # of each of two generations
 UNITS_AT_ONCE = 256
 SPACES = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _encoders: dict[str, "UnitEncoder"] = {}
