@@ -51,6 +51,44 @@ def gaps(df: DataFrame, column: str) -> DataFrame:
     return inside.union(across).filter("gap is not null")
 
 
+def nearest_known(queries, k: int, block: int = 64):
+    """Known rows (id, vector) -> the k nearest of a partition to each broadcast query, by squared distance, then id.
+
+    Products of whole blocks give distances up to rounding; what they leave within reach of the k-th is measured exactly."""
+
+    def run(batches):
+        ids, x = queries.value
+        far = np.full((len(ids), k), np.inf)
+        who = np.full((len(ids), k), np.iinfo(np.int64).max)
+        what = np.zeros((len(ids), k, x.shape[1]))
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            y_ids = batch.column(0).to_numpy()
+            y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y_ids), -1)
+            size = (y * y).sum(axis=1)
+            for lo in range(0, len(ids), block):
+                mine = slice(lo, lo + block)
+                a = x[mine]
+                rough = (a * a).sum(axis=1)[:, None] - 2 * a @ y.T + size[None]
+                least = min(k, len(y_ids))
+                reach = np.partition(rough, least - 1, axis=1)[:, least - 1] + 1e-9 * (1 + size.max() + (a * a).sum(axis=1))
+                m = int((rough <= reach[:, None]).sum(axis=1).max())
+                near = np.argpartition(rough, m - 1, axis=1)[:, :m]
+                exact = ((y[near] - a[:, None, :]) ** 2).sum(axis=2)
+                all_far, all_who = np.concatenate([far[mine], exact], axis=1), np.concatenate([who[mine], y_ids[near]], axis=1)
+                order = np.lexsort((all_who, all_far), axis=1)[:, :k]
+                all_what = np.concatenate([what[mine], y[near]], axis=1)
+                far[mine], who[mine] = np.take_along_axis(all_far, order, 1), np.take_along_axis(all_who, order, 1)
+                what[mine] = np.take_along_axis(all_what, order[:, :, None], 1)
+        found = np.isfinite(far)
+        values = what[found]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * x.shape[1], pa.int32()), pa.array(values.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(axis=1)), pa.int64()), pa.array(far[found]), pa.array(who[found]), vectors], names=["q", "far", "c", "v"])
+
+    return run
+
+
 def interpolate(queries: DataFrame, known: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """Each query's k nearest known rows by distance: ``confidence`` (mean similarity 1 / (1 + distance)) and ``vector``
     (mean weighted by similarity).
@@ -65,24 +103,7 @@ def interpolate(queries: DataFrame, known: DataFrame, key: str, vector: str, k:
         ids = mine.column(0).to_numpy()
         q = spark.sparkContext.broadcast((ids, np.array(mine.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)))
 
-        def nearest(batches, q=q):
-            q_ids, x = q.value
-            best: list[list] = [[] for _ in q_ids]
-            for batch in batches:
-                if not batch.num_rows or not len(q_ids):
-                    continue
-                y_ids = batch.column(0).to_numpy()
-                raw = batch.column(1).to_pylist()
-                y = np.array(raw, dtype=np.float64)
-                far = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2) if len(x) * y.size < 5_000_000 else np.stack([((r - y) ** 2).sum(axis=1) for r in x])
-                for i in range(len(q_ids)):
-                    order = np.lexsort((y_ids, far[i]))[:k]
-                    best[i] = sorted([*best[i], *((float(far[i][j]), int(y_ids[j]), raw[j]) for j in order)], key=lambda t: t[:2])[:k]
-            rows = [(int(i), f, c, v) for i, found in zip(q_ids, best, strict=True) for f, c, v in found]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())], strict=True)], names=["q", "far", "c", "v"])
-
-        parts.append(known.select(F.col(key).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(nearest, "q long, far double, c long, v array<double>"))
+        parts.append(known.select(F.col(key).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(nearest_known(q, k), "q long, far double, c long, v array<double>"))
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
