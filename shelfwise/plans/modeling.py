@@ -236,20 +236,36 @@ def ensemble_stacking(spark, d):
     return models.stack(predictions(spark, d).withColumnRenamed("y_true", "price"), ["m1", "m2", "m3"], 5)
 
 
-GRID = [(a / 10, b / 10, (10 - a - b) / 10) for a in range(11) for b in range(11 - a)]
-_grid = "g AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))" for i, (a, b, c) in enumerate(GRID)) + ") AS t(candidate, w1, w2, w3))"
 _wide = "p AS (SELECT sample_id, any_value(y_true) AS y_true, max(y_pred) FILTER (model = 'm1') AS p1, max(y_pred) FILTER (model = 'm2') AS p2, max(y_pred) FILTER (model = 'm3') AS p3 FROM predictions GROUP BY sample_id)"
 
 
-@query("ensemble_opt_weights", f"WITH {_grid}, {_wide}, b AS (SELECT candidate, w1, w2, w3, w1 * p1 + w2 * p2 + w3 * p3 AS y_pred, y_true FROM p, g), s AS (SELECT candidate, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, avg({ERR}) * 100 AS smape FROM b GROUP BY candidate) SELECT w1, w2, w3, smape FROM s ORDER BY smape, candidate LIMIT 1", "smape")
+def _scored(name: str, grid: str) -> str:
+    return f"{name} AS (SELECT a, b, avg({ERR}) * 100 AS smape FROM (SELECT a, b, a / 100.0::DOUBLE * p1 + b / 100.0::DOUBLE * p2 + (100 - a - b) / 100.0::DOUBLE * p3 AS y_pred, y_true FROM p, {grid}) GROUP BY a, b)"
+
+
+@query(
+    "ensemble_opt_weights",
+    f"WITH {_wide}, g AS (SELECT a * 10 AS a, b * 10 AS b FROM range(0, 11) AS t(a), range(0, 11) AS u(b) WHERE a + b <= 10), {_scored('s', 'g')}, o AS (SELECT a, b FROM s ORDER BY smape, a, b LIMIT 1), h AS (SELECT o.a + i AS a, o.b + j AS b FROM o, range(-10, 11) AS t(i), range(-10, 11) AS u(j) WHERE o.a + i >= 0 AND o.b + j >= 0 AND o.a + i + o.b + j <= 100), {_scored('z', 'h')} SELECT a / 100.0::DOUBLE AS w1, b / 100.0::DOUBLE AS w2, (100 - a - b) / 100.0::DOUBLE AS w3, smape FROM z ORDER BY smape, a, b LIMIT 1",
+    "w1 w2 w3 smape",
+)
 def ensemble_opt_weights(spark, d):
-    """Best weights on a simplex grid: each product is one row, the candidates are a short fixed list."""
+    """Best weights of three models: the whole simplex in tenths, then its surroundings of the best in hundredths. Each product is
+    one row, the candidates are a short list, and what is shuffled is one sum a candidate and task."""
     wide = predictions(spark, d).groupBy("sample_id").pivot("model", ["m1", "m2", "m3"]).agg(F.first("y_pred"))
     truth = predictions(spark, d).filter("model = 'm1'").select("sample_id", "y_true")
-    grid = F.array(*(F.struct(F.lit(i).alias("candidate"), *(F.lit(w).alias(f"w{j + 1}") for j, w in enumerate(ws))) for i, ws in enumerate(GRID)))
-    each = wide.join(truth, "sample_id").select("y_true", "m1", "m2", "m3", F.explode(grid).alias("g")).select("y_true", (F.col("g.w1") * F.col("m1") + F.col("g.w2") * F.col("m2") + F.col("g.w3") * F.col("m3")).alias("p"), "g.*")
-    s = each.groupBy("candidate", "w1", "w2", "w3").agg(metrics.smape(F.col("y_true"), F.col("p")).alias("smape"))
-    return s.orderBy("smape", "candidate").limit(1).select("w1", "w2", "w3", "smape")
+    rows = wide.join(truth, "sample_id").select("y_true", "m1", "m2", "m3")
+
+    def best(candidates):
+        """candidates: one row with an array of (a, b) in hundredths."""
+        each = rows.join(F.broadcast(candidates), F.lit(True)).select("y_true", "m1", "m2", "m3", F.explode("g").alias("g")).select("*", "g.a", "g.b")
+        blend = F.col("a") / 100 * F.col("m1") + F.col("b") / 100 * F.col("m2") + (100 - F.col("a") - F.col("b")) / 100 * F.col("m3")
+        return each.groupBy("a", "b").agg(metrics.smape(F.col("y_true"), blend).alias("smape")).orderBy("smape", "a", "b").limit(1)
+
+    pairs = lambda low, high, step, a, b: F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda i: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda j: F.struct((a + i * step).alias("a"), (b + j * step).alias("b")))))
+    inside = lambda g: F.filter(g, lambda x: (x["a"] >= 0) & (x["b"] >= 0) & (x["a"] + x["b"] <= 100))
+    coarse = best(spark.range(1).select(inside(pairs(0, 10, 10, F.lit(0), F.lit(0))).alias("g")))
+    fine = best(coarse.select(inside(pairs(-10, 10, 1, F.col("a"), F.col("b"))).alias("g")))
+    return fine.select((F.col("a") / 100).alias("w1"), (F.col("b") / 100).alias("w2"), ((100 - F.col("a") - F.col("b")) / 100).alias("w3"), "smape")
 
 
 @query("compare_ensembles", f"WITH {_wide}, e AS (SELECT unnest(['mean', 'median', 'first']) AS ensemble, unnest([(p1 + p2 + p3) / 3, p1 + p2 + p3 - greatest(p1, p2, p3) - least(p1, p2, p3), p1]) AS y_pred, y_true FROM p) SELECT ensemble, avg({ERR}) * 100 AS smape, avg(abs(y_pred - y_true)) AS mae, avg({ERR}) = min(avg({ERR})) OVER () AS best FROM e GROUP BY ensemble", "smape mae")
