@@ -378,6 +378,50 @@ def test_lines_of_one_long_list(spark):
 # pipeline
 
 
+def test_very_long_texts(spark):
+    """A text of a million words is whole to the licence scan, language ID, line dedup, token file and pieces."""
+    words = "und der die das the and of this " * 125_000
+    lines = "\n".join(f"line {chr(97 + i % 26)} of a long document here" for i in range(60_000))
+    df = spark.createDataFrame([(1, words + "MIT License"), (2, lines), (3, "mit license")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert (got[1].n_words, got[1].n_base, got[1].first_word) == (1_000_002, 1, 1_000_000) and got[3].first_word == 0
+    table = np.zeros((langid.SLOTS, 2), np.float32)
+    table[langid.trigrams(np.frombuffer(b"the and of this", np.uint8)), 1] = 1.0
+    none = F.lit(None).cast("string")
+    pages = df.select(F.col("doc_id").alias("key"), "text", none.alias("declared"), none.alias("suffix"), none.alias("domain"), none.alias("host"))
+    assert {r.key: r.lang for r in langid.fuse(pages, ["de", "en"], table).collect()}[1] == "en"
+    out = {r.doc_id: r for r in templates.without_lines(df)[0].collect()}
+    assert out[2].lines_before == 60_000 and out[2].lines_dropped == 0  # one document alone does not recur
+    assert all(r.round_trip for r in pieces.encode_stage(spark, df, "").collect())
+
+
+def test_ties(spark):
+    # equal evidence for two languages: the first in order; equal support of two templates: both recur
+    none = F.lit(None).cast("string")
+    df = spark.createDataFrame([(1, "abc def")], "key long, text string")
+    pages = df.select("key", "text", none.alias("declared"), none.alias("suffix"), none.alias("domain"), none.alias("host"))
+    assert langid.fuse(pages, ["de", "en"], np.zeros((langid.SLOTS, 2), np.float32)).first().lang == "de"
+    lines = "one common line of words\nother common line of words"
+    got = templates.without_lines(spark.createDataFrame([(i, lines) for i in range(10)], "doc_id long, text string"))[0].collect()
+    assert sorted(r.lines_dropped for r in got) == [0] + [2] * 9
+
+
+def test_empty_tables_and_repeated_rows_everywhere(spark, tmp_path):
+    import corpus_pipeline
+    from shelfwise.llm.registry import QUERIES
+
+    for name in ("documents", "pages", "benchmark", "embeddings"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    for name in ("op1_license_scan", "op2_language_id", "op3_token_ids", "op7_sentencepiece", "op8_nearest_neighbours", "op9_line_dedup", "op10_benchmark_decontamination"):
+        assert QUERIES[name](spark, f"file://{tmp_path}").count() == 0, name
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+    row = (7, "released under the MIT license", "x")
+    df = spark.createDataFrame([row, row, (None, row[1], "x"), (None, None, None)], "doc_id long, text string, words string")
+    for found in (licenses.scan(df), pieces.encode_stage(spark, df, ""), winnowing.contamination(df, spark.read.parquet(f"{SF}/benchmark.parquet"))):
+        assert sorted((r.doc_id is None for r in found.collect())) == [False, False, True, True]
+        assert len({tuple(r) for r in found.filter("doc_id = 7").collect()}) == 1
+
+
 def brute_lines(texts):
     """Texts without their recurring lines, by the definition: leaves, constant tokens, templates, first place."""
     parsed = []
