@@ -356,8 +356,9 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
     comp = set_groups(texts, gram_counts(surveyed, docs.sparkSession), signatures, k)
     marked = materialize(labelled(surveyed.filter("block is null").select("ord", "row", "n_shingles", "sid"), comp, "sid", "comp"), "marked")
     first = marked.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("ord", "row")).alias("first"))
+    first = materialize(first, "first")  # so that Spark can split the join where a group is large
     out = materialize(marked.join(first, "comp", "left").select("ord", "row", "n_shingles", "first"), "groups")
-    drop_scratch(surveyed, signatures, marked)
+    drop_scratch(surveyed, signatures, marked, first)
     return out
 
 
