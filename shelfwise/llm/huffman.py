@@ -86,14 +86,14 @@ class UnitEncoder:
         odd = [u for u in own_line if len(u) == 1 or self.space.search(u)]
         self.keep(odd, self.whole([u[1:] for u in odd]))
         own_line = [u for u in own_line if len(u) > 1 and not self.space.search(u)]
-        for units, lead, of, skip in ((after_space, " ", lambda u: u, 0), (own_line, "\n", lambda u: u[1:], 1)):
-            rows = [units[lo : lo + UNITS_AT_ONCE] for lo in range(0, len(units), UNITS_AT_ONCE)]
-            found = self.tokenizer.encode_batch_fast(["".join([lead + of(u) for u in row]) for row in rows], add_special_tokens=False)
-            for row, encoding in zip(rows, found, strict=True):
-                ids = np.array(encoding.ids, np.uint32)
-                start = np.flatnonzero(self.starts[lead][ids]) * 4
-                raw, end = ids.tobytes(), [*start[1:].tolist(), 4 * len(ids)]
-                self.keep(row, [raw[a:b] for a, b in zip((start + 4 * skip).tolist(), end, strict=True)])
+        for units, bare, lead, skip in ((after_space, after_space, " ", 0), (own_line, [u[1:] for u in own_line], "\n", 1)):
+            cuts = range(0, len(units), UNITS_AT_ONCE)
+            found = self.tokenizer.encode_batch_fast([lead + lead.join(bare[lo : lo + UNITS_AT_ONCE]) for lo in cuts], add_special_tokens=False)
+            ids = [np.array(e.ids, np.uint32) for e in found]
+            all_ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+            start = np.flatnonzero(self.starts[lead][all_ids]) * 4
+            raw, end = all_ids.tobytes(), [*start[1:].tolist(), 4 * len(all_ids)]
+            self.keep(units, [raw[a:b] for a, b in zip((start + 4 * skip).tolist(), end, strict=True)])
 
     def keep(self, units: list[str], ids: list[bytes]) -> None:
         self.young.update(zip(units, ids, strict=True))
