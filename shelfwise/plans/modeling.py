@@ -74,13 +74,19 @@ def fuse_weighted(spark, d):
     return v.select("sample_id", F.posexplode("v").alias("i", "value"))
 
 
-@query("fuse_concat", f"WITH {_whole}, m AS (SELECT [avg(t[1]), avg(t[2]), avg(t[3])] AS m, [stddev_pop(t[1]), stddev_pop(t[2]), stddev_pop(t[3])] AS s FROM w WHERE fold <> 0) SELECT sample_id, CAST(i - 1 AS INT) AS i, CASE WHEN i <= 3 THEN (t[i] - m[i]) / CASE WHEN s[i] = 0 THEN 1 ELSE s[i] END ELSE v[i - 3] END AS value FROM w, m, unnest(range(1, {IMAGE_VALUES + 4})) AS u(i)", "value", 5)
+@query("fuse_concat")
 def fuse_concat(spark, d):
     """Text values, scaled by the mean and spread of the training rows, before the image vector."""
     rows = whole_inputs(spark, d).select("sample_id", "fold", "i", *(F.col("t")[j].alias(f"t{j}") for j in range(3)))
     scaled = features.apply_scaling(rows, *features.scaling(rows.filter("fold <> 0"), ["t0", "t1", "t2"], "standard"))
     joined = scaled.withColumn("t", F.array("t0", "t1", "t2")).select("sample_id", features.as_vector("t").alias("tv"), features.as_vector("i").alias("iv"))
-    return features.assemble(joined, ["tv", "iv"]).select("sample_id", F.posexplode(vector_to_array("features")).alias("i", "value"))
+    return features.assemble(joined, ["tv", "iv"]).select("sample_id", vector_to_array("features").alias("features"))
+
+
+@query("fuse_concat_values", f"WITH {_whole}, m AS (SELECT [avg(t[1]), avg(t[2]), avg(t[3])] AS m, [stddev_pop(t[1]), stddev_pop(t[2]), stddev_pop(t[3])] AS s FROM w WHERE fold <> 0) SELECT sample_id, CAST(i - 1 AS INT) AS i, CASE WHEN i <= 3 THEN (t[i] - m[i]) / CASE WHEN s[i] = 0 THEN 1 ELSE s[i] END ELSE v[i - 3] END AS value FROM w, m, unnest(range(1, {IMAGE_VALUES + 4})) AS u(i)", "value", 5)
+def fuse_concat_values(spark, d):
+    """The vectors of ``fuse_concat``, a row for each component."""
+    return fuse_concat(spark, d).select("sample_id", F.posexplode("features").alias("i", "value"))
 
 
 @query("fuse_gated")
