@@ -26,7 +26,7 @@ from shelfwise.llm.text import slices
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 64 << 20
 CACHE_PAIRS = 200_000
 _models: dict[str, "PieceModel"] = {}
 _irregular = re.compile(f"^ |  |{SPACE}|\x01")
