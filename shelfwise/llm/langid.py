@@ -46,10 +46,14 @@ def letters(data: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame):
     """(doc_id, text, lang, ...) -> (language names in order, table of log-likelihoods: slot x language)."""
     known = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    names = sorted(r.lang for r in known.select("lang").distinct().collect())  # one row per language
-    order = Window.partitionBy("lang").orderBy("mark", "doc_id")
-    marked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("mark"))
-    picked = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TRAIN_ROWS).select("doc_id", "lang")
+    sizes = known.groupBy("lang").count()
+    names = sorted(r.lang for r in sizes.collect())  # one row per language
+    # hashes are uniform: those under 4 TRAIN_ROWS / n are about 4 TRAIN_ROWS of n rows, so few have to be ranked
+    mark = F.xxhash64("doc_id")
+    marked = known.filter("doc_id is not null").select("doc_id", "lang", mark.alias("mark"), (F.shiftrightunsigned(mark, 11) / float(1 << 53)).alias("share"))
+    low = marked.join(F.broadcast(sizes), "lang").filter(F.col("share") * F.col("count") < 4 * TRAIN_ROWS)
+    order = Window.partitionBy("lang").orderBy("share", "mark", "doc_id")
+    picked = low.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TRAIN_ROWS).select("doc_id", "lang")
     sample = known.join(F.broadcast(picked.distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang").toArrow()  # TRAIN_ROWS a language
     counts = np.full((SLOTS, max(len(names), 1)), 0.1)
     tags = np.array(sample.column("lang").to_pylist(), object)
