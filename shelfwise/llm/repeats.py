@@ -134,15 +134,16 @@ def repeated_windows(docs: DataFrame, unit: Unit, shard: Callable, route: Callab
     summed = found.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("ord", "row", "first")).alias("at"))
     summed = materialize(summed, "sums")
     kinds = materialize(summed.join(seen, "key"), "contexts")
-    groups = kinds.filter("mixed").groupBy("key").agg(F.count("*").alias("n_ctx"))
+    frequent = kinds.filter("mixed").groupBy("key").agg(F.count("*").alias("n_ctx")).filter(F.col("n_ctx") > GROUP).select("key")
+    frequent = materialize(frequent, "frequent")
     bodies = found.filter("tokens is not null").groupBy("key", "ctx").agg(F.first("tokens").alias("tokens"))
-    bodies = bodies.join(kinds.filter("mixed").select("key", "ctx", "n", "at"), ["key", "ctx"]).join(groups, "key")
-    bodies = materialize(bodies.select("key", "ctx", "n", "at.ord", "at.row", "at.first", "tokens", "n_ctx"), "bodies")
-    small = bodies.filter(F.col("n_ctx") <= GROUP).drop("n_ctx").repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "ord", "row", "first", "ctx").mapInArrow(shard, FOUND)
-    large = route(bodies.filter(F.col("n_ctx") > GROUP).drop("n_ctx"), unit)
+    bodies = bodies.join(kinds.filter("mixed").select("key", "ctx", "n", "at"), ["key", "ctx"])
+    bodies = materialize(bodies.select("key", "ctx", "n", "at.ord", "at.row", "at.first", "tokens"), "bodies")
+    small = bodies.join(frequent, "key", "left_anti").repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "ord", "row", "first", "ctx").mapInArrow(shard, FOUND)
+    large = route(bodies.join(frequent, "key", "left_semi"), unit)
     results = kinds.select("key", "ctx", "n", "at").join(small.unionByName(large), ["key", "ctx"], "left").filter("n > 1 or starts is not null")
     results = materialize(results, "findings")
-    drop_scratch(seen, summed, kinds, bodies)
+    drop_scratch(seen, summed, kinds, frequent, bodies)
     return found, results
 
 
