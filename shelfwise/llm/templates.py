@@ -113,7 +113,8 @@ def without_lines(docs: DataFrame) -> tuple[DataFrame, str, str]:
     gone = dropped_lines(plain(docs))
     keyed, one, two = with_key(docs)
     numbers, before, dropped = (free_name(keyed, c) for c in ("_numbers", "lines_before", "lines_dropped"))
-    joined = keyed.join(gone.select(F.col("ord").alias(one), F.col("row").alias(two), F.col("numbers").alias(numbers)), [one, two], "left")
+    # merged at every size: what is dropped grows with the corpus, so a plan that broadcasts it does not last
+    joined = keyed.join(gone.select(F.col("ord").alias(one), F.col("row").alias(two), F.col("numbers").alias(numbers)).hint("merge"), [one, two], "left")
     lines = F.split("text", "\n", -1)
     # the set difference of numbers is linear, a look-up for each line would not be
     kept = F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col(numbers)), lambda i: F.get(lines, i.cast("int")))
