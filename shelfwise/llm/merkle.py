@@ -18,6 +18,8 @@ from shelfwise.llm.session import drop_scratch, free_name, materialize
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Nodes a task: small levels are written by few tasks.
 NODES_A_TASK = 20_000
+#: Levels that proofs pass before they are written.
+LEVELS_A_STEP = 4
 
 
 def field(value: Column) -> Column:
@@ -100,10 +102,7 @@ def descend(levels: list[DataFrame], ends: DataFrame, arity: int) -> DataFrame:
             here = here.unionByName(many.select(*kept, *carried, F.concat(step, F.col("rest")).alias("proof")))
         if depth == 0:
             return here
-        below = settle(here, count // arity**depth, f"proofs-{depth}")
-        if above is not None:
-            drop_scratch(above)
-        above = below
+        above = settle(here, count // arity**depth, f"proofs-{depth}") if depth % LEVELS_A_STEP == 0 else here
 
 
 NO_PROOF = "array<struct<before:binary,after:binary>>"
@@ -114,9 +113,11 @@ def manifest(docs: DataFrame, values: list[Column], group: Column, order: Column
     subroot and root (hex), and proof (array of the digests before and after the node at each level, as bytes).
 
     A leaf is H of ``values``. In each group leaves ascend by ``order``, rows without one last, ties by leaf; repeated rows
-    are leaves of their own. While a level has several nodes, every ``arity`` of them become their H, the last ones also
+    are leaves of their own. Columns of ``docs`` may have any names; those of ``keep`` must differ from the other five. While a level has several nodes, every ``arity`` of them become their H, the last ones also
     if they are fewer. A group of null is a group, in front of all others. An empty table gives an empty result."""
     keep = keep or {}
+    if clash := {c.lower() for c in keep} & {"place", "leaf", "subroot", "root", "proof"}:
+        raise ValueError(f"keep these under other names: {sorted(clash)}")
     names = {c: f"kept_{i}" for i, c in enumerate(keep)}
     leaves = materialize(docs.select(*(v.alias(names[c]) for c, v in keep.items()), group_key(group).alias("grp"), order.alias("ord"), F.unhex(leaf_digest(values)).alias("digest")), "leaves")
     placed = running(leaves, ["grp"], [F.col("ord").asc_nulls_last(), F.col("digest")], name="place", total="n")

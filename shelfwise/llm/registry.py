@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from shelfwise.llm.automaton import OP6_SQL, op6_substring_dedup
+from shelfwise.llm.curriculum import OP13_SQL, op13_source_mix
 from shelfwise.llm.huffman import op3_token_ids
 from shelfwise.llm.jaccard import OP4_SQL, op4_ngram_jaccard
 from shelfwise.llm.langid import op2_language_id
 from shelfwise.llm.licenses import op1_license_scan, op1_sql
+from shelfwise.llm.merkle import OP11_SQL, op11_merkle_manifest
+from shelfwise.llm.middle import OP12_SQL, op12_fill_in_middle
 from shelfwise.llm.pieces import op7_sentencepiece
 from shelfwise.llm.pivots import op8_nearest_neighbours
 from shelfwise.llm.suffix_array import op5_sql, op5_suffix_array_dedup
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +39,7 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_source_mix": OP13_SQL,
 }
