@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce as reduce_tables
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions import picture
 from shelfwise.operators.percentiles import beside, percentiles
 
+#: Vectorisers of this Python worker, by what loads them.
+_LOADED: dict = {}
+
 
 def scaling(df: DataFrame, columns: list[str], how: str) -> tuple[DataFrame, dict]:
     """Fit a scaling on ``df``: one row of centre and width per column, to be joined (broadcast) to whatever is scaled."""
@@ -136,27 +142,43 @@ def as_vector(column: str) -> Column:
     return array_to_vector(F.col(column))
 
 
+def vectorised(df: DataFrame, text: str, load, column: str) -> DataFrame:
+    """``df`` with the mean of the token vectors of ``text`` in ``column``.
+
+    ``load()`` gives the vectoriser (``dims`` and ``encode(texts)``, a matrix of tokens x dims for each). It runs once in a
+    Python worker, which keeps it for all its tasks, and texts go to it a batch at a time. A text without tokens, or null, has
+    zeros."""
+    @F.arrow_udf("array<double>")
+    def pooled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from shelfwise.operators.features import _LOADED  # the worker's own, not a copy that came with this function
+
+        if load not in _LOADED:
+            _LOADED[load] = load()
+        made = _LOADED[load]
+        for batch in batches:
+            found = np.zeros((len(batch), made.dims))
+            for i, tokens in enumerate(made.encode(["" if t is None else t for t in batch.to_pylist()])):
+                if len(tokens):
+                    found[i] = tokens.mean(axis=0)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * made.dims, pa.int32()), pa.array(found.ravel()))
+
+    return df.withColumn(column, pooled(F.col(text)))
+
+
 def image_features(images: DataFrame) -> DataFrame:
-    """(sample_id, height, width, channels, data BGR bytes) -> colour histogram 3 x 64, texture (contrast, energy,
-    homogeneity of neighbouring grey levels) and edge statistics (mean, spread and share of strong gradients)."""
+    """(sample_id, height, width, channels, data BGR bytes) -> colour histogram (3 x 64), dominant colours (5 x 3, by number
+    of pixels), texture (contrast, dissimilarity, homogeneity, energy, correlation of neighbouring grey levels) and Sobel
+    edges (mean, spread, share of strong ones)."""
 
-    def run(frames):
-        for f in frames:
+    def run(batches):
+        for batch in batches:
             out = []
-            for h, w, c, raw in zip(f["height"], f["width"], f["channels"], f["data"], strict=True):
-                x = np.frombuffer(raw, np.uint8).reshape(h, w, c).astype(np.float64)
-                x = np.repeat(x, 3, axis=2) if c == 1 else x[:, :, :3]
-                hist = np.concatenate([np.bincount((x[:, :, i] / 4).astype(int).ravel(), minlength=64) for i in (2, 1, 0)]) / (h * w)
-                grey = x.mean(axis=2)
-                level = (grey / 32).astype(int)
-                pairs = np.bincount((level[:, :-1] * 8 + level[:, 1:]).ravel(), minlength=64).reshape(8, 8)
-                p = pairs / max(pairs.sum(), 1)
-                i, j = np.indices((8, 8))
-                texture = [float((p * (i - j) ** 2).sum()), float((p**2).sum()), float((p / (1 + abs(i - j))).sum())]
-                gy, gx = np.gradient(grey) if min(h, w) > 1 else (np.zeros_like(grey),) * 2
-                strength = np.hypot(gx, gy)
-                edges = [float(strength.mean()), float(strength.std()), float((strength > 32).mean())]
-                out.append((hist.tolist(), texture, edges))
-            yield pd.DataFrame({"sample_id": f["sample_id"], "histogram": [o[0] for o in out], "texture": [o[1] for o in out], "edges": [o[2] for o in out]})
-
-    return images.select("sample_id", "height", "width", "channels", "data").mapInPandas(run, "sample_id string, histogram array<double>, texture array<double>, edges array<double>")
+            for h, w, c, raw in zip(*(batch.column(j).to_pylist() for j in range(1, 5)), strict=True):
+                x = np.frombuffer(raw, np.uint8).reshape(h, w, c)
+                rgb = np.repeat(x, 3, axis=2) if c == 1 else x[:, :, 2::-1]
+                level = picture.grey(rgb)
+                out.append((picture.histogram(rgb), picture.dominant_colors(rgb).ravel(), picture.texture(level), picture.edges(level)))
+            lists = [pa.array([list(o[j]) for o in out], pa.list_(pa.float64())) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["sample_id", "histogram", "colors", "texture", "edges"])
+
+    return images.select("sample_id", "height", "width", "channels", "data").mapInArrow(run, "sample_id string, histogram array<double>, colors array<double>, texture array<double>, edges array<double>")

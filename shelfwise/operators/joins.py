@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,66 +47,3 @@ def gaps(df: DataFrame, column: str) -> DataFrame:
     across = ends.select((F.col("low") - F.lag("high").over(Window.orderBy("part"))).alias("gap"))  # one row per partition
     inside = spread.select((F.col("v") - F.lag("v").over(Window.partitionBy("part").orderBy("v"))).alias("gap"))
     return inside.union(across).filter("gap is not null")
-
-
-def nearest_known(queries, k: int, block: int = 64):
-    """Known rows (id, vector) -> the k nearest of a partition to each broadcast query, by squared distance, then id.
-
-    Products of whole blocks give distances up to rounding; what they leave within reach of the k-th is measured exactly."""
-
-    def run(batches):
-        ids, x = queries.value
-        far = np.full((len(ids), k), np.inf)
-        who = np.full((len(ids), k), np.iinfo(np.int64).max)
-        what = np.zeros((len(ids), k, x.shape[1]))
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            y_ids = batch.column(0).to_numpy()
-            y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y_ids), -1)
-            size = (y * y).sum(axis=1)
-            for lo in range(0, len(ids), block):
-                mine = slice(lo, lo + block)
-                a = x[mine]
-                rough = (a * a).sum(axis=1)[:, None] - 2 * a @ y.T + size[None]
-                least = min(k, len(y_ids))
-                reach = np.partition(rough, least - 1, axis=1)[:, least - 1] + 1e-9 * (1 + size.max() + (a * a).sum(axis=1))
-                m = int((rough <= reach[:, None]).sum(axis=1).max())
-                near = np.argpartition(rough, m - 1, axis=1)[:, :m]
-                exact = ((y[near] - a[:, None, :]) ** 2).sum(axis=2)
-                all_far, all_who = np.concatenate([far[mine], exact], axis=1), np.concatenate([who[mine], y_ids[near]], axis=1)
-                order = np.lexsort((all_who, all_far), axis=1)[:, :k]
-                all_what = np.concatenate([what[mine], y[near]], axis=1)
-                far[mine], who[mine] = np.take_along_axis(all_far, order, 1), np.take_along_axis(all_who, order, 1)
-                what[mine] = np.take_along_axis(all_what, order[:, :, None], 1)
-        found = np.isfinite(far)
-        values = what[found]
-        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * x.shape[1], pa.int32()), pa.array(values.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(axis=1)), pa.int64()), pa.array(far[found]), pa.array(who[found]), vectors], names=["q", "far", "c", "v"])
-
-    return run
-
-
-def interpolate(queries: DataFrame, known: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Each query's k nearest known rows by distance: ``confidence`` (mean similarity 1 / (1 + distance)) and ``vector``
-    (mean weighted by similarity).
-
-    Queries are compared in blocks: every block of queries goes to every partition of the known rows, which returns its k
-    best, so what meets in one place is k rows per query and partition."""
-    spark = queries.sparkSession
-    blocks = max(1, -(-queries.count() // 2000))
-    parts = []
-    for b in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, vector).toArrow()  # about 2000 rows
-        ids = mine.column(0).to_numpy()
-        q = spark.sparkContext.broadcast((ids, np.array(mine.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)))
-
-        parts.append(known.select(F.col(key).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(nearest_known(q, k), "q long, far double, c long, v array<double>"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("far", "c"))).filter(F.col("r") <= k).withColumn("s", 1 / (1 + F.sqrt("far")))
-    each = top.select("q", "s", F.posexplode("v").alias("i", "x")).groupBy("q", "i").agg((F.sum(F.col("s") * F.col("x")) / F.sum("s")).alias("x"))
-    mean = each.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t["x"]).alias("vector"))
-    confidence = top.groupBy("q").agg(F.avg("s").alias("confidence"))
-    return confidence.join(mean, "q").withColumnRenamed("q", key)

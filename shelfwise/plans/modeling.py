@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions import extract
-from shelfwise.operators import features, joins, metrics, models
+from shelfwise.functions import extract, picture
+from shelfwise.operators import features, joins, metrics, models, neighbours, stages
 from shelfwise.operators.percentiles import percentiles
 from shelfwise.plans.extraction import INPUTS_SQL
 from shelfwise.plans.quality import ERR, LI, numeric
@@ -159,20 +163,81 @@ def tfidf_svd(spark, d):
     return features.tfidf_svd(products(spark, d).select("sample_id", "catalog_content"), "catalog_content", 384, 1000).select("sample_id", "text_vector")
 
 
-@query("embedding_source", "SELECT p.sample_id, len(e.embedding) AS dims, e.embedding IS NOT NULL AS found FROM products p LEFT JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = p.sample_id")
+_TOKEN = "[a-z0-9]+"
+
+
+class HashedTokens:
+    """A vectoriser without weights: each token of a text has the bytes of its md5, scaled to 0..1. What takes its place, such
+    as a sentence model, likewise gives a matrix (tokens x dimensions) per text."""
+
+    dims = 16
+
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+        self.pattern = re.compile(_TOKEN)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for text in texts:
+            tokens = self.pattern.findall(text.lower())
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            raw = b"".join(self.known.setdefault(t, hashlib.md5(t.encode()).digest()) for t in tokens)
+            out.append(np.frombuffer(raw, np.uint8).reshape(-1, self.dims) / 255)
+        return out
+
+
+@query(
+    "embedding_source",
+    f"WITH t AS (SELECT sample_id, md5(unnest(regexp_extract_all(lower(catalog_content), '{_TOKEN}'))) AS h FROM products), v AS (SELECT sample_id, avg(CAST('0x' || h[1:2] AS INT) / 255.0::DOUBLE) AS first_value, avg(CAST('0x' || h[31:32] AS INT) / 255.0::DOUBLE) AS last_value FROM t GROUP BY sample_id) SELECT p.sample_id, CASE WHEN e.embedding IS NULL THEN 'text' ELSE 'stored' END AS source, CASE WHEN e.embedding IS NULL THEN 16 ELSE len(e.embedding) END AS dims, coalesce(e.embedding[1], v.first_value, 0) AS first_value, CASE WHEN e.embedding IS NULL THEN coalesce(v.last_value, 0) ELSE e.embedding[len(e.embedding)] END AS last_value FROM products p LEFT JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = p.sample_id LEFT JOIN v ON v.sample_id = p.sample_id",
+    "first_value last_value",
+)
 def embedding_source(spark, d):
-    """Vectors enter from a stored table, by key."""
-    v = products(spark, d).select("sample_id").join(image_vectors(spark, d), "sample_id", "left")
-    return v.select("sample_id", F.when(F.col("image_vector").isNotNull(), F.size("image_vector")).cast("long").alias("dims"), F.col("image_vector").isNotNull().alias("found"))
+    """Stored vectors by key; the text of every other product is vectorised."""
+    j = products(spark, d).select("sample_id", "catalog_content").join(image_vectors(spark, d), "sample_id", "left")
+    stored = F.col("image_vector").isNotNull()
+    made = features.vectorised(j.filter(~stored), "catalog_content", HashedTokens, "image_vector")
+    both = j.filter(stored).select("sample_id", F.lit("stored").alias("source"), "image_vector").union(made.select("sample_id", F.lit("text").alias("source"), "image_vector"))
+    return both.select("sample_id", "source", F.size("image_vector").cast("long").alias("dims"), F.col("image_vector")[0].alias("first_value"), F.element_at("image_vector", -1).alias("last_value"))
+
+
+def drawn(batches):
+    """sample_id -> file, content: a PNG of two coloured fields and a bar, of a size and in colours that follow from the id.
+    Every eleventh file is cut off in its middle."""
+    for batch in batches:
+        names, bodies = [], []
+        for key in batch.column(0).to_pylist():
+            n, mark = int(key), hashlib.md5(key.encode()).digest()
+            side = 24 + n % 9
+            rgb = np.empty((side, side, 3), np.uint8)
+            rgb[:], rgb[:, side // 2 :] = list(mark[:3]), list(mark[3:6])
+            rgb[side // 4 : side // 3] = list(mark[6:9])
+            body = picture.encode_png(rgb)
+            names.append(f"{key}.png")
+            bodies.append(body[: len(body) // 2] if n % 11 == 0 else body)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["file", "content"])
+
+
+def pictures(spark, d):
+    """sample_id, status and image of every product, over files written for those that have a link, but for every 13th."""
+    path = files.scratch(spark, "pictures")
+    p = products(spark, d)
+    linked = p.filter("image_link is not null and cast(sample_id as bigint) % 13 <> 0").select("sample_id").repartition(8, "sample_id")
+    files.write_files(linked.mapInArrow(drawn, "file string, content binary"), path)
+    return files.scan_images(spark, path, p.select("sample_id", F.when(F.col("image_link").isNotNull(), F.concat("sample_id", F.lit(".png"))).alias("file")))
+
+
+@query("image_scan", "SELECT status, count(*) AS n, sum(side * side) AS pixels FROM (SELECT CASE WHEN image_link IS NULL OR k % 13 = 0 THEN 'missing' WHEN k % 11 = 0 THEN 'corrupt' ELSE 'ok' END AS status, 24 + k % 9 AS side, k FROM (SELECT image_link, CAST(sample_id AS BIGINT) AS k FROM products)) GROUP BY status", "pixels")
+def image_scan(spark, d):
+    side = F.lit(24) + F.col("sample_id").cast("long") % 9
+    out = pictures(spark, d).select("status", F.coalesce(F.col("image.width") * F.col("image.height"), side * side).alias("pixels"))
+    return out.groupBy("status").agg(F.count("*").alias("n"), F.sum("pixels").alias("pixels"))
 
 
 @query("image_features")
 def image_features(spark, d):
-    """Each stored vector read as an 8 x 8 grey image."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), F.col("embedding").cast("array<double>").alias("v"))
-    grey = F.transform("v", lambda x: F.greatest(F.least(F.round(x * 255 + 128), F.lit(255)), F.lit(0)).cast("int"))
-    raw = F.unhex(F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
-    return features.image_features(v.select("sample_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), raw.alias("data")))
+    ok = pictures(spark, d).filter("status = 'ok'").select("sample_id", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    return features.image_features(ok)
 
 
 def trained(names):
@@ -274,6 +339,17 @@ def ensemble_opt_weights(spark, d):
     return fine.select((F.col("a") / 100).alias("w1"), (F.col("b") / 100).alias("w2"), ((100 - F.col("a") - F.col("b")) / 100).alias("w3"), "smape")
 
 
+@query("ensemble_opt_simplex")
+def ensemble_opt_simplex(spark, d):
+    """The same weights by the optimiser, which takes any number of models and any weights."""
+    names = sorted(r.model for r in predictions(spark, d).select("model").distinct().collect())  # a row per model
+    wide = predictions(spark, d).groupBy("sample_id").pivot("model", names).agg(F.first("y_pred"))
+    truth = predictions(spark, d).filter(F.col("model") == names[0]).select("sample_id", F.col("y_true").alias("y"))
+    rows = wide.join(truth, "sample_id").select("y", F.array(*names).alias("p")).filter("y is not null and forall(p, x -> x is not null)")
+    w, smape = models.best_weights(rows, len(names))
+    return spark.createDataFrame([(n, float(x), smape) for n, x in zip(names, w, strict=True)], "model string, weight double, smape double")
+
+
 @query("compare_ensembles", f"WITH {_wide}, e AS (SELECT unnest(['mean', 'median', 'first']) AS ensemble, unnest([(p1 + p2 + p3) / 3, p1 + p2 + p3 - greatest(p1, p2, p3) - least(p1, p2, p3), p1]) AS y_pred, y_true FROM p) SELECT ensemble, avg({ERR}) * 100 AS smape, avg(abs(y_pred - y_true)) AS mae, avg({ERR}) = min(avg({ERR})) OVER () AS best FROM e GROUP BY ensemble", "smape mae")
 def compare_ensembles(spark, d):
     wide = predictions(spark, d).groupBy("sample_id").pivot("model", ["m1", "m2", "m3"]).agg(F.first("y_pred"))
@@ -285,11 +361,18 @@ def compare_ensembles(spark, d):
     return s.withColumn("best", F.col("smape") == F.min("smape").over(Window.partitionBy()))  # a row per ensemble
 
 
-@query("prediction_confidence", "WITH e AS (SELECT quantile_cont(y_pred, 0.95) AS hi FROM predictions) SELECT sample_id, 1 / (1 + stddev_pop(y_pred)) AS agreement, least(avg(y_pred) / any_value(hi), 1) AS level FROM predictions, e GROUP BY sample_id", "agreement level")
+_FEATURE_LIST = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in models.inputs()) + "]"
+
+
+@query("prediction_confidence", f"WITH e AS (SELECT quantile_cont(y_pred, 0.95) AS hi FROM predictions), f AS (SELECT sample_id, {_FEATURE_LIST} AS v FROM ({INPUTS_SQL})), n AS (SELECT a.sample_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2)) AS far, row_number() OVER (PARTITION BY a.sample_id ORDER BY list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2)), CAST(b.sample_id AS BIGINT)) AS r FROM f a, f b), k AS (SELECT sample_id, 1 / (1 + avg(sqrt(far))) AS density FROM n WHERE r <= 5 GROUP BY sample_id) SELECT sample_id, 1 / (1 + stddev_pop(y_pred)) AS agreement, least(avg(y_pred) / any_value(hi), 1) AS level, any_value(density) AS density FROM predictions JOIN k USING (sample_id), e GROUP BY sample_id", "agreement level density")
 def prediction_confidence(spark, d):
+    """Three measures: agreement of models, price against the 95th percentile, density of products around in feature space."""
     p = predictions(spark, d)
     e = percentiles(p, "y_pred", (0.95,), "q").select(F.col("q")[0].alias("hi"))
-    return p.join(F.broadcast(e), F.lit(True)).groupBy("sample_id").agg((1 / (1 + F.stddev_pop("y_pred"))).alias("agreement"), F.least(F.avg("y_pred") / F.first("hi"), F.lit(1.0)).alias("level"))
+    x = extract.model_inputs(F.col("catalog_content"))
+    near = neighbours.density(products(spark, d).select("sample_id", *(c.alias(k) for k, c in x.items())), "sample_id", models.inputs()).select(F.col("sample_id").cast("string").alias("sample_id"), "density")
+    out = p.join(F.broadcast(e), F.lit(True)).groupBy("sample_id").agg((1 / (1 + F.stddev_pop("y_pred"))).alias("agreement"), F.least(F.avg("y_pred") / F.first("hi"), F.lit(1.0)).alias("level"))
+    return out.join(near, "sample_id")
 
 
 @query("model_report", f"WITH {SMAPES}, m AS (SELECT model, avg(abs(y_pred - y_true)) AS mae FROM predictions GROUP BY model), l AS (UNPIVOT (SELECT model, smape, r2, mae FROM s JOIN m USING (model)) ON smape, r2, mae INTO NAME metric VALUE value) SELECT metric, arg_min(model, CASE WHEN metric = 'r2' THEN -value ELSE value END) AS best, min(value) AS least, max(value) AS most FROM l GROUP BY metric", "least most")
@@ -304,9 +387,15 @@ def fitted(spark, d, name="ridge"):
     return models.fit(spread_rows(products(spark, d)).filter("fold <> 0"), models.regressors(trees=8)[name])
 
 
+def text_model(spark, d, *names):
+    """A model from raw text to price, of these regressors in equal parts, fitted to all folds but the first."""
+    names = names or ("ridge",)
+    return stages.fit_text_pipeline(spread_rows(products(spark, d)).filter("fold <> 0"), models.regressors(trees=8), dict.fromkeys(names, 1.0))
+
+
 @query("predict_batch")
 def predict_batch(spark, d):
-    return models.score_pipeline(fitted(spark, d), products(spark, d))
+    return stages.score(text_model(spark, d, "ridge", "forest"), products(spark, d))
 
 
 @query("feature_importance")
@@ -326,32 +415,35 @@ def permutation_importance(spark, d):
 
 @query("fit_pipeline")
 def fit_pipeline(spark, d):
-    """Fit, blend by out-of-fold SMAPE in price space, and measure."""
-    rows = spread_rows(products(spark, d))
-    oof = models.out_of_fold(rows, quick(), 2)
-    w = joins.inverse_weights(oof.groupBy("model").agg(metrics.smape(F.col("price"), F.col("y_pred")).alias("smape")), "smape").select("model", "weight")
-    blend = oof.join(F.broadcast(w), "model").groupBy("sample_id").agg(F.first("price").alias("price"), F.greatest(F.sum(F.col("weight") * F.col("y_pred")), F.lit(0.01)).alias("y_pred"))
-    return blend.agg(F.count("*").alias("rows"), metrics.smape(F.col("price"), F.col("y_pred")).alias("smape"))
+    """The whole training: six regressors over five folds, weights by SMAPE, one model from text to price. It is saved with its
+    weights, loaded, and scores the products; a row per regressor, one for the blend, one for the loaded model."""
+    model, report = stages.train(products(spark, d).repartition(8, "sample_id"), quick(), 5)
+    folder = files.scratch(spark, "models")
+    files.save_model(model, folder, "text-to-price", {r.model: f"{r.weight:.6f}" for r in report.collect()})  # a row per regressor
+    loaded, _ = files.load_model(spark, folder, "text-to-price")
+    known = products(spark, d).filter("price is not null").select("sample_id", "price")
+    again = stages.score(loaded, products(spark, d)).join(known, "sample_id").agg(F.lit("loaded").alias("model"), F.count("*").alias("rows"), metrics.smape(F.col("price"), F.col("y_pred")).alias("smape"), F.lit(1.0).alias("weight"))
+    return report.union(again)
 
 
 @query("score_pipeline")
 def score_pipeline(spark, d):
-    """Save the fitted pipeline, load it and score every product."""
+    """Save the fitted model, load it and score the raw text of every product with it alone."""
     path = files.scratch(spark, "model")
-    fitted(spark, d).write().overwrite().save(path)
-    return models.score_pipeline(PipelineModel.load(path), products(spark, d))
+    text_model(spark, d).write().overwrite().save(path)
+    return stages.score(PipelineModel.load(path), products(spark, d))
 
 
 @query("model_save_load")
 def model_save_load(spark, d):
     """Two models are saved with their metadata; the most recent one is found, loaded and scores as before."""
     folder = files.scratch(spark, "models")
-    files.save_model(fitted(spark, d, "ridge"), folder, "ridge", {"trees": "0"})
-    model = fitted(spark, d, "forest")
+    files.save_model(text_model(spark, d), folder, "ridge", {"trees": "0"})
+    model = text_model(spark, d, "forest")
     files.save_model(model, folder, "forest", {"trees": "8"})
     loaded, about = files.load_model(spark, folder)
-    a = models.score_pipeline(model, products(spark, d)).withColumnRenamed("y_pred", "before")
-    b = models.score_pipeline(loaded, products(spark, d)).withColumnRenamed("y_pred", "after")
+    a = stages.score(model, products(spark, d)).withColumnRenamed("y_pred", "before")
+    b = stages.score(loaded, products(spark, d)).withColumnRenamed("y_pred", "after")
     return a.join(b, "sample_id").agg(F.lit(about["name"]).alias("name"), F.count("*").alias("rows"), F.count_if(F.abs(F.col("before") - F.col("after")) > 1e-9).alias("different"))
 
 
@@ -372,11 +464,12 @@ def json_log_scan(spark, d):
     return logs.groupBy(F.array_join("missing", ",").alias("missing"), "level").agg(F.count("*").alias("n"))
 
 
-@query("file_checksum_manifest")
+@query("file_checksum_manifest", "SELECT sample_id AS file, md5(catalog_content) AS md5, octet_length(encode(catalog_content)) AS length FROM products")
 def file_checksum_manifest(spark, d):
+    """Every product's text is written as a file; the files are listed and digested."""
     path = files.scratch(spark, "parts")
-    products(spark, d).select("sample_id", "price", "fold").write.partitionBy("fold").csv(path)
-    return files.checksums(spark, path).select(F.element_at(F.split("path", "/"), -2).alias("folder"), "md5", "length")
+    files.write_files(products(spark, d).repartition(8, "sample_id").select(F.col("sample_id").alias("file"), F.col("catalog_content").alias("content")), path)
+    return files.checksums(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "md5", "length")
 
 
 @query("storage_summary")
@@ -387,17 +480,20 @@ def storage_summary(spark, d):
     return files.storage(spark, {"tables": a, "texts": b})
 
 
-@query("fetch_urls")
+@query("fetch_urls", "SELECT page_id, CASE WHEN page_id % 50 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN page_id % 50 <> 0 THEN md5(html) END AS md5, CASE WHEN page_id % 50 <> 0 THEN octet_length(encode(html)) END AS size, CAST(CASE WHEN page_id % 50 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts, CASE WHEN page_id % 50 = 0 THEN 'FileNotFoundError' END AS error, page_id % 50 = 0 OR page_id % 20 = 1 AS again FROM pages WHERE html IS NOT NULL")
 def fetch_urls(spark, d):
-    """Every page is written to a file of its own folder in the shared store, and the files are fetched by their URLs; one
-    page in fifty points to a file that is not there."""
-    path = files.scratch(spark, "pages")
-    pages = table(spark, d, "pages").select("page_id", F.regexp_replace("html", r"[\r\n]+", " ").alias("value"))
-    pages.withColumn("part", F.col("page_id") % 64).select("part", "value").repartition(8, "part").write.partitionBy("part").text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("url"))
-    lost = table(spark, d, "pages").filter("page_id % 50 = 0").select(F.concat(F.lit(path + "/gone/"), F.col("page_id").cast("string")).alias("url"))
-    out = files.fetch_urls(found.union(lost), files.open_url, kinds=("text/", "image/"), parallel=8)
-    return out.select(F.regexp_extract("url", "/(part=[0-9]+|gone/[0-9]+)", 1).alias("page"), "status", "md5", "size", "attempts", "error")
+    """Every page is a file of its own in the shared store, and the files are fetched by their URLs, a kept copy of each. One
+    page in fifty is not there. Then one copy in twenty is spoilt, and a second run fetches those, and what failed, again."""
+    path, kept = files.scratch(spark, "pages"), files.scratch(spark, "fetched")
+    pages = table(spark, d, "pages").filter("html is not null").select("page_id", F.concat("page_id", F.lit(".html")).alias("file"), F.col("html").alias("content")).repartition(8, "page_id")
+    files.write_files(pages.filter("page_id % 50 <> 0"), path)
+    urls = pages.select("page_id", F.concat(F.lit(path + "/"), "file").alias("url"))
+    first = files.stored(files.fetch_urls(urls, kinds=("text/", "image/"), folder=kept), "fetched-manifest")
+    files.write_files(urls.filter("page_id % 50 <> 0 and page_id % 20 = 1").select(F.md5("url").alias("file"), F.lit("spoilt").alias("content")), kept)
+    second = files.fetch_urls(urls, kinds=("text/", "image/"), folder=kept, done=first).select("url_hash", "status", "md5", "size", "attempts", "error", F.lit(True).alias("again"))
+    both = urls.select("page_id", F.md5("url").alias("url_hash")).join(first.drop("url"), "url_hash").join(second, "url_hash", "left")
+    pick = (F.coalesce(second[c], first[c]).alias(c) for c in ("status", "md5", "size", "attempts", "error"))
+    return both.select("page_id", *pick, F.coalesce("again", F.lit(False)).alias("again"))
 
 
 @query("submission_write", "SELECT sample_id, round_even(price, 6) AS price FROM submission")
@@ -438,23 +534,38 @@ def report_write(spark, d):
 
 @query("stream_score")
 def stream_score(spark, d):
-    """Products arrive as a stream of parts; the batch pipeline scores them."""
-    model = fitted(spark, d)
-    path = files.scratch(spark, "stream-products")
+    """Products arrive as a stream of parts; a saved and loaded model scores their raw text."""
+    path, saved = files.scratch(spark, "stream-products"), files.scratch(spark, "model")
+    text_model(spark, d).write().overwrite().save(saved)
     products(spark, d).select("sample_id", "catalog_content").repartition(4, "sample_id").write.parquet(path)
     stream = spark.readStream.schema("sample_id string, catalog_content string").parquet(path)
-    return streams.run_to_end(models.score_pipeline(model, stream), "append")
+    return streams.run_to_end(stages.score(PipelineModel.load(saved), stream), "append")
+
+
+def _arrivals(where: str) -> str:
+    """Events by arrival, and the watermark (ms) that each arrival meets and that stands at the end."""
+    return f"""e AS (SELECT *, CASE WHEN event_id % 20 = 0 AND epoch_us(ts) < low + third THEN 2 WHEN epoch_us(ts) < low + third THEN 0 WHEN epoch_us(ts) < low + 2 * third THEN 1 ELSE 2 END AS part
+  FROM events, (SELECT min(epoch_us(ts)) AS low, (max(epoch_us(ts)) - min(epoch_us(ts))) // 3 AS third FROM events)),
+g AS (SELECT * FROM e WHERE {where}),
+m AS (SELECT max(epoch_ms(ts)) FILTER (part < 1) - 3600000 AS m1, max(epoch_ms(ts)) FILTER (part < 2) - 3600000 AS m2, max(epoch_ms(ts)) - 3600000 AS m3 FROM g)"""
+
+
+_IN_TIME = "epoch_ms(s + INTERVAL 1 HOUR) <= m3 AND NOT (part = 1 AND epoch_ms(s + INTERVAL 1 HOUR) <= m1) AND NOT (part = 2 AND epoch_ms(s + INTERVAL 1 HOUR) <= m2)"
 
 
-@query("stream_failures_hourly", "SELECT CAST(strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS VARCHAR) AS hour, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("stream_failures_hourly", f"WITH {_arrivals("event_type = 'error'")} SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS failures FROM (SELECT date_trunc('hour', ts) AS s, part FROM g), m WHERE {_IN_TIME} GROUP BY 1")
 def stream_failures_hourly(spark, d):
-    out = streams.run_to_end(streams.hourly_failures(streams.table_stream(spark, d, "events")), "complete")
-    return out.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "failures")
+    """Three arrivals, the last with late events of the first: those are dropped, and hours come out once the watermark has
+    passed them."""
+    parts = streams.by_arrival(table(spark, d, "events"), "ts", F.col("event_id") % 20 == 0)
+    return streams.run_arrivals(parts, streams.hourly_failures).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "failures")
 
 
-@query("stream_quality", "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) FILTER (value < 5) AS low, count(*) FILTER (value > 100) AS high FROM (SELECT value, time_bucket(INTERVAL 15 MINUTES, ts) - o * INTERVAL 15 MINUTES AS s FROM events, (SELECT unnest([0, 1, 2, 3]) AS o)) GROUP BY s")
+@query("stream_quality", f"WITH {_arrivals('true')} SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) FILTER (value < 5) AS low, count(*) FILTER (value > 100) AS high FROM (SELECT value, part, time_bucket(INTERVAL 15 MINUTES, ts) - o * INTERVAL 15 MINUTES AS s FROM g, (SELECT unnest([0, 1, 2, 3]) AS o)), m WHERE {_IN_TIME} GROUP BY s")
 def stream_quality(spark, d):
-    out = streams.run_to_end(streams.sliding_quality(streams.table_stream(spark, d, "events"), 5, 100), "complete")
+    """As ``stream_failures_hourly``, over sliding hours; a late event is dropped from each of its hours by itself."""
+    parts = streams.by_arrival(table(spark, d, "events"), "ts", F.col("event_id") % 20 == 0)
+    out = streams.run_arrivals(parts, lambda e: streams.sliding_quality(e, 5, 100))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "low", "high")
 
 

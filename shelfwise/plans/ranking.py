@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import extract
-from shelfwise.operators import joins, metrics
+from shelfwise.operators import joins, metrics, neighbours
 from shelfwise.operators.percentiles import beside, hashed_rank, percentiles
 from shelfwise.plans.extraction import INPUTS_SQL
 from shelfwise.plans.quality import BUCKET, EDGES, ERR, FOLDS, fold_scores
@@ -54,14 +54,14 @@ _KNN = "k AS (SELECT q.vec_id AS id, c.embedding AS e, 1 / (1 + sqrt(greatest(li
 def knn_interpolate(spark, d):
     """Rows with vec_id divisible by 50 play those without an image vector: a stated query set against all others."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    out = joins.interpolate(v.filter("vec_id % 50 = 0"), v.filter("vec_id % 50 <> 0"), "vec_id", "v", 5)
+    out = neighbours.interpolate(v.filter("vec_id % 50 = 0"), v.filter("vec_id % 50 <> 0"), "vec_id", "v", 5)
     return out.select(F.col("vec_id").alias("id"), "confidence", F.col("vector")[0].alias("first_value"), F.col("vector")[63].alias("last_value"))
 
 
 @query("missing_image_resolve", f"WITH {_KNN}, i AS (SELECT id, avg(s) AS confidence FROM t GROUP BY id) SELECT p.sample_id, CASE WHEN e.vec_id IS NOT NULL AND e.vec_id % 50 <> 0 THEN 'real' WHEN i.confidence > 0.3 THEN 'interpolated' WHEN length(p.catalog_content) > 60 THEN 'text_based' ELSE 'configured' END AS strategy, coalesce(i.confidence, 0) AS confidence FROM products p LEFT JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = p.sample_id LEFT JOIN i ON CAST(i.id AS VARCHAR) = p.sample_id", "confidence")
 def missing_image_resolve(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    found = joins.interpolate(v.filter("vec_id % 50 = 0"), v.filter("vec_id % 50 <> 0"), "vec_id", "v", 5).select(F.col("vec_id").cast("string").alias("sample_id"), "confidence")
+    found = neighbours.interpolate(v.filter("vec_id % 50 = 0"), v.filter("vec_id % 50 <> 0"), "vec_id", "v", 5).select(F.col("vec_id").cast("string").alias("sample_id"), "confidence")
     real = v.filter("vec_id % 50 <> 0").select(F.col("vec_id").cast("string").alias("sample_id"), F.lit(True).alias("real"))
     j = products(spark, d).select("sample_id", "catalog_content").join(real, "sample_id", "left").join(found, "sample_id", "left")
     strategy = F.when(F.col("real"), "real").when(F.col("confidence") > 0.3, "interpolated").when(F.length("catalog_content") > 60, "text_based").otherwise("configured")

@@ -5,15 +5,18 @@ Everything is read and written by Spark, so paths can be in any store it knows."
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_FIELDS = ("timestamp", "level", "message", "module")
+#: Bytes of a file in memory at a time.
+BLOCK = 8 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -28,6 +31,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for what several steps read."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.repartition(1) if one_file else df).write.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", '""').csv(path)
 
@@ -41,10 +51,69 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("f", F.coalesce(fields, F.create_map().cast("map<string,string>"))).select(*(F.element_at("f", F.lit(c)).alias(c) for c in LOG_FIELDS), rest.alias("extra"), missing.alias("missing"))
 
 
+def store(uri: str):
+    """The file system behind a URI (local, HDFS, object stores) and the path in it, for reading and writing in tasks."""
+    from pyarrow import fs
+
+    kind, _, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(f"file://{rest}" if kind == "file" and not rest.startswith("//") else uri)
+
+
+def digest_of(uri: str, block: int = BLOCK) -> str:
+    """md5 of a file of any size, read a block at a time."""
+    import hashlib
+
+    files, path = store(uri)
+    md5 = hashlib.md5()
+    with files.open_input_stream(path) as stream:
+        while data := stream.read(block):
+            md5.update(data)
+    return md5.hexdigest()
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of every file under ``path`` that is not empty (Spark's reader passes over empty ones); contents are
+    not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """path, md5 and length of every file under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.md5("content").alias("md5"), "length")
+    """path, md5 and length of every file of ``listing``. Each file is streamed by one task, a block in memory at a time."""
+
+    def run(batches):
+        for batch in batches:
+            found = [digest_of(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), batch.column(1)], names=["path", "md5", "length"])
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listing(spark, path).repartition(width, "path").mapInArrow(run, "path string, md5 string, length long")
+
+
+def save_file(uri: str, body: bytes) -> None:
+    """Write under another name, then rename: a task that is tried again, or twice at once, leaves whole files only."""
+    files, path = store(uri)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with files.open_output_stream(part) as stream:
+        stream.write(body)
+    files.move(part, path)
+
+
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """(file, content) -> a file each in ``folder``, written by the tasks that hold the rows; returns file and length of what
+    was written, as a table. Rows without a name or content write nothing."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+    def run(batches):
+        for batch in batches:
+            names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name, body in zip(names, bodies, strict=True):
+                save_file(f"{folder}/{name}", body)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in bodies], pa.int64())], names=["file", "length"])
+
+    rows = df.select(F.col("file").cast("string").alias("file"), F.col("content").cast("binary").alias("content")).filter("file is not null and content is not null")
+    return stored(rows.mapInArrow(run, "file string, length long"), "files-written")
 
 
 def storage(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -57,53 +126,108 @@ def storage(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    """ids (sample_id, file) -> sample_id, status (ok, corrupt, missing) and the image struct (bytes are BGR)."""
-    images = spark.read.format("image").option("dropInvalid", False).load(path).select("image", F.element_at(F.split("image.origin", "/"), -1).alias("file"))
-    status = F.when(F.col("image").isNull(), "missing").when(F.col("image.width") < 1, "corrupt").otherwise("ok")
-    return ids.join(images, "file", "left").select("sample_id", status.alias("status"), "image")
+    """ids (sample_id, file) -> sample_id, status (ok, corrupt, missing) and the image struct (bytes are BGR).
 
+    A file that is listed but cannot be decoded, in whole or in its middle, is corrupt and does not end the job; an empty
+    one counts as missing."""
+    name = F.element_at(F.split("path", "/"), -1)
+    there = listing(spark, path).select(name.alias("file"), F.lit(True).alias("there"))
+    images = spark.read.format("image").option("dropInvalid", True).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).load(path)
+    images = images.select("image", F.element_at(F.split("image.origin", "/"), -1).alias("file"))
+    status = F.when(F.col("there").isNull(), "missing").when(F.col("image").isNull(), "corrupt").otherwise("ok")
+    return ids.join(there, "file", "left").join(images, "file", "left").select("sample_id", status.alias("status"), "image")
 
-def open_url(url: str) -> tuple[str, bytes]:
-    """Content type and bytes behind a URL."""
-    from urllib.request import urlopen
 
-    with urlopen(url, timeout=30) as answer:
-        return answer.headers.get_content_type(), answer.read()
-
-
-def fetch_urls(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]] = open_url, kinds: tuple[str, ...] = ("image/",), tries: int = 3, done: DataFrame | None = None, parallel: int = 32) -> DataFrame:
-    """Fetch each different url once: url_hash, url, status, md5, size, attempts, error.
-
-    ``fetch(url)`` returns (content type, bytes) or raises; it runs on executors and is tried again with exponential
-    waits of at most 60 s. Urls in the manifest ``done`` with status ok are left out."""
+def open_url(url: str) -> tuple[str, bytes]:
+    """Content type and bytes behind a URL, over HTTP or from a store."""
+    import mimetypes
+
+    if url.partition(":")[0] in ("http", "https", "ftp", "data"):
+        from urllib.request import urlopen
+
+        with urlopen(url, timeout=30) as answer:
+            return answer.headers.get_content_type(), answer.read()
+    files, path = store(url)
+    with files.open_input_stream(path) as stream:
+        return mimetypes.guess_type(path)[0] or "application/octet-stream", stream.read()
+
+
+def in_turn(rows: list[tuple], fetch, kinds: tuple, tries: int, threads: int, gap: float, first_wait: float, most_wait: float, clock, sleep):
+    """(key, url, host) -> (key, url, body or None, attempts, error), as they end. ``threads`` fetch at a time, no host more
+    often than every ``gap`` seconds; a row that failed comes back after its wait, and others go on meanwhile."""
+    from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+    from heapq import heappop, heappush
+
+    def one(url):
+        kind, data = fetch(url)
+        return data if kind.startswith(kinds) else None, f"type_{kind}"
+
+    later, free, flying = [(0.0, i, 1) for i in range(len(rows))], {}, {}
+    with ThreadPoolExecutor(threads) as pool:
+        while later or flying:
+            while later and len(flying) < threads and later[0][0] <= clock():
+                _, i, attempt = heappop(later)
+                at = max(clock(), free.get(rows[i][2], 0.0))
+                if at > clock():
+                    heappush(later, (at, i, attempt))
+                    continue
+                free[rows[i][2]] = at + gap
+                flying[pool.submit(one, rows[i][1])] = i, attempt
+            if not flying:
+                sleep(max(0.0, later[0][0] - clock()))
+                continue
+            ended, _ = wait(flying, timeout=max(0.0, later[0][0] - clock()) if later and len(flying) < threads else None, return_when=FIRST_COMPLETED)
+            for f in ended:
+                i, attempt = flying.pop(f)
+                problem = f.exception()  # a failed fetch is a row of the manifest
+                if problem is not None and attempt < tries:
+                    heappush(later, (clock() + min(most_wait, first_wait * 2 ** (attempt - 1)), i, attempt + 1))
+                elif problem is not None:
+                    yield (*rows[i][:2], None, attempt, type(problem).__name__)
+                else:
+                    body, kind = f.result()
+                    yield (*rows[i][:2], body, attempt, None if body is not None else kind)
+
+
+FETCHED = "url_hash string, url string, status string, md5 string, size long, attempts long, error string"
+
+
+def fetch_urls(urls: DataFrame, fetch: Callable[[str], tuple[str, bytes]] = open_url, kinds: tuple[str, ...] = ("image/",), tries: int = 3, done: DataFrame | None = None, folder: str | None = None, parallel: int | None = None, per_host: int = 4, threads: int = 8, gap: float = 0.0, first_wait: float = 1.0, most_wait: float = 60.0, clock: Callable = time.monotonic, sleep: Callable = time.sleep) -> DataFrame:
+    """Fetch each different url once: url_hash, url, status, md5, size, attempts, error. With ``folder``, bodies are saved
+    there under their url_hash.
+
+    ``fetch(url)`` returns (content type, bytes) or raises; it runs on executors and is tried again after ``first_wait``
+    seconds, then twice as many, up to ``most_wait``. The urls of a host are dealt to ``per_host`` groups, so one host, even
+    with most urls, is asked by no more of the ``parallel`` tasks, each with ``threads`` requests at a time and ``gap`` seconds between two.
+    Rows of the manifest ``done`` with status ok are left out where the saved file still has their checksum (without
+    ``folder``, by status alone). Null urls are left out."""
+    spark = urls.sparkSession
     todo = urls.select("url", F.md5("url").alias("url_hash")).filter("url is not null").dropDuplicates(["url_hash"])
     if done is not None:
-        todo = todo.join(done.filter("status = 'ok'").select("url_hash"), "url_hash", "left_anti")
-
-    def run(frames):
+        good = done.filter("status = 'ok'").select("url_hash", "md5")
+        if folder is not None:
+            good = good.join(checksums(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("url_hash"), "md5"), ["url_hash", "md5"], "left_semi")
+        todo = todo.join(good.select("url_hash"), "url_hash", "left_anti")
+    if folder is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+    def run(batches):
         import hashlib
-        import time
-
-        for frame in frames:
-            rows = []
-            for url, key in zip(frame["url"], frame["url_hash"], strict=True):
-                error, body, attempt = None, None, 0
-                while attempt < tries and body is None:
-                    attempt += 1
-                    try:
-                        kind, data = fetch(url)
-                        if not kind.startswith(kinds):
-                            error = f"type_{kind}"
-                            break
-                        body, error = data, None
-                    except Exception as problem:  # a failed fetch is a row of the manifest
-                        error = type(problem).__name__
-                        if attempt < tries:
-                            time.sleep(min(60.0, 0.01 * 2**attempt))
-                rows.append((key, url, "ok" if body is not None else "failed", hashlib.md5(body).hexdigest() if body is not None else None, len(body) if body is not None else None, attempt, error))
-            yield pd.DataFrame(rows, columns=["url_hash", "url", "status", "md5", "size", "attempts", "error"]).astype({"size": "Int64"})
-
-    return todo.repartition(parallel, "url_hash").mapInPandas(run, "url_hash string, url string, status string, md5 string, size long, attempts long, error string")
+
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("url_hash", "url", "host")), strict=True))
+            out = []
+            for key, url, body, attempt, error in in_turn(rows, fetch, kinds, tries, threads, gap, first_wait, most_wait, clock, sleep):
+                if body is not None and folder is not None:
+                    save_file(f"{folder}/{key}", body)
+                out.append((key, url, "ok" if body is not None else "failed", hashlib.md5(body).hexdigest() if body is not None else None, len(body) if body is not None else None, attempt, error))
+            kinds_of = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(kinds_of)], names=["url_hash", "url", "status", "md5", "size", "attempts", "error"])
+
+    host = F.coalesce(F.nullif(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")), F.lit("-"))
+    dealt = todo.withColumn("host", host).repartition(parallel or int(spark.conf.get("spark.sql.shuffle.partitions")), "host", F.pmod(F.xxhash64("url_hash"), F.lit(per_host)))
+    return dealt.mapInArrow(run, FETCHED)
 
 
 def write_submission(df: DataFrame, path: str) -> None:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.sources.files import scratch
@@ -33,6 +34,36 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_arrivals(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Tables that arrive one after another in one folder; after each, the stream ``build(source)`` goes on from its
+    checkpoint in append mode, so windows come out as the watermark passes them and state goes with them. Returns all that
+    came out. A batch that is run again replaces its own output."""
+    spark = parts[0].sparkSession
+    source, sink, state = scratch(spark, "arrivals"), scratch(spark, "stream"), scratch(spark, "stream-state")
+    schema = parts[0].schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(schema).parquet(source))
+        query = stream.writeStream.outputMode("append").option("checkpointLocation", state).queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink).select(stream.columns)
+
+
+def by_arrival(events: DataFrame, ts: str, late: Column) -> list[DataFrame]:
+    """Events in three arrivals by thirds of their time; of the first third, the ``late`` ones come with the last arrival."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return [events]
+    third = (high - low) // 3
+    part = F.when(late & (at < low + third), 2).when(at < low + third, 0).when(at < low + 2 * third, 1).otherwise(2)
+    return [events.filter(part == k) for k in range(3)]
+
+
 def hourly_failures(events: DataFrame, watermark: str | None = "1 hour") -> DataFrame:
     """(ts, event_type) -> hour and failures of each tumbling hour; late rows beyond the watermark are dropped in append mode."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).filter("event_type = 'error'")
