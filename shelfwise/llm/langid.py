@@ -7,8 +7,9 @@ independent). declared: the markup's lang attribute; suffix: last part of the ho
 prior, come from counts of what the text alone says over all pages; the prior is smoothed from host to domain to all,
 each level adding ``SMOOTH`` pseudo-counts of the level above. A page's own vote is taken out of its host's counts.
 
-Every label that occurs is a class; the trigram model is fitted on at most ``TRAIN_ROWS`` labelled documents of each, least
-hash of the id first. All counts and priors are over all rows."""
+Every label that occurs is a class; the trigram model is fitted on at most ``TRAIN_ROWS`` different labelled texts of each,
+least hash of the text first. One more class, ``UNKNOWN``, holds text in which neighbouring bytes say nothing about each
+other by what these languages are like. All counts and priors are over all rows."""
 
 from __future__ import annotations
 
@@ -26,16 +27,30 @@ SLOTS = 1 << 16
 TEXT_WEIGHT, TEXT_BYTES = 0.5, 400
 SMOOTH = 10.0
 LEAST_CONFIDENCE = 0.5
+#: The class of text that is in none of the labelled languages.
+UNKNOWN = "und"
+#: Nats a trigram by which text has to be better described without any language: mixed languages and names stay known.
+UNKNOWN_MARGIN = 1.5
 
 
-def trigrams(data: np.ndarray) -> np.ndarray:
-    """Slot of the byte trigram that starts at each position (ASCII letters lower-cased, digits and marks as spaces)."""
+def folded() -> np.ndarray:
+    """ASCII letters lower-cased, all other ASCII as spaces."""
     table = lowered()
     for b in range(0x80):
         if not 0x61 <= table[b] <= 0x7A:
             table[b] = 0x20
-    d = table[data].astype(np.uint32)
-    return ((d[:-2] * np.uint32(0x9E3779B1)) ^ (d[1:-1] * np.uint32(0x85EBCA6B)) ^ (d[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(16) if len(d) > 2 else np.empty(0, np.uint32)
+    return table
+
+
+def slot_of(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    one, two, three = (x.astype(np.uint32) for x in (one, two, three))
+    return ((one * np.uint32(0x9E3779B1)) ^ (two * np.uint32(0x85EBCA6B)) ^ (three * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(16)
+
+
+def trigrams(data: np.ndarray) -> np.ndarray:
+    """Slot of the byte trigram that starts at each position of the folded text."""
+    d = folded()[data]
+    return slot_of(d[:-2], d[1:-1], d[2:]) if len(d) > 2 else np.empty(0, np.uint32)
 
 
 def letters(data: np.ndarray) -> np.ndarray:
@@ -43,26 +58,50 @@ def letters(data: np.ndarray) -> np.ndarray:
     return ((d >= 0x61) & (d <= 0x7A)) | (d >= 0x80)
 
 
+def background(counts: np.ndarray) -> np.ndarray:
+    """Probability of each slot where neighbouring bytes have nothing to do with each other: half the product of the byte
+    shares of ``counts`` (a number for each folded byte), half the same for all slots."""
+    table = folded()
+    alphabet = np.unique(table)
+    share = np.bincount(table, counts, minlength=256)[alphabet] + 1.0
+    share /= share.sum()
+    k = len(alphabet)
+    one, two, three = (x.ravel() for x in np.meshgrid(range(k), range(k), range(k), indexing="ij"))
+    slots = slot_of(alphabet[one], alphabet[two], alphabet[three])
+    return 0.5 * np.bincount(slots, share[one] * share[two] * share[three], minlength=SLOTS) + 0.5 / SLOTS
+
+
+def sample(labelled: DataFrame) -> DataFrame:
+    """(text, lang, ...) -> text and lang of at most ``TRAIN_ROWS`` different texts of each label, least hash of the text
+    first, whatever their ids, and once each however often they are repeated."""
+    known = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null").withColumn("mark", F.xxhash64("text"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n"))  # one row per language
+    # hashes are uniform: those under 4 TRAIN_ROWS / n are about 4 TRAIN_ROWS of n texts, so few have to be ranked
+    share = F.shiftrightunsigned("mark", 11) / float(1 << 53)
+    low = known.select("lang", "mark", share.alias("share")).join(F.broadcast(sizes), "lang").filter(F.col("share") * F.col("n") < 4 * TRAIN_ROWS).select("lang", "mark", "share").distinct()
+    order = Window.partitionBy("lang").orderBy("share", "mark")
+    picked = low.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TRAIN_ROWS).select("lang", "mark")
+    return known.join(F.broadcast(picked), ["lang", "mark"], "left_semi").groupBy("lang", "mark").agg(F.any_value("text").alias("text")).select("text", "lang")
+
+
 def fit(labelled: DataFrame):
-    """(doc_id, text, lang, ...) -> (language names in order, table of log-likelihoods: slot x language)."""
-    known = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count()
-    names = sorted(r.lang for r in sizes.collect())  # one row per language
-    # hashes are uniform: those under 4 TRAIN_ROWS / n are about 4 TRAIN_ROWS of n rows, so few have to be ranked
-    mark = F.xxhash64("doc_id")
-    marked = known.filter("doc_id is not null").select("doc_id", "lang", mark.alias("mark"), (F.shiftrightunsigned(mark, 11) / float(1 << 53)).alias("share"))
-    low = marked.join(F.broadcast(sizes), "lang").filter(F.col("share") * F.col("count") < 4 * TRAIN_ROWS)
-    order = Window.partitionBy("lang").orderBy("share", "mark", "doc_id")
-    picked = low.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TRAIN_ROWS).select("doc_id", "lang")
-    sample = known.join(F.broadcast(picked.distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang").toArrow()  # TRAIN_ROWS a language
-    counts = np.full((SLOTS, max(len(names), 1)), 0.1)
-    tags = np.array(sample.column("lang").to_pylist(), object)
-    texts = sample.column("text").combine_chunks()
-    for piece in pieces(texts if isinstance(texts, pa.Array) else pa.array([], pa.string())):
+    """(text, lang, ...) -> (language names in order and ``UNKNOWN``, table of log-likelihoods: slot x class). What reaches
+    the driver is ``sample``. Without labels there are no classes."""
+    picked = sample(labelled).toArrow()  # TRAIN_ROWS a language
+    names = sorted(set(picked.column("lang").to_pylist()))
+    if not names:
+        return names, np.zeros((SLOTS, 1), np.float32)
+    counts, seen = np.zeros((SLOTS, len(names))), np.zeros(256)
+    tags = np.array(picked.column("lang").to_pylist(), object)
+    for piece in pieces(picked.column("text").combine_chunks()):
+        seen += np.bincount(piece.data, minlength=256)
         for i, row in enumerate(piece.rows):
             slots = trigrams(piece.data[piece.bounds[i] : piece.bounds[i + 1]])
             counts[:, names.index(tags[row])] += np.bincount(slots, minlength=SLOTS)
-    return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    # Witten-Bell: what is unseen has as much weight as there are different slots in the language, evenly dealt
+    counts += np.maximum((counts > 0).sum(axis=0), 1) / SLOTS
+    known = counts / counts.sum(axis=0)
+    return [*names, UNKNOWN], np.concatenate([np.log(known), np.log(background(seen))[:, None] - UNKNOWN_MARGIN], axis=1).astype(np.float32)
 
 
 SCORED = "text_scores array<double>, has_text boolean"
@@ -184,10 +223,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without letters, or whose best language has a posterior under ``LEAST_CONFIDENCE``, go.
+    """Pipeline stage: documents without letters, or whose best class is ``UNKNOWN`` or has a posterior under
+    ``LEAST_CONFIDENCE``, go.
 
     A document's source stands for its host; documents declare nothing and have no address. Null and empty texts have no
-    letters and go. Every row is judged by its own text, rows without an id and rows that repeat an id too; rows that
+    letters and go. Rows without an id train and are judged like others. Every row is judged by its own text, rows without an id and rows that repeat an id too; rows that
     repeat an id and a text share their decision. An empty table, or one without labels, gives an empty result; columns of
     any other name are left alone."""
     names, table = fit(docs)
@@ -196,5 +236,5 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     source = F.col("source").cast("string")
     evidence = keyed.select(F.struct(F.col(one).alias("ord"), F.col(two).alias("row")).alias("key"), F.col("text").cast("string").alias("text"), none.alias("declared"), none.alias("suffix"), source.alias("domain"), source.alias("host"))
     found = fuse(evidence, names, table)
-    kept = found.filter(F.col("has_text") & (F.col("confidence") >= LEAST_CONFIDENCE)).select(F.col("key.ord").alias(one), F.col("key.row").alias(two))
+    kept = found.filter(F.col("has_text") & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("lang") != UNKNOWN)).select(F.col("key.ord").alias(one), F.col("key.row").alias(two))
     return keyed.join(kept, [one, two], "left_semi").select(docs.columns)

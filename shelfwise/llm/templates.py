@@ -1,17 +1,18 @@
 """Line dedup by a log-template tree.
 
 Lines are parsed to a fixed depth: number of tokens, then the first ``DEPTH`` tokens. Tokens with a digit are variable
-fields from the start. In a leaf, a token stays in the template where at least ``LEAST_DOCS`` line-documents (pairs of a
+fields from the start. In a leaf, a token stays in the template where at least ``SUPPORT`` line-documents (pairs of a
 document and one of its different lines) share it at its position; the others are generalised. A line follows its
-template if at least ``LEAST_CONSTANT`` of its tokens stay. Templates that stand in ``LEAST_DOCS`` documents or more recur;
-their lines are dropped, except the first line of the first document, so that one copy of everything stays.
+template if at least ``LEAST_CONSTANT`` of its tokens stay; else its masked text is a template of its own, if as many of
+its tokens are no variable fields. All other lines, and those of fewer than ``LEAST_TOKENS`` tokens, stand for themselves,
+digits and all. What stands in two different documents recurs: all its lines are dropped, except the first line of the
+first document, so that one copy of everything stays. Lines and templates are known by 128 bits.
 
 Counts are summed before each shuffle, lines of one text are one row, and places are joined by line only, so a line or a
 template that a third of all documents hold is a row per task, or is split by Spark's skew join."""
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -21,32 +22,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.repeats import plain, with_key
-from shelfwise.llm.session import free_name, materialize, member, membership, ship
+from shelfwise.llm.session import drop_scratch, free_name, materialize, member, membership, ship
 from shelfwise.llm.text import slices
 
-LEAST_TOKENS, DEPTH, LEAST_DOCS, LEAST_CONSTANT = 4, 2, 10, 0.6
+LEAST_TOKENS, DEPTH, SUPPORT, LEAST_CONSTANT = 4, 2, 10, 0.6
+#: Lines of nothing but these are blank.
+BLANK = " \t\r\x0b\x0c"
 _variable = re.compile("[^ ]*[0-9][^ ]*")
 _digit = re.compile("[0-9]")
 
 
-def long_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def hashed(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def halves(digests: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, j])) for j in range(2)]
 
 
 def parse(text: str):
-    """(line number, line hash, leaf hash, masked line) of every line with enough tokens."""
+    """(line number, 128 bits of the line, leaf or None, masked line or None) of every line that is not blank. Lines of the
+    tree are known by their masked text, others by themselves."""
     for number, line in enumerate(text.split("\n")):
+        if not line.strip(BLANK):
+            continue
         n = line.count(" ") + 1
-        if n >= LEAST_TOKENS and not line.isspace():
-            masked = _variable.sub("<*>", line) if _digit.search(line) else line
-            lead = masked.split(" ", DEPTH)[:DEPTH]
-            yield number, long_hash(masked), long_hash(f"{n} {' '.join(lead)}"), masked
+        if n >= LEAST_TOKENS:
+            masked, fixed = line, n
+            if _digit.search(line) or "<*>" in line:
+                masked = _variable.sub("<*>", line)
+                fixed = n - masked.split(" ").count("<*>")
+            if fixed >= n * LEAST_CONSTANT:
+                lead = masked.split(" ", DEPTH)[:DEPTH]
+                leaf = int.from_bytes(hashed(f"{n} {' '.join(lead)}")[:8], "little", signed=True)
+                yield number, hashed("masked " + masked), leaf, masked
+                continue
+        yield number, hashed("line " + line), None, None
 
 
 def line_counts(batches):
     """text -> a row per line text of a batch: its leaf and the documents that hold it."""
     for batch in slices(batches, 0):
-        found: dict[int, list] = {}
+        found: dict[bytes, list] = {}
         for text in batch.column(0).to_pylist():
             for line, leaf in {h: leaf for _, h, leaf, _ in parse(text or "")}.items():
                 mine = found.get(line)
@@ -54,61 +72,74 @@ def line_counts(batches):
                     found[line] = [leaf, 1]
                 else:
                     mine[1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), *(pa.array([v[j] for v in found.values()], pa.int64()) for j in range(2))], names=["line", "leaf", "n_docs"])
+        yield pa.RecordBatch.from_arrays([*halves(list(found)), *(pa.array([v[j] for v in found.values()], pa.int64()) for j in range(2))], names=["one", "two", "leaf", "n_docs"])
 
 
-PLACE = "line long, leaf long, ord long, row long, number long, masked string"
+PLACE = "one long, two long, leaf long, ord long, row long, number long, masked string"
 
 
-def lines_in(leaves):
-    """(ord, row, text) -> PLACE: the lines whose leaf may recur; a batch gives the text of a line once."""
+def lines_in(leaves, repeated):
+    """(ord, row, text) -> PLACE: the lines that may recur, by themselves or by their leaf; of those of the tree a batch gives
+    the text once."""
 
     def run(batches):
-        kept = member(leaves)
+        in_tree, again = member(leaves), member(repeated)
         for batch in slices(batches, 2):
             out, seen = [], set()
             for order, row, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 for number, line, leaf, masked in parse(text or ""):
                     out.append((line, leaf, order, row, number, None if line in seen else masked))
                     seen.add(line)
-            if out and kept:
-                hit = kept.has(np.array([o[1] for o in out], np.int64).view(np.uint64))
-                out = [o for o, h in zip(out, hit.tolist(), strict=True) if h]
+            one, two = halves([o[0] for o in out])
             cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.string())], names=["line", "leaf", "ord", "row", "number", "masked"])
+            leaf = pa.array(cols[1], pa.int64())
+            keep = np.ones(len(out), bool)
+            if out and in_tree and again:
+                keep = again.has(np.asarray(one).view(np.uint64)) | (leaf.is_valid().to_numpy(zero_copy_only=False) & in_tree.has(np.asarray(leaf.fill_null(0)).view(np.uint64)))
+            made = pa.RecordBatch.from_arrays([one, two, leaf, *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array(cols[5], pa.string())], names=["one", "two", "leaf", "ord", "row", "number", "masked"])
+            yield made.filter(pa.array(keep))
 
     return run
 
 
+LINE, KEY = ["one", "two"], ["key_one", "key_two"]
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """docs (as ``repeats.plain`` gives them) -> ord, row, numbers (of its lines that go), written."""
-    lines = materialize(docs.select("text").mapInArrow(line_counts, "line long, leaf long, n_docs long").groupBy("line", "leaf").agg(F.sum("n_docs").alias("n_docs")), "lines")
-    leaves = materialize(lines.groupBy("leaf").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= LEAST_DOCS).select("leaf"), "leaves")
-    places = docs.select("ord", "row", "text").mapInArrow(lines_in(membership(leaves, "leaf")), PLACE)
+    lines = materialize(docs.select("text").mapInArrow(line_counts, "one long, two long, leaf long, n_docs long").groupBy(*LINE, "leaf").agg(F.sum("n_docs").alias("n_docs")), "lines")
+    leaves = materialize(lines.filter("leaf is not null").groupBy("leaf").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= SUPPORT).select("leaf"), "leaves")
+    repeated = materialize(lines.filter("n_docs > 1").select("one"), "repeated-lines")
+    places = docs.select("ord", "row", "text").mapInArrow(lines_in(membership(leaves, "leaf"), membership(repeated, "one")), PLACE)
     places = materialize(places, "places")
-    texts = places.filter("masked is not null").groupBy("line").agg(F.min("masked").alias("masked"))
-    leaf_lines = materialize(lines.join(leaves, "leaf", "left_semi").join(texts, "line"), "leaf-lines")
-    tokens = leaf_lines.select("line", "leaf", "n_docs", F.posexplode(F.split("masked", " ", -1)).alias("pos", "token"))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("n")).filter((F.col("n") >= LEAST_DOCS) & (F.col("token") != "<*>")).select("leaf", "pos", "token", F.lit(True).alias("stays"))
+    texts = places.filter("masked is not null").groupBy(*LINE).agg(F.min("masked").alias("masked"))
+    leaf_lines = materialize(lines.join(leaves, "leaf", "left_semi").join(texts, LINE), "leaf-lines")
+    tokens = leaf_lines.select(*LINE, "leaf", "n_docs", F.posexplode(F.split("masked", " ", -1)).alias("pos", "token"))
+    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("n")).filter((F.col("n") >= SUPPORT) & (F.col("token") != "<*>")).select("leaf", "pos", "token", F.lit(True).alias("stays"))
     marked = tokens.join(constant, ["leaf", "pos", "token"], "left").withColumn("token", F.when(F.col("stays"), F.col("token")).otherwise("<*>"))
-    shaped = marked.groupBy("line", "leaf").agg(F.count("stays").alias("n_constant"), F.count("*").alias("n_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("template"))
-    followed = materialize(shaped.filter(F.col("n_constant") >= F.col("n_tokens") * LEAST_CONSTANT).select("line", F.xxhash64("leaf", "template").alias("template")), "followed")
-    places = places.select("line", "ord", "row", "number")
-    in_docs = places.join(followed, "line").groupBy("template", "ord", "row").agg(F.min("number").alias("number"))
-    recurring = in_docs.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("ord", "row", "number")).alias("at")).filter(F.col("n") >= LEAST_DOCS).select("template", "at")
-    of_line = materialize(followed.join(recurring, "template").select("line", "at"), "recurring")
-    gone = places.join(of_line, "line").filter(F.struct("ord", "row", "number") != F.col("at"))
-    return materialize(gone.groupBy("ord", "row").agg(F.collect_set("number").alias("numbers")), "dropped-lines")
+    shaped = marked.groupBy(*LINE, "leaf").agg(F.count("stays").alias("n_constant"), F.count("*").alias("n_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("template"))
+    followed = shaped.filter(F.col("n_constant") >= F.col("n_tokens") * LEAST_CONSTANT).select(*LINE, F.xxhash64(F.lit("template"), "leaf", "template").alias("key_one"), F.xxhash64("template", "leaf", F.lit("template")).alias("key_two"))
+    followed = materialize(followed, "followed")
+    places = places.select(*LINE, "ord", "row", "number")
+    keyed = places.join(followed, LINE, "left").select("ord", "row", "number", F.coalesce("key_one", "one").alias("key_one"), F.coalesce("key_two", "two").alias("key_two"))
+    in_docs = keyed.groupBy(*KEY, "ord", "row").agg(F.min("number").alias("number"))
+    recurring = in_docs.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("ord", "row", "number")).alias("at")).filter(F.col("n") > 1).select(*KEY, "at")
+    recurring = materialize(recurring, "recurring")
+    # a key of a line that follows no template is the line itself
+    of_line = materialize(followed.join(recurring, KEY).select(*LINE, "at").union(recurring.join(followed.select(F.col("one").alias("key_one"), F.col("two").alias("key_two")), KEY, "left_anti").select(*KEY, "at")), "recurring-lines")
+    gone = places.join(of_line, LINE).filter(F.struct("ord", "row", "number") != F.col("at"))
+    out = materialize(gone.groupBy("ord", "row").agg(F.collect_set("number").alias("numbers")), "dropped-lines")
+    return out
 
 
 def without_lines(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """docs -> (the same columns, ``text`` without the dropped lines, and two more columns; the names of those two: lines
     before and lines dropped). They are lines_before and lines_dropped, with underscores in front if ``docs`` has those.
 
-    Lines end at newlines; lines of fewer than ``LEAST_TOKENS`` space-separated tokens, and blank ones, always stay. A
-    null text has no lines and stays null. A document may end up empty. Every row is a document of its own: rows that
-    repeat an id with another text have lines of their own, rows without an id come after all others, and rows that repeat
-    an id and a text count as documents of their own and lose the same lines. An empty table gives an empty result."""
+    Lines end at newlines; blank ones always stay. A null text has no lines and stays null. A document may end up empty. A
+    document is an id and a text: rows that repeat an id with another text have lines of their own, rows without an id come
+    after all others, and rows that repeat both are one document and lose the same lines. An empty table gives an empty
+    result."""
     ship(docs.sparkSession)
     gone = dropped_lines(plain(docs))
     keyed, one, two = with_key(docs)
@@ -138,18 +169,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(before).alias("n_lines"), F.col(dropped).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+_TOKENS = "string_split(masked, ' ')"
 OP9_SQL = f"""
 WITH l AS (SELECT doc_id, i - 1 AS number, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS t(i)),
-m AS (SELECT doc_id, number, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l WHERE len(string_split(line, ' ')) >= {LEAST_TOKENS} AND trim(line, ' ' || chr(9) || chr(13)) <> ''),
-k AS (SELECT masked, concat_ws(' ', len(string_split(masked, ' ')), {', '.join(f"string_split(masked, ' ')[{i + 1}]" for i in range(DEPTH))}) AS leaf, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY masked),
-t AS (SELECT masked, leaf, n_docs, p, string_split(masked, ' ')[p] AS token FROM k, unnest(range(1, len(string_split(masked, ' ')) + 1)) AS u(p)),
-c AS (SELECT leaf, p, token FROM t GROUP BY leaf, p, token HAVING sum(n_docs) >= {LEAST_DOCS} AND token <> '<*>'),
-s AS (SELECT t.masked, count(c.token) AS n_constant, count(*) AS n_tokens, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.p) AS template FROM t LEFT JOIN c ON t.leaf = c.leaf AND t.p = c.p AND t.token = c.token GROUP BY t.masked),
-f AS (SELECT k.masked, leaf, template FROM k JOIN s USING (masked) WHERE n_constant >= n_tokens * CAST({LEAST_CONSTANT} AS DOUBLE)),
-r AS (SELECT leaf, template, min(doc_id) AS least FROM m JOIN f USING (masked) GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
-h AS (SELECT m.doc_id, m.number, f.leaf, f.template, r.least FROM m JOIN f USING (masked) JOIN r ON f.leaf = r.leaf AND f.template = r.template),
-first AS (SELECT leaf, template, min(number) AS number FROM h WHERE doc_id = least GROUP BY leaf, template),
-gone AS (SELECT DISTINCT h.doc_id, h.number FROM h JOIN first x ON h.leaf = x.leaf AND h.template = x.template WHERE h.doc_id <> h.least OR h.number <> x.number),
+n AS (SELECT doc_id, number, line, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+m AS (SELECT *, len({_TOKENS}) >= {LEAST_TOKENS} AND len(list_filter({_TOKENS}, lambda t: t <> '<*>')) >= len({_TOKENS}) * CAST({LEAST_CONSTANT} AS DOUBLE) AS in_tree FROM n),
+b AS (SELECT doc_id, number, in_tree, masked, CASE WHEN in_tree THEN 'masked ' || masked ELSE 'line ' || line END AS base FROM m),
+k AS (SELECT base, masked, concat_ws(' ', len({_TOKENS}), {', '.join(f"{_TOKENS}[{i + 1}]" for i in range(DEPTH))}) AS leaf, count(DISTINCT doc_id) AS n_docs FROM b WHERE in_tree GROUP BY base, masked),
+t AS (SELECT base, leaf, n_docs, p, {_TOKENS}[p] AS token FROM k, unnest(range(1, len({_TOKENS}) + 1)) AS u(p)),
+c AS (SELECT leaf, p, token FROM t GROUP BY leaf, p, token HAVING sum(n_docs) >= {SUPPORT} AND token <> '<*>'),
+s AS (SELECT t.base, count(c.token) AS n_constant, count(*) AS n_tokens, any_value(t.leaf) || ' | ' || string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.p) AS template FROM t LEFT JOIN c ON t.leaf = c.leaf AND t.p = c.p AND t.token = c.token GROUP BY t.base),
+f AS (SELECT b.doc_id, b.number, CASE WHEN n_constant >= n_tokens * CAST({LEAST_CONSTANT} AS DOUBLE) THEN 'template ' || template ELSE b.base END AS key FROM b LEFT JOIN s ON s.base = b.base),
+r AS (SELECT key, min(struct_pack(doc_id := doc_id, number := number)) AS at FROM f GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT f.doc_id, f.number FROM f JOIN r ON f.key = r.key WHERE f.doc_id <> r.at.doc_id OR f.number <> r.at.number),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.number) AS n_dropped, string_agg(CASE WHEN gone.number IS NULL THEN line END, chr(10) ORDER BY l.number) AS text FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.number = l.number GROUP BY l.doc_id)
 SELECT doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM kept JOIN documents d USING (doc_id)
 """

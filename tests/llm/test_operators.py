@@ -331,6 +331,35 @@ def test_language_fusion_over_a_table(spark):
         assert got[i].lang == names[int(np.argmax(p))]
 
 
+def test_language_sample_is_bounded(spark):
+    """Thousands of rows of one id, of one text, or without an id train like any others, at most TRAIN_ROWS a label."""
+    say = {"de": "und der die das ist nicht ein wort", "en": "the and of this is not one word", "fr": "le la les et est pas un mot"}
+    rng = random.Random(14)
+    made = lambda name: " ".join(rng.choice(say[name].split()) for _ in range(12))
+    rows = [(7, made("de"), "de") for _ in range(3000)] + [(None, made("en"), "en") for _ in range(900)] + [(i, say["fr"], "fr") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6).withColumn("source", F.lit("s")).withColumn("mark", F.lit("x"))
+    sizes = Counter(r.lang for r in langid.sample(df).collect())
+    assert sizes == {"de": langid.TRAIN_ROWS, "en": langid.TRAIN_ROWS, "fr": 1}
+    kept = langid.keep_identified(spark, df, "")
+    assert kept.columns == df.columns and kept.count() == len(rows)
+    other = [(9000 + i, t, None) for i, t in enumerate(["Все люди рождаются свободными и равными", "人人生而自由,在尊严和权利上一律平等。", "qzxv jkwq zzxq vvkj qqxz", "123 456", None, ""])]
+    odd = spark.createDataFrame(other, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("mark", F.lit("x"))
+    # all ids null: the stage still decides, by the texts
+    both = df.filter("lang <> 'fr'").union(odd).withColumn("doc_id", F.lit(None).cast("long"))
+    assert Counter(r.lang for r in langid.keep_identified(spark, both, "").collect()) == {"de": 3000, "en": 900}
+    assert langid.keep_identified(spark, df.withColumn("lang", F.lit(None).cast("string")), "").count() == 0
+
+
+def test_a_label_never_seen(spark):
+    names, table = langid.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang <> 'de'"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars > 200")
+    none = F.lit(None).cast("string")
+    pages = docs.select(F.col("doc_id").alias("key"), "text", none.alias("declared"), none.alias("suffix"), none.alias("domain"), none.alias("host"))
+    got = langid.fuse(pages, names, table).join(docs.select(F.col("doc_id").alias("key"), F.col("lang").alias("truth")), "key")
+    share = {r.truth: r.s for r in got.groupBy("truth").agg(F.avg((F.col("lang") == langid.UNKNOWN).cast("double")).alias("s")).collect()}
+    assert share["de"] > 0.8 and max(share[k] for k in share if k != "de") < 0.02, share
+
+
 def test_page_evidence(spark):
     rows = [(1, "https://u@M.x.example.com:80/a?b", '<html lang="FR"><script>var t="</p>";</script><p>Un <b>mot</b><!-- no --></p>'), (2, None, None), (3, "no url", "<p>x")]
     got = {r.key: r for r in langid.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -427,22 +456,37 @@ def brute_lines(texts):
     parsed = []
     for d, text in enumerate(texts):
         for number, line in enumerate((text or "").split("\n")):
-            if line.count(" ") + 1 >= templates.LEAST_TOKENS and line.strip():
+            if line.strip(templates.BLANK):
                 masked = re.sub("[^ ]*[0-9][^ ]*", "<*>", line)
                 token = masked.split(" ")
-                parsed.append((d, number, masked, (len(token), *token[: templates.DEPTH]), token))
-    held = {(leaf, masked, d) for d, _, masked, leaf, _ in parsed}
-    at = Counter((leaf, j, t) for leaf, masked, _ in held for j, t in enumerate(masked.split(" ")))
-    of, found = {}, {}
-    for d, number, masked, leaf, token in parsed:
-        shape = tuple(t if t != "<*>" and at[leaf, j, t] >= templates.LEAST_DOCS else "<*>" for j, t in enumerate(token))
-        if sum(t != "<*>" for t in shape) >= len(shape) * templates.LEAST_CONSTANT:
-            of[d, number] = (leaf, shape)
-            found.setdefault((leaf, shape), []).append((d, number))
-    gone = {p for places in found.values() if len({d for d, _ in places}) >= templates.LEAST_DOCS for p in places if p != min(places)}
+                tree = len(token) >= templates.LEAST_TOKENS and sum(t != "<*>" for t in token) >= len(token) * templates.LEAST_CONSTANT
+                parsed.append((d, number, masked if tree else line, (len(token), *token[: templates.DEPTH]) if tree else None))
+    held = {(leaf, base, d) for d, _, base, leaf in parsed if leaf}
+    at = Counter((leaf, j, t) for leaf, base, _ in held for j, t in enumerate(base.split(" ")))
+    found = {}
+    for d, number, base, leaf in parsed:
+        key = (base,) if leaf is None else (leaf, base)
+        if leaf:
+            shape = tuple(t if t != "<*>" and at[leaf, j, t] >= templates.SUPPORT else "<*>" for j, t in enumerate(base.split(" ")))
+            if sum(t != "<*>" for t in shape) >= len(shape) * templates.LEAST_CONSTANT:
+                key = (leaf, shape)
+        found.setdefault(key, []).append((d, number))
+    gone = {p for places in found.values() if len({d for d, _ in places}) > 1 for p in places if p != min(places)}
     return [t if t is None or not any((d, n) in gone for n in range(t.count("\n") + 1)) else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in enumerate(texts)]
 
 
+def test_lines_against_brute_force(spark):
+    rng = random.Random(21)
+    pool = ["Of.", "And ornd.", "日本語の行です", "page 3", "12 45 67 89", "see you in 5 days", "a b c d", "a <*> c d", " ", "\t", "", "12.", "Home products and contact page"]
+    pool += [f"this line has number {i} in it" for i in range(4)] + [f"the start of a {rng.choice('xyz')}{i} line" for i in range(14)]
+    texts = [None, ""] + ["\n".join(rng.choice(pool) if rng.random() < 0.5 else " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.text for r in templates.without_lines(df)[0].collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts)
+    lines = Counter(x for t in got.values() for x in set((t or "").split("\n")) if x.strip(templates.BLANK))
+    assert max(lines.values()) == 1  # of a line in several documents one copy is left, however short it is
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """All stages after language ID on its own result, each written out plainly."""
     import sentencepiece
