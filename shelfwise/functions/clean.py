@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import rules
@@ -18,6 +19,29 @@ def price_from_text(text: Column) -> Column:
     return F.when(bare.rlike(rules.NUMBER), bare.try_cast("double"))
 
 
+def price_steps(text: Column) -> list[tuple[str, str, Column, Column]]:
+    """Kind and name of each rule of ``price_from_text`` in order, whether it finds anything, and the text it is given."""
+    steps, now = [], text
+    rest = [("separator", ",", r",(?=\d{3}(?:\D|$))"), ("separator", "space", r"\s"), ("separator", "'", "'")]
+    for kind, name, pattern in [*(("currency", m, re.escape(m)) for m in rules.CURRENCY_MARKS), *rest]:
+        steps.append((kind, name, now.rlike(pattern), now))
+        now = F.regexp_replace(now, pattern, "")
+    price = price_from_text(text)
+    return [*steps, ("invalid", "", text.isNotNull() & price.isNull(), text)]
+
+
+def price_report(rows: DataFrame, column: str, samples: int = 5, invalid: int = 10) -> DataFrame:
+    """kind, pattern, count and samples: how many price texts each rule changes, how many are no price, and the least few
+    different texts of each. Rules that find nothing have no row."""
+    found = F.array_compact(F.array(*(F.when(hit, F.struct(F.lit(k).alias("kind"), F.lit(n).alias("pattern"), t.alias("text"))) for k, n, hit, t in price_steps(F.col(column)))))
+    each = rows.select(F.explode(found).alias("f")).select("f.*").groupBy("kind", "pattern", "text").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("kind", "pattern").orderBy("text")
+    most = F.when(F.col("kind") == "invalid", invalid).otherwise(samples)
+    least = each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(samples, invalid)).filter(F.col("r") <= most)
+    kept = least.groupBy("kind", "pattern").agg(F.array_join(F.array_sort(F.collect_list("text")), " | ").alias("samples"))  # a few each
+    return each.groupBy("kind", "pattern").agg(F.sum("n").alias("count")).join(kept, ["kind", "pattern"])
+
+
 def replace_all(text: Column, pairs) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, *p) if p[0].startswith(("(", "\\")) else F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 

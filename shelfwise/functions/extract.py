@@ -138,26 +138,32 @@ def specifications(text: Column) -> Column:
     return F.map_from_entries(F.array_compact(F.array(*entries)))
 
 
-def text_statistics(text: Column) -> dict[str, Column]:
-    """Counts over the whole text; words are taken apart only to count the different ones."""
+def text_words(text: Column) -> dict[str, Column]:
+    """The trimmed text and its words, which ``text_statistics`` starts from."""
     text = F.btrim(F.coalesce(text, F.lit("")))
+    return {"text": text, "words": F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))}
+
+
+def text_statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Counts over the whole text."""
     chars = F.greatest(F.length(text), F.lit(1))
     times = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    n = times(r"\S+")
+    n = F.size(words)
     least = F.greatest(n, F.lit(1))
-    of = lambda pattern: times(pattern) / chars
+    # characters of a class: what is missing once they are gone, which takes no array of them
+    of = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))) / chars
     return {
         "char_count": F.length(text).cast("long"),
         "word_count": n.cast("long"),
         "sentence_count": times(r"[^.!?\s][^.!?]*").cast("long"),  # stretches between end marks that hold more than spaces
-        "avg_word_length": F.when(n > 0, (F.length(text) - times(r"\s")) / n).otherwise(0.0),
+        "avg_word_length": F.when(n > 0, F.length(F.regexp_replace(text, r"\s+", "")) / n).otherwise(0.0),
         "avg_sentence_length": n / (times("[.!?]+") + 1),
         "uppercase_ratio": of(r"\p{Lu}"),
         "lowercase_ratio": of(r"\p{Ll}"),
         "digit_ratio": of("[0-9]"),
         "punctuation_ratio": of(r"[!-/:-@\[-`{-~]"),
         "whitespace_ratio": of(r"\s"),
-        "unique_word_ratio": F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))) / least,
+        "unique_word_ratio": F.size(F.array_distinct(words)) / least,
         "long_word_ratio": times(r"\S{7,}") / least,
         "short_word_ratio": (n - times(r"\S{4,}")) / least,
         "has_numbers": text.rlike("[0-9]"),
@@ -167,21 +173,26 @@ def text_statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def readability(text: Column) -> dict[str, Column]:
-    """Flesch ease and grade, automated readability and Coleman-Liau; words without vowels count one syllable.
+def readability_counts(text: Column) -> dict[str, Column]:
+    """Sentences, words, letters, and the text with letters, digits and underscores that are no vowels as x, so that syllables
+    are counted by plain patterns without backtracking."""
+    text = F.btrim(F.coalesce(text, F.lit("")))
+    plain = "bcdfghjklmnpqrstvwxz0123456789_"
+    shape = F.regexp_replace(F.translate(F.lower(text), plain, "x" * len(plain)), r"[[\p{L}\p{N}]&&[^aeiouyx]]", "x")
+    return {"sentences": F.regexp_count(text, F.lit("[.!?]+")) + 1, "words": F.regexp_count(text, F.lit(r"\S+")), "letters": F.length(F.regexp_replace(text, r"\s", "")), "shape": shape}
+
 
-    A word has a syllable for each vowel group, less one for a final e that is not its only group, and one at least. Over
+def syllables(shape: Column) -> Column:
+    """A word has a syllable for each vowel group, less one for a final e that is not its only group, and one at least. Over
     a text that is: vowel groups, plus words without one, less words that end in e after an earlier group."""
-    text = F.btrim(F.coalesce(text, F.lit("")))
-    low = F.lower(text)
-    sentences = F.regexp_count(text, F.lit("[.!?]+")) + 1
-    words = F.regexp_count(text, F.lit(r"\S+"))
-    letter, other = r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_&&[^aeiouy]]"
-    groups = F.regexp_count(low, F.lit("[aeiouy]+"))
-    none = F.regexp_count(low, F.lit(f"(?<!{letter}){other}+(?!{letter})"))
-    silent = F.regexp_count(low, F.lit(f"[aeiouy]{other}+[aeiouy]*e(?!{letter})"))
-    beats = F.greatest(groups + none - silent, F.lit(1))
-    letters = F.length(F.regexp_replace(text, r"\s", ""))
+    groups = F.regexp_count(shape, F.lit("[aeiouy]+"))
+    none = F.regexp_count(shape, F.lit("(?<![aeiouyx])x++(?![aeiouy])"))
+    silent = F.regexp_count(shape, F.lit("[aeiouy]x++[aeiouy]*+(?<=e)(?!x)"))
+    return F.greatest(groups + none - silent, F.lit(1))
+
+
+def readability(sentences: Column, words: Column, letters: Column, beats: Column) -> dict[str, Column]:
+    """Flesch ease and grade, automated readability and Coleman-Liau; words without vowels count one syllable."""
     some = words > 0
     score = lambda c: F.when(some, F.greatest(c, F.lit(0.0))).otherwise(0.0)
     return {

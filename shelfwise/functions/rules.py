@@ -2,10 +2,12 @@
 
 # price text
 CURRENCY = r"[$€£¥₹]|USD|EUR|GBP|CAD|AUD"
+CURRENCY_MARKS = ["$", "€", "£", "¥", "₹", "USD", "EUR", "GBP", "CAD", "AUD"]
 NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 
 # catalog text cleaning
 HTML_TAG = r"<[^>]+>"
+# the class is letters, ! and all of ASCII from $ to _, which holds digits, marks and escapes with %
 URL = r"https?://[a-zA-Z!$-_]+"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = r"(\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})"
@@ -44,11 +46,6 @@ UNITS = [
     ("fl oz", "milliliter", 29.5735), ("fl_oz", "milliliter", 29.5735),
     ("pc", "piece", 1.0), ("pcs", "piece", 1.0), ("piece", "piece", 1.0), ("pieces", "piece", 1.0), ("unit", "piece", 1.0), ("units", "piece", 1.0), ("count", "piece", 1.0), ("item", "piece", 1.0), ("items", "piece", 1.0),
 ]
-IPQ_CASES = [
-    ("Pack of 12", 12, "piece"), ("Quantity: 24", 24, "piece"), ("Qty 6", 6, "piece"), ("Pack of 8 pieces", 8, "piece"), ("12 pieces", 12, "piece"), ("24 pcs", 24, "piece"), ("6 units", 6, "piece"), ("10 count", 10, "piece"),
-    ("500g", 500, "gram"), ("1kg", 1, "gram"), ("750g pack", 750, "gram"), ("2 kg", 2, "gram"), ("250ml", 250, "milliliter"), ("1l", 1, "milliliter"), ("500ml bottle", 500, "milliliter"), ("2 liters", 2, "milliliter"),
-    ("6 x 100g", 6, "piece"), ("12 x 50ml", 12, "piece"), ("Size: 200g", 200, "gram"), ("Pack size 12", 12, "piece"), ("Product (100g)", 100, "gram"), ("Bottle (250ml)", 250, "milliliter"),
-]
 PARSER_IPQ = [r"(?:pack\s+of\s+|quantity\s*:?\s*|qty\s*:?\s*)(\d+(?:\.\d+)?)", r"(\d+(?:\.\d+)?)\s*(?:pcs?|pieces?|units?|count|items?)\b", r"(\d+)\s*x\s*\d+(?:\.\d+)?", r"(?:size\s*:?\s*|pack\s+size\s*:?\s*)(\d+(?:\.\d+)?)"]
 
 # catalog parser
@@ -132,4 +129,15 @@ COLOR_RGB = [
 
 # ordered allow / deny rules for licence names: (substring, status)
 LICENSE_RULES = [(x, "allowed") for x in ("mit license", "mit", "apache license 2.0", "apache 2.0", "apache software license", "bsd license", "bsd", "bsd-3-clause", "bsd-2-clause", "python software foundation license", "psf", "mozilla public license 2.0", "mpl-2.0")] + [(x, "restricted") for x in ("gpl", "lgpl", "agpl", "commercial", "proprietary")]
+# ordered rules for the paths of data files: kind of rule, what it looks for, status
+PATH_RULES = [
+    *[("path", x, "allowed") for x in ("dataset/train.csv", "dataset/test.csv", "dataset/sample_test_out.csv")],
+    *[("folder", x, "allowed") for x in ("dataset", "images", "cache", "embeddings", "models", "logs")],
+    *[("anywhere", x, "prohibited") for x in ("external_data", "scraped_data", "api_data", "web_data", "crawled_data", "third_party_data")],
+    *[("name", x, "suspicious") for x in ("external", "scraped", "crawled", "api_data", "web_data", "third_party", "additional_data", "extra_data")],
+    *[("folder", x, "code") for x in ("src", "tests", "notebooks")],
+]
+# what in a program hints at data from elsewhere: substrings of the lower-cased text, patterns
+CODE_WORDS = ["requests.get", "urllib.request", "wget", "curl", "api_key", "api_token", "scrape", "crawl", "external_url", "download_from", "fetch_data", "web_scraping"]
+CODE_PATTERNS = ["pd.read_csv.*external", "pd.read_csv.*additional", "pd.read_csv.*extra", "load.*external.*data", "open.*external"]
 EXPECTED_TRAIN = ["sample_id", "catalog_content", "image_link", "price"]

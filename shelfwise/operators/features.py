@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce as reduce_tables
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import picture
-from shelfwise.operators.percentiles import beside, percentiles
+from shelfwise.operators.percentiles import percentiles_of
 
 #: Vectorisers of this Python worker, by what loads them.
 _LOADED: dict = {}
@@ -22,17 +21,16 @@ _LOADED: dict = {}
 
 def scaling(df: DataFrame, columns: list[str], how: str) -> tuple[DataFrame, dict]:
     """Fit a scaling on ``df``: one row of centre and width per column, to be joined (broadcast) to whatever is scaled."""
-    fits, robust = [], []
+    if how not in ("standard", "minmax"):
+        quartiles = percentiles_of(df, columns, (0.25, 0.5, 0.75), "q_")
+        return quartiles.select(*(x for c in columns for x in (F.col(f"q_{c}")[1].alias(f"{c}_0"), (F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]).alias(f"{c}_1")))), {c: (f"{c}_0", f"{c}_1") for c in columns}
+    fits = []
     for c in columns:
         if how == "standard":
             fits += [F.avg(c).alias(f"{c}_0"), F.stddev_pop(c).alias(f"{c}_1")]
-        elif how == "minmax":
-            fits += [F.min(c).alias(f"{c}_0"), (F.max(c) - F.min(c)).alias(f"{c}_1")]
         else:
-            q = percentiles(df, c, (0.25, 0.5, 0.75), "q")
-            robust.append(q.select(F.col("q")[1].alias(f"{c}_0"), (F.col("q")[2] - F.col("q")[0]).alias(f"{c}_1")))
-    rows = ([df.agg(*fits)] if fits else []) + robust
-    return reduce_tables(beside, rows), {c: (f"{c}_0", f"{c}_1") for c in columns}
+            fits += [F.min(c).alias(f"{c}_0"), (F.max(c) - F.min(c)).alias(f"{c}_1")]
+    return df.agg(*fits), {c: (f"{c}_0", f"{c}_1") for c in columns}
 
 
 def apply_scaling(df: DataFrame, fit: DataFrame, names: dict) -> DataFrame:
@@ -67,7 +65,7 @@ def f_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 def binned_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """feature, score: mutual information of percentile bins of each column and of the target."""
     cuts = [i / bins for i in range(1, bins)]
-    edges = reduce_tables(beside, [percentiles(df, c, cuts, f"e_{c}") for c in [*columns, target]])
+    edges = percentiles_of(df, [*columns, target], cuts, "e_")
     binned = df.join(F.broadcast(edges), F.lit(True))
     place = lambda c: F.size(F.filter(f"e_{c}", lambda e: F.col(c) >= e))
     pairs = binned.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), place(c).alias("x")) for c in columns))).alias("f"), place(target).alias("y"))

@@ -43,8 +43,9 @@ def regression(y: Column, p: Column) -> dict[str, Column]:
     return {"mae": F.avg(F.abs(e)), "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)), "r2": 1 - F.sum(e * e) / (F.count(y) * F.var_pop(y)), "mape": F.avg(F.when(y != 0, F.abs(e / y))) * 100}
 
 
-def with_quantile_bucket(df: DataFrame, column: str, n: int) -> DataFrame:
-    """Bucket 1..n by linear percentile edges; half-open, the last closed. The edges are one row and are broadcast."""
-    edges = percentiles(df, column, [i / n for i in range(1, n)], "edges")
+def with_quantile_bucket(df: DataFrame, column: str, n: int, of: DataFrame | None = None) -> DataFrame:
+    """Bucket 1..n by linear percentile edges; half-open, the last closed. The edges are one row and are broadcast. They are
+    those of ``of``, where the same values are cheaper to come by."""
+    edges = percentiles(df if of is None else of, column, [i / n for i in range(1, n)], "edges")
     rank = F.size(F.filter("edges", lambda e: F.col(column) >= e)) + 1
     return df.join(F.broadcast(edges), F.lit(True)).withColumn("bucket", F.when(F.col(column).isNotNull(), rank)).drop("edges")

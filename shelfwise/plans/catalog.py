@@ -25,6 +25,8 @@ def flagship(spark, sf_dir):
     x = extract.model_inputs(F.col("catalog_content"))
     rows = products(spark, sf_dir).select("sample_id", price.alias("p"), x["category"].alias("category"), x["pack_qty"].alias("pack_qty")).filter("p >= 0")
     rows = rows.withColumn("y", F.when(F.col("p") == 0, 0.01).otherwise(F.col("p")))
+    # every row has a guess, so the edges are those of the prices alone, which need no model inputs
+    priced = products(spark, sf_dir).select(price.alias("p")).filter("p >= 0").select(F.when(F.col("p") == 0, 0.01).otherwise(F.col("p")).alias("y"))
     guess = rows.groupBy("category", "pack_qty").agg(F.avg("y").alias("guess"))
-    scored = metrics.with_quantile_bucket(rows.join(guess, ["category", "pack_qty"]), "y", 5)
+    scored = metrics.with_quantile_bucket(rows.join(guess, ["category", "pack_qty"]), "y", 5, priced)
     return scored.groupBy("bucket").agg(F.count("*").alias("n"), metrics.smape(F.col("y"), F.col("guess")).alias("smape"))

@@ -55,6 +55,30 @@ def price_normalize(spark, d):
     return products(spark, d).select("sample_id", "price_text", clean.price_from_text(F.col("price_text")).alias("price"))
 
 
+def _price_report_sql() -> str:
+    """The same steps as nested replacements, a SELECT for each."""
+    now, parts = "price_text", []
+
+    def step(kind: str, name: str, hit: str, then: str) -> str:
+        parts.append(f"SELECT '{kind}' AS kind, {lit(name)} AS pattern, {now} AS text FROM products WHERE {hit}")
+        return then
+
+    for mark in rules.CURRENCY_MARKS:
+        now = step("currency", mark, f"contains({now}, {lit(mark)})", f"replace({now}, {lit(mark)}, '')")
+    comma = r",(\d{3})(\D|$)"
+    now = step("separator", ",", f"regexp_matches({now}, {lit(comma)})", _regexes(now, [(comma, r"\1\2")] * 3))
+    now = step("separator", "space", rf"regexp_matches({now}, '\s')", rf"regexp_replace({now}, '\s', '', 'g')")
+    step("separator", "'", f"contains({now}, chr(39))", now)
+    parts.append(f"SELECT 'invalid' AS kind, '' AS pattern, price_text AS text FROM products WHERE price_text IS NOT NULL AND {price_sql('price_text')} IS NULL")
+    return f"WITH f AS ({' UNION ALL '.join(parts)}), g AS (SELECT *, row_number() OVER (PARTITION BY kind, pattern ORDER BY text) AS r FROM (SELECT kind, pattern, text, count(*) AS n FROM f GROUP BY ALL)) SELECT kind, pattern, CAST(sum(n) AS BIGINT) AS count, string_agg(text, ' | ' ORDER BY text) FILTER (r <= CASE WHEN kind = 'invalid' THEN 10 ELSE 5 END) AS samples FROM g GROUP BY kind, pattern"
+
+
+@query("price_normalize_report", _price_report_sql())
+def price_normalize_report(spark, d):
+    """Prices that each rule changes, and those that are none, with samples."""
+    return clean.price_report(products(spark, d), "price_text")
+
+
 @query(
     "zero_price",
     "SELECT sample_id, price, CASE WHEN coalesce(price, 0) = 0 THEN 0.01 ELSE price END AS epsilon_price, coalesce(price, 0) = 0 AS is_zero_price, coalesce(price, 0) <> 0 AS kept_by_drop FROM products",

@@ -198,7 +198,13 @@ _STATS = "avg_word_length avg_sentence_length uppercase_ratio lowercase_ratio di
     _STATS,
 )
 def text_statistics(spark, d):
-    return table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in extract.text_statistics(F.col("text")).items()))
+    return text_statistics_of(table(spark, d, "documents"), "text").select("doc_id", "s.*")
+
+
+def text_statistics_of(df, text):
+    """``df`` with a struct ``s``. The words are a column of their own first, so they are taken apart once."""
+    parted = df.withColumn("t", F.struct(*(c.alias(n) for n, c in extract.text_words(F.col(text)).items())))
+    return parted.withColumn("s", F.struct(*(c.alias(n) for n, c in extract.text_statistics(F.col("t.text"), F.col("t.words")).items()))).drop("t")
 
 
 _groups = "len(regexp_extract_all(w, '[aeiouy]+'))"
@@ -213,7 +219,14 @@ _READ = "flesch_reading_ease flesch_kincaid_grade automated_readability_index co
     _READ,
 )
 def readability(spark, d):
-    return table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in extract.readability(F.col("text")).items()))
+    return readability_of(table(spark, d, "documents"), "text").select("doc_id", "r.*")
+
+
+def readability_of(df, text):
+    """``df`` with a struct ``r``. Counts, syllables and scores are columns one after another, so each count is made once."""
+    counted = df.withColumn("c", F.struct(*(c.alias(n) for n, c in extract.readability_counts(F.col(text)).items())))
+    beats = counted.withColumn("beats", extract.syllables(F.col("c.shape")))
+    return beats.withColumn("r", F.struct(*(c.alias(n) for n, c in extract.readability(F.col("c.sentences"), F.col("c.words"), F.col("c.letters"), F.col("beats")).items()))).drop("c", "beats")
 
 
 _cats = "[" + ", ".join(f"CASE WHEN regexp_matches({L}, {lit(rf'\b({w})\b')}) THEN '{c}' END" for w, c in rules.TEXT_CATEGORIES) + "]"
@@ -326,6 +339,19 @@ def text_structure_vec(spark, d):
     return rows
 
 
+#: What the surrogate vectors hold, in order, and how long they are; the rest is zero.
+STRUCTURE = {"texture": (["complexity", "diversity", "word_length", "commas", "spaces"], 13), "edge": (["sentences", "line_breaks", "complexity", "diversity"], 4), "shape": (["complexity", "diversity", "word_length", "extent", "diversity", "eccentricity", "convexity"], 7)}
+_padded = " UNION ALL ".join(f"SELECT sample_id, '{k}' AS feature, unnest(range({n})) AS place, unnest([{', '.join(f'CAST({_struct[c]} AS DOUBLE)' for c in names)}{', 0' * (n - len(names))}]) AS value FROM products" for k, (names, n) in STRUCTURE.items())
+
+
+@query("text_structure_padded", f"SELECT sample_id, feature, CAST(place AS INT) AS place, value FROM ({_padded})", "value")
+def text_structure_padded(spark, d):
+    """The texture (13), edge (4) and shape (7) vectors, a row per component."""
+    x = structure(F.col(C))
+    vectors = F.array(*(F.struct(F.lit(k).alias("feature"), F.array(*(x[c].cast("double") for c in names), *[F.lit(0.0)] * (n - len(names))).alias("v")) for k, (names, n) in STRUCTURE.items()))
+    return products(spark, d).select("sample_id", F.explode(vectors).alias("f")).select("sample_id", "f.feature", F.posexplode("f.v").alias("place", "value"))
+
+
 def structure(text) -> dict:
     """Scores behind the texture (complexity .. spaces), edge and shape surrogates."""
     chars, words = F.length(text).cast("double"), F.regexp_count(text, F.lit(r"\S+")).cast("double")

@@ -432,6 +432,37 @@ def rule_match(spark, d):
     return ruled_names(spark, d)
 
 
+PATHS = "SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'dataset/train.csv' WHEN 1 THEN concat('cache/', p_name, '.parquet') WHEN 2 THEN concat('other/Web_Data/', p_name) WHEN 3 THEN concat('other/additional_data_', CAST(p_partkey AS STRING)) WHEN 4 THEN concat('tests/', p_name) WHEN 5 THEN concat('tests/external_', p_name) WHEN 6 THEN 'external/x.csv' WHEN 7 THEN concat('images/', CAST(p_partkey AS STRING), '.jpg') WHEN 8 THEN p_name WHEN 9 THEN 'dataset' ELSE concat('data', chr(92), 'crawled.json') END AS path FROM part"
+_slashed = "replace(path, chr(92), '/')"
+_first, _last = f"split_part({_slashed}, '/', 1)", f"lower(regexp_extract({_slashed}, '[^/]*$'))"
+_path_tests = {"path": lambda x: f"{_slashed} = {lit(x)}", "folder": lambda x: f"{_first} = {lit(x)}", "anywhere": lambda x: f"contains(lower({_slashed}), {lit(x)})", "name": lambda x: f"contains({_last}, {lit(x)})"}
+
+
+@query("rule_match_paths", f"WITH n AS ({PATHS}) SELECT id, path, CASE {' '.join(f'WHEN {_path_tests[k](x)} THEN {lit(s)}' for k, x, s in rules.PATH_RULES)} ELSE 'manual_review' END AS status, CASE {' '.join(f'WHEN {_path_tests[k](x)} THEN {lit(x)}' for k, x, s in rules.PATH_RULES)} END AS rule FROM n")
+def rule_match_paths(spark, d):
+    """Paths of data files by the first rule that holds: known files, folders, forbidden and suspicious names, code."""
+    paths = spark.sql(PATHS.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    slashed = F.replace("path", F.lit("\\"), F.lit("/"))
+    tests = {"path": lambda x: slashed == x, "folder": lambda x: F.split(slashed, "/")[0] == x, "anywhere": lambda x: F.contains(F.lower(slashed), F.lit(x)), "name": lambda x: F.contains(F.lower(F.element_at(F.split(slashed, "/", -1), -1)), F.lit(x))}
+    rule = F.coalesce(*(F.when(tests[k](x), F.struct(F.lit(s).alias("status"), F.lit(x).alias("rule"))) for k, x, s in rules.PATH_RULES))
+    return paths.select("id", "path", rule.alias("r")).select("id", "path", F.coalesce("r.status", F.lit("manual_review")).alias("status"), "r.rule")
+
+
+PROGRAMS = "SELECT p_partkey AS id, concat('import x', chr(10), CASE p_partkey % 7 WHEN 0 THEN 'r = Requests.get(url)' WHEN 1 THEN concat('df = pd.read_csv(', chr(39), 'My_External.csv', chr(39), ')') WHEN 2 THEN 'load_all(external, data); open(external)' WHEN 3 THEN 'crawl_and_scrape(api_key)' WHEN 4 THEN concat('load', chr(10), 'external data') ELSE p_name END, chr(10), p_type) AS body FROM part"
+_CODE = [("external_pattern", w) for w in rules.CODE_WORDS] + [("data_pattern", w) for w in rules.CODE_PATTERNS]
+_code_tests = {"external_pattern": lambda w: f"contains(lower(body), {lit(w)})", "data_pattern": lambda w: f"regexp_matches(body, {lit(w)}, 'i')"}
+_code_sql = ", ".join(f"CASE WHEN {_code_tests[k](w)} THEN {lit(k + ': ' + w)} END" for k, w in _CODE)
+
+
+@query("rule_match_code", f"SELECT id, unnest(list_filter([{_code_sql}], lambda x: x IS NOT NULL)) AS found FROM ({PROGRAMS})")
+def rule_match_code(spark, d):
+    """What in a program text hints at data from elsewhere: a row for each rule that a text meets."""
+    body = F.col("body")
+    programs = spark.sql(PROGRAMS.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    hits = (F.when(F.contains(F.lower(body), F.lit(w)) if k == "external_pattern" else body.rlike(f"(?i){w}"), F.lit(f"{k}: {w}")) for k, w in _CODE)
+    return programs.select("id", F.explode(F.array_compact(F.array(*hits))).alias("found"))
+
+
 @query("compliance_rollup", f"WITH n AS ({NAMES}), {_RULED}, m AS (SELECT id, coalesce(arg_min(status, ord), 'manual_review') AS status FROM n LEFT JOIN r ON contains(lower(name), word) GROUP BY id) SELECT status, count(*) AS n, CASE WHEN status = 'allowed' THEN 'COMPLIANT' ELSE 'REQUIRES_REVIEW' END AS verdict, status = 'restricted' AS blocking FROM m GROUP BY status")
 def compliance_rollup(spark, d):
     c = ruled_names(spark, d).groupBy("status").agg(F.count("*").alias("n"))

@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 from shelfwise.functions import clean, extract, rules
 from shelfwise.operators import features, joins, metrics, models, percentiles
 from shelfwise.plans import catalog
+from shelfwise.plans.extraction import readability_of, text_statistics_of
 from shelfwise.sources import files, tables
 from shelfwise.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
+# fixed values: pack sizes and units that texts must give
+IPQ_CASES = [
+    ("Pack of 12", 12, "piece"), ("Quantity: 24", 24, "piece"), ("Qty 6", 6, "piece"), ("Pack of 8 pieces", 8, "piece"), ("12 pieces", 12, "piece"), ("24 pcs", 24, "piece"), ("6 units", 6, "piece"), ("10 count", 10, "piece"),
+    ("500g", 500, "gram"), ("1kg", 1, "gram"), ("750g pack", 750, "gram"), ("2 kg", 2, "gram"), ("250ml", 250, "milliliter"), ("1l", 1, "milliliter"), ("500ml bottle", 500, "milliliter"), ("2 liters", 2, "milliliter"),
+    ("6 x 100g", 6, "piece"), ("12 x 50ml", 12, "piece"), ("Size: 200g", 200, "gram"), ("Pack size 12", 12, "piece"), ("Product (100g)", 100, "gram"), ("Bottle (250ml)", 250, "milliliter"),
+]
+
 
 def one(spark, values, expression, kind="string"):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
@@ -48,9 +56,9 @@ def test_cleaning(spark):
 
 
 def test_pack_quantity_cases(spark):
-    got = one(spark, [c[0] for c in rules.IPQ_CASES], lambda t: F.struct(extract.pack_quantity(t)["value"].alias("v"), extract.canonical_unit(extract.pack_quantity(t)["unit"])["unit"].alias("u")))
-    right = sum(g.v == c[1] and g.u == c[2] for g, c in zip(got, rules.IPQ_CASES, strict=True))
-    assert right / len(rules.IPQ_CASES) >= 0.9
+    got = one(spark, [c[0] for c in IPQ_CASES], lambda t: F.struct(extract.pack_quantity(t)["value"].alias("v"), extract.canonical_unit(extract.pack_quantity(t)["unit"])["unit"].alias("u")))
+    right = sum(g.v == c[1] and g.u == c[2] for g, c in zip(got, IPQ_CASES, strict=True))
+    assert right / len(IPQ_CASES) >= 0.9
     assert one(spark, ["   ", None, "no number"], extract.pack_quantity) == [None, None, None]
 
 
@@ -68,7 +76,8 @@ def test_parser(spark):
 
 
 def test_readability_and_statistics(spark):
-    got = one(spark, ["The cat sat. The dog ran!", "", None], lambda t: F.struct(*(c.alias(k) for k, c in {**extract.text_statistics(t), **extract.readability(t)}.items())))
+    rows = spark.createDataFrame([(0, "The cat sat. The dog ran!"), (1, ""), (2, None)], "i int, v string")
+    got = [r for r in text_statistics_of(readability_of(rows, "v"), "v").select("i", "s.*", "r.*").orderBy("i").collect()]
     assert got[0].word_count == 6 and got[0].sentence_count == 2 and got[0].flesch_reading_ease == 100.0
     assert got[1].word_count == 0 and got[1].flesch_reading_ease == 0.0 and got[2].char_count == 0
 
@@ -297,3 +306,30 @@ def test_embedding_versions(spark, tmp_path):
 def test_words_of_a_fixed_vocabulary(spark):
     df = spark.createDataFrame([(1, ["b", "a", "z"]), (2, []), (3, None), (4, ["a"] * 4)], "doc_id long, ws array<string>")
     assert {r.doc_id: r.ids for r in features.encode_words(df, ["a", "b"], 4).collect()} == {1: [3, 2, 0, 1], 2: [1] * 4, 3: [1] * 4, 4: [2] * 4}
+
+
+def test_percentiles_of_columns_at_once(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 3))
+    rows = [(float(a), None if i % 3 == 0 else float(b), float(round(c)), None) for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = percentiles.percentiles_of(df, ["a", "b", "c", "d"], shares, "e_").first()
+    for j, name in enumerate("abc"):
+        values = [r[j] for r in rows if r[j] is not None]
+        assert got[f"e_{name}"] == pytest.approx(np.quantile(values, shares).tolist())
+    assert got.e_d == [None] * 6 and percentiles.percentiles_of(df.limit(0), ["a"], [0.5], "e_").first().e_a == [None]
+
+
+def test_price_report(spark):
+    texts = ["$1,234.50", "$5", "EUR 7", "1 000", "1'000", "1,2", "bad", "bad", "", None, *(f"x{i}" for i in range(20)), *(f"${i}" for i in range(6))]
+    got = {(r.kind, r.pattern): (r["count"], r.samples) for r in clean.price_report(spark.createDataFrame([(t,) for t in texts], "p string"), "p").collect()}
+    assert got["currency", "$"] == (8, "$0 | $1 | $1,234.50 | $2 | $3") and got["currency", "EUR"] == (1, "EUR 7") and ("currency", "USD") not in got
+    assert got["separator", ","] == (1, "1,234.50") and got["separator", "space"] == (2, " 7 | 1 000") and got["separator", "'"] == (1, "1'000")
+    assert got["invalid", ""] == (24, " | ".join(["", "1,2", "bad", "x0", "x1", "x10", "x11", "x12", "x13", "x14"]))
+
+
+def test_structure_vectors_are_padded(spark):
+    rows = catalog.QUERIES["text_structure_padded"](spark, SF).filter("sample_id = '1'").collect()
+    of = {k: [r.value for r in sorted((r for r in rows if r.feature == k), key=lambda r: r.place)] for k in ("texture", "edge", "shape")}
+    assert [len(v) for v in of.values()] == [13, 4, 7] and of["texture"][5:] == [0.0] * 8 and of["texture"][:2] == of["edge"][2:] == of["shape"][:2]
