@@ -18,8 +18,9 @@ ROOT = Path(__file__).resolve().parents[2]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where that is unset, a session on one machine (tests) gets a temporary
-    folder; on a cluster this raises, as executors would not share it."""
+    """This application's folder in ``spark.checkpoint.dir``, deleted when the driver's JVM ends. Where that setting is
+    missing, a session on one machine (tests) gets a temporary folder; on a cluster this raises, as executors would not
+    share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.split("[")[0] == "local":
@@ -28,7 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
         if folder is None:
             folder = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
             spark.sparkContext._shelfwise_dir = folder
-    return folder.rstrip("/")
+    mine = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+    made = spark.sparkContext.__dict__.setdefault("_shelfwise_made", set())
+    if mine not in made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(mine)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+        made.add(mine)
+    return mine
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -96,6 +96,14 @@ def test_contamination(spark, docs, corpus, block):
         assert winnowing.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_of_a_very_long_text(spark):
+    passage = " ".join(f"b{i}" for i in range(12))
+    text = "the and of this is a word " * 150_000 + passage + " " + "tail " * 10
+    df = spark.createDataFrame([(1, text), (2, text[: 7 * 26])], "doc_id long, text string")
+    got = {r.doc_id: r for r in winnowing.contamination(df, spark.createDataFrame([("x", passage)], "item_id string, text string")).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items) == (1_050_022, 12, 1) and not got[2].contaminated
+
+
 # token files
 
 
@@ -430,6 +438,9 @@ def test_ties(spark):
     df = spark.createDataFrame([(1, "abc def")], "key long, text string")
     pages = df.select("key", "text", none.alias("declared"), none.alias("suffix"), none.alias("domain"), none.alias("host"))
     assert langid.fuse(pages, ["de", "en"], np.zeros((langid.SLOTS, 2), np.float32)).first().lang == "de"
+    fitted = langid.fit(spark.createDataFrame([("gleich same igual", x) for x in ("en", "de", "es")], "text string, lang string"))
+    assert fitted[0] == ["de", "en", "es", langid.UNKNOWN]
+    assert langid.fuse(pages.withColumn("text", F.lit("gleich same igual")), *fitted).first().lang == "de"  # equal models
     lines = "one common line of words\nother common line of words"
     got = templates.without_lines(spark.createDataFrame([(i, lines) for i in range(10)], "doc_id long, text string"))[0].collect()
     assert sorted(r.lines_dropped for r in got) == [0] + [2] * 9
