@@ -20,7 +20,8 @@ BLOCK = 8 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset on one machine."""
+    """A new path in this application's folder in ``spark.checkpoint.dir``, which is deleted when the driver's JVM ends; a
+    temporary folder stands in where that is unset on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -28,7 +29,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         folder = getattr(spark.sparkContext, "_shelfwise_files", None)
         if folder is None:
             folder = spark.sparkContext._shelfwise_files = "file://" + tempfile.mkdtemp(prefix="shelfwise-files-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    mine = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}-files"
+    made = spark.sparkContext.__dict__.setdefault("_shelfwise_made", set())
+    if mine not in made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(mine)
+        store_of = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        store_of.mkdirs(p)
+        store_of.deleteOnExit(p)
+        made.add(mine)
+    return f"{mine}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
