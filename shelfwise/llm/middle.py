@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from shelfwise.llm.session import free_name, ship
 from shelfwise.llm.text import Piece, pieces, slices
@@ -100,7 +101,7 @@ def draws(ids: list, seed: int) -> np.ndarray:
     return np.frombuffer(joined, ">u4").reshape(-1, 4).astype(np.int64)
 
 
-FIM = "n long, form string, prefix_chars long, middle_chars long, output string"
+FIM = StructType([StructField("n", LongType()), StructField("form", StringType()), StructField("prefix_chars", LongType()), StructField("middle_chars", LongType()), StructField("output", StringType())])
 
 
 def transformer(id_at: int, text_at: int, seed: int, name: str):
@@ -139,10 +140,6 @@ def transformer(id_at: int, text_at: int, seed: int, name: str):
     return run
 
 
-def schema_of(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def fill_in_middle(docs: DataFrame, seed: int = 1, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, str]:
     """docs -> (its columns and a struct of n (tokens), form, prefix_chars, middle_chars (code points) and output; the name
     of the struct: ``fim``, with underscores in front if ``docs`` has a column of that name).
@@ -153,7 +150,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 1, id_column: str = "doc_id", te
     ship(docs.sparkSession)
     name = free_name(docs, "fim")
     run = transformer(docs.columns.index(id_column), docs.columns.index(text_column), seed, name)
-    return docs.mapInArrow(run, f"{schema_of(docs)}, `{name}` struct<{FIM.replace(' long', ':long').replace(' string', ':string')}>"), name
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, FIM)])), name
 
 
 def restored(output, form):

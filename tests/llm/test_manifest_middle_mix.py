@@ -170,7 +170,7 @@ def test_middle(spark, odd, folder, empty_folder):
 def test_middle_on_marks_and_odd_characters(spark):
     rng = random.Random(12)
     texts = ["".join(rng.choice(["<", "P", "S", "M", ">", "a", "Bc", " ", "\n", "é", "日", "\U0001f600", "0", "\x00", "@", "[", "`", "{"]) for _ in range(rng.randrange(30))) for _ in range(1500)] + ["ab" * 400_000 + " x" * 200_000, "<" * 99, "日" * 99]
-    df = spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)], "doc_id long, text string, fim string").repartition(4)
+    df = spark.createDataFrame([(i, t, "f", (1, "x")) for i, t in enumerate(texts)], "doc_id long, text string, fim string, `odd name, of` struct<`a:b`: long, output: string>").repartition(4)
     out, name = middle.fill_in_middle(df)
     assert name == "_fim" and out.columns == [*df.columns, "_fim"]
     rows = out.select("doc_id", F.col(name).alias("m"), middle.restored(F.col(name)["output"], F.col(name)["form"]).alias("back")).collect()
