@@ -111,7 +111,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     leaves = materialize(lines.filter("leaf is not null").groupBy("leaf").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= SUPPORT).select("leaf"), "leaves")
     repeated = materialize(lines.filter("n_docs > 1").select("one"), "repeated-lines")
     places = docs.select("ord", "row", "text").mapInArrow(lines_in(membership(leaves, "leaf"), membership(repeated, "one")), PLACE)
-    places = materialize(places, "places")
+    held = places = materialize(places, "places")
     texts = places.filter("masked is not null").groupBy(*LINE).agg(F.min("masked").alias("masked"))
     leaf_lines = materialize(lines.join(leaves, "leaf", "left_semi").join(texts, LINE), "leaf-lines")
     tokens = leaf_lines.select(*LINE, "leaf", "n_docs", F.posexplode(F.split("masked", " ", -1)).alias("pos", "token"))
@@ -129,6 +129,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     of_line = materialize(followed.join(recurring, KEY).select(*LINE, "at").union(recurring.join(followed.select(F.col("one").alias("key_one"), F.col("two").alias("key_two")), KEY, "left_anti").select(*KEY, "at")), "recurring-lines")
     gone = places.join(of_line, LINE).filter(F.struct("ord", "row", "number") != F.col("at"))
     out = materialize(gone.groupBy("ord", "row").agg(F.collect_set("number").alias("numbers")), "dropped-lines")
+    drop_scratch(lines, leaves, repeated, held, leaf_lines, followed, recurring, of_line)
     return out
 
 
