@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import extract, rules
 from shelfwise.operators import features
 from shelfwise.plans.registry import case_contains, contains_any, lit, query
-from shelfwise.sources.tables import downloads, predictions, products, table
+from shelfwise.sources.tables import predictions, products, table
 
 C = "catalog_content"
 L = f"lower({C})"

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import features, models, neighbours, stages
 from shelfwise.plans.modeling import HashedTokens
-from shelfwise.sources import files
 from shelfwise.streaming import streams
 
 
