@@ -207,3 +207,48 @@ def test_features_of_scanned_pictures(spark, tmp_path):
         assert r.histogram == pytest.approx(picture.histogram(x).tolist()) and r.colors == pytest.approx(picture.dominant_colors(x).ravel().tolist())
         assert r.texture == pytest.approx(picture.texture(picture.grey(x))) and r.edges == pytest.approx(picture.edges(picture.grey(x)))
     assert features.image_features(ok.limit(0)).count() == 0
+
+
+def test_pictures_of_every_kind_in_turns(spark, tmp_path, monkeypatch):
+    """Plain PNG files go around Spark's reader, which lists on the driver; what it reads comes in turns, names may repeat."""
+    import struct
+    import zlib
+
+    rgb = np.random.default_rng(5).integers(0, 256, (6, 4, 3)).astype(np.uint8)
+
+    def png(rows, kind=2, w=4, h=6):
+        chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    left = np.concatenate([rgb[:, :1], np.diff(rgb.astype(int), axis=1) % 256], axis=1).astype(np.uint8)
+    above = np.concatenate([rgb[:1], np.diff(rgb.astype(int), axis=0) % 256]).astype(np.uint8)
+    filtered = lambda f, x: b"".join(bytes([f]) + r.tobytes() for r in x)
+    grey = b"".join(b"\0" + r.tobytes() for r in rgb[:, :, 0])
+    alpha = b"".join(b"\0" + np.concatenate([r, np.full((4, 1), 255, np.uint8)], axis=1).tobytes() for r in rgb)
+    paeth = filtered(4, np.concatenate([left[:1], np.zeros_like(rgb[1:])]))
+    kinds = {"left": png(filtered(1, left)), "above": png(filtered(2, above)), "grey": png(grey, 0), "alpha": png(alpha, 6), "paeth": png(paeth), "short": png(filtered(0, rgb)[:-9]), "cut": png(filtered(0, rgb))[:70]}
+    for i in range(3):
+        (tmp_path / f"d{i}").mkdir()
+        for k, body in kinds.items():
+            (tmp_path / f"d{i}" / f"{k}{i}.png").write_bytes(body)
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 4)
+    monkeypatch.setattr(files, "FILES_A_FOLDER", 2)
+    ids = spark.createDataFrame([(f"{k}{i}", f"{k}{i}.png") for k in kinds for i in range(3)], "sample_id string, file string")
+    got = {r.sample_id: r for r in files.scan_images(spark, f"file://{tmp_path}", ids).collect()}
+    straight = spark.read.format("image").option("dropInvalid", True).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).load(f"file://{tmp_path}")
+    want = {r.image.origin.split("/")[-1][:-4]: r.image for r in straight.collect()}
+    assert {k for k, r in got.items() if r.status == "ok"} == set(want) and len(got) == 21
+    for k, x in want.items():
+        assert got[k].image[1:] == x[1:], k
+    assert bytes(got["left0"].image.data) == rgb[:, :, ::-1].tobytes() and bytes(got["above2"].image.data) == rgb[:, :, ::-1].tobytes()
+
+
+def test_tasks_list_the_folders(spark, tmp_path):
+    """The driver sees no file, so its memory does not grow with them; hidden and empty files are passed over."""
+    rows = [(f"f{i}", b"x" * (i % 5)) for i in range(200)] + [("_hidden", b"x"), (".hidden", b"x")]
+    files.write_files(spark.createDataFrame(rows, "file string, content binary"), f"file://{tmp_path}/a", 7)
+    assert len([p for p in (tmp_path / "a").iterdir()]) == 7
+    plan = files.listing(spark, f"file://{tmp_path}/a")._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan.lower() and "InMemoryFileIndex" not in plan
+    got = {r.path.split("/")[-1]: r.length for r in files.listing(spark, f"file://{tmp_path}/a").collect()}
+    assert got == {n: len(b) for n, b in rows if b and "hidden" not in n}
