@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import clean, rules
 from shelfwise.plans.registry import lit, query
-from shelfwise.sources.tables import products, submission, table
+from shelfwise.sources.tables import products, spread_products, submission, table
 
 WS = r"\s+"
 
@@ -225,7 +225,7 @@ def parse_title_desc(spark, d):
 )
 def product_attributes(spark, d):
     t = F.col("catalog_content")
-    a = products(spark, d).select(
+    a = spread_products(spark, d).select(
         "sample_id", clean.title_of(t).alias("title"), clean.description_of(t).alias("description"), clean.quantity_text(F.btrim(t)).alias("quantity"), clean.clean_text(t).alias("cleaned"), clean.standardize_text(t).alias("standardized"), F.length(t).cast("long").alias("n_chars"), F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("n_words")
     )
     return a.select("*", *(F.col(c).isNotNull().alias(f"has_{c}") for c in ("title", "description", "quantity")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import extract, rules
 from shelfwise.operators import features
 from shelfwise.plans.registry import case_contains, contains_any, lit, query
-from shelfwise.sources.tables import predictions, products, table
+from shelfwise.sources.tables import predictions, products, spread_products, table
 
 C = "catalog_content"
 L = f"lower({C})"
@@ -172,7 +172,7 @@ _wide = "ipq_value ipq_confidence length width height volume area diameter radiu
 )
 def numeric_features(spark, d):
     t = F.col(C)
-    rows = products(spark, d).select("sample_id", extract.parser_quantity(t).alias("i"), extract.brand(t).alias("b"), extract.category(t).alias("c"), extract.lexicon(t, rules.MATERIALS).alias("m"), extract.lexicon(t, rules.COLORS).alias("k"), extract.specifications(t).alias("s"), *(c.alias(n) for n, c in extract.dimensions(t).items()))
+    rows = spread_products(spark, d).select("sample_id", extract.parser_quantity(t).alias("i"), extract.brand(t).alias("b"), extract.category(t).alias("c"), extract.lexicon(t, rules.MATERIALS).alias("m"), extract.lexicon(t, rules.COLORS).alias("k"), extract.specifications(t).alias("s"), *(c.alias(n) for n, c in extract.dimensions(t).items()))
     zero = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0))
     return rows.select(
         "sample_id", F.col("i").isNotNull().alias("has_ipq"), zero("i.value").alias("ipq_value"), zero("i.confidence").alias("ipq_confidence"), "has_dimensions", *(zero(x).alias(x) for x in ("length", "width", "height", "volume", "area", "diameter", "radius")),
@@ -347,9 +347,9 @@ _padded = " UNION ALL ".join(f"SELECT sample_id, '{k}' AS feature, unnest(range(
 @query("text_structure_padded", f"SELECT sample_id, feature, CAST(place AS INT) AS place, value FROM ({_padded})", "value")
 def text_structure_padded(spark, d):
     """The texture (13), edge (4) and shape (7) vectors, a row per component."""
-    x = structure(F.col(C))
-    vectors = F.array(*(F.struct(F.lit(k).alias("feature"), F.array(*(x[c].cast("double") for c in names), *[F.lit(0.0)] * (n - len(names))).alias("v")) for k, (names, n) in STRUCTURE.items()))
-    return products(spark, d).select("sample_id", F.explode(vectors).alias("f")).select("sample_id", "f.feature", F.posexplode("f.v").alias("place", "value"))
+    rows = spread_products(spark, d).select("sample_id", F.struct(*(c.cast("double").alias(n) for n, c in structure(F.col(C)).items())).alias("s"))
+    vectors = F.array(*(F.struct(F.lit(k).alias("feature"), F.array(*(F.col(f"s.{c}") for c in names), *[F.lit(0.0)] * (n - len(names))).alias("v")) for k, (names, n) in STRUCTURE.items()))
+    return rows.select("sample_id", F.explode(vectors).alias("f")).select("sample_id", "f.feature", F.posexplode("f.v").alias("place", "value"))
 
 
 def structure(text) -> dict:
