@@ -175,3 +175,64 @@ def test_arrivals_in_append_mode(spark):
     # hour 1 without the late event; the watermark ends at 10:20, so hour 10 and 11 are still open
     assert got == {h: 1 for h in range(10)}
     assert streams.run_arrivals(streams.by_arrival(events.limit(0), "ts", F.lit(False)), streams.hourly_failures).count() == 0
+
+
+# work that must not be done again for every fit
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def counted(monkeypatch, owner, name):
+    calls, real = [], getattr(owner, name)
+    monkeypatch.setattr(owner, name, lambda *a, **k: (calls.append(a), real(*a, **k))[1])
+    return calls
+
+
+def test_rows_of_a_small_file_go_to_all_cores(spark):
+    from shelfwise.plans import cleaning, extraction, modeling
+    from shelfwise.sources import tables
+
+    width = 2 * spark.sparkContext.defaultParallelism
+    assert tables.tasks_for(spark, 10) == width and tables.tasks_for(spark, 7_200_000) == 144
+    for query in (extraction.numeric_features, extraction.text_structure_padded, cleaning.product_attributes, modeling.predict_batch):
+        assert query(spark, SF).rdd.getNumPartitions() == width
+    assert sorted(tables.spread_products(spark, SF).collect()) == sorted(tables.products(spark, SF).collect())
+
+
+def test_inputs_are_read_out_of_the_texts_once(spark):
+    from shelfwise.plans import modeling
+    from shelfwise.sources.tables import products
+
+    rows = modeling.spread_rows(spark, SF)
+    assert "regexp" not in rows._jdf.queryExecution().toString().lower()
+    assert sorted(rows.collect()) == sorted(models.model_table(products(spark, SF)).collect())
+
+
+def test_a_fold_is_prepared_once(spark, monkeypatch):
+    from shelfwise.plans import modeling
+
+    rows = modeling.spread_rows(spark, SF)
+    want = {}
+    for f in range(2):
+        for name, r in (("one", models.ridge(0.1)), ("two", models.ridge(10.0))):
+            scored = models.fit(rows.filter(f"fold % 2 <> {f}"), r).transform(rows.filter(f"fold % 2 = {f}"))
+            want |= {(x.sample_id, name): x.p for x in scored.select("sample_id", models.price_of("prediction").alias("p")).collect()}
+    calls = counted(monkeypatch, models, "preparation")
+    got = {(x.sample_id, x.model): x.y_pred for x in models.out_of_fold(rows, {"one": models.ridge(0.1), "two": models.ridge(10.0)}, 2).collect()}
+    assert len(calls) == 2 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    calls.clear()
+    found = models.search(rows, lambda **s: models.RandomForestRegressor(seed=1, **s), models.draws({"numTrees": [2], "maxDepth": [1, 2]}, 2), 2).collect()
+    assert len(calls) == 2 and len(found) == 2
+
+
+def test_rows_are_dealt_and_pivoted_once(spark, monkeypatch):
+    from shelfwise.plans import modeling
+
+    rows = modeling.spread_rows(spark, SF)
+    calls = counted(monkeypatch, models, "number_rows")
+    rise = models.permutation_importance(models.fit(rows, models.ridge(1.0)), rows, models.inputs())
+    assert len(calls) == 2 and "Join" not in rise._jdf.queryExecution().toString()
+    assert len(rise.collect()) == len(models.inputs())
+    stacked = modeling.ensemble_stacking(spark, SF)
+    assert "pivot" not in stacked._jdf.queryExecution().toString().lower() and stacked.count() == stacked.select("sample_id").distinct().count()
