@@ -38,6 +38,7 @@ BLOCK = 1 << 12
 PIVOT_TURNS = 2
 HOT = 8
 PARITY = 2  # longs
+WIDE = 16  # longs of a signature that open postings carry
 LONGEST_SIGNATURE = 1 << 20
 
 
@@ -69,8 +70,9 @@ def set_id(grams: np.ndarray) -> int:
 
 
 def signature(grams: np.ndarray) -> bytes:
-    """For each hash slot whether it holds an odd number of grams; between two and four slots a gram."""
-    bits = min(max(64, 1 << (2 * len(grams) - 1).bit_length()), LONGEST_SIGNATURE)
+    """For each hash slot whether it holds an odd number of grams; between two and four slots a gram, and
+    as many as ``WIDE`` longs have at least."""
+    bits = min(max(64 * WIDE, 1 << (2 * len(grams) - 1).bit_length()), LONGEST_SIGNATURE)
     return np.packbits(np.bincount((spread(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -241,6 +243,22 @@ def parity_distance() -> Column:
     return sum((F.bit_count(F.col(f"x.odd{j}").bitwiseXOR(F.col(f"y.odd{j}"))) for j in range(PARITY)), F.lit(0))
 
 
+def widened(batches):
+    """(sid, signature) -> sid and the signature folded to ``WIDE`` longs."""
+    for batch in batches:
+        found = np.zeros((batch.num_rows, WIDE), np.uint64)
+        for i, raw in enumerate(batch.column(1).to_pylist()):
+            found[i] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, WIDE), axis=0)
+        columns = [pa.array(np.ascontiguousarray(found[:, j]).view(np.int64)) for j in range(WIDE)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["sid", *(f"wide{j}" for j in range(WIDE))])
+
+
+def wide_reach() -> Column:
+    """The parity filter of ``could_reach`` on folded signatures, which tell large sets apart that 64 * PARITY slots do not."""
+    apart = sum((F.bit_count(F.col(f"x.wide{j}").bitwiseXOR(F.col(f"y.wide{j}"))) for j in range(WIDE)), F.lit(0))
+    return apart <= F.col("x.n") + F.col("y.n") - 2 * F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9)
+
+
 def could_reach() -> Column:
     """Length, positional, suffix and parity filters on a pair of postings x and y of one gram."""
     need = F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9)
@@ -275,9 +293,10 @@ def pivot_pairs(here: DataFrame, turn: int) -> DataFrame:
 
 
 def open_pairs(here: DataFrame) -> DataFrame:
-    """Every pair (a, b) of sets that share a prefix gram, pass the filters and are in different groups."""
+    """Every pair (a, b) of sets that share a prefix gram, pass the filters and are in different groups. The postings carry
+    folded signatures, so that of a large group of unlike sets with common grams few pairs are made."""
     x, y = here.alias("x"), here.alias("y")
-    joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & ~made_before() & could_reach())
+    joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & ~made_before() & could_reach() & wide_reach())
     return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
 
 
@@ -337,7 +356,8 @@ def set_groups(texts: DataFrame, counts, signatures: DataFrame, k: int) -> DataF
     links = verify(alike(tested, signatures), texts, k)
     here = labelled(near, components(links), "sid", "comp")
     open_grams = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-    here = materialize(here.join(open_grams, "gram", "left_semi"), "open-postings")
+    wide = signatures.select("sid", "signature").mapInArrow(widened, "sid long, " + ", ".join(f"wide{j} long" for j in range(WIDE)))
+    here = materialize(here.join(open_grams, "gram", "left_semi").join(wide, "sid"), "open-postings")
     drop_scratch(near)
     rest = materialize(open_pairs(here).join(tested, ["a", "b"], "left_anti"), "open-pairs")
     drop_scratch(here)

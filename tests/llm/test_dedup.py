@@ -190,3 +190,16 @@ def test_matching_statistics():
             for i in range(len(s)):
                 for j in range(i + 1, len(s) + 1):
                     seen[tuple(s[i:j])] = True
+
+
+def test_unlike_sets_with_common_grams_make_few_pairs(spark, monkeypatch):
+    """Texts of one passage and a seventh of their own words share prefix grams, but none is a link (0.73)."""
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{i}" for i in range(300))
+    rows = [(i, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 50))) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(3)]
+    made, real = [], jaccard.alike
+    monkeypatch.setattr(jaccard, "alike", lambda pairs, signatures: (made.append(pairs.count()), real(pairs, signatures))[1])
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 100 if i >= 100 else i for i, _ in rows}
+    assert made[-1] < 40  # of 780
