@@ -254,9 +254,10 @@ def widened(batches):
 
 
 def wide_reach() -> Column:
-    """The parity filter of ``could_reach`` on folded signatures, which tell large sets apart that 64 * PARITY slots do not."""
-    apart = sum((F.bit_count(F.col(f"x.wide{j}").bitwiseXOR(F.col(f"y.wide{j}"))) for j in range(WIDE)), F.lit(0))
-    return apart <= F.col("x.n") + F.col("y.n") - 2 * F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9)
+    """The parity filter of ``could_reach`` on folded signatures, which tell large sets apart that 64 * PARITY slots do not;
+    postings without one pass."""
+    apart = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, bits: total + bits)
+    return F.coalesce(apart <= F.col("x.n") + F.col("y.n") - 2 * F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9), F.lit(True))
 
 
 def could_reach() -> Column:
@@ -293,8 +294,8 @@ def pivot_pairs(here: DataFrame, turn: int) -> DataFrame:
 
 
 def open_pairs(here: DataFrame) -> DataFrame:
-    """Every pair (a, b) of sets that share a prefix gram, pass the filters and are in different groups. The postings carry
-    folded signatures, so that of a large group of unlike sets with common grams few pairs are made."""
+    """Every pair (a, b) of sets that share a prefix gram, pass the filters and are in different groups. The postings of grams
+    of ``HOT`` sets or more carry folded signatures, so that of a large group of unlike sets with common grams few pairs are made."""
     x, y = here.alias("x"), here.alias("y")
     joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & ~made_before() & could_reach() & wide_reach())
     return joined.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
@@ -355,9 +356,10 @@ def set_groups(texts: DataFrame, counts, signatures: DataFrame, k: int) -> DataF
         tested = tested.union(more)
     links = verify(alike(tested, signatures), texts, k)
     here = labelled(near, components(links), "sid", "comp")
-    open_grams = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
+    open_grams = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") >= HOT).alias("busy")).filter("lo <> hi").select("gram", "busy")
     wide = signatures.select("sid", "signature").mapInArrow(widened, "sid long, " + ", ".join(f"wide{j} long" for j in range(WIDE)))
-    here = materialize(here.join(open_grams, "gram", "left_semi").join(wide, "sid"), "open-postings")
+    wide = wide.select("sid", F.lit(True).alias("busy"), F.array(*(f"wide{j}" for j in range(WIDE))).alias("wide"))
+    here = materialize(here.join(open_grams, "gram").join(wide, ["sid", "busy"], "left"), "open-postings")
     drop_scratch(near)
     rest = materialize(open_pairs(here).join(tested, ["a", "b"], "left_anti"), "open-pairs")
     drop_scratch(here)
