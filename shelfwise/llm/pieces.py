@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.session import ship
+from shelfwise.llm.session import kept_by, ship
 from shelfwise.llm.text import slices
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_BYTES = 64 << 20
 CACHE_PAIRS = 200_000
-_models: dict[str, "PieceModel"] = {}
 _irregular = re.compile(f"^ |  |{SPACE}|\x01")
 
 
@@ -117,7 +116,7 @@ class PieceModel:
     @classmethod
     def load(cls, path: str) -> "PieceModel":
         """The model at ``path``, once a worker."""
-        if path not in _models:
+        if path not in kept_by("pieces"):
             import sentencepiece
             from sentencepiece import sentencepiece_model_pb2
 
@@ -125,8 +124,8 @@ class PieceModel:
             kind = lambda i: "byte" if sp.is_byte(i) else "other" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "piece"
             proto = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
             bpe = proto.trainer_spec.model_type == proto.trainer_spec.BPE
-            _models[path] = cls([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())], bpe)
-        return _models[path]
+            kept_by("pieces")[path] = cls([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())], bpe)
+        return kept_by("pieces")[path]
 
     def merge(self, text: str) -> list[int]:
         """Ids that BPE merging gives, in one pass: ``last`` is the last piece of each prefix, -1 at the start and after a
@@ -231,7 +230,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         model = PieceModel.load(path)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, operator="pieces"):
             ids = [model.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
 
@@ -248,7 +247,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         model = PieceModel.load(path)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, operator="pieces"):
             texts = [model.decode(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
@@ -265,7 +264,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     def run(batches):
         model = PieceModel.load(path)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, operator="pieces"):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             raw = [model.encode(t) for t in texts]
             back = [model.decode(r) for r in raw]

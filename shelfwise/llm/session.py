@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import shutil
@@ -80,6 +82,25 @@ def ship(spark: SparkSession) -> None:
         sys.path.insert(0, str(ROOT))
 
 
+#: What operators keep in a worker between tasks (models and the units they met), by operator.
+_kept: dict[str, dict] = {}
+
+
+def kept_by(operator: str) -> dict:
+    return _kept.setdefault(operator, {})
+
+
+def release_others(operator: str | None) -> None:
+    """Drop what other operators keep in this worker. Spark uses a worker again for tasks of any operator, so caches of one
+    would stay beside all that later ones hold."""
+    if others := [o for o in _kept if o != operator and _kept[o]]:
+        for o in others:
+            _kept[o].clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not with every C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from shelfwise.llm.session import spread
+from shelfwise.llm.session import release_others, spread
 
 PIECE = 1 << 20
 STRETCH = 1 << 27
@@ -196,8 +196,10 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[at], end[np.concatenate([at[1:], [len(end)]]) - 1]
 
 
-def slices(batches, column: int, limit: int = 4 << 20):
-    """Arrow batches cut into parts of about ``limit`` bytes of text (a text is never cut), which share their memory."""
+def slices(batches, column: int, limit: int = 4 << 20, operator: str | None = None):
+    """Arrow batches cut into parts of about ``limit`` bytes of text (a text is never cut), which share their memory. What
+    other operators than ``operator`` keep in this worker is dropped."""
+    release_others(operator)
     for batch in batches:
         if not batch.num_rows:
             continue

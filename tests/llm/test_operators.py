@@ -535,3 +535,16 @@ def test_pipeline_stages(spark):
         assert stage(spark, odd, SF).columns == odd.columns and stage(spark, odd, SF).count() <= 6
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert Counter(corpus_pipeline.run(spark, SF).columns) == Counter(["doc_id", "n_pieces", "ids_crc32", "text_sha256", "round_trip"])
+
+
+def test_a_worker_drops_what_other_operators_keep():
+    import pyarrow as pa
+
+    from shelfwise.llm import session, text
+
+    model = pieces.PieceModel.load(pieces.model_path())
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two"])], names=["doc_id", "text"])
+    assert len(list(text.slices([batch], 1, operator="pieces"))) == 1
+    assert pieces.PieceModel.load(pieces.model_path()) is model
+    assert len(list(text.slices([batch], 1))) == 1
+    assert not session.kept_by("pieces")
