@@ -548,3 +548,18 @@ def test_a_worker_drops_what_other_operators_keep():
     assert pieces.PieceModel.load(pieces.model_path()) is model
     assert len(list(text.slices([batch], 1))) == 1
     assert not session.kept_by("pieces")
+
+
+def test_words_before_punctuation_are_one_unit():
+    import pyarrow as pa
+
+    encoder = huffman.UnitEncoder(huffman.tokenizer_path())
+    regular = ["the hat, the hat. the,\nthe hat.\nhat", "Élan, élan.\n", None, "the"]
+    odd = ["a ,b", "x.y", "3. 3,", ",", "...", "it's, it's.", "wait... what", "the. the", "q\x02, r", "的, 的."]
+    ids, n = encoder.encode(pa.array(regular + odd), huffman.END_ID)
+    want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, huffman.END_ID] for t in regular + odd]
+    assert n.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+    encoder = huffman.UnitEncoder(huffman.tokenizer_path())
+    encoder.encode(pa.array(regular[:1]), huffman.END_ID)
+    assert [u for u in encoder.young.at if u.endswith(("hat", "hat.", "hat,"))] == ["hat", "\x01hat"]
