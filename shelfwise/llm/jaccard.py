@@ -12,9 +12,11 @@ broadcast); any order gives the same links, a good one keeps frequent grams out
 the document has nothing rarer.
 
 Documents with one set are one class and take part once. A large group of near copies would still share grams in
-hundreds of thousands of pairs, so every set is first matched with the pivots of its grams (``PIVOT_TURNS`` of them), and
-only sets that share a gram and are still in different groups are then paired in full. No link between groups is lost, as
-every pair that passes the filters is either inside a group already or verified. A pair that shares many grams is made at
+hundreds of thousands of pairs, so every set is first matched with the pivots of its grams (``PIVOT_TURNS`` of them). While
+more than one of ``MANY`` sets (and ``LEAST_MANY``) then still has a likely link to a pivot in another group, each is
+matched with the nearest such pivot (``NEAREST_TURNS`` at most, ended by a turn with few links), and only sets that share
+a gram and are in different groups after that are paired in full. No link between groups is lost, as every pair that
+passes the filters is either inside a group already or verified. A pair that shares many grams is made at
 the first of them in a row only: a posting knows the two posted before it, and where one of them is shared, the pair is
 made there.
 
@@ -36,6 +38,9 @@ from shelfwise.llm.text import gram_starts, pieces, prefix_sums, slices, span_ha
 SLOTS = 1 << 18
 BLOCK = 1 << 12
 PIVOT_TURNS = 2
+NEAREST_TURNS = 4
+MANY = 1000
+LEAST_MANY = 64
 HOT = 8
 PARITY = 2  # longs
 WIDE = 16  # longs of a signature that open postings carry
@@ -253,11 +258,15 @@ def widened(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["sid", *(f"wide{j}" for j in range(WIDE))])
 
 
+def apart() -> Column:
+    """Bits in which two folded signatures differ; null where a posting carries none."""
+    return F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, bits: total + bits)
+
+
 def wide_reach() -> Column:
     """The parity filter of ``could_reach`` on folded signatures, which tell large sets apart that 64 * PARITY slots do not;
     postings without one pass."""
-    apart = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, bits: total + bits)
-    return F.coalesce(apart <= F.col("x.n") + F.col("y.n") - 2 * F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9), F.lit(True))
+    return F.coalesce(apart() <= F.col("x.n") + F.col("y.n") - 2 * F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9), F.lit(True))
 
 
 def could_reach() -> Column:
@@ -283,8 +292,10 @@ def made_before() -> Column:
 
 
 def pivot_pairs(here: DataFrame, turn: int) -> DataFrame:
-    """For each set the pivot with which it shares most prefix grams; a gram's pivot is its least set by a hash of the turn."""
-    mark = F.xxhash64("sid", F.lit(turn))
+    """For each set the pivot with which it shares most prefix grams. In the first turn a gram's pivot is the set that has
+    the fewest rarer grams before it: of near copies the one with least of its own, which most others are links of. Later
+    on it is the least set by a hash of the turn."""
+    mark = F.struct(F.lit(0) if turn else F.col("pos"), F.xxhash64("sid", F.lit(turn)))
     pivot = here.groupBy("gram").agg(F.min(mark).alias("mark"))
     x, y = here.alias("x"), here.withColumn("mark", mark).join(pivot, ["gram", "mark"]).alias("y")
     joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") != F.col("y.sid")) & could_reach())
@@ -293,6 +304,26 @@ def pivot_pairs(here: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct()
 
 
+def nearest_pairs(here: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+    """For each set in grams of ``HOT`` sets or more the nearest by folded signature, not tested yet, of the pivots of its
+    grams in other groups. A gram has up to 2 << turn pivots of its own, so that a set meets many different ones, while the
+    rows grow with the postings only."""
+    busy = here.filter("busy").withColumn("part", F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(2 << turn))).withColumn("mark", F.xxhash64("sid", "gram", F.lit(turn)))
+    pivot = busy.groupBy("gram", "part").agg(F.min("mark").alias("mark"))
+    x, y = busy.alias("x"), busy.join(pivot, ["gram", "part", "mark"]).alias("y")
+    joined = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & could_reach() & wide_reach())
+    found = joined.select(F.col("x.sid").alias("s"), F.col("y.sid").alias("p"), apart().alias("far"), F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+    best = found.join(tested, ["a", "b"], "left_anti").groupBy("s").agg(F.min_by("p", F.struct("far", "p")).alias("p"))
+    return best.select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct()
+
+
+def open_postings(here: DataFrame, links: DataFrame) -> DataFrame:
+    """The postings of grams whose sets are in different groups by ``links``, with ``comp``, the group."""
+    here = labelled(here, components(links), "sid", "comp")
+    open_grams = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") >= HOT).alias("busy")).filter("lo <> hi").select("gram", "busy")
+    return here.join(open_grams, "gram")
+
+
 def open_pairs(here: DataFrame) -> DataFrame:
     """Every pair (a, b) of sets that share a prefix gram, pass the filters and are in different groups. The postings of grams
     of ``HOT`` sets or more carry folded signatures, so that of a large group of unlike sets with common grams few pairs are made."""
@@ -355,12 +386,25 @@ def set_groups(texts: DataFrame, counts, signatures: DataFrame, k: int) -> DataF
         release_shuffles(spark)
         tested = tested.union(more)
     links = verify(alike(tested, signatures), texts, k)
-    here = labelled(near, components(links), "sid", "comp")
-    open_grams = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") >= HOT).alias("busy")).filter("lo <> hi").select("gram", "busy")
     wide = signatures.select("sid", "signature").mapInArrow(widened, "sid long, " + ", ".join(f"wide{j} long" for j in range(WIDE)))
     wide = wide.select("sid", F.lit(True).alias("busy"), F.array(*(f"wide{j}" for j in range(WIDE))).alias("wide"))
-    here = materialize(here.join(open_grams, "gram").join(wide, ["sid", "busy"], "left"), "open-postings")
+    here = materialize(open_postings(near, links).join(wide, ["sid", "busy"], "left"), "open-postings")
     drop_scratch(near)
+    few = max(LEAST_MANY, signatures.count() // MANY)
+    for turn in range(NEAREST_TURNS):
+        more = materialize(nearest_pairs(here, tested, turn), "pairs")
+        release_shuffles(spark)
+        likely = alike(more, signatures)
+        if likely.count() <= few:
+            break
+        found = verify(likely, texts, k)
+        tested, links = tested.union(more), links.union(found)
+        still = materialize(open_postings(here.drop("comp", "busy"), links), "open-postings")
+        drop_scratch(here)
+        release_shuffles(spark)
+        here = still
+        if found.count() <= few:
+            break
     rest = materialize(open_pairs(here).join(tested, ["a", "b"], "left_anti"), "open-pairs")
     drop_scratch(here)
     release_shuffles(spark)

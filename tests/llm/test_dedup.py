@@ -203,3 +203,22 @@ def test_unlike_sets_with_common_grams_make_few_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i % 100 if i >= 100 else i for i, _ in rows}
     assert made[-1] < 40  # of 780
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_near_copies_of_one_text_make_few_pairs(spark, monkeypatch, whole):
+    """Copies with up to three words of their own: most are links of the text itself, few of any other copy."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    made = [(0, " ".join(base))] if whole else []
+    for i in range(1, 301):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 4)):
+            w[at] = f"c{rng.randrange(10**6)}"
+        made.append((i, " ".join(w)))
+    pairs, real = [], jaccard.alike
+    monkeypatch.setattr(jaccard, "alike", lambda found, signatures: (pairs.append(found.count()), real(found, signatures))[1])
+    if not whole:
+        monkeypatch.setattr(jaccard, "LEAST_MANY", 0)
+    assert rows(jaccard.similar_groups(spark.createDataFrame(made, "doc_id long, text string"))) == groups(made)
+    assert pairs[-1] < 300
