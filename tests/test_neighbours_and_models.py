@@ -236,3 +236,45 @@ def test_rows_are_dealt_and_pivoted_once(spark, monkeypatch):
     assert len(rise.collect()) == len(models.inputs())
     stacked = modeling.ensemble_stacking(spark, SF)
     assert "pivot" not in stacked._jdf.queryExecution().toString().lower() and stacked.count() == stacked.select("sample_id").distinct().count()
+
+
+# forests of the reference's size
+
+
+def test_forests_have_all_their_trees(spark, monkeypatch):
+    from shelfwise.plans import modeling
+
+    made, real = [], models.RandomForestRegressor.fit
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", lambda self, *a: (made.append(real(self, *a)), made[-1])[1])
+    out = modeling.train_forest(spark, SF).collect()
+    for bootstrap in (True, False):
+        some = [m for m in made if m.getBootstrap() is bootstrap]
+        assert sum(m.getNumTrees for m in some) == 200 and {m.getMaxDepth() for m in some} == {20}
+        assert max(t.depth for m in some for t in m.trees) > 5
+    held = modeling.spread_rows(spark, SF).filter("fold = 0")
+    assert {(r.model, r.sample_id) for r in out} == {(n, r.sample_id) for n in ("forest", "extra_forest") for r in held.collect()}
+    assert len(out) == 2 * held.count()
+
+
+@pytest.mark.parametrize("nodes", [2_000_000, 50])
+def test_lots_of_trees_are_one_forest(spark, monkeypatch, nodes):
+    monkeypatch.setattr(models, "TREES_A_FIT", 3)
+    monkeypatch.setattr(models, "NODES_AT_ONCE", nodes)
+    monkeypatch.setattr(models, "ROWS_A_FITTING_TASK", 200)
+    made, real = [], models.RandomForestRegressor.fit
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", lambda self, *a: (made.append(real(self, *a)), made[-1])[1])
+    products = catalog(spark).filter("catalog_content is not null").withColumn("sample_id", F.when(F.col("sample_id") % 15 == 0, "same").when(F.col("sample_id") % 25 != 5, F.col("sample_id")))
+    rows = models.model_table(products.repartition(5)).withColumn("label", F.col("label") + F.rand(7)).persist()
+    train, test = models.prepared(rows.filter("fold <> 0"), rows.filter("fold = 0"), "sample_id", "price")
+    got = models.grown(train, test, {"forest": models.forests(7, 9)["forest"]})
+    assert [(n, t) for n, t in got.dtypes] == [("model", "string"), ("sample_id", "string"), ("price", "double"), ("y_pred", "double")]
+    assert sorted(m.getNumTrees for m in made) == ([1, 3, 3] if nodes > 50 else [1] * 7)
+    trees = [t.toDebugString.split("\n", 1)[1] for m in made for t in m.trees]
+    assert len(set(trees)) == 7
+    key = lambda r: (r[0] or "", r[1], r[2])
+    want = [(r.sample_id, r.price, max(np.expm1(np.mean([t.predict(r.features) for m in made for t in m.trees])), models.LEAST_PRICE)) for r in test.collect()]
+    found = sorted(((r.sample_id, r.price, r.y_pred) for r in got.collect()), key=key)
+    want.sort(key=key)
+    assert len({r[0] for r in want}) < len(want)  # ids are repeated or missing
+    assert [r[:2] for r in found] == [r[:2] for r in want] and np.allclose([r[2] for r in found], [r[2] for r in want])
+    rows.unpersist()
